@@ -133,8 +133,15 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[floa
     def bound(p: float) -> Column:
         return F.element_at("ends", ends.index(min(max(p, 0.0), 1.0)) + 1)
 
+    # the sketch may be off by n / accuracy ranks; a bracket is only wide enough for that and for the
+    # neighbouring rank when n is large, so smaller keys keep all their values
+    wide = F.col("n") < 4 * APPROXIMATE_ACCURACY
     spans = F.array(*[
-        F.struct(F.lit(k).alias("k"), bound(p - slack).alias("lo"), bound(p + slack).alias("hi"))
+        F.struct(
+            F.lit(k).alias("k"),
+            F.when(wide, bound(0.0)).otherwise(bound(p - slack)).alias("lo"),
+            F.when(wide, bound(1.0)).otherwise(bound(p + slack)).alias("hi"),
+        )
         for k, p in enumerate(probabilities)
     ])
     spanned = brackets.select(*keys, "n", spans.alias("spans"))
@@ -166,7 +173,7 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[floa
         F.first(F.col("h") - F.col("at")).alias("f"),
         F.first("n").alias("n"),
     )
-    quantile = F.col("a") + F.col("f") * (F.col("b") - F.col("a"))
+    quantile = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
     picked = [
         F.max(F.when(F.col("k") == k, quantile)).alias(f"q{k}") for k in range(len(probabilities))
     ]
