@@ -21,10 +21,9 @@ def check_cohort(
         F.count(F.lit(1)).cast("double").alias("rows"),
         F.count_if(F.col("input_problems") != "").cast("double").alias("rows_with_problems"),
     )
-    counted = totals.select(F.inline(F.array(
-        F.struct(F.lit("rows").alias("item"), F.lit("").alias("detail"), F.col("rows").alias("number")),
-        F.struct(F.lit("rows_with_problems"), F.lit(""), F.col("rows_with_problems")),
-    )))
+    counted = totals.unpivot([], ["rows", "rows_with_problems"], "item", "number").select(
+        "item", F.lit("").alias("detail"), "number"
+    )
     duplicates = duplicate_ids(rows).agg(F.count(F.lit(1)).cast("double").alias("number")).select(
         F.lit("duplicate_ids").alias("item"), F.lit("").alias("detail"), "number"
     )
