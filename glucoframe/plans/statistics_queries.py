@@ -24,7 +24,7 @@ VALS = long_values_cte(SHOWN)
 BY_SEX = Transform("rint", "sex")
 
 
-def _rounded_all(df: DataFrame, decimals: int = 6) -> DataFrame:
+def rounded_all(df: DataFrame, decimals: int = 6) -> DataFrame:
     return df.select(*[
         rounded(f.name, decimals).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
         for f in df.schema
@@ -140,7 +140,7 @@ RINT_BY_SEX_SQL = with_prepared(
 def z_by_sex_layout(src: Source) -> DataFrame:
     """Each transformed column directly after its source."""
     table = transforms.transform_results(src.values(SHOWN), Transform("z", "sex"), key="visit_id")
-    return _rounded_all(table)
+    return rounded_all(table)
 
 
 def _wide_z(i: str) -> str:
@@ -158,7 +158,7 @@ def transformed_file(src: Source) -> DataFrame:
     """A results table whose sex labels are looked up in the original one, RINT within sex."""
     values = src.values(SHOWN)
     attached = transforms.attach_sex(values.drop("sex"), values, key="visit_id")
-    return _rounded_all(transforms.transform_results(attached, BY_SEX, key="visit_id", columns=["homa_ir", "lap"]))
+    return rounded_all(transforms.transform_results(attached, BY_SEX, key="visit_id", columns=["homa_ir", "lap"]))
 
 
 def _rint_wide(columns: list[str]) -> str:
@@ -176,7 +176,7 @@ TRANSFORMED_SQL = with_prepared(
 
 def keep_only(src: Source) -> DataFrame:
     table = transforms.transform_results(src.values(SHOWN), Transform("log"), key="visit_id", keep_only=True)
-    return _rounded_all(table)
+    return rounded_all(table)
 
 
 KEEP_ONLY_SQL = with_prepared(
@@ -204,7 +204,7 @@ REPORT_SQL = with_prepared(
 def describe(src: Source) -> DataFrame:
     values = src.values(INDEX_IDS)
     rows = values.count()
-    return _rounded_all(descriptives.describe(to_long(values, INDEX_IDS, []), rows), 3)
+    return rounded_all(descriptives.describe(to_long(values, INDEX_IDS, []), rows), 3)
 
 
 ALL_VALS = long_values_cte(INDEX_IDS)
@@ -226,7 +226,7 @@ DESCRIBE_SQL = with_prepared(
 def quantiles(src: Source) -> DataFrame:
     probabilities = [0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0]
     found = exact_quantiles(src.long_values(SHOWN), ["index_id"], probabilities)
-    return _rounded_all(found)
+    return rounded_all(found)
 
 
 QUANTILES_SQL = with_prepared(
@@ -249,7 +249,7 @@ SKEWNESS_SQL = with_prepared(f"SELECT index_id, {rounded_sql('skewness(value)')}
 
 
 def medians_by_sex(src: Source) -> DataFrame:
-    return _rounded_all(descriptives.sex_medians(src.long_values(SHOWN)))
+    return rounded_all(descriptives.sex_medians(src.long_values(SHOWN)))
 
 
 MEDIANS_SQL = with_prepared(
@@ -287,7 +287,7 @@ def summary(src: Source) -> DataFrame:
         long, tally.status_counts(results), tally.top_reasons(tally.reason_counts(results)), catalog(src.spark)
     )
     flat = table.withColumn("why", F.array_join("why", " / ")).drop("position", "name")
-    return _rounded_all(flat, 4)
+    return rounded_all(flat, 4)
 
 
 SUMMARY_SQL = with_prepared(
@@ -316,7 +316,7 @@ SUMMARY_SQL = with_prepared(
 def units(src: Source) -> DataFrame:
     """The cohort is canonical, but glucose, insulin and HDL are declared in other units."""
     declared = unit_choice(glucose="mg/dL", insulin="uU/mL", hdl="mg/dL")
-    return _rounded_all(unit_check.check_units(src.fixed_cohort(), declared))
+    return rounded_all(unit_check.check_units(src.fixed_cohort(), declared))
 
 
 def _units_sql() -> str:
@@ -349,7 +349,7 @@ CHECK_TIME_SQL = with_cohort(
 
 def pearson_pair(src: Source) -> DataFrame:
     found = correlation.pearson(calculate_wide(src.cohort(), ids=SHOWN, keep=[]), "homa_ir", "tg_hdl")
-    return _rounded_all(found)
+    return rounded_all(found)
 
 
 PEARSON_PAIR_SQL = with_prepared(
@@ -360,7 +360,7 @@ PEARSON_PAIR_SQL = with_prepared(
 
 
 def spearman_pair(src: Source) -> DataFrame:
-    return _rounded_all(correlation.spearman(src.values(SHOWN), "homa_ir", "tg_hdl", "visit_id"))
+    return rounded_all(correlation.spearman(src.values(SHOWN), "homa_ir", "tg_hdl", "visit_id"))
 
 
 def _pair_ranks(x: str, y: str) -> str:
@@ -380,7 +380,7 @@ SPEARMAN_PAIR_SQL = with_prepared(
 
 def pearson_matrix(src: Source) -> DataFrame:
     matrix = correlation.pearson_matrix(src.values(INDEX_IDS), INDEX_IDS)
-    return _rounded_all(matrix)
+    return rounded_all(matrix)
 
 
 PEARSON_SQL = with_prepared(
@@ -395,7 +395,7 @@ PEARSON_SQL = with_prepared(
 
 
 def spearman_matrix(src: Source) -> DataFrame:
-    return _rounded_all(correlation.spearman_matrix(src.values(SHOWN), SHOWN, "visit_id"))
+    return rounded_all(correlation.spearman_matrix(src.values(SHOWN), SHOWN, "visit_id"))
 
 
 def _spearman_sql(columns: list[str]) -> str:
@@ -435,7 +435,7 @@ def comparison(src: Source) -> DataFrame:
     values = src.values(SHOWN)
     raw = correlation.correlation_matrix(values, SHOWN, "visit_id", "pearson")
     logged = correlation.correlation_matrix(values, SHOWN, "visit_id", "pearson", Transform("log"))
-    return _rounded_all(correlation.compare_matrices(raw, logged))
+    return rounded_all(correlation.compare_matrices(raw, logged))
 
 
 COMPARISON_SQL = with_prepared(
@@ -459,7 +459,7 @@ COMPARISON_SQL = with_prepared(
 def spearman_by_sex_rint(src: Source) -> DataFrame:
     """Spearman of values that were rank-normalised within sex."""
     matrix = correlation.correlation_matrix(src.values(SHOWN[:3]), SHOWN[:3], "visit_id", "spearman", BY_SEX)
-    return _rounded_all(matrix)
+    return rounded_all(matrix)
 
 
 SPEARMAN_BY_SEX_SQL = with_prepared(
@@ -473,7 +473,7 @@ SPEARMAN_BY_SEX_SQL = with_prepared(
 
 def matrix_layout(src: Source) -> DataFrame:
     matrix = correlation.pearson_matrix(src.values(SHOWN), SHOWN)
-    return _rounded_all(correlation.matrix_table(matrix, SHOWN))
+    return rounded_all(correlation.matrix_table(matrix, SHOWN))
 
 
 def _corr_cell(a: str, b: str) -> str:
@@ -506,7 +506,7 @@ MATRIX_COUNTS_SQL = with_prepared(
 
 def scatter(src: Source) -> DataFrame:
     found = correlation.scatter_sample(src.values(SHOWN), "homa_ir", "tg_hdl", "visit_id", at_most=1000)
-    return _rounded_all(found)
+    return rounded_all(found)
 
 
 SCATTER_SQL = with_prepared(
@@ -535,7 +535,7 @@ STATS = (
 def bandwidth(src: Source) -> DataFrame:
     grouped = density.with_pooled(src.long_values(SHOWN))
     found = density.bandwidths(grouped, ["index_id", "group"])
-    return _rounded_all(found.select("index_id", "group", "n", "median", "bandwidth"))
+    return rounded_all(found.select("index_id", "group", "n", "median", "bandwidth"))
 
 
 BANDWIDTH_SQL = with_prepared(
@@ -546,7 +546,7 @@ BANDWIDTH_SQL = with_prepared(
 
 def exact_density(src: Source) -> DataFrame:
     found = density.density(src.long_values(["homa_ir", "lap"]), ["index_id"], exact_max=10**12)
-    return _rounded_all(found)
+    return rounded_all(found)
 
 
 _GRID = (
@@ -564,7 +564,7 @@ EXACT_SQL = with_prepared(
 def binned_density(src: Source) -> DataFrame:
     """Every index binned, as for more than 20,000 values."""
     found = density.density(src.long_values(["homa_ir", "lap"]), ["index_id"], exact_max=0)
-    return _rounded_all(found)
+    return rounded_all(found)
 
 
 BINNED_SQL = with_prepared(
@@ -606,7 +606,7 @@ def density_table(src: Source) -> DataFrame:
     long = logged.select(F.lit("homa_ir").alias("index_id"), "sex", F.col("homa_ir_log").alias("value")).where(
         "value IS NOT NULL"
     )
-    return _rounded_all(density.group_densities(cut_lineage(long), "log"))
+    return rounded_all(density.group_densities(cut_lineage(long), "log"))
 
 
 DENSITY_TABLE_SQL = with_prepared(
@@ -620,7 +620,7 @@ DENSITY_TABLE_SQL = with_prepared(
 
 
 def histogram(src: Source) -> DataFrame:
-    return _rounded_all(density.histogram(src.long_values(SHOWN), ["index_id"]))
+    return rounded_all(density.histogram(src.long_values(SHOWN), ["index_id"]))
 
 
 def _bins_cte(of: str) -> str:
@@ -646,7 +646,7 @@ HISTOGRAM_SQL = with_prepared(
 
 
 def histogram_sex(src: Source) -> DataFrame:
-    return _rounded_all(density.histogram_by_sex(src.long_values(SHOWN)))
+    return rounded_all(density.histogram_by_sex(src.long_values(SHOWN)))
 
 
 HISTOGRAM_SEX_SQL = with_prepared(
