@@ -153,65 +153,59 @@ def calculate_long(
     ids = _checked(ids)
     keep = ["participant_id"] if keep is None else keep
     run = RunContext(settings, means, weight)
-    cells = []
-    for m in METHODS:
-        if isinstance(m, Deferred):
-            if with_deferred:
-                cells.append(_deferred_cell(m, details))
-        elif m.id in ids:
-            cells.append(_long_cell(m, run, orientation, details))
-    return _evaluated(df, ids, run, keep).selectExpr(
-        *map(_quoted, keep), f"inline(array({', '.join(cells)}))"
+    shown = [
+        m for m in METHODS if (with_deferred if isinstance(m, Deferred) else m.id in ids)
+    ]
+    cells = [_long_cell(k, m, run, orientation, details) for k, m in enumerate(shown, start=1)]
+    # what describes a method is looked up after the rows are made, so that it costs nothing when unused
+    facts = {
+        "method_id": [column_name(m.id, orientation) for m in shown],
+        "name": [m.name for m in shown],
+        "category": [m.category for m in shown],
+        "direction": [oriented_direction(m, orientation) for m in shown],
+        "orientation": ["published" if column_name(m.id, orientation) == m.id else "sensitivity" for m in shown],
+        "source_verification": [VERIFICATION.get(m.id, "unresolved") for m in shown],
+    }
+    look_up = {name: f"{_text_array(texts)}[_method - 1] AS {name}" for name, texts in facts.items()}
+    return (
+        _evaluated(df, ids, run, keep)
+        .selectExpr(*map(_quoted, keep), f"inline(array({', '.join(cells)}))")
+        .selectExpr(
+            *map(_quoted, keep), look_up["method_id"], look_up["name"], look_up["category"], "value", "status",
+            look_up["direction"], look_up["orientation"], look_up["source_verification"], "reasons", "warnings",
+            *(["details"] if details else []),
+        )
     )
 
 
-def _cell(fields: dict[str, str]) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
-
-
-def _long_cell(m: Index, run: RunContext, orientation: str, details: bool) -> str:
-    status = _status(m.id)
-    warnings = m.warnings(run)
-    if VERIFICATION.get(m.id) in PROVISIONAL_LEVELS:
-        warnings = f"concat({warnings}, array({sql_text(f'Source verification ({VERIFICATION[m.id]})')}))"
-    negated = column_name(m.id, orientation) != m.id
-    fields = {
-        "method_id": sql_text(column_name(m.id, orientation)),
-        "name": sql_text(m.name),
-        "category": sql_text(m.category),
-        "value": _value(m.id, orientation),
-        "status": status,
-        "direction": sql_text(oriented_direction(m, orientation)),
-        "orientation": sql_text("sensitivity" if negated else "published"),
-        "source_verification": sql_text(VERIFICATION.get(m.id, "unresolved")),
-        "reasons": m.reasons(run, f"state_{m.id}", status),
-        "warnings": warnings,
-    }
-    if details:
-        entries = dict(m.details_sql(run))
-        if negated:
+def _text_array(texts: list[str]) -> str:
+    return f"array({', '.join(map(sql_text, texts))})"
+
+
+def _long_cell(number: int, m: Index | Deferred, run: RunContext, orientation: str, details: bool) -> str:
+    """The part of a long row that depends on the participant."""
+    if isinstance(m, Deferred):
+        fields = {
+            "value": "cast(NULL AS double)", "status": "'unavailable'",
+            "reasons": f"array({sql_text(m.full_reason)})", "warnings": NO_TEXTS,
+        }
+        entries = {}
+    else:
+        status = _status(m.id)
+        warnings = m.warnings(run)
+        if VERIFICATION.get(m.id) in PROVISIONAL_LEVELS:
+            warnings = f"concat({warnings}, array({sql_text(f'Source verification ({VERIFICATION[m.id]})')}))"
+        fields = {
+            "value": _value(m.id, orientation), "status": status,
+            "reasons": m.reasons(run, f"state_{m.id}", status), "warnings": warnings,
+        }
+        entries = dict(m.details_sql(run)) if details else {}
+        if column_name(m.id, orientation) != m.id:
             entries["orientation_note"] = sql_text(NEGATED_NOTE)
-        pairs = ", ".join(f"{sql_text(k)}, cast({v} AS string)" for k, v in entries.items())
-        fields["details"] = f"CASE WHEN {status} = 'ok' THEN map({pairs}) END" if pairs else NO_DETAILS
-    return _cell(fields)
-
-
-def _deferred_cell(m: Deferred, details: bool) -> str:
-    fields = {
-        "method_id": sql_text(m.id),
-        "name": sql_text(m.name),
-        "category": sql_text(m.category),
-        "value": "cast(NULL AS double)",
-        "status": "'unavailable'",
-        "direction": sql_text(m.direction),
-        "orientation": "'published'",
-        "source_verification": sql_text(VERIFICATION[m.id]),
-        "reasons": f"array({sql_text(m.full_reason)})",
-        "warnings": NO_TEXTS,
-    }
     if details:
-        fields["details"] = NO_DETAILS
-    return _cell(fields)
+        pairs = ", ".join(f"{sql_text(k)}, cast({v} AS string)" for k, v in entries.items())
+        fields["details"] = f"CASE WHEN {fields['status']} = 'ok' THEN map({pairs}) END" if pairs else NO_DETAILS
+    return f"named_struct('_method', {number}, " + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
 def to_long(wide: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

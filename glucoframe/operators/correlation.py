@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,22 +149,21 @@ def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
     ranks = attach_by_value(long, ordered.select("s", "value", "cnt", "rank"), ["s"])
     per_row = ranks.groupBy(key).agg(F.collect_list(F.struct("s", "rank")).alias("ranks"))  # at most len(sets)
     pairs = [(i, j, number[i, j], number[j, i]) for i in range(k) for j in range(i + 1, k)]
-    left, right = np.array([p[2] for p in pairs], int), np.array([p[3] for p in pairs], int)
+    first, second, left, right = np.array(pairs, dtype="int32").reshape(-1, 4).T.copy()
     width = len(sets)
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(pairs))
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(left))
         for batch in batches:
-            dense = np.zeros((len(batch), width))
-            for r, entries in enumerate(batch["ranks"]):
-                for entry in entries:
-                    dense[r, entry["s"]] = entry["rank"]
+            lists = batch.column(0)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            entries = lists.flatten()
+            dense = np.zeros((len(lists), width))
+            dense[row, entries.field("s").to_numpy()] = entries.field("rank").to_numpy()
             total += (dense.T @ dense)[left, right]
-        yield pd.DataFrame({
-            "i": [p[0] for p in pairs], "j": [p[1] for p in pairs], "a": left, "b": right, "sxy": total,
-        })
+        yield pa.RecordBatch.from_pydict({"i": first, "j": second, "a": left, "b": right, "sxy": total})
 
-    crossed = per_row.select("ranks").mapInPandas(products, "i int, j int, a int, b int, sxy double")
+    crossed = per_row.select("ranks").mapInArrow(products, "i int, j int, a int, b int, sxy double")
     crossed = crossed.groupBy("i", "j", "a", "b").agg(F.sum("sxy").alias("sxy"))
     small = broadcast_if_small(spread, MAX_SETS_BROADCAST)  # one row per ranking
     spans = (

@@ -32,13 +32,13 @@ def with_pooled(long: DataFrame, sex: str = "sex") -> DataFrame:
 
 def group_stats(long: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: n, sd, quartiles, median, range (materialised: one row per index and group)."""
-    moments = long.groupBy(*keys).agg(
-        F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    quartiles = exact_quantiles(long, keys, [0.25, 0.5, 0.75]).select(
-        *keys, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
-    return cut_lineage(moments.join(quartiles, keys))
+    moments = [
+        F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"),
+    ]
+    stats = exact_quantiles(long, keys, [0.25, 0.5, 0.75], also=moments)
+    return cut_lineage(stats.select(
+        *keys, "n", "sd", "low", "high", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+    ))
 
 
 def nrd0_bandwidth() -> Column:

@@ -23,22 +23,19 @@ def describe(long: DataFrame, rows: int | None = None, by: list[str] | None = No
     `long` has index_id and value, without missing values; `rows` is the number of participants.
     """
     keys = by or ["index_id"]
-    moments = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
+    moments = [
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         adjusted_skewness().alias("skewness"),
         F.count_if(F.col("value") <= 0).alias("non_positive"),
-    )
-    quartiles = exact_quantiles(long, keys, QUARTILES).select(
-        *keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
+    ]
+    stats = exact_quantiles(long, keys, QUARTILES, also=moments)
     missing = F.lit(None).cast("bigint") if rows is None else F.lit(rows) - F.col("n")
-    return moments.join(quartiles, keys).select(
-        *keys, "n", missing.alias("missing"), "mean", "sd", "median", "q1", "q3", "min", "max", "skewness",
-        "non_positive",
+    return stats.select(
+        *keys, "n", missing.alias("missing"), "mean", "sd", F.col("q1").alias("median"), F.col("q0").alias("q1"),
+        F.col("q2").alias("q3"), "min", "max", "skewness", "non_positive",
     )
 
 

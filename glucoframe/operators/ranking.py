@@ -117,9 +117,15 @@ def attach_by_value(rows: DataFrame, per_value: DataFrame, keys: list[str], valu
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in extra])
 
 
-def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[float], value: str = "value") -> DataFrame:
+def exact_quantiles(
+    values: DataFrame,
+    keys: list[str],
+    probabilities: list[float],
+    value: str = "value",
+    also: list[Column] | None = None,
+) -> DataFrame:
     """Type-7 quantiles (linear interpolation at (n - 1) * p) per key: columns n and q0, q1, ... in the order
-    of `probabilities`.
+    of `probabilities`. `also` are named aggregates to compute in the first of the two passes.
 
     Pass 1 brackets every quantile with a mergeable sketch; pass 2 counts the rows below each bracket and
     keeps only the values inside, a few ten-thousandths of the rows, which are then ordered exactly. The
@@ -128,7 +134,9 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[floa
     slack = 2.0 / APPROXIMATE_ACCURACY
     ends = sorted({min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-slack, slack)} | {0.0, 1.0})
     sketch = F.percentile_approx(value, F.array(*[F.lit(e) for e in ends]), F.lit(APPROXIMATE_ACCURACY))
-    brackets = cut_lineage(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("ends")))
+    also = also or []
+    brackets = cut_lineage(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("ends"), *also))
+    more = [c for c in brackets.columns if c not in (*keys, "n", "ends")]
 
     def bound(p: float) -> Column:
         return F.element_at("ends", ends.index(min(max(p, 0.0), 1.0)) + 1)
@@ -157,7 +165,7 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[floa
     inside = _order(counts.where(F.col("v").isNotNull()), [*keys, "k"], "v").drop("n")
     located = (
         inside.join(broadcast_if_small(below, MAX_OFFSETS_BROADCAST), [*keys, "k"], "left")
-        .join(broadcast_if_small(brackets.select(*keys, "n"), MAX_OFFSETS_BROADCAST), keys)
+        .join(broadcast_if_small(brackets.select(*keys, "n", *more), MAX_OFFSETS_BROADCAST), keys)
         .withColumn("start", F.col("before") + F.coalesce("below", F.lit(0)))
     )
     p = F.element_at(F.array(*[F.lit(float(x)) for x in probabilities]), F.col("k") + 1)
@@ -171,10 +179,10 @@ def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[floa
         value_at(F.col("at")).alias("a"),
         value_at(F.least(F.col("at") + 1, F.col("n") - 1)).alias("b"),
         F.first(F.col("h") - F.col("at")).alias("f"),
-        F.first("n").alias("n"),
+        *[F.first(c).alias(c) for c in ("n", *more)],
     )
     quantile = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
     picked = [
         F.max(F.when(F.col("k") == k, quantile)).alias(f"q{k}") for k in range(len(probabilities))
     ]
-    return pairs.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
+    return pairs.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", *more)], *picked)

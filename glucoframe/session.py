@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 # HotSpot never compiles methods above 8,000 bytes of bytecode. A projection of all indices is larger than
 # that as one whole-stage method; below this limit Spark splits it into small compiled ones (about 3x faster).
 HOTSPOT_METHOD_LIMIT = "8000"
+# Quantile sketches are kept per index and group. Above 128 groups per task Spark would sort the rows instead.
+SKETCH_GROUPS = "4096"
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the wide projections profit from; safe to call on any session."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", HOTSPOT_METHOD_LIMIT)
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", SKETCH_GROUPS)
     return spark
 
 
@@ -72,6 +75,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
     Beyond that the plain join is left to Catalyst and adaptive execution.
     """
-    if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows:
+    if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
