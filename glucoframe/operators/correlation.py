@@ -12,15 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glucoframe.operators.ranking import add_row_numbers, attach_by_value, average_rank, ordered_counts
+from glucoframe.operators.ranking import (
+    add_row_numbers,
+    attach_by_value,
+    average_rank,
+    order_counts,
+    ordered_counts,
+)
 from glucoframe.operators.transforms import Transform, transform_results
-from glucoframe.session import broadcast_if_small
 
 MIN_PAIRS = 3
-MAX_SETS_BROADCAST = 100_000
 SUMS_SCHEMA = (
     "i int, j int, n bigint, si double, sj double, sii double, sjj double, sij double, "
     "lo_i double, hi_i double, lo_j double, hi_j double"
@@ -131,23 +135,52 @@ def rank_sets(n: dict[tuple[int, int], int], k: int) -> tuple[dict[tuple[int, in
 def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
     """Long matrix (row, col, value, n): Pearson on average ranks over the complete pairs.
 
-    `key` must be unique per row.
+    `key` must be unique per row. Each column is ordered once: its distinct values carry one count per
+    pattern of missing rows, and running sums of those counts give the ranks over every subset of rows that
+    some pair needs. Only the column values (never the pairs) are joined back to the rows.
     """
     k = len(columns)
     counts = pair_counts(wide, columns)
     number, sets = rank_sets(counts, k)
-    cells = []
-    for s, (i, limit) in enumerate(sets):
-        a, b = F.col(columns[i]), F.col(columns[limit])
-        usable = a.isNotNull() & ~F.isnan(a) & b.isNotNull() & ~F.isnan(b)
-        cells.append(F.struct(F.lit(s).alias("s"), F.when(usable, a + 0.0).alias("value")))
-    long = wide.select(key, F.inline(F.array(*cells))).where("value IS NOT NULL")
-    ordered = ordered_counts(long, ["s"]).withColumn("rank", average_rank() - (F.col("n") + 1) / 2.0)
+    limits = sorted({limit for i, limit in sets if limit != i})
+    subset = ["own"] + [f"with_{g}" for g in limits]  # names of the count columns
+
+    def present(i: int) -> Column:
+        return F.col(columns[i]).isNotNull() & ~F.isnan(columns[i])
+
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("s"), F.when(present(i), F.col(c) + 0.0).alias("value")) for i, c in enumerate(columns)
+    ])
+    flags = [F.when(present(g), 1).otherwise(0).alias(f"with_{g}") for g in limits]
+    per_value = (
+        wide.select(*flags, F.inline(cells)).where("value IS NOT NULL")
+        .groupBy("s", "value")
+        .agg(F.count(F.lit(1)).alias("own"), *[F.sum(f"with_{g}").alias(f"with_{g}") for g in limits])
+    )
+    ordered = order_counts(per_value, ["s"], "value", subset)
+    # average ranks around their mean, one per subset
+    centred = [F.col(f"before_{c}") + (F.col(c) + 1) / 2.0 - (F.col(f"n_{c}") + 1) / 2.0 for c in subset]
     spread = ordered.groupBy("s").agg(
-        F.sum(F.col("cnt") * F.col("rank") * F.col("rank")).alias("ss"), F.count(F.lit(1)).alias("distinct")
+        *[F.sum(F.col(c) * r * r).alias(f"ss_{c}") for c, r in zip(subset, centred, strict=True)],
+        *[F.count_if(F.col(c) > 0).alias(f"distinct_{c}") for c in subset],
+    ).collect()  # one row per column
+    name_of = [subset[0] if limit == i else f"with_{limit}" for i, limit in sets]
+    by_column = {r["s"]: r for r in spread}
+    squares = [(by_column[i][f"ss_{c}"], by_column[i][f"distinct_{c}"]) if i in by_column else (0.0, 0)
+               for (i, _), c in zip(sets, name_of, strict=True)]
+
+    # each column keeps the ranks of its own subsets only, in the order of `sets`
+    wanted = [[subset.index(c) for (i, _), c in zip(sets, name_of, strict=True) if i == column] for column in range(k)]
+    chosen = F.element_at(F.array(*[F.array(*[F.lit(p) for p in w]) for w in wanted]), F.col("s") + 1)
+    every = F.array(*centred)
+    ranks = ordered.select(
+        "s", "value", F.col("own").alias("cnt"), F.transform(chosen, lambda p: F.get(every, p)).alias("ranks")
+    )
+    long = wide.select(key, F.inline(cells)).where("value IS NOT NULL")
+    per_row = attach_by_value(long, ranks, ["s"]).groupBy(key).agg(
+        F.collect_list(F.struct("s", "ranks")).alias("entries")  # at most one per column
     )
-    ranks = attach_by_value(long, ordered.select("s", "value", "cnt", "rank"), ["s"])
-    per_row = ranks.groupBy(key).agg(F.collect_list(F.struct("s", "rank")).alias("ranks"))  # at most len(sets)
+    first_set = np.array([next((n for n, (i, _) in enumerate(sets) if i == column), 0) for column in range(k)])
     pairs = [(i, j, number[i, j], number[j, i]) for i in range(k) for j in range(i + 1, k)]
     first, second, left, right = np.array(pairs, dtype="int32").reshape(-1, 4).T.copy()
     width = len(sets)
@@ -155,32 +188,31 @@ def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(left))
         for batch in batches:
-            lists = batch.column(0)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            entries = lists.flatten()
-            dense = np.zeros((len(lists), width))
-            dense[row, entries.field("s").to_numpy()] = entries.field("rank").to_numpy()
+            rows = batch.column(0)
+            column, row_ranks = rows.flatten().flatten()
+            sizes = row_ranks.value_lengths().to_numpy()
+            row = np.repeat(np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy()), sizes)
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            dense = np.zeros((len(rows), width))
+            dense[row, np.repeat(first_set[column.to_numpy()], sizes) + within] = row_ranks.flatten().to_numpy()
             total += (dense.T @ dense)[left, right]
-        yield pa.RecordBatch.from_pydict({"i": first, "j": second, "a": left, "b": right, "sxy": total})
-
-    crossed = per_row.select("ranks").mapInArrow(products, "i int, j int, a int, b int, sxy double")
-    crossed = crossed.groupBy("i", "j", "a", "b").agg(F.sum("sxy").alias("sxy"))
-    small = broadcast_if_small(spread, MAX_SETS_BROADCAST)  # one row per ranking
-    spans = (
-        crossed.join(small.select(F.col("s").alias("a"), F.col("ss").alias("sxx"), F.col("distinct").alias("da")), "a", "left")
-        .join(small.select(F.col("s").alias("b"), F.col("ss").alias("syy"), F.col("distinct").alias("db")), "b", "left")
-    )
-    spark = wide.sparkSession
-    sizes = spark.createDataFrame([(i, j, counts[i, j]) for i in range(k) for j in range(i, k)], "i int, j int, n bigint")
-    own = spark.createDataFrame([(i, number[i, i]) for i in range(k)], "i int, s int").join(small, "s", "left")
-    diagonal = own.select("i", F.col("i").alias("j"), F.when(F.col("distinct") > 1, F.lit(1.0)).alias("r"))
-    off = spans.select(
-        "i", "j",
-        F.when((F.col("da") > 1) & (F.col("db") > 1), _clamped(F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))).alias("r"),
+        yield pa.RecordBatch.from_pydict({"i": first, "j": second, "sxy": total})
+
+    crossed = (
+        per_row.select("entries").mapInArrow(products, "i int, j int, sxy double")
+        .groupBy("i", "j").agg(F.sum("sxy").alias("sxy"))
     )
-    upper = sizes.join(off.unionByName(diagonal), ["i", "j"], "left").select(
-        "i", "j", F.when(F.col("n") >= MIN_PAIRS, F.col("r")).alias("value"), "n"
+    known = []
+    for i in range(k):
+        for j in range(i, k):
+            (sxx, values_i), (syy, values_j) = squares[number[i, j]], squares[number[j, i]]
+            usable = counts[i, j] >= MIN_PAIRS and values_i > 1 and values_j > 1
+            known.append((i, j, counts[i, j], usable, float(np.sqrt(sxx) * np.sqrt(syy))))
+    sizes = wide.sparkSession.createDataFrame(known, "i int, j int, n bigint, usable boolean, scale double")
+    rho = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
+        _clamped(F.try_divide(F.coalesce("sxy", F.lit(0.0)), F.col("scale")))
     )
+    upper = sizes.join(crossed, ["i", "j"], "left").select("i", "j", F.when(F.col("usable"), rho).alias("value"), "n")
     return _both_triangles(upper, columns)
 
 

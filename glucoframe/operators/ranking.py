@@ -3,8 +3,8 @@
 A window ordered by value would put a whole index into one task. Here equal values are first counted
 (with map-side combine, so a value on a third of all rows is one row per task), the distinct values are
 range-partitioned and sorted, and every partition keeps a running count; one total per partition and key
-then gives the number of rows ahead of each partition. The ordered table is checkpointed, so the partition
-numbers used twice are the same ones even when an executor is lost in between.
+then gives the number of rows ahead of each partition. The ordered table is written to the shared folder with
+its partition numbers, so both uses see the same ones even when an executor is lost in between.
 """
 
 from __future__ import annotations
@@ -51,40 +51,51 @@ def ordered_counts(values: DataFrame, keys: list[str], value: str = "value") ->
     Keys and values must not be NULL or NaN.
     """
     counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return _order(counts, keys, value)
+    return order_counts(counts, keys, value).withColumnsRenamed({"before_cnt": "before", "n_cnt": "n"})
 
 
-def _order(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] | None = None) -> DataFrame:
+    """Adds before_<c> and n_<c> for every count column c in `of`: the sum of c over the smaller values of
+    the key, and over all its values. `counts` has one row per (keys, value)."""
+    of = of or ["cnt"]
     placed = (
         counts.repartitionByRange(*keys, value)
         .sortWithinPartitions(*keys, value)
         .withColumn("part", F.spark_partition_id())
     )
-    schema = T.StructType([*placed.schema.fields, T.StructField("upto", T.LongType())])
+    schema = T.StructType([*placed.schema.fields, *[T.StructField(f"upto_{c}", T.LongType()) for c in of]])
 
     def running_count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, carried = None, 0
+        last_key, carried = None, None
+        upto = [f"upto_{c}" for c in of]
         for batch in batches:
             if batch.empty:
                 continue
-            group = batch.groupby(keys, sort=False)["cnt"]
-            batch["upto"] = group.cumsum()
-            ids = group.ngroup()
-            if last_key is not None and tuple(batch.iloc[0][keys]) == last_key:
-                batch.loc[ids == ids.iloc[0], "upto"] += carried
-            last_key, carried = tuple(batch.iloc[-1][keys]), int(batch["upto"].iloc[-1])
+            # rows of a key are together, so a new key starts where any key column changes
+            starts = (batch[keys] != batch[keys].shift()).any(axis=1)
+            group = starts.cumsum()
+            sums = batch[of].groupby(group.to_numpy(), sort=False).cumsum().to_numpy(dtype="int64")
+            if last_key is not None and tuple(batch[k].iloc[0] for k in keys) == last_key:
+                sums[(group == 1).to_numpy()] += carried
+            for position, name in enumerate(upto):
+                batch[name] = sums[:, position]
+            last_key, carried = tuple(batch[k].iloc[-1] for k in keys), sums[-1]
             yield batch
 
     ordered = cut_lineage(placed.mapInPandas(running_count, schema))
-    totals = ordered.groupBy("part", *keys).agg(F.sum("cnt").alias("part_rows"))
+    totals = ordered.groupBy("part", *keys).agg(*[F.sum(c).alias(f"rows_{c}") for c in of])
     key = Window.partitionBy(*keys)
-    ahead = F.sum("part_rows").over(key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    above = key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # sorted by key, so there are at most (partitions + keys) of these rows
     offsets = totals.select(
-        "part", *keys, F.coalesce(ahead, F.lit(0)).alias("ahead"), F.sum("part_rows").over(key).alias("n")
+        "part", *keys,
+        *[F.coalesce(F.sum(f"rows_{c}").over(above), F.lit(0)).alias(f"ahead_{c}") for c in of],
+        *[F.sum(f"rows_{c}").over(key).alias(f"n_{c}") for c in of],
     )
     return ordered.join(broadcast_if_small(offsets, MAX_OFFSETS_BROADCAST), ["part", *keys]).select(
-        *keys, value, "cnt", (F.col("ahead") + F.col("upto") - F.col("cnt")).alias("before"), "n"
+        *counts.columns,
+        *[(F.col(f"ahead_{c}") + F.col(f"upto_{c}") - F.col(c)).alias(f"before_{c}") for c in of],
+        *[f"n_{c}" for c in of],
     )
 
 
@@ -162,11 +173,11 @@ def exact_quantiles(
     )
     counts = cut_lineage(cells.groupBy(*keys, "k", "v").agg(F.count(F.lit(1)).alias("cnt")))
     below = counts.where(F.col("v").isNull()).select(*keys, "k", F.col("cnt").alias("below"))
-    inside = _order(counts.where(F.col("v").isNotNull()), [*keys, "k"], "v").drop("n")
+    inside = order_counts(counts.where(F.col("v").isNotNull()), [*keys, "k"], "v")
     located = (
         inside.join(broadcast_if_small(below, MAX_OFFSETS_BROADCAST), [*keys, "k"], "left")
         .join(broadcast_if_small(brackets.select(*keys, "n", *more), MAX_OFFSETS_BROADCAST), keys)
-        .withColumn("start", F.col("before") + F.coalesce("below", F.lit(0)))
+        .withColumn("start", F.col("before_cnt") + F.coalesce("below", F.lit(0)))
     )
     p = F.element_at(F.array(*[F.lit(float(x)) for x in probabilities]), F.col("k") + 1)
     located = located.withColumn("h", (F.col("n") - 1) * p).withColumn("at", F.floor("h"))

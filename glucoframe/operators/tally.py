@@ -40,7 +40,7 @@ def reason_key(strip_values: bool = True) -> Column:
     value its own reason."""
     key = F.concat_ws("; ", "reasons")
     if strip_values:
-        key = F.regexp_replace(key, GOT_VALUE, "")
+        key = F.when(F.contains(key, F.lit(" (got ")), F.regexp_replace(key, GOT_VALUE, "")).otherwise(key)
     return F.when(key == "", NO_REASON).otherwise(key)
 
 

@@ -64,10 +64,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once to the shared folder and re-read from there,
-    so partition numbers and sampled range bounds stay fixed when an executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and read them from there.
+
+    Partition numbers and sampled range bounds that were stored as columns stay fixed when an executor is
+    lost, columns that are not read are skipped, and the size of small tables is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
