@@ -164,37 +164,40 @@ def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
         *[F.sum(F.col(c) * r * r).alias(f"ss_{c}") for c, r in zip(subset, centred, strict=True)],
         *[F.count_if(F.col(c) > 0).alias(f"distinct_{c}") for c in subset],
     ).collect()  # one row per column
-    name_of = [subset[0] if limit == i else f"with_{limit}" for i, limit in sets]
     by_column = {r["s"]: r for r in spread}
-    squares = [(by_column[i][f"ss_{c}"], by_column[i][f"distinct_{c}"]) if i in by_column else (0.0, 0)
-               for (i, _), c in zip(sets, name_of, strict=True)]
-
-    # each column keeps the ranks of its own subsets only, in the order of `sets`
-    wanted = [[subset.index(c) for (i, _), c in zip(sets, name_of, strict=True) if i == column] for column in range(k)]
-    chosen = F.element_at(F.array(*[F.array(*[F.lit(p) for p in w]) for w in wanted]), F.col("s") + 1)
-    every = F.array(*centred)
-    ranks = ordered.select(
-        "s", "value", F.col("own").alias("cnt"), F.transform(chosen, lambda p: F.get(every, p)).alias("ranks")
-    )
+
+    def place(i: int, j: int) -> int:
+        """Which of the subsets gives the ranks of column i for the pair (i, j)."""
+        limit = sets[number[i, j]][1]
+        return 0 if limit == i else 1 + limits.index(limit)
+
+    def square(i: int, j: int) -> tuple[float, int]:
+        """Sum of squares of those ranks, and how many different ones there are."""
+        if i not in by_column:
+            return 0.0, 0
+        c = subset[place(i, j)]
+        return by_column[i][f"ss_{c}"], by_column[i][f"distinct_{c}"]
+
+    ranks = ordered.select("s", "value", F.col("own").alias("cnt"), F.array(*centred).alias("ranks"))
     long = wide.select(key, F.inline(cells)).where("value IS NOT NULL")
     per_row = attach_by_value(long, ranks, ["s"]).groupBy(key).agg(
         F.collect_list(F.struct("s", "ranks")).alias("entries")  # at most one per column
     )
-    first_set = np.array([next((n for n, (i, _) in enumerate(sets) if i == column), 0) for column in range(k)])
-    pairs = [(i, j, number[i, j], number[j, i]) for i in range(k) for j in range(i + 1, k)]
+    size = len(subset)
+    pairs = [
+        (i, j, i * size + place(i, j), j * size + place(j, i)) for i in range(k) for j in range(i + 1, k)
+    ]
     first, second, left, right = np.array(pairs, dtype="int32").reshape(-1, 4).T.copy()
-    width = len(sets)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(left))
         for batch in batches:
             rows = batch.column(0)
             column, row_ranks = rows.flatten().flatten()
-            sizes = row_ranks.value_lengths().to_numpy()
-            row = np.repeat(np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy()), sizes)
-            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            dense = np.zeros((len(rows), width))
-            dense[row, np.repeat(first_set[column.to_numpy()], sizes) + within] = row_ranks.flatten().to_numpy()
+            row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+            dense = np.zeros((len(rows), k, size))
+            dense[row, column.to_numpy()] = row_ranks.flatten().to_numpy().reshape(-1, size)
+            dense = dense.reshape(len(rows), k * size)
             total += (dense.T @ dense)[left, right]
         yield pa.RecordBatch.from_pydict({"i": first, "j": second, "sxy": total})
 
@@ -205,7 +208,7 @@ def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
     known = []
     for i in range(k):
         for j in range(i, k):
-            (sxx, values_i), (syy, values_j) = squares[number[i, j]], squares[number[j, i]]
+            (sxx, values_i), (syy, values_j) = square(i, j), square(j, i)
             usable = counts[i, j] >= MIN_PAIRS and values_i > 1 and values_j > 1
             known.append((i, j, counts[i, j], usable, float(np.sqrt(sxx) * np.sqrt(syy))))
     sizes = wide.sparkSession.createDataFrame(known, "i int, j int, n bigint, usable boolean, scale double")
