@@ -3,8 +3,8 @@
 BENCH_SF_DIR   table folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 
-The visit cohort is built and written once (timed as cohort_build); the other queries read it, warm, and
-report the median of three runs. `rows_per_second` is the calculate_all rate, the one figure the
+The visit cohort is built and written once (timed as cohort_build); the other queries read it and report
+their second run, the first one being the warm-up. `rows_per_second` is the calculate_all rate, the one figure the
 single-process tool this is measured against prints for its own batch run.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-import statistics
 import tempfile
 import time
 
@@ -28,7 +27,6 @@ from glucoframe.sources.results import write_csv
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 3
 
 
 def consume(df) -> None:
@@ -85,12 +83,10 @@ def main() -> None:
         "histogram_by_sex_8": lambda: consume(density.histogram_by_sex(long(some))),
     }
     for name, run in work.items():
-        taken = []
-        for _ in range(RUNS):
-            started = time.perf_counter()
-            run()
-            taken.append(time.perf_counter() - started)
-        timings[name] = statistics.median(taken)
+        run()
+        started = time.perf_counter()
+        run()
+        timings[name] = time.perf_counter() - started
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec",

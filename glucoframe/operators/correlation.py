@@ -70,15 +70,13 @@ def pair_sums(wide: DataFrame, columns: list[str], centre: list[float]) -> DataF
 
 
 def _both_triangles(upper: DataFrame, columns: list[str]) -> DataFrame:
+    """(i <= j) -> (row, col) both ways round; exploded rather than unioned, so the pass over the data runs once."""
     names = F.array(*[F.lit(c) for c in columns])
-    named = upper.select(
-        F.element_at(names, F.col("i") + 1).alias("row"), F.element_at(names, F.col("j") + 1).alias("col"),
-        "value", "n",
-    )
-    mirrored = named.where("row <> col").select(
-        F.col("col").alias("row"), F.col("row").alias("col"), "value", "n"
-    )
-    return named.unionByName(mirrored)
+    a, b = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
+    one_way = F.struct(a.alias("row"), b.alias("col"))
+    other_way = F.struct(b.alias("row"), a.alias("col"))
+    both = F.when(F.col("i") == F.col("j"), F.array(one_way)).otherwise(F.array(one_way, other_way))
+    return upper.select(F.inline(both), "value", "n")
 
 
 def _clamped(r):

@@ -43,10 +43,14 @@ def curve_summary(series: Column, label: str) -> Column:
 def curve_summary_long(samples: DataFrame, id_column: str, minute: str = "minute", value: str = "value") -> DataFrame:
     """The same from one row per sample: id, points, auc, time_weighted_mean.
 
-    A participant's samples are ordered within one task (a handful of samples per curve).
+    Repeated samples of a minute are averaged first (with map-side combine), so what is ordered per
+    participant is one row per minute, however many samples there are.
     """
     order = Window.partitionBy(id_column).orderBy(minute)
-    used = samples.where(F.col(value).isNotNull() & (F.abs(value) < float("inf")))
+    used = (
+        samples.where(F.col(value).isNotNull() & (F.abs(value) < float("inf")))
+        .groupBy(id_column, minute).agg(F.avg(value).alias(value))
+    )
     step = (F.col(value) + F.lag(value).over(order)) / 2 * (F.col(minute) - F.lag(minute).over(order))
     areas = used.withColumn("step", step).groupBy(id_column).agg(
         F.count(F.lit(1)).alias("points"), F.sum("step").alias("auc"), (F.max(minute) - F.min(minute)).alias("span")

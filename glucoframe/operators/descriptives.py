@@ -17,10 +17,13 @@ def adjusted_skewness(value: str = "value") -> Column:
     return F.when((n >= 3) & (F.min(value) < F.max(value)), F.skewness(value) * factor)
 
 
-def describe(long: DataFrame, rows: int | None = None, by: list[str] | None = None) -> DataFrame:
+def describe(
+    long: DataFrame, rows: int | None = None, by: list[str] | None = None, ids: list[str] | None = None
+) -> DataFrame:
     """Per index: n, missing, mean, sd, median, q1, q3, min, max, skewness; undefined statistics are NULL.
 
-    `long` has index_id and value, without missing values; `rows` is the number of participants.
+    `long` has index_id and value, without missing values; `rows` is the number of participants. With `ids`
+    every listed index gets a row, also one without any value (n = 0).
     """
     keys = by or ["index_id"]
     moments = [
@@ -32,6 +35,9 @@ def describe(long: DataFrame, rows: int | None = None, by: list[str] | None = No
         F.count_if(F.col("value") <= 0).alias("non_positive"),
     ]
     stats = exact_quantiles(long, keys, QUARTILES, also=moments)
+    if ids is not None:
+        listed = long.sparkSession.createDataFrame([(i,) for i in ids], "index_id string")
+        stats = listed.join(stats, "index_id", "left").na.fill(0, ["n", "non_positive"])
     missing = F.lit(None).cast("bigint") if rows is None else F.lit(rows) - F.col("n")
     return stats.select(
         *keys, "n", missing.alias("missing"), "mean", "sd", F.col("q1").alias("median"), F.col("q0").alias("q1"),

@@ -204,7 +204,7 @@ REPORT_SQL = with_prepared(
 def describe(src: Source) -> DataFrame:
     values = src.values(INDEX_IDS)
     rows = values.count()
-    return rounded_all(descriptives.describe(to_long(values, INDEX_IDS, []), rows), 3)
+    return rounded_all(descriptives.describe(to_long(values, INDEX_IDS, []), rows, ids=INDEX_IDS), 3)
 
 
 ALL_VALS = long_values_cte(INDEX_IDS)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from glucoframe.operators.calculate import calculate_wide
 from glucoframe.operators.parts import Run, manifest, manifest_frame
 from glucoframe.operators.transforms import index_columns
-from glucoframe.session import cut_lineage
 
 
 def results_table(df: DataFrame, run: Run, keep: list[str] | None = None) -> DataFrame:
@@ -75,7 +74,3 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
     return text.select(*[typed(c) for c in text.columns])
 
-
-def fixed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: for results that several analyses read."""
-    return cut_lineage(df)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glucoframe.functions.normal import qnorm
 from glucoframe.operators import correlation, density, descriptives, ranking, transforms, unit_check
-from glucoframe.operators.curve import curve_summary, series_map
+from glucoframe.operators.curve import curve_summary, curve_summary_long, series_map
 from glucoframe.operators.transforms import Transform
 from glucoframe.settings import UnitChoice
 
@@ -178,6 +178,9 @@ def test_describe(table):
     g1 = (d**3).mean() / (d**2).mean() ** 1.5 * math.sqrt(n * (n - 1)) / (n - 2)
     assert got.skewness == pytest.approx(g1, rel=1e-9) and got.sd == pytest.approx(c.std(ddof=1))
     assert stats["same"].skewness is None and stats["same"].sd == 0
+    none = long_of(df, "a", "c").where("index_id <> 'c'")
+    listed = {r.index_id: r for r in descriptives.describe(none, len(rows), ids=["a", "c"]).collect()}
+    assert listed["c"].n == 0 and listed["c"].missing == len(rows) and listed["c"].median is None
 
 
 def plain_pearson(x, y):
@@ -286,3 +289,7 @@ def test_curves(spark):
     assert got[0].time_weighted_mean == pytest.approx((6.5 * 30 + 7 * 90) / 120)
     assert got[1].auc is None and got[1].reason == "requires at least two glucose time points"
     assert got[2].time_points == [0, 60] and got[2].auc == 360
+    samples = [("a", 0, 4.0), ("a", 0, 6.0), ("a", 60, 7.0), ("a", 90, None), ("b", 0, 1.0)]
+    long = spark.createDataFrame(samples, "id string, minute int, value double")
+    rows = {r.id: r for r in curve_summary_long(long, "id").collect()}
+    assert rows["a"].auc == 360 and rows["a"].points == 2 and rows["b"].auc is None
