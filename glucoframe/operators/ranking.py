@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,25 +66,34 @@ def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] |
         .withColumn("part", F.spark_partition_id())
     )
     schema = T.StructType([*placed.schema.fields, *[T.StructField(f"upto_{c}", T.LongType()) for c in of]])
+    schema_names = schema.names
 
-    def running_count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def running_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, carried = None, None
-        upto = [f"upto_{c}" for c in of]
         for batch in batches:
-            if batch.empty:
+            rows = batch.num_rows
+            if rows == 0:
                 continue
             # rows of a key are together, so a new key starts where any key column changes
-            starts = (batch[keys] != batch[keys].shift()).any(axis=1)
-            group = starts.cumsum()
-            sums = batch[of].groupby(group.to_numpy(), sort=False).cumsum().to_numpy(dtype="int64")
-            if last_key is not None and tuple(batch[k].iloc[0] for k in keys) == last_key:
-                sums[(group == 1).to_numpy()] += carried
-            for position, name in enumerate(upto):
-                batch[name] = sums[:, position]
-            last_key, carried = tuple(batch[k].iloc[-1] for k in keys), sums[-1]
-            yield batch
-
-    ordered = cut_lineage(placed.mapInPandas(running_count, schema))
+            new_key = np.zeros(rows, dtype=bool)
+            new_key[0] = True
+            for k in keys:
+                column = batch.column(k)
+                changed = pc.not_equal(column.slice(1), column.slice(0, rows - 1))
+                new_key[1:] |= changed.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new_key)
+            sizes = np.diff(np.append(starts, rows))
+            sums = np.cumsum(np.column_stack([batch.column(c).to_numpy() for c in of]), axis=0, dtype="int64")
+            ahead = np.zeros((len(starts), len(of)), dtype="int64")
+            ahead[1:] = sums[starts[1:] - 1]
+            sums -= np.repeat(ahead, sizes, axis=0)
+            if last_key is not None and tuple(batch.column(k)[0].as_py() for k in keys) == last_key:
+                sums[: sizes[0]] += carried
+            last_key, carried = tuple(batch.column(k)[rows - 1].as_py() for k in keys), sums[-1].copy()
+            added = [pa.array(sums[:, position]) for position in range(len(of))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema_names)
+
+    ordered = cut_lineage(placed.mapInArrow(running_count, schema))
     totals = ordered.groupBy("part", *keys).agg(*[F.sum(c).alias(f"rows_{c}") for c in of])
     key = Window.partitionBy(*keys)
     above = key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
