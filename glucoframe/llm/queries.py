@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoframe.llm import mixing, packing, quality, simhash
+from glucoframe.llm import html_main, licenses, lz_fingerprint, mixing, packing, quality, resharding, simhash, url_rules, warc
+from glucoframe.llm import sql
+from glucoframe.session import scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,10 +26,47 @@ def vocabulary() -> tuple[str, str]:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_license_digests(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "text_digest", "license", F.concat_ws(",", "notices").alias("notices"))
+
+
 def op2_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))
 
 
+def op3_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return html_main.main_text(table(spark, folder, "pages"))
+
+
+def op4_dictionary_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    written = warc.write_archives(table(spark, folder, "pages"), archives)
+    records = warc.read_archives(spark, archives, written)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+def op5_flow_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    """From six shards by source, of very unequal sizes, to eight even ones."""
+    docs = table(spark, folder, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    old = resharding.store(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)), size, scratch_path(spark, "old-shards"))
+    rows = resharding.reshard(old, resharding.plan(old, shards=NEW_SHARDS), scratch_path(spark, "new-shards"))
+    crc = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
+    return rows.select("row.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(table(spark, folder, "pages"))
+
+
+def op7_lz_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return lz_fingerprint.beside_next(table(spark, folder, "documents"))
+
+
 def op8_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     chosen = mixing.sample(table(spark, folder, "documents"))
     return chosen.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies")
@@ -43,9 +82,15 @@ def op10_segment_popcount(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_digests": op1_license_digests,
     "op2_repetition_coverage": op2_repetition_coverage,
+    "op3_site_templates": op3_site_templates,
+    "op4_dictionary_warc": op4_dictionary_warc,
+    "op5_flow_resharding": op5_flow_resharding,
+    "op6_url_rules": op6_url_rules,
+    "op7_lz_phrases": op7_lz_phrases,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_segment_popcount": op10_segment_popcount,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
