@@ -60,7 +60,7 @@ def _expected(plan: DataFrame) -> DataFrame:
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     onward = down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     full = F.coalesce(F.sum("words").over(before), F.lit(0)) * float(MOST_COPIES)
-    scale = (F.col("target") - full) / F.sum(F.col("odds") * F.col("words")).over(onward)
+    scale = (F.col("target") - full) / F.nullif(F.sum(F.col("odds") * F.col("words")).over(onward), F.lit(0.0))
     scaled = plan.withColumn("scale", scale).withColumn("fits", F.col("scale") * F.col("odds") <= MOST_COPIES)
     best = F.max(F.when(F.col("fits"), F.struct("odds", "scale"))).over(Window.partitionBy("source"))["scale"]
     copies = F.least(F.lit(float(MOST_COPIES)), F.coalesce(best, F.lit(float("inf"))) * F.col("odds"))

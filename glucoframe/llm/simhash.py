@@ -111,18 +111,19 @@ def links(prints: DataFrame, width: int = 2) -> DataFrame:
 
 
 def _classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of a written table (doc_id, fp)."""
+    """(fp, root, component_id) for every distinct fingerprint of a written table (doc_id, fp); a root stands for its component."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     rooted = cut_lineage(roots(links(distinct.select("fp"))))
     named = rooted.join(distinct, rooted.node == distinct.fp).select("fp", "root", "doc_id")
-    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
-    joined = distinct.join(named.withColumnRenamed("fp", "linked"), distinct.fp == F.col("linked"), "left")
+    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select(F.col("fp").alias("linked"), "root", "component_id")
+    joined = distinct.join(named, distinct.fp == F.col("linked"), "left")
     # A component without any id (all null) has no smallest id: component_id stays null.
-    return joined.select("fp", F.when(F.col("linked").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("linked").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) per row: the fingerprint and the smallest id reachable over links of RADIUS bits.
+    """(doc_id, fp, root, component_id) per row: the fingerprint, one of its component that stands for it, and the smallest id reachable over links of RADIUS bits.
 
     Links are transitive. Null and empty texts have fingerprint 0 and link like any other. Repeated ids and rows are
     judged row by row; null ids never become a component's name unless the component has no other (then it is null).
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     chosen = docs.select(F.col(f"`{id_column}`").alias("doc_id"), fingerprint(F.col(f"`{text_column}`")).alias("fp"))
     prints = cut_lineage(chosen)
-    return prints.join(_classes(prints), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_classes(prints), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -148,11 +149,9 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     sure = rows.join(unsure.where("doc_id IS NOT NULL"), "doc_id", "left_anti").where("doc_id IS NOT NULL").join(losers, "doc_id", "left_anti")
     if not unsure.limit(1).count():
         return sure.select("row.*")
-    classes = marked.select("fp", "component_id").distinct()
+    classes = marked.select("fp", "root", "component_id").distinct()
     again = rows.join(unsure.withColumnRenamed("doc_id", "again"), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
     again = again.select("row", "doc_id", "text", fingerprint(F.col("text")).alias("fp")).join(classes, "fp")
     again = again.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Components without any id are told apart by their fingerprints.
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = again.groupBy("component_id", alone.alias("fp")).agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    kept = again.groupBy("root").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
     return sure.select("row.*").unionByName(kept.select("row.*"))
