@@ -77,10 +77,10 @@ def main() -> None:
             transforms.transform_results(values, Transform("rint", "sex"), key="visit_id")
         ),
         "pearson_matrix_all": lambda: consume(correlation.pearson_matrix(values, INDEX_IDS)),
-        "spearman_matrix_8": lambda: consume(correlation.spearman_matrix(values, some, "visit_id")),
-        "spearman_matrix_all": lambda: consume(correlation.spearman_matrix(values, INDEX_IDS, "visit_id")),
+        "spearman_matrix_8": lambda: consume(correlation.spearman_matrix(values, some)),
+        "spearman_matrix_all": lambda: consume(correlation.spearman_matrix(values, INDEX_IDS)),
         "density_by_sex_8": lambda: consume(density.group_densities(long(some))),
-        "histogram_by_sex_8": lambda: consume(density.histogram_by_sex(long(some))),
+        "histogram_by_sex_8": lambda: consume(density.histogram_by_sex(long(some), least=10, most=60)),
     }
     for name, run in work.items():
         run()

@@ -23,6 +23,7 @@ from glucoframe.operators.ranking import (
     ordered_counts,
 )
 from glucoframe.operators.transforms import Transform, transform_results
+from glucoframe.session import cut_lineage
 
 MIN_PAIRS = 3
 SUMS_SCHEMA = (
@@ -31,8 +32,13 @@ SUMS_SCHEMA = (
 )
 
 
+def is_finite(column: str) -> Column:
+    """Neither missing nor NaN nor infinite."""
+    return F.coalesce(F.abs(F.col(column).cast("double")) < float("inf"), F.lit(False))
+
+
 def pair_sums(wide: DataFrame, columns: list[str], centre: list[float]) -> DataFrame:
-    """Per pair i <= j: sums over the rows where both are present, of values shifted by `centre`."""
+    """Per pair i <= j: sums over the rows where both are finite, of values shifted by `centre`."""
     k = len(columns)
     upper_i, upper_j = np.triu_indices(k)
     shift = np.asarray(centre)
@@ -43,7 +49,7 @@ def pair_sums(wide: DataFrame, columns: list[str], centre: list[float]) -> DataF
         low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for batch in batches:
             x = batch.to_numpy(dtype=float, na_value=np.nan) - shift
-            present = ~np.isnan(x)
+            present = np.isfinite(x)
             m, x0 = present.astype(float), np.where(present, x, 0.0)
             n += m.T @ m
             s += x0.T @ m  # s[i, j]: sum of i where j is present too
@@ -84,8 +90,11 @@ def _clamped(r):
 
 
 def pearson_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """Long matrix (row, col, value, n): NULL below 3 complete pairs or when either side is constant on them."""
-    means = wide.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).head()
+    """Long matrix (row, col, value, n): NULL below 3 complete pairs or when either side is constant on them.
+
+    Missing, NaN and infinite values do not count.
+    """
+    means = wide.agg(*[F.avg(F.when(is_finite(c), F.col(c))).alias(c) for c in columns]).head()
     centre = [means[c] or 0.0 for c in columns]
     sums = pair_sums(wide, columns, centre)
     n = F.col("n")
@@ -99,10 +108,21 @@ def pearson_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pair_counts(wide: DataFrame, columns: list[str]) -> dict[tuple[int, int], int]:
-    """Rows where both columns of a pair are present; k x k numbers on the driver."""
-    sums = pair_sums(wide, columns, [0.0] * len(columns)).select("i", "j", "n").collect()
+    """Rows where both columns of a pair are finite; k x k numbers on the driver."""
+    k = len(columns)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((k, k))
+        for batch in batches:
+            present = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float32")
+            n += present.T @ present  # exact below 2^24 rows, far more than a batch has
+        i, j = np.indices((k, k)).reshape(2, -1).astype("int32")
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "n": n.reshape(-1).astype("int64")})
+
+    flags = wide.select(*[is_finite(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = flags.mapInArrow(together, "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     found = {(r.i, r.j): r.n for r in sums}
-    return {(i, j): found.get((min(i, j), max(i, j)), 0) for i in range(len(columns)) for j in range(len(columns))}
+    return {(i, j): found.get((i, j), 0) for i in range(k) for j in range(k)}
 
 
 def rank_sets(n: dict[tuple[int, int], int], k: int) -> tuple[dict[tuple[int, int], int], list[tuple[int, int]]]:
@@ -130,21 +150,22 @@ def rank_sets(n: dict[tuple[int, int], int], k: int) -> tuple[dict[tuple[int, in
     return number, sets
 
 
-def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
+def spearman_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Long matrix (row, col, value, n): Pearson on average ranks over the complete pairs.
 
-    `key` must be unique per row. Each column is ordered once: its distinct values carry one count per
+    Rows are told apart by a number of their own, so participant ids may repeat or be missing. Each column is ordered once: its distinct values carry one count per
     pattern of missing rows, and running sums of those counts give the ranks over every subset of rows that
     some pair needs. Only the column values (never the pairs) are joined back to the rows.
     """
-    k = len(columns)
+    k, key = len(columns), "_row"
+    wide = cut_lineage(wide.select(F.monotonically_increasing_id().alias(key), *columns))
     counts = pair_counts(wide, columns)
     number, sets = rank_sets(counts, k)
     limits = sorted({limit for i, limit in sets if limit != i})
     subset = ["own"] + [f"with_{g}" for g in limits]  # names of the count columns
 
     def present(i: int) -> Column:
-        return F.col(columns[i]).isNotNull() & ~F.isnan(columns[i])
+        return is_finite(columns[i])
 
     cells = F.array(*[
         F.struct(F.lit(i).alias("s"), F.when(present(i), F.col(c) + 0.0).alias("value")) for i, c in enumerate(columns)
@@ -188,15 +209,17 @@ def spearman_matrix(wide: DataFrame, columns: list[str], key: str) -> DataFrame:
     first, second, left, right = np.array(pairs, dtype="int32").reshape(-1, 4).T.copy()
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per pair the sum of products of the two ranks it uses; one contiguous line of ranks per column and subset."""
         total = np.zeros(len(left))
         for batch in batches:
             rows = batch.column(0)
             column, row_ranks = rows.flatten().flatten()
             row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
-            dense = np.zeros((len(rows), k, size))
-            dense[row, column.to_numpy()] = row_ranks.flatten().to_numpy().reshape(-1, size)
-            dense = dense.reshape(len(rows), k * size)
-            total += (dense.T @ dense)[left, right]
+            dense = np.zeros((k, size, len(rows)))
+            dense[column.to_numpy(), :, row] = row_ranks.flatten().to_numpy().reshape(-1, size)
+            lines = dense.reshape(k * size, len(rows))
+            for p, (a, b) in enumerate(zip(left, right, strict=True)):
+                total[p] += lines[a] @ lines[b]
         yield pa.RecordBatch.from_pydict({"i": first, "j": second, "sxy": total})
 
     crossed = (
@@ -230,10 +253,10 @@ def correlation_matrix(
     same_ranks = method == "spearman" and transform.within is None and transform.kind in ("z", "rint")
     if transform.kind != "none" and not same_ranks:
         changed = transform_results(wide, transform, key=key, columns=columns, keep_only=True)
-        wide = changed.select(key, *[F.col(c + transform.suffix).alias(c) for c in columns])
+        wide = changed.select(*[F.col(c + transform.suffix).alias(c) for c in columns])
     if method == "pearson":
         return pearson_matrix(wide, columns)
-    return spearman_matrix(wide, columns, key)
+    return spearman_matrix(wide, columns)
 
 
 def pearson(wide: DataFrame, x: str, y: str) -> DataFrame:
@@ -288,12 +311,14 @@ def matrix_table(matrix: DataFrame, columns: list[str], what: str = "value") ->
     return matrix.groupBy(F.col("row").alias("index")).pivot("col", columns).agg(F.first(what))
 
 
-def scatter_sample(wide: DataFrame, x: str, y: str, key: str, at_most: int = 20_000) -> DataFrame:
-    """Complete pairs in key order; above `at_most`, pair floor(k * total / at_most) for k = 0, 1, ..."""
+def scatter_sample(wide: DataFrame, x: str, y: str, key: str, at_most: int | None) -> DataFrame:
+    """(key, x, y, total): complete pairs in key order; above `at_most` of them (None: no bound), pair
+    floor(k * total / at_most) for k = 0, 1, ... `total` is the number of all complete pairs."""
     numbered = add_row_numbers(complete_pairs(wide, x, y, key), [key], "row")
     total = numbered.count()
-    if total <= at_most:
-        return numbered.select(key, "x", "y")
-    # row p (0-based) is drawn when it is floor(k * total / at_most) for the first k with k * total >= p * at_most
-    k = f"(((row - 1) * {at_most} + {total} - 1) div {total})"
-    return numbered.where(f"{k} < {at_most} AND {k} * {total} div {at_most} = row - 1").select(key, "x", "y")
+    shown = numbered
+    if at_most is not None and total > at_most:
+        # row p (0-based) is drawn when it is floor(k * total / at_most) for the first k with k * total >= p * at_most
+        k = f"(((row - 1) * {at_most} + {total} - 1) div {total})"
+        shown = numbered.where(f"{k} < {at_most} AND {k} * {total} div {at_most} = row - 1")
+    return shown.select(key, "x", "y", F.lit(total).cast("bigint").alias("total"))

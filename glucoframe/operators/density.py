@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,15 @@ from glucoframe.session import broadcast_if_small, cut_lineage
 # Grid and binning of the density estimate.
 GRID_POINTS = 256
 GRID_MARGIN_BANDWIDTHS = 3
-EXACT_MAX_VALUES = 20_000
-MIN_BINS, MAX_BINS, BINS_PER_BANDWIDTH = 2048, 65536, 32
-KERNEL_REACH_BANDWIDTHS = 9
-MIN_HISTOGRAM_BINS, MAX_HISTOGRAM_BINS = 10, 60
+MIN_BINS, BINS_PER_BANDWIDTH = 2048, 32
+# Beyond this many bandwidths a kernel is 0 as a double, so leaving out farther points changes nothing.
+KERNEL_REACH_BANDWIDTHS = 39
+# Kernel centres a task holds back, and those it multiplies out at once.
+BUFFERED, PIECE = 1 << 18, 1 << 11
+# The usual least and greatest number of histogram bars.
+USUAL_BINS = (10, 60)
 MAX_GROUPS_BROADCAST = 100_000
 
-DENSITY_SCHEMA = "n bigint, bandwidth double, x double, density double"
-
 
 def with_pooled(long: DataFrame, sex: str = "sex") -> DataFrame:
     """Every value under group 'all', and again under its sex when that is male or female."""
@@ -56,64 +59,97 @@ def bandwidths(long: DataFrame, keys: list[str]) -> DataFrame:
     return group_stats(long, keys).withColumn("bandwidth", nrd0_bandwidth())
 
 
-def _bin_count() -> Column:
+def _grid_point() -> Column:
+    """The x of each `point` (0 to 255) of a key, three bandwidths beyond its lowest and highest value."""
+    margin = F.col("bandwidth") * GRID_MARGIN_BANDWIDTHS
+    first, last = F.col("low") - margin, F.col("high") + margin
+    return first + F.col("point") * (last - first) / (GRID_POINTS - 1)
+
+
+def _add_kernels(centre: np.ndarray, weight: np.ndarray, low: float, high: float, bw: float, total: np.ndarray) -> None:
+    """Add the kernels of sorted centres to the grid sums they reach, a few thousand centres at a time."""
+    margin = GRID_MARGIN_BANDWIDTHS * bw
+    grid = np.linspace(low - margin, high + margin, GRID_POINTS)
+    reach = KERNEL_REACH_BANDWIDTHS * bw
+    for at in range(0, len(centre), PIECE):
+        c, w = centre[at : at + PIECE], weight[at : at + PIECE]
+        a, b = np.searchsorted(grid, [c[0] - reach, c[-1] + reach])
+        if a < b:
+            u = (grid[a:b, None] - c) / bw
+            total[a:b] += np.exp(-0.5 * u * u) @ w
+
+
+def _kernel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (number of the key, centre, weight, low, high, bandwidth) -> 256 sums for each key a task meets.
+
+    Centres wait until there are BUFFERED of them, so that a task's memory does not depend on its rows.
+    """
+    totals: dict[int, np.ndarray] = {}
+    waiting: list[pa.RecordBatch] = []
+
+    def settle() -> None:
+        columns = [np.concatenate([b.column(k).to_numpy() for b in waiting]) for k in range(6)]
+        order = np.lexsort((columns[1], columns[0]))
+        number, centre, weight, low, high, bw = (c[order] for c in columns)
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        for a, b in zip(starts, np.append(starts[1:], len(number)), strict=True):
+            total = totals.setdefault(int(number[a]), np.zeros(GRID_POINTS))
+            _add_kernels(centre[a:b], weight[a:b], low[a], high[a], bw[a], total)
+        waiting.clear()
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= BUFFERED:
+            settle()
+    if waiting:
+        settle()
+    for number, total in totals.items():
+        yield pa.RecordBatch.from_pydict({
+            "number": pa.array([number] * GRID_POINTS, pa.int64()), "point": pa.array(range(GRID_POINTS), pa.int32()), "total": total,
+        })
+
+
+def _binned(placed: DataFrame) -> DataFrame:
+    """Each value split between its two neighbouring of evenly spaced bins; only bins that hold something exist."""
     wanted = F.ceil((F.col("high") - F.col("low")) * BINS_PER_BANDWIDTH / F.col("bandwidth"))
-    return F.least(F.lit(MAX_BINS), F.greatest(F.lit(MIN_BINS), wanted)).cast("int")
+    bins = F.greatest(F.lit(MIN_BINS), wanted).cast("double")
+    step = (F.col("high") - F.col("low")) / (bins - 1)
+    at = F.try_divide(F.col("centre") - F.col("low"), step)
+    left = F.least(bins - 2, F.floor(at))
+    share = F.coalesce(at - left, F.lit(0.0))  # a key with a single value has no step
+    split = placed.withColumn("left", F.coalesce(left, F.lit(0.0))).withColumn("share", share).withColumn("step", F.coalesce(step, F.lit(0.0)))
+    ends = F.array(
+        F.struct(F.col("left").alias("bin"), (1 - F.col("share")).alias("part")), F.struct((F.col("left") + 1).alias("bin"), F.col("share").alias("part"))
+    )
+    key = ["number", "low", "high", "bandwidth", "step"]
+    summed = split.select(*key, F.inline(ends)).groupBy(*key, "bin").agg(F.sum("part").alias("weight"))
+    return summed.select("number", (F.col("low") + F.col("bin") * F.col("step")).alias("centre"), "weight", "low", "high", "bandwidth")
 
 
-def density(long: DataFrame, keys: list[str], exact_max: int = EXACT_MAX_VALUES) -> DataFrame:
+def density(long: DataFrame, keys: list[str], method: str = "exact") -> DataFrame:
     """(keys, n, bandwidth, x, density) on 256 points per key.
 
-    Up to `exact_max` values every value is a kernel centre; above, values are split between the two
-    neighbouring of at most 65,536 even bins (relative error below 1e-3). Either way a key's kernel sum
-    runs over a bounded list of weighted centres, however many rows it has.
+    Every task adds the kernels of its own rows to the 256 sums of their key and only those sums are shuffled, so a
+    key with all the rows is spread over all tasks. `exact` takes every value as a kernel centre. `binned` first sums
+    the values into evenly spaced bins (32 per bandwidth, 2,048 at least, as many as the range needs; relative
+    difference below 1e-3 on the grid). Which one runs never depends on the number of values.
     """
-    stats = bandwidths(long, keys).where(F.col("bandwidth") > 0)
-    bins = F.when(F.col("n") > exact_max, _bin_count())
-    stats = stats.select(*keys, "n", "low", "high", "bandwidth", bins.alias("bins"))
-    placed = long.join(broadcast_if_small(cut_lineage(stats), MAX_GROUPS_BROADCAST), keys)
-    step = (F.col("high") - F.col("low")) / (F.col("bins") - 1)
-    at = F.try_divide(F.col("value") - F.col("low"), step)
-    left = F.least(F.col("bins") - 2, F.floor(at))
-    share = at - left
-    centres = F.when(
-        F.col("bins").isNotNull(),
-        F.array(
-            F.struct((F.col("low") + left * step).alias("centre"), (1 - share).alias("weight")),
-            F.struct((F.col("low") + (left + 1) * step).alias("centre"), share.alias("weight")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("value").alias("centre"), F.lit(1.0).alias("weight"))))
-    carried = ["n", "low", "high", "bandwidth", "bins"]
-    weighted = (
-        placed.select(*keys, *carried, F.inline(centres))
-        .groupBy(*keys, *carried, "centre")
-        .agg(F.sum("weight").alias("weight"))
+    if method not in ("exact", "binned"):
+        raise ValueError(f"method {method!r} is not valid (use exact or binned)")
+    stats = bandwidths(long, keys).where(F.col("bandwidth") > 0).select(*keys, "n", "low", "high", "bandwidth")
+    stats = cut_lineage(stats.withColumn("number", F.monotonically_increasing_id()))
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    known = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], "number", "low", "high", "bandwidth")
+    placed = long.join(broadcast_if_small(known, MAX_GROUPS_BROADCAST), same).select(
+        "number", (F.col("value") + 0.0).alias("centre"), F.lit(1.0).alias("weight"), "low", "high", "bandwidth"
+    )
+    centres = placed if method == "exact" else _binned(placed)
+    sums = centres.mapInArrow(_kernel_sums, "number long, point int, total double").groupBy("number", "point").agg(F.sum("total").alias("total"))
+    scale = F.sqrt(F.lit(2 * np.pi)) * F.col("bandwidth") * F.col("n")
+    return sums.join(broadcast_if_small(stats, MAX_GROUPS_BROADCAST), "number").select(
+        *keys, "n", "bandwidth", _grid_point().alias("x"), (F.col("total") / scale).alias("density")
     )
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.select(*keys).schema)
-
-    def kernel_sum(group: pd.DataFrame) -> pd.DataFrame:
-        head = group.iloc[0]
-        bw, n = float(head["bandwidth"]), int(head["n"])
-        grid = np.linspace(
-            head["low"] - GRID_MARGIN_BANDWIDTHS * bw, head["high"] + GRID_MARGIN_BANDWIDTHS * bw, GRID_POINTS
-        )
-        group = group.sort_values("centre")
-        centre, weight = group["centre"].to_numpy(), group["weight"].to_numpy()
-        binned = not pd.isna(head["bins"])
-        total = np.empty(GRID_POINTS)
-        for p, x in enumerate(grid):
-            a, b = 0, len(centre)
-            if binned:
-                reach = KERNEL_REACH_BANDWIDTHS * bw
-                a, b = np.searchsorted(centre, [x - reach, x + reach])
-            u = (x - centre[a:b]) / bw
-            total[p] = np.exp(-0.5 * u * u) @ weight[a:b]
-        out = pd.DataFrame({k: [head[k]] * GRID_POINTS for k in keys})
-        out["n"], out["bandwidth"], out["x"] = n, bw, grid
-        out["density"] = total / (np.sqrt(2 * np.pi) * bw * n)
-        return out
-
-    return weighted.groupBy(*keys).applyInPandas(kernel_sum, f"{key_types}, {DENSITY_SCHEMA}")
 
 
 def group_densities(long: DataFrame, scale: str = "none", sex: str = "sex") -> DataFrame:
@@ -122,29 +158,35 @@ def group_densities(long: DataFrame, scale: str = "none", sex: str = "sex") -> D
     return curves.select("index_id", F.lit(scale).alias("scale"), "group", "n", "bandwidth", "x", "density")
 
 
-def histogram_bins(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: lo, hi, bins, n, median, q1, q3. Freedman-Diaconis, Sturges when the IQR is 0, 10 to 60 bins."""
+def histogram_bins(long: DataFrame, keys: list[str], least: int | None, most: int | None) -> DataFrame:
+    """Per key: lo, hi, bins, wanted, n, median, q1, q3. Freedman-Diaconis, Sturges when the IQR is 0.
+
+    `wanted` is the number of bins by that rule, `bins` the same held between `least` and `most` where they are given.
+    """
     stats = group_stats(long, keys)
     iqr = F.col("q3") - F.col("q1")
     n = F.col("n").cast("double")
     varies = F.col("high") > F.col("low")
     freedman = F.try_divide(F.col("high") - F.col("low"), iqr * 2 * F.pow(n, F.lit(-1.0 / 3.0)))
-    wanted = F.ceil(F.when((iqr > 0) & varies, freedman).otherwise(F.log2(n) + 1))
+    wanted = F.ceil(F.when((iqr > 0) & varies, freedman).otherwise(F.log2(n) + 1)).cast("long")
+    held = wanted if least is None else F.greatest(F.lit(least).cast("long"), wanted)
+    held = held if most is None else F.least(F.lit(most).cast("long"), held)
     return stats.select(
         *keys,
         F.when(varies, F.col("low")).otherwise(F.col("low") - 0.5).alias("lo"),
         F.when(varies, F.col("high")).otherwise(F.col("high") + 0.5).alias("hi"),
-        F.greatest(F.lit(MIN_HISTOGRAM_BINS), F.least(F.lit(MAX_HISTOGRAM_BINS), wanted)).cast("int").alias("bins"),
+        held.cast("int").alias("bins"), wanted.alias("wanted"),
         "n", "median", "q1", "q3",
     )
 
 
-def histogram(long: DataFrame, keys: list[str], split_by: str | None = None) -> DataFrame:
-    """(keys, [split_by], bin, lo, hi, count) with every bin listed; the last bin includes its upper end.
+def histogram(long: DataFrame, keys: list[str], *, least: int | None, most: int | None, split_by: str | None = None) -> DataFrame:
+    """(keys, [split_by], bin, lo, hi, count, wanted) with every bin listed; the last bin includes its upper end.
 
-    With `split_by` the bins come from all values together and are counted per label.
+    The number of bins is that of the rule, `wanted`, held between `least` and `most` (None: no bound). With
+    `split_by` the bins come from all values together and are counted per label.
     """
-    bins = cut_lineage(histogram_bins(long, keys).select(*keys, "lo", "hi", "bins"))
+    bins = cut_lineage(histogram_bins(long, keys, least, most).select(*keys, "lo", "hi", "bins", "wanted"))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     labels = [split_by] if split_by else []
     small = broadcast_if_small(bins, MAX_GROUPS_BROADCAST)  # one row per key
@@ -156,19 +198,20 @@ def histogram(long: DataFrame, keys: list[str], split_by: str | None = None) ->
     )
     listed = bins
     if split_by:
-        listed = listed.join(long.select(*keys, split_by).distinct(), keys)
+        counted = cut_lineage(counted)  # the labels are those that were counted, without another pass
+        listed = listed.join(counted.select(*keys, split_by).distinct(), keys)
     listed = listed.select(
-        *keys, *labels, (F.col("lo")).alias("start"), width.alias("width"),
+        *keys, *labels, (F.col("lo")).alias("start"), width.alias("width"), "wanted",
         F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"),
     )
     return listed.join(counted, [*keys, *labels, "bin"], "left").select(
         *keys, *labels, "bin",
         (F.col("start") + F.col("bin") * F.col("width")).alias("lo"),
         (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
-        F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
+        F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "wanted",
     )
 
 
-def histogram_by_sex(long: DataFrame, sex: str = "sex") -> DataFrame:
+def histogram_by_sex(long: DataFrame, sex: str = "sex", *, least: int | None, most: int | None) -> DataFrame:
     """Bins of the men's and women's values together, counted per sex."""
-    return histogram(long.where(F.col(sex).isin("male", "female")), ["index_id"], split_by=sex)
+    return histogram(long.where(F.col(sex).isin("male", "female")), ["index_id"], least=least, most=most, split_by=sex)

@@ -110,7 +110,8 @@ def transform_results(
 ) -> DataFrame:
     """Results table with `<column><suffix>` directly after each transformed column.
 
-    `key` must be unique per row. keep_only keeps the key and the transformed columns.
+    keep_only keeps the `key` and the transformed columns. The key may repeat or be missing: rows are told apart by
+    a number of their own.
     """
     available = index_columns(results)
     if not available:
@@ -123,7 +124,7 @@ def transform_results(
     if t.kind == "log" or (t.kind == "z"):
         added = _narrow(results, t, columns)
     else:
-        added = _ranked(results, t, key, columns)
+        added = _ranked(results, t, columns)
     names = []
     for c in ([key, *columns] if keep_only else results.columns):
         if not (keep_only and c in columns):
@@ -158,11 +159,11 @@ def _narrow(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
     return joined.select(*results.columns, *scaled)
 
 
-def _ranked(results: DataFrame, t: Transform, key: str, columns: list[str]) -> DataFrame:
-    keep = [key] + ([t.within] if t.within else [])
-    long = transform_long(to_long(results, columns, keep), t)
+def _ranked(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
+    numbered = cut_lineage(results.withColumn("_row", F.monotonically_increasing_id()))
+    long = transform_long(to_long(numbered, columns, ["_row"] + ([t.within] if t.within else [])), t)
     picked = [F.max(F.when(F.col("index_id") == c, F.col("transformed"))).alias(c + t.suffix) for c in columns]
-    return results.join(long.groupBy(key).agg(*picked), key, "left")
+    return numbered.join(long.groupBy("_row").agg(*picked), "_row", "left").drop("_row")
 
 
 def attach_sex(results: DataFrame, source: DataFrame, key: str = "participant_id") -> DataFrame:

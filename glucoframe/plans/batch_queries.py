@@ -29,7 +29,6 @@ from glucoframe.operators.reconcile import (
     ISLET_INSULIN_FACTOR,
     compare_results,
     counterpart_map,
-    counterpart_values,
     verdict_counts,
 )
 from glucoframe.operators.tally import (
@@ -516,54 +515,59 @@ AUC_LONG_SQL = with_prepared(
 )
 
 # ---------- reconciliation ----------
-OTHER_EXPRESSIONS = {
-    "Homa_IR_inv": "-(g0 * (i0 / 6D) / 22.5D)",
-    "Raynaud": "40D / (i0 / 6D)",
-    "Isi_basal": "CASE WHEN visit_id % 10 = 0 THEN 1D ELSE 10000D / (g0 * 18D * (i0 / 6D)) END",
-    "Gutt_index": "(75000D + (g0 - g120) * 18D * 0.19D * weight) / 120D / ((g0 + g120) / 2D) "
-                  "/ log10((i0 / 6D + i120 / 6D) / 2D) / (18D * ln(10D))",
-    "Quicki": "1D / (ln(i0 / 6D) + ln(g0 * 18D))",
-    "LAP_Men_inv": "-((waist - 65D) * tg)",
-    "LAP_Women_inv": "-((waist - 58D) * tg)",
-}
-
-
 def _other_implementation(src: Source) -> tuple[DataFrame, DataFrame]:
-    """A table as another program would have left it: own column names, signs, scales and some wrong cells."""
-    cohort = src.fixed_cohort()
-    usable = "g0 > 0 AND i0 > 0 AND g120 > 0 AND i120 > 0"
-    columns = [f"CASE WHEN {usable} THEN {e} END AS {n}" for n, e in OTHER_EXPRESSIONS.items()]
-    return cohort, cohort.selectExpr("visit_id", "sex", *columns)
+    """Results with statuses, and a table as another program would have left it: all of its own columns, with its signs
+    and scales, half as much again where it is known to differ, and isi_basal wrong on every tenth visit."""
+    results = cut_lineage(calculate_wide(src.cohort(), keep=["visit_id", "sex"], status_columns=True))
+    columns = []
+    for c in EARLIER_COLUMNS:
+        value = F.col(c.index_id) / c.scale if c.scale else F.col(c.index_id) * (1.5 if c.relation == "different" else 1.0)
+        value = -value if c.relation == "negated" else value
+        if c.index_id == "isi_basal":
+            value = F.when(F.col("visit_id") % 10 == 0, value * 2).otherwise(value)
+        columns += [value.alias(name) for name in (c.column, c.column_male, c.column_female) if name]
+    return results, results.select("visit_id", "sex", *columns)
 
 
 def reconcile(src: Source) -> DataFrame:
-    cohort, other = _other_implementation(src)
-    long = calculate_long(cohort, keep=["visit_id"], deferred=False)
-    compared = compare_results(long, counterpart_values(other, EARLIER_COLUMNS, "visit_id"), "visit_id")
+    results, other = _other_implementation(src)
+    return verdict_counts(compare_results(results, other, EARLIER_COLUMNS, "visit_id"))
+
+
+def reconcile_one_sided(src: Source) -> DataFrame:
+    """Some visits are in one of the two tables only, some in neither."""
+    results, other = _other_implementation(src)
+    compared = compare_results(results.where("visit_id % 11 <> 0"), other.where("visit_id % 7 <> 3"), EARLIER_COLUMNS, "visit_id")
     return verdict_counts(compared)
 
 
-def _verdict(index_id: str, match: str, bad: str | None = None) -> str:
-    there = "(g0 > 0 AND i0 > 0 AND g120 > 0 AND i120 > 0)"
-    if index_id == "lap":
-        there = f"({there} AND sex IS NOT NULL)"
-    wrong = f"WHEN {bad} THEN 'mismatch' " if bad else ""
-    return (
-        f"SELECT '{index_id}' AS index_id, CASE WHEN ({status_sql(index_id)}) <> 'ok' THEN CASE WHEN coalesce({there}, FALSE) "
-        f"THEN 'unavailable_here' ELSE 'unavailable_both' END WHEN NOT coalesce({there}, FALSE) THEN 'missing_there' "
-        f"{wrong}ELSE '{match}' END AS verdict FROM prepared"
+# index, how the other column relates, whether it holds one sex
+_COUNTERPARTS = (
+    [(i, "same", False) for i in (
+        "homa_ir", "raynaud", "isi_basal", "ig_ratio_basal", "isi_120", "ig_ratio_120", "matsuda_3pt", "matsuda_auc_3pt", "stumvoll_mod",
+        "stumvoll_dem", "bigtt_si", "avignon_si0", "avignon_si120", "revised_quicki", "mcauley", "tyg", "tg_hdl", "adipo_ir", "hiri",
+        "avignon_sim", "ifc", "liri", "lipo", "atiri")]
+    + [(i, "differs", False) for i in ("quicki", "firi", "belfiore_basal", "belfiore_isi_gly", "belfiore_isi_ffa")]
+    + [("gutt", "scaled", False), ("vai", "same", True), ("lap", "same", True)]
+)
+
+
+def _reconcile_sql(here: str = "TRUE", there: str = "TRUE") -> str:
+    rows = ", ".join(f"('{i}', '{how}', {one_sex})" for i, how, one_sex in _COUNTERPARTS)
+    return with_prepared(
+        "SELECT index_id, verdict, count(*) AS rows FROM (SELECT c.index_id, "
+        f"CASE WHEN NOT ({here}) AND NOT ({there}) THEN 'absent' WHEN NOT ({here}) THEN 'missing_here' WHEN NOT ({there}) THEN 'missing_there' "
+        "WHEN v.value IS NULL THEN 'unavailable_both' WHEN one_sex AND p.sex IS NULL THEN 'missing_there' WHEN how = 'scaled' THEN 'known_scale' "
+        "WHEN how = 'differs' AND v.value <> 0 THEN 'known_difference' WHEN how = 'differs' THEN 'mismatch' "
+        "WHEN c.index_id = 'isi_basal' AND p.visit_id % 10 = 0 THEN 'mismatch' ELSE 'match' END AS verdict "
+        f"FROM prepared p CROSS JOIN (VALUES {rows}) AS c(index_id, how, one_sex) "
+        "LEFT JOIN vals v ON v.visit_id = p.visit_id AND v.index_id = c.index_id) WHERE verdict <> 'absent' GROUP BY 1, 2",
+        long_values_cte(INDEX_IDS),
     )
 
 
-RECONCILE_SQL = with_prepared(
-    "SELECT index_id, verdict, count(*) AS rows FROM ("
-    + " UNION ALL ".join([
-        _verdict("homa_ir", "match"), _verdict("raynaud", "match"),
-        _verdict("isi_basal", "match", f"visit_id % 10 = 0 AND abs({formula_sql('isi_basal')} - 1) > 1E-9"),
-        _verdict("gutt", "known_scale"), _verdict("quicki", "known_difference"), _verdict("lap", "match"),
-    ])
-    + ") GROUP BY 1, 2"
-)
+RECONCILE_SQL = _reconcile_sql()
+ONE_SIDED_SQL = _reconcile_sql("p.visit_id % 11 <> 0", "p.visit_id % 7 <> 3")
 
 
 def mapping_coverage(src: Source) -> DataFrame:
@@ -604,13 +608,13 @@ def islet(src: Source) -> DataFrame:
         "CASE WHEN g30 > 0 AND i30 > 0 AND i0 > 0 THEN (i30 * 0.1667D - i0 * 0.1667D) / g30 END AS Xinsg30",
         "CASE WHEN gl0 > 0 AND gl120 > 0 THEN gl120 / gl0 END AS Glucagon_suppression_ratio",
     )
-    values = counterpart_values(other, ISLET_COLUMNS, "visit_id")
     results = []
     for name, used in (("islet factor", settings), ("default factor", ConversionSettings())):
-        long = calculate_long(
-            cohort, ids=["homa_beta", "insulinogenic_g30", "glucagon_ratio_120_0"], keep=["visit_id"], settings=used
+        wide = calculate_wide(
+            cohort, ids=["homa_beta", "insulinogenic_g30", "glucagon_ratio_120_0"], keep=["visit_id"], settings=used, status_columns=True
         )
-        results.append(verdict_counts(compare_results(long, values, "visit_id")).withColumn("settings", F.lit(name)))
+        compared = compare_results(wide, other, ISLET_COLUMNS, "visit_id")
+        results.append(verdict_counts(compared).withColumn("settings", F.lit(name)))
     return results[0].unionByName(results[1])
 
 
@@ -666,6 +670,7 @@ QUERIES = {
     "U03_time_points": Query(time_points, _curve_sql("coalesce(times, '') AS time_points")),
     "U04_auc_file_units": Query(auc_file_units, _curve_sql(f"{rounded_sql('auc * 18E0', 4)} AS auc_mg_dl")),
     "R01_compare_results": Query(reconcile, RECONCILE_SQL),
+    "R01_one_sided": Query(reconcile_one_sided, ONE_SIDED_SQL),
     "R02_counterpart_map": Query(mapping_coverage, _mapping_sql()),
     "R03_islet_map": Query(islet, _islet_sql()),
 }

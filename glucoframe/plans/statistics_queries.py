@@ -18,12 +18,24 @@ from glucoframe.plans.index_sql import long_status_cte, long_values_cte, wide_va
 from glucoframe.plans.source import Query, Source, rounded, rounded_sql
 from glucoframe.session import cut_lineage
 
-# a spread of shapes: skewed, with ties, with values <= 0, with different missing rows
-SHOWN = ["homa_ir", "quicki", "matsuda_3pt", "tg_hdl", "lap", "glucagon_auc"]
+SHOWN = list(INDEX_IDS)
 VALS = long_values_cte(SHOWN)
 BY_SEX = Transform("rint", "sex")
 
 
+def graded(values: DataFrame) -> DataFrame:
+    """Wide values on a grid of 1e-8. Two engines' logarithms differ in the last digit, which would make or break ties."""
+    return values.select(*[rounded(c, 8).alias(c) if c in INDEX_IDS else F.col(c) for c in values.columns])
+
+
+def graded_long(src: Source) -> DataFrame:
+    return to_long(graded(src.values(SHOWN)), SHOWN, ["visit_id", "sex"])
+
+
+GRADED = f"graded AS (SELECT visit_id, sex, index_id, {rounded_sql('value', 8)} AS value FROM vals)"
+GRADED_WIDE = "graded_wide AS (SELECT visit_id, sex, " + ", ".join(f"{rounded_sql(i, 8)} AS {i}" for i in SHOWN) + " FROM wide)"
+
+
 def rounded_all(df: DataFrame, decimals: int = 6) -> DataFrame:
     return df.select(*[
         rounded(f.name, decimals).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
@@ -34,7 +46,7 @@ def rounded_all(df: DataFrame, decimals: int = 6) -> DataFrame:
 # ---------- transforms ----------
 
 def ranks(src: Source) -> DataFrame:
-    return transforms.rank_long(src.long_values(SHOWN)).select("visit_id", "index_id", "rank")
+    return transforms.rank_long(graded_long(src)).select("visit_id", "index_id", "rank")
 
 
 _RANK = (
@@ -42,7 +54,7 @@ _RANK = (
 )
 
 
-def _ranked(keys: str, where: str = "TRUE", of: str = "vals") -> str:
+def _ranked(keys: str, where: str = "TRUE", of: str = "graded") -> str:
     return (
         f"ranked AS (SELECT visit_id, sex, index_id, value, {_RANK.format(keys=keys)} AS rank, "
         f"count(*) OVER (PARTITION BY {keys}) AS n FROM {of} WHERE {where})"
@@ -50,7 +62,7 @@ def _ranked(keys: str, where: str = "TRUE", of: str = "vals") -> str:
 
 
 RANK_SQL = with_prepared(
-    "SELECT visit_id, index_id, CAST(rank AS DOUBLE) AS rank FROM ranked", VALS, _ranked("index_id")
+    "SELECT visit_id, index_id, CAST(rank AS DOUBLE) AS rank FROM ranked", VALS, GRADED, _ranked("index_id")
 )
 
 
@@ -76,7 +88,7 @@ Z_SQL = with_prepared(
 
 
 def rint(src: Source) -> DataFrame:
-    long = transforms.transform_long(src.long_values(SHOWN), Transform("rint"))
+    long = transforms.transform_long(graded_long(src), Transform("rint"))
     return long.select("visit_id", "index_id", rounded("transformed").alias("transformed"))
 
 
@@ -107,7 +119,7 @@ def _sql_ratio(numerator, denominator, x: str) -> str:
 _BLOM = "((rank - 375E-3) / (n + 25E-2))"
 RINT_SQL = with_prepared(
     f"SELECT visit_id, index_id, {rounded_sql(qnorm_sql('p'))} AS transformed FROM (SELECT *, {_BLOM} AS p FROM ranked)",
-    VALS, _ranked("index_id"),
+    VALS, GRADED, _ranked("index_id"),
 )
 
 
@@ -126,14 +138,14 @@ QNORM_SQL = with_cohort(
 
 
 def rint_by_sex(src: Source) -> DataFrame:
-    long = transforms.transform_long(src.long_values(SHOWN), BY_SEX)
+    long = transforms.transform_long(graded_long(src), BY_SEX)
     return long.select("visit_id", "sex", "index_id", rounded("transformed").alias("transformed"))
 
 
 RINT_BY_SEX_SQL = with_prepared(
     f"SELECT visit_id, sex, index_id, {rounded_sql(qnorm_sql('p'))} AS transformed "
     f"FROM (SELECT *, {_BLOM} AS p FROM ranked)",
-    VALS, _ranked("index_id, sex", "sex IS NOT NULL"),
+    VALS, GRADED, _ranked("index_id, sex", "sex IS NOT NULL"),
 )
 
 
@@ -156,9 +168,15 @@ Z_LAYOUT_SQL = with_prepared(
 
 def transformed_file(src: Source) -> DataFrame:
     """A results table whose sex labels are looked up in the original one, RINT within sex."""
-    values = src.values(SHOWN)
+    values = graded(src.values(SHOWN))
     attached = transforms.attach_sex(values.drop("sex"), values, key="visit_id")
-    return rounded_all(transforms.transform_results(attached, BY_SEX, key="visit_id", columns=["homa_ir", "lap"]))
+    return rounded_all(transforms.transform_results(attached, BY_SEX, key="visit_id"))
+
+
+def repeated_ids(src: Source) -> DataFrame:
+    """Two visits share each id; RINT over everybody keeps them apart."""
+    values = src.values(["homa_ir", "lap"]).withColumn("visit_id", F.expr("visit_id div 2"))
+    return rounded_all(transforms.transform_results(values, Transform("rint"), key="visit_id"))
 
 
 def _rint_wide(columns: list[str]) -> str:
@@ -166,14 +184,27 @@ def _rint_wide(columns: list[str]) -> str:
 
 
 TRANSFORMED_SQL = with_prepared(
-    "SELECT wide.visit_id, sex, " + ", ".join(f"{rounded_sql(i)} AS {i}" for i in SHOWN)
-    + ", homa_ir_rint_bysex, lap_rint_bysex FROM wide LEFT JOIN added ON wide.visit_id = added.visit_id",
-    VALS, wide_values_cte(SHOWN), _ranked("index_id, sex", "sex IS NOT NULL"),
-    f"added AS (SELECT visit_id, {_rint_wide(['homa_ir', 'lap'])} FROM (SELECT *, {qnorm_sql('p')} AS z FROM "
+    "SELECT w.visit_id, sex, " + ", ".join(f"{rounded_sql(i)} AS {i}, {i}_rint_bysex" for i in SHOWN)
+    + " FROM graded_wide w LEFT JOIN added ON w.visit_id = added.visit_id",
+    VALS, GRADED, wide_values_cte(SHOWN), GRADED_WIDE, _ranked("index_id, sex", "sex IS NOT NULL"),
+    f"added AS (SELECT visit_id, {_rint_wide(SHOWN)} FROM (SELECT *, {qnorm_sql('p')} AS z FROM "
     f"(SELECT *, {_BLOM} AS p FROM ranked)) GROUP BY visit_id)",
 )
 
 
+REPEATED_SQL = with_prepared(
+    "SELECT visit_id // 2 AS visit_id, sex, "
+    + ", ".join(f"{rounded_sql(i)} AS {i}, {rounded_sql(f'CASE WHEN {i} IS NOT NULL THEN {qnorm_sql(p)} END')} AS {i}_rint"
+                for i, p in (("homa_ir", "p1"), ("lap", "p2")))
+    + " FROM (SELECT *, "
+    + ", ".join(
+        f"((rank() OVER (ORDER BY {i} NULLS LAST) + (count(*) OVER (PARTITION BY {i}) - 1) / 2E0 - 375E-3) / (count({i}) OVER () + 25E-2)) AS p{k}"
+        for k, i in ((1, "homa_ir"), (2, "lap")))
+    + " FROM wide)",
+    wide_values_cte(["homa_ir", "lap"]),
+)
+
+
 def keep_only(src: Source) -> DataFrame:
     table = transforms.transform_results(src.values(SHOWN), Transform("log"), key="visit_id", keep_only=True)
     return rounded_all(table)
@@ -394,20 +425,62 @@ PEARSON_SQL = with_prepared(
 )
 
 
+_EVERY_PAIR = (
+    "grid AS (SELECT a.i AS row, b.i AS col FROM (VALUES " + ", ".join(f"('{i}')" for i in SHOWN) + ") AS a(i), (VALUES "
+    + ", ".join(f"('{i}')" for i in SHOWN) + ") AS b(i))"
+)
+
+
+def _pearson_cells(name: str, of: str) -> str:
+    varies = "count(*) >= 3 AND min(a.value) < max(a.value) AND min(b.value) < max(b.value)"
+    return (
+        f"{name} AS (SELECT a.index_id AS row, b.index_id AS col, CASE WHEN {varies} THEN CASE WHEN a.index_id = b.index_id THEN 1E0 "
+        f"ELSE corr(a.value, b.value) END END AS v, count(*) AS n FROM {of} a JOIN {of} b ON a.visit_id = b.visit_id GROUP BY 1, 2)"
+    )
+
+
+_INFINITE_CTES = (_pearson_cells("m", "finite"), _EVERY_PAIR)
+
+
+def pearson_with_infinite(src: Source) -> DataFrame:
+    """Infinite and NaN values in four columns count as missing."""
+    spoilt = src.values(SHOWN).withColumns({
+        c: F.when(F.col("visit_id") % 50 == k, F.lit(float(what))).otherwise(F.col(c))
+        for k, (c, what) in enumerate((("homa_ir", "inf"), ("tg_hdl", "-inf"), ("lap", "nan"), ("tyg", "inf")))
+    })
+    return rounded_all(correlation.pearson_matrix(spoilt, SHOWN))
+
+
+INFINITE_SQL = with_prepared(
+    f"SELECT row, col, {rounded_sql('v')} AS value, coalesce(n, 0) AS n FROM grid LEFT JOIN m USING (row, col)",
+    VALS.replace("vals AS (", "vals AS MATERIALIZED (", 1),
+    "finite AS (SELECT * FROM vals WHERE NOT (index_id = 'homa_ir' AND visit_id % 50 = 0) AND NOT (index_id = 'tg_hdl' AND visit_id % 50 = 1) "
+    "AND NOT (index_id = 'lap' AND visit_id % 50 = 2) AND NOT (index_id = 'tyg' AND visit_id % 50 = 3))",
+    *_INFINITE_CTES,
+)
+
+
 def spearman_matrix(src: Source) -> DataFrame:
-    return rounded_all(correlation.spearman_matrix(src.values(SHOWN), SHOWN, "visit_id"))
+    return rounded_all(correlation.spearman_matrix(graded(src.values(SHOWN)), SHOWN))
 
 
-def _spearman_sql(columns: list[str]) -> str:
-    parts = []
-    for a in columns:
-        for b in columns:
-            value = "1E0" if a == b else "corr(a, b)"
-            parts.append(f"SELECT '{a}' AS row, '{b}' AS col, {rounded_sql(value)} AS value, count(*) AS n FROM {_pair_ranks(a, b)}")
-    return " UNION ALL ".join(parts)
+def _spearman_ctes(of: str) -> tuple[str, ...]:
+    """Every pair once, ranked over the visits that have both; then both ways round and the diagonal."""
+    rank = "rank() OVER (PARTITION BY i, j ORDER BY {c}) + (count(*) OVER (PARTITION BY i, j, {c}) - 1) / 2E0"
+    return (
+        f"pairs AS (SELECT a.index_id AS i, b.index_id AS j, a.value AS x, b.value AS y FROM {of} a JOIN {of} b "
+        "ON a.visit_id = b.visit_id AND a.index_id < b.index_id)",
+        f"ranks AS (SELECT i, j, {rank.format(c='x')} AS x, {rank.format(c='y')} AS y FROM pairs)",
+        "upper AS (SELECT i, j, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS v, count(*) AS n "
+        "FROM ranks GROUP BY 1, 2)",
+        "cells AS (SELECT i AS row, j AS col, v, n FROM upper UNION ALL SELECT j, i, v, n FROM upper UNION ALL "
+        f"SELECT index_id, index_id, CASE WHEN count(*) >= 3 AND min(value) < max(value) THEN 1E0 END, count(*) FROM {of} GROUP BY 1)",
+        _EVERY_PAIR,
+    )
 
 
-SPEARMAN_SQL = with_prepared(_spearman_sql(SHOWN), wide_values_cte(SHOWN))
+_CELLS = f"SELECT row, col, {rounded_sql('v')} AS value, coalesce(n, 0) AS n FROM grid LEFT JOIN cells USING (row, col)"
+SPEARMAN_SQL = with_prepared(_CELLS, VALS, GRADED, *_spearman_ctes("graded"))
 
 
 def members(src: Source) -> DataFrame:
@@ -439,35 +512,24 @@ def comparison(src: Source) -> DataFrame:
 
 
 COMPARISON_SQL = with_prepared(
-    "SELECT a.row, a.col, "
+    "SELECT row, col, "
     f"{rounded_sql('a.v')} AS raw, {rounded_sql('b.v')} AS transformed, {rounded_sql('b.v - a.v')} AS difference, "
-    "a.n AS n_raw, b.n AS n_transformed FROM m1 a JOIN m2 b ON a.row = b.row AND a.col = b.col",
-    wide_values_cte(SHOWN),
-    "logged AS (SELECT visit_id, " + ", ".join(f"CASE WHEN {i} > 0 THEN ln({i}) END AS {i}" for i in SHOWN) + " FROM wide)",
-    *[
-        f"{name} AS (SELECT row, col, CASE WHEN row = col THEN 1E0 ELSE corr(x, y) END AS v, count(*) AS n FROM ("
-        + " UNION ALL ".join(
-            f"SELECT '{a}' AS row, '{b}' AS col, {a} AS x, {b} AS y FROM {of} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
-            for a in SHOWN for b in SHOWN
-        )
-        + ") GROUP BY 1, 2)"
-        for name, of in (("m1", "wide"), ("m2", "logged"))
-    ],
+    "coalesce(a.n, 0) AS n_raw, coalesce(b.n, 0) AS n_transformed FROM grid LEFT JOIN m1 a USING (row, col) LEFT JOIN m2 b USING (row, col)",
+    VALS.replace("vals AS (", "vals AS MATERIALIZED (", 1),
+    "logged AS (SELECT visit_id, index_id, ln(value) AS value FROM vals WHERE value > 0)",
+    _pearson_cells("m1", "vals"), _pearson_cells("m2", "logged"), _EVERY_PAIR,
 )
 
 
 def spearman_by_sex_rint(src: Source) -> DataFrame:
     """Spearman of values that were rank-normalised within sex."""
-    matrix = correlation.correlation_matrix(src.values(SHOWN[:3]), SHOWN[:3], "visit_id", "spearman", BY_SEX)
+    matrix = correlation.correlation_matrix(graded(src.values(SHOWN)), SHOWN, "visit_id", "spearman", BY_SEX)
     return rounded_all(matrix)
 
 
 SPEARMAN_BY_SEX_SQL = with_prepared(
-    _spearman_sql(SHOWN[:3]),
-    long_values_cte(SHOWN[:3]), _ranked("index_id, sex", "sex IS NOT NULL"),
-    "wide AS (SELECT visit_id, "
-    + ", ".join(f"max(CASE WHEN index_id = '{i}' THEN z END) AS {i}" for i in SHOWN[:3])
-    + f" FROM (SELECT *, {_BLOM} AS z FROM ranked) GROUP BY 1)",
+    _CELLS, VALS, GRADED, _ranked("index_id, sex", "sex IS NOT NULL"),
+    f"changed AS (SELECT visit_id, index_id, {_BLOM} AS value FROM ranked)", *_spearman_ctes("changed"),
 )
 
 
@@ -510,8 +572,8 @@ def scatter(src: Source) -> DataFrame:
 
 
 SCATTER_SQL = with_prepared(
-    f"SELECT visit_id, {rounded_sql('homa_ir')} AS x, {rounded_sql('tg_hdl')} AS y FROM both_present "
-    "JOIN (SELECT CASE WHEN n <= 1000 THEN k ELSE k * n // 1000 END AS p FROM (SELECT count(*) AS n FROM both_present), "
+    f"SELECT visit_id, {rounded_sql('homa_ir')} AS x, {rounded_sql('tg_hdl')} AS y, n AS total FROM both_present "
+    "JOIN (SELECT n, CASE WHEN n <= 1000 THEN k ELSE k * n // 1000 END AS p FROM (SELECT count(*) AS n FROM both_present), "
     "(SELECT unnest(range(0, 1000)) AS k)) ON row_no - 1 = p",
     wide_values_cte(SHOWN),
     "both_present AS (SELECT *, row_number() OVER (ORDER BY visit_id) AS row_no FROM wide "
@@ -545,7 +607,7 @@ BANDWIDTH_SQL = with_prepared(
 
 
 def exact_density(src: Source) -> DataFrame:
-    found = density.density(src.long_values(["homa_ir", "lap"]), ["index_id"], exact_max=10**12)
+    found = density.density(src.long_values(INDEX_IDS), ["index_id"])
     return rounded_all(found)
 
 
@@ -557,23 +619,23 @@ EXACT_SQL = with_prepared(
     f"SELECT g.index_id, g.n, {rounded_sql('g.bw')} AS bandwidth, {rounded_sql('x')} AS x, "
     f"{rounded_sql('sum(exp(-5E-1 * ((x - value) / g.bw) * ((x - value) / g.bw))) / (sqrt(2 * pi()) * g.bw * g.n)')} AS density "
     "FROM grid g JOIN vals v ON g.index_id = v.index_id GROUP BY g.index_id, g.n, g.bw, x",
-    long_values_cte(["homa_ir", "lap"]), "grouped AS (SELECT index_id, 'all' AS \"group\", value FROM vals)", STATS, _GRID,
+    ALL_VALS, "grouped AS (SELECT index_id, 'all' AS \"group\", value FROM vals)", STATS, _GRID,
 )
 
 
 def binned_density(src: Source) -> DataFrame:
-    """Every index binned, as for more than 20,000 values."""
-    found = density.density(src.long_values(["homa_ir", "lap"]), ["index_id"], exact_max=0)
+    """Every index, its values summed into bins first."""
+    found = density.density(src.long_values(INDEX_IDS), ["index_id"], method="binned")
     return rounded_all(found)
 
 
 BINNED_SQL = with_prepared(
     f"SELECT g.index_id, g.n, {rounded_sql('g.bw')} AS bandwidth, {rounded_sql('x')} AS x, "
-    f"{rounded_sql('sum(w * exp(-5E-1 * ((x - c) / g.bw) * ((x - c) / g.bw))) / (sqrt(2 * pi()) * g.bw * g.n)')} AS density "
-    "FROM grid g JOIN weights v ON g.index_id = v.index_id AND abs(x - c) <= 9 * g.bw GROUP BY g.index_id, g.n, g.bw, x",
-    long_values_cte(["homa_ir", "lap"]), "grouped AS (SELECT index_id, 'all' AS \"group\", value FROM vals)", STATS, _GRID,
+    f"{rounded_sql('coalesce(sum(w * exp(-5E-1 * ((x - c) / g.bw) * ((x - c) / g.bw))), 0) / (sqrt(2 * pi()) * g.bw * g.n)')} AS density "
+    "FROM grid g LEFT JOIN weights v ON g.index_id = v.index_id AND abs(x - c) <= 9 * g.bw GROUP BY g.index_id, g.n, g.bw, x",
+    ALL_VALS, "grouped AS (SELECT index_id, 'all' AS \"group\", value FROM vals)", STATS, _GRID,
     "binned AS (SELECT *, (hi - lo) / (b - 1) AS step FROM (SELECT index_id, lo, hi, "
-    "least(65536, greatest(2048, ceil(32 * (hi - lo) / bw))) AS b FROM widths))",
+    "greatest(2048, ceil(32 * (hi - lo) / bw)) AS b FROM widths))",
     "placed AS (SELECT v.index_id, lo, step, (value - lo) / step AS p, least(b - 2, floor((value - lo) / step)) AS j "
     "FROM vals v JOIN binned ON v.index_id = binned.index_id)",
     "weights AS (SELECT index_id, lo + j * step AS c, sum(w) AS w FROM (SELECT index_id, lo, step, j, 1 - (p - j) AS w "
@@ -583,7 +645,7 @@ BINNED_SQL = with_prepared(
 
 def densities(src: Source) -> DataFrame:
     """Curves of everybody, men and women."""
-    curves = density.group_densities(src.long_values(["homa_ir", "lap"]))
+    curves = density.group_densities(src.long_values(INDEX_IDS))
     return curves.groupBy("index_id", "scale", "group").agg(
         F.max("n").alias("n"), rounded(F.max("bandwidth")).alias("bandwidth"), F.count("x").alias("points"),
         rounded(F.max("density")).alias("peak"),
@@ -595,18 +657,15 @@ DENSITIES_SQL = with_prepared(
     f"{rounded_sql('max(d)')} AS peak FROM (SELECT g.index_id, g.\"group\", g.n, g.bw, x, "
     "sum(exp(-5E-1 * ((x - value) / g.bw) * ((x - value) / g.bw))) / (sqrt(2 * pi()) * g.bw * g.n) AS d "
     "FROM grid g JOIN grouped v ON g.index_id = v.index_id AND g.\"group\" = v.\"group\" GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 3",
-    long_values_cte(["homa_ir", "lap"]), GROUPED, STATS, _GRID,
+    ALL_VALS, GROUPED, STATS, _GRID,
 )
 
 
 def density_table(src: Source) -> DataFrame:
     """The export layout of a transformed scale."""
-    values = src.values(["homa_ir"])
-    logged = transforms.transform_results(values, Transform("log"), key="visit_id")
-    long = logged.select(F.lit("homa_ir").alias("index_id"), "sex", F.col("homa_ir_log").alias("value")).where(
-        "value IS NOT NULL"
-    )
-    return rounded_all(density.group_densities(cut_lineage(long), "log"))
+    long = transforms.transform_long(src.long_values(INDEX_IDS), Transform("log"))
+    logged = long.where("transformed IS NOT NULL").select("index_id", "sex", F.col("transformed").alias("value"))
+    return rounded_all(density.group_densities(logged, "log"))
 
 
 DENSITY_TABLE_SQL = with_prepared(
@@ -614,13 +673,13 @@ DENSITY_TABLE_SQL = with_prepared(
     f"{rounded_sql('sum(exp(-5E-1 * ((x - value) / g.bw) * ((x - value) / g.bw))) / (sqrt(2 * pi()) * g.bw * g.n)')} AS density "
     "FROM grid g JOIN grouped v ON g.index_id = v.index_id AND g.\"group\" = v.\"group\" "
     "GROUP BY g.index_id, g.\"group\", g.n, g.bw, x",
-    long_values_cte(["homa_ir"], "raw_vals"),
+    long_values_cte(INDEX_IDS, "raw_vals"),
     "vals AS (SELECT visit_id, sex, index_id, ln(value) AS value FROM raw_vals WHERE value > 0)", GROUPED, STATS, _GRID,
 )
 
 
 def histogram(src: Source) -> DataFrame:
-    return rounded_all(density.histogram(src.long_values(SHOWN), ["index_id"]))
+    return rounded_all(density.histogram(src.long_values(INDEX_IDS), ["index_id"], least=10, most=60))
 
 
 def _bins_cte(of: str) -> str:
@@ -628,9 +687,10 @@ def _bins_cte(of: str) -> str:
         f"hstats AS (SELECT index_id, count(*) AS n, min(value) AS lo0, max(value) AS hi0, quantile_cont(value, 25E-2) AS q1, "
         f"quantile_cont(value, 75E-2) AS q3 FROM {of} GROUP BY 1), "
         "bins AS (SELECT index_id, CASE WHEN hi0 > lo0 THEN lo0 ELSE lo0 - 5E-1 END AS lo, "
-        "CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 5E-1 END AS hi, CAST(greatest(10, least(60, ceil(CASE WHEN q3 > q1 AND hi0 > lo0 "
-        "THEN (hi0 - lo0) / (2 * (q3 - q1) * pow(n, -1E0 / 3E0)) ELSE log2(n) + 1 END))) AS INTEGER) AS b FROM hstats), "
-        "listed AS (SELECT index_id, lo, (hi - lo) / b AS w, b, CAST(k AS INTEGER) AS bin FROM bins, "
+        "CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 5E-1 END AS hi, CAST(ceil(CASE WHEN q3 > q1 AND hi0 > lo0 "
+        "THEN (hi0 - lo0) / (2 * (q3 - q1) * pow(n, -1E0 / 3E0)) ELSE log2(n) + 1 END) AS BIGINT) AS wanted, "
+        "CAST(greatest(10, least(60, wanted)) AS INTEGER) AS b FROM hstats), "
+        "listed AS (SELECT index_id, lo, (hi - lo) / b AS w, b, wanted, CAST(k AS INTEGER) AS bin FROM bins, "
         "(SELECT unnest(range(0, 60)) AS k) WHERE k < b)"
     )
 
@@ -638,24 +698,24 @@ def _bins_cte(of: str) -> str:
 _AT = "CAST(least(b - 1, floor((value - lo) / ((hi - lo) / b))) AS INTEGER)"
 HISTOGRAM_SQL = with_prepared(
     f"SELECT l.index_id, l.bin, {rounded_sql('l.lo + l.bin * l.w')} AS lo, {rounded_sql('l.lo + (l.bin + 1) * l.w')} AS hi, "
-    "coalesce(c.k, 0) AS count FROM listed l LEFT JOIN "
+    "coalesce(c.k, 0) AS count, wanted FROM listed l LEFT JOIN "
     f"(SELECT v.index_id, {_AT} AS bin, count(*) AS k FROM vals v JOIN bins ON v.index_id = bins.index_id GROUP BY 1, 2) c "
     "ON l.index_id = c.index_id AND l.bin = c.bin",
-    VALS, _bins_cte("vals"),
+    ALL_VALS, _bins_cte("vals"),
 )
 
 
 def histogram_sex(src: Source) -> DataFrame:
-    return rounded_all(density.histogram_by_sex(src.long_values(SHOWN)))
+    return rounded_all(density.histogram_by_sex(src.long_values(INDEX_IDS), least=10, most=60))
 
 
 HISTOGRAM_SEX_SQL = with_prepared(
     f"SELECT l.index_id, s.sex, l.bin, {rounded_sql('l.lo + l.bin * l.w')} AS lo, "
-    f"{rounded_sql('l.lo + (l.bin + 1) * l.w')} AS hi, coalesce(c.k, 0) AS count FROM listed l "
+    f"{rounded_sql('l.lo + (l.bin + 1) * l.w')} AS hi, coalesce(c.k, 0) AS count, wanted FROM listed l "
     "JOIN (SELECT DISTINCT index_id, sex FROM known) s ON l.index_id = s.index_id LEFT JOIN "
     f"(SELECT v.index_id, sex, {_AT} AS bin, count(*) AS k FROM known v JOIN bins ON v.index_id = bins.index_id GROUP BY 1, 2, 3) c "
     "ON l.index_id = c.index_id AND l.bin = c.bin AND s.sex = c.sex",
-    VALS, "known AS (SELECT * FROM vals WHERE sex IS NOT NULL)", _bins_cte("known"),
+    ALL_VALS, "known AS (SELECT * FROM vals WHERE sex IS NOT NULL)", _bins_cte("known"),
 )
 
 QUERIES = {
@@ -667,6 +727,7 @@ QUERIES = {
     "T06_rint_within_sex": Query(rint_by_sex, RINT_BY_SEX_SQL),
     "T08_layout_z_within_sex": Query(z_by_sex_layout, Z_LAYOUT_SQL),
     "T09_transform_results": Query(transformed_file, TRANSFORMED_SQL),
+    "T09_repeated_ids": Query(repeated_ids, REPEATED_SQL),
     "T10_keep_only": Query(keep_only, KEEP_ONLY_SQL),
     "T11_transform_report": Query(report, REPORT_SQL),
     "D01_describe": Query(describe, DESCRIBE_SQL),
@@ -681,6 +742,7 @@ QUERIES = {
     "C01_pearson_pair": Query(pearson_pair, PEARSON_PAIR_SQL),
     "C02_spearman_pair": Query(spearman_pair, SPEARMAN_PAIR_SQL),
     "C03_pearson_matrix": Query(pearson_matrix, PEARSON_SQL),
+    "C03_with_infinite": Query(pearson_with_infinite, INFINITE_SQL),
     "C04_spearman_matrix": Query(spearman_matrix, SPEARMAN_SQL),
     "C04_spearman_rint_by_sex": Query(spearman_by_sex_rint, SPEARMAN_BY_SEX_SQL),
     "C05_matrix_members": Query(members, _members_sql()),

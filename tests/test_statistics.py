@@ -5,6 +5,7 @@ import random
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def test_correlation_matrices(table):
     df, rows = table
     columns = ["a", "b", "c", "same"]
     pearson = {(r.row, r.col): r for r in correlation.pearson_matrix(df, columns).collect()}
-    spearman = {(r.row, r.col): r for r in correlation.spearman_matrix(df, columns, "k").collect()}
+    spearman = {(r.row, r.col): r for r in correlation.spearman_matrix(df, columns).collect()}
     assert len(pearson) == len(spearman) == 16
     for i, x in enumerate(columns):
         for j, y in enumerate(columns):
@@ -222,16 +223,16 @@ def test_too_few_pairs(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 1.0), (3, None, 3.0)], "k int, a double, b double")
     matrix = {(r.row, r.col): r for r in correlation.pearson_matrix(df, ["a", "b"]).collect()}
     assert matrix["a", "b"].value is None and matrix["a", "b"].n == 2 and matrix["b", "b"].value == 1
-    matrix = {(r.row, r.col): r for r in correlation.spearman_matrix(df, ["a", "b"], "k").collect()}
+    matrix = {(r.row, r.col): r for r in correlation.spearman_matrix(df, ["a", "b"]).collect()}
     assert matrix["a", "b"].value is None and matrix["a", "a"].value is None and matrix["b", "b"].value == 1
 
 
 def test_scatter_sample(spark):
     df = spark.createDataFrame([(k, float(k), None if k % 5 == 0 else 1.0) for k in range(1000)], "k int, a double, b double")
     present = [k for k in range(1000) if k % 5]
-    got = sorted(r.k for r in correlation.scatter_sample(df, "a", "b", "k", 300).collect())
+    got = sorted(r.k for r in correlation.scatter_sample(df, "a", "b", "k", 300).collect() if r.total == len(present))
     assert got == [present[k * len(present) // 300] for k in range(300)]
-    assert correlation.scatter_sample(df, "a", "b", "k").count() == len(present)
+    assert correlation.scatter_sample(df, "a", "b", "k", None).count() == len(present)
 
 
 def test_binned_density_is_close(spark):
@@ -239,7 +240,7 @@ def test_binned_density_is_close(spark):
     values = np.concatenate([rng.normal(0, 1, 3000), rng.normal(6, 0.5, 2000)])
     df = spark.createDataFrame([("x", float(v)) for v in values], "index_id string, value double")
     exact = {r.x: r.density for r in density.density(df, ["index_id"]).collect()}
-    binned = {r.x: r.density for r in density.density(df, ["index_id"], exact_max=0).collect()}
+    binned = {r.x: r.density for r in density.density(df, ["index_id"], method="binned").collect()}
     assert len(exact) == 256 and exact.keys() == binned.keys()
     peak = max(exact.values())
     for x, y in exact.items():
@@ -248,6 +249,34 @@ def test_binned_density_is_close(spark):
     assert density.bandwidths(df, ["index_id"]).head().bandwidth == pytest.approx(bw, rel=1e-9)
 
 
+def test_density_of_a_long_tail_is_exact(spark):
+    """Two million values whose range is many thousand bandwidths: neither bins nor a bound blur the sum."""
+    values = np.random.default_rng(8).lognormal(0, 2, 2_000_000)
+    path_rows = spark.createDataFrame(pd.DataFrame({"value": values})).selectExpr("'x' AS index_id", "value")
+    found = density.density(path_rows.repartition(8), ["index_id"]).orderBy("x").collect()
+    bw = found[0].bandwidth
+    for r in found[:4] + found[100:102] + found[-2:]:
+        u = (r.x - values) / bw
+        exact = np.exp(-0.5 * u * u).sum() / (np.sqrt(2 * np.pi) * bw * len(values))
+        assert r.density == pytest.approx(exact, rel=1e-9, abs=1e-300)
+    tail = density.density(path_rows.repartition(8), ["index_id"], method="binned").orderBy("x").collect()
+    assert tail[0].density == pytest.approx(found[0].density, rel=1e-3)
+
+
+def test_repeated_keys_stay_apart(spark):
+    rows = [("a", 1.0), ("a", 5.0), ("b", 2.0), ("c", 3.0), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "participant_id string, homa_ir double")
+    out = {r.homa_ir: r.homa_ir_rint for r in transforms.transform_results(df, Transform("rint")).collect()}
+    assert out[1.0] == pytest.approx(-out[5.0]) and out[1.0] < out[2.0] < out[3.0] < out[4.0] < out[5.0]
+
+
+def test_infinite_values_are_missing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.5), (3.0, 5.0), (float("inf"), 1.0), (5.0, float("nan")), (4.0, 9.0)], "x double, y double")
+    found = {(r.row, r.col): (r.value, r.n) for r in correlation.pearson_matrix(df, ["x", "y"]).collect()}
+    assert found["x", "x"] == (1.0, 5) and found["x", "y"][1] == 4
+    assert found["x", "y"][0] == pytest.approx(plain_pearson([1, 2, 3, 4], [2, 4.5, 5, 9]))
+
+
 def test_bandwidth_fallbacks(spark):
     rows = [("zero", 0.0)] * 3 + [("same", -2.0)] * 3 + [("iqr", 1.0)] * 9 + [("iqr", 4.0)] + [("one", 1.0)]
     df = spark.createDataFrame(rows, "index_id string, value double")
@@ -259,7 +288,7 @@ def test_bandwidth_fallbacks(spark):
 def test_histograms(spark):
     rows = [("c", 2.0)] * 4 + [("v", float(k)) for k in range(100)]
     df = spark.createDataFrame(rows, "index_id string, value double")
-    found = density.histogram(df, ["index_id"]).collect()
+    found = density.histogram(df, ["index_id"], least=10, most=60).collect()
     constant = [r for r in found if r.index_id == "c"]
     assert len(constant) == 10 and min(r.lo for r in constant) == 1.5
     assert sum(r["count"] for r in constant) == 4
