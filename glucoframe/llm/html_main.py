@@ -267,18 +267,21 @@ def main_text(
     markup is read as far as it goes; an unfinished tag at the end is left out. Further columns are ignored.
     """
     rows = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
-    read = cut_lineage(rows.select("page_id", "url", host_of(F.col("url")).alias("host"), parsed(F.col("html")).alias("p")).withColumn("row", F.monotonically_increasing_id()))
-    repeated = cut_lineage(templates(read, min_pages, min_share)).select(F.col("host").alias("of"), F.col("hash").alias("found"))
-    repeated = broadcast_if_small(repeated, BROADCAST_ROWS)
-    held = read.where(F.size("p.nodes") > 0).select("row", "host", F.explode(F.array_distinct(F.col("p.nodes.hash"))).alias("hash"))
-    hit = held.join(repeated, (F.col("host") == F.col("of")) & (F.col("hash") == F.col("found"))).groupBy(F.col("row").alias("hit")).agg(F.collect_set("hash").alias("gone"))
-    joined = read.join(hit, F.col("row") == F.col("hit"), "left").select("page_id", "url", "p", "gone")
+    read = cut_lineage(rows.select("page_id", "url", host_of(F.col("url")).alias("host"), parsed(F.col("html")).alias("p")))
+    # A template is on min_share of a host's pages, so a host has at most 1 / min_share times as many as a page has subtrees.
+    sites = templates(read, min_pages, min_share).groupBy(F.col("host").alias("of")).agg(F.collect_set("hash").alias("gone"))
+    sites = broadcast_if_small(cut_lineage(sites), BROADCAST_ROWS)
+    joined = read.join(sites, F.col("host") == F.col("of"), "left").select("page_id", "url", "p", "gone")
 
     @F.arrow_udf("struct<text:string,removed:bigint>")
     def without(page: pa.Array, gone: pa.Array) -> pa.Array:
         texts, removed = [], []
         for p, hashes in zip(page, gone):
-            p, hashes = p.as_py(), set(hashes.as_py() or ())
+            if not p.is_valid:
+                texts.append(None)
+                removed.append(0)
+                continue
+            p, hashes = p.as_py(), set(hashes.as_py())
             dead: list[bool] = []
             count = 0
             for node in p["nodes"]:
@@ -289,9 +292,9 @@ def main_text(
             removed.append(count)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["text", "removed"])
 
-    blocks = F.concat_ws("\n", F.col("p.blocks.text"))
-    untouched = joined.where("gone IS NULL").select("page_id", "url", blocks.alias("text"), F.lit(0).cast("long").alias("n_removed"))
-    cleaned = joined.where("gone IS NOT NULL").select("page_id", "url", without("p", "gone").alias("w")).select("page_id", "url", "w.text", F.col("w.removed").alias("n_removed"))
-    return untouched.unionByName(cleaned).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed")
-
-
+    has_template = F.col("gone").isNotNull()
+    cleaned = joined.withColumn("w", without(F.when(has_template, F.col("p")), F.col("gone")))
+    text = F.when(has_template, F.col("w.text")).otherwise(F.concat_ws("\n", F.col("p.blocks.text")))
+    return cleaned.select("page_id", "url", text.alias("text"), F.col("w.removed").alias("n_removed")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed"
+    )
