@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucoframe.functions.units import from_canonical, unit_choice
+from glucoframe.operators.curve import curve_summary
 from glucoframe.plans.cohort_sql import COHORT, with_cohort
 from glucoframe.plans.source import Query, Source, rounded, rounded_sql
 from glucoframe.session import cut_lineage, scratch_path
@@ -106,9 +107,9 @@ def _parsed(src: Source) -> DataFrame:
 
 def read_csv(src: Source) -> DataFrame:
     path = scratch_path(src.spark, "cohort") + ".csv"
-    ordered = text_table(src).repartitionByRange(4, "visit_id").sortWithinPartitions("visit_id")
+    ordered = text_table(src).repartitionByRange("visit_id").sortWithinPartitions("visit_id")
     write_csv(ordered.select(*TEXT_COLUMNS), path)
-    rows = read_cohort(src.spark, path, multi_line=False).rows
+    rows = read_cohort(src.spark, path).rows
     return rows.select("row", "participant_id", "input_problems", rounded("g0").alias("g0"), "sex")
 
 
@@ -159,7 +160,7 @@ PARSE_SQL = _with_text(
 
 
 def parse_sex(src: Source) -> DataFrame:
-    return _parsed(src).groupBy("sex").agg(
+    return parse_table(text_table(src)).rows.groupBy("sex").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.contains("input_problems", F.lit("sex: unrecognised"))).alias("unrecognised"),
     )
@@ -216,17 +217,17 @@ TO_CANONICAL_SQL = with_cohort(
 
 
 def first_problems(src: Source) -> DataFrame:
-    return problem_rows(_parsed(src))
+    return problem_rows(cut_lineage(_parsed(src)), 20)
 
 
 PROBLEMS_SQL = _with_text(
-    "SELECT row_no AS row, pid AS participant_id, problems AS input_problems FROM parsed WHERE problems <> '' "
+    "SELECT row_no AS row, pid AS participant_id, problems AS input_problems, count(*) OVER () AS total FROM parsed WHERE problems <> '' "
     "ORDER BY row_no LIMIT 20"
 )
 
 
 def problem_count(src: Source) -> DataFrame:
-    return _parsed(src).agg(
+    return parse_table(text_table(src)).rows.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("input_problems") != "").alias("with_problems")
     )
 
@@ -254,26 +255,36 @@ BMI_SQL = with_cohort(
 )
 
 
+SAMPLED = (0, 30, 45, 60, 90, 120, 180)
+
+
 def series_from_long(src: Source) -> DataFrame:
-    """Order lines as samples: the line number is the sampling slot, the quantity the glucose reading."""
-    minute = F.element_at(F.array(*[F.lit(t) for t in (0, 30, 60, 90, 120)]), F.col("l_linenumber"))
-    samples = src.table("lineitem").where("l_linenumber <= 5").join(
+    """Order lines as glucose samples: the line number is the place in SAMPLED, two minutes of which no index reads.
+
+    Every sample of the series, the column of minute 120 and the area under all samples.
+    """
+    minute = F.element_at(F.array(*[F.lit(t) for t in SAMPLED]), F.col("l_linenumber"))
+    samples = src.table("lineitem").join(
         src.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(
         F.col("o_custkey").alias("participant"), F.lit("glucose").alias("analyte"), minute.alias("minute"),
-        F.col("l_quantity").alias("value"),
+        F.col("l_quantity").cast("double").alias("value"),
     )
     wide = wide_from_long(samples, "participant")
-    return wide.select("participant", *[rounded(c).alias(c) for c in ("g0", "g30", "g60", "g90", "g120")])
+    summed = wide.withColumn("summary", curve_summary(F.col("g_series"), "glucose"))
+    listed = summed.select("participant", "g120", F.col("summary.auc").alias("auc"), F.explode("g_series").alias("minute", "value"))
+    return listed.select(
+        "participant", F.col("minute").cast("bigint").alias("minute"), rounded("value").alias("value"), rounded("g120").alias("g120"), rounded("auc").alias("auc")
+    )
 
 
 SERIES_SQL = (
-    "SELECT o_custkey AS participant, "
-    + ", ".join(
-        f"{rounded_sql(f'avg(CASE WHEN l_linenumber = {n} THEN l_quantity END)')} AS g{t}"
-        for n, t in enumerate((0, 30, 60, 90, 120), start=1)
-    )
-    + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 5 GROUP BY 1"
+    "WITH averaged AS (SELECT o_custkey AS participant, [0, 30, 45, 60, 90, 120, 180][l_linenumber] AS minute, avg(CAST(l_quantity AS DOUBLE)) AS value "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), "
+    "steps AS (SELECT *, (value + lag(value) OVER w) / 2 * (minute - lag(minute) OVER w) AS step FROM averaged "
+    "WINDOW w AS (PARTITION BY participant ORDER BY minute)), "
+    "sums AS (SELECT *, sum(step) OVER (PARTITION BY participant) AS auc, max(CASE WHEN minute = 120 THEN value END) OVER (PARTITION BY participant) AS g120 FROM steps) "
+    f"SELECT participant, CAST(minute AS BIGINT) AS minute, {rounded_sql('value')} AS value, {rounded_sql('g120')} AS g120, {rounded_sql('auc')} AS auc FROM sums"
 )
 
 
@@ -281,11 +292,11 @@ def lookup(src: Source) -> DataFrame:
     ids = src.cohort().select(
         F.concat(F.lit("P"), F.col("visit_id").cast("string")).alias("participant_id"), F.col("visit_id").alias("row")
     )
-    return find_participants(ids, "p11").select("participant_id")
+    return find_participants(ids, "p11", 100).select("participant_id", "total")
 
 
 LOOKUP_SQL = with_cohort(
-    "SELECT participant_id FROM (SELECT concat('P', CAST(visit_id AS VARCHAR)) AS participant_id, visit_id FROM cohort) "
+    "SELECT participant_id, count(*) OVER () AS total FROM (SELECT concat('P', CAST(visit_id AS VARCHAR)) AS participant_id, visit_id FROM cohort) "
     "WHERE contains(lower(participant_id), 'p11') ORDER BY visit_id LIMIT 100"
 )
 

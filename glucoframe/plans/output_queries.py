@@ -108,7 +108,7 @@ def tables_csv(src: Source) -> DataFrame:
     logged = correlation.correlation_matrix(values, statistics_queries.SHOWN, "visit_id", "pearson", Transform("log"))
     path = scratch_path(src.spark, "comparison") + ".csv"
     write_csv(correlation.compare_matrices(raw, logged), path)
-    curves = density.group_densities(src.long_values(["homa_ir"]))
+    curves = density.group_densities(src.long_values(statistics_queries.SHOWN))
     write_csv(curves, scratch_path(src.spark, "density") + ".csv")
     schema = "row string, col string, raw double, transformed double, difference double, n_raw bigint, n_transformed bigint"
     back = src.spark.read.csv(path, header=True, schema=schema)
@@ -119,7 +119,7 @@ def tables_csv(src: Source) -> DataFrame:
 
 def _arriving(src: Source) -> DataFrame:
     path = scratch_path(src.spark, "arriving")
-    src.cohort().repartition(4).write.parquet(path)
+    src.cohort().write.parquet(path)
     schema = src.spark.read.parquet(path).schema
     return stream_cohort(src.spark, path, schema, files_per_batch=2)
 

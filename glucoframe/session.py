@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 HOTSPOT_METHOD_LIMIT = "8000"
 # Quantile sketches are kept per index and group. Above 128 groups per task Spark would sort the rows instead.
 SKETCH_GROUPS = "4096"
+_scratch: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -59,8 +60,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. What is written there is deleted when the session's JVM ends, or by
+    discard_scratch."""
+    holder = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(holder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    _scratch.append(holder)
+    return f"{holder}/data"
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete everything this process wrote to scratch paths. Results that still read it can't be used afterwards."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

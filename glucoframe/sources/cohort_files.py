@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glucoframe.functions import cells
 from glucoframe.functions.units import to_canonical
 from glucoframe.operators.ranking import add_row_numbers
-from glucoframe.session import broadcast_if_small
+from glucoframe.session import broadcast_if_small, cut_lineage
 from glucoframe.settings import ConversionSettings, UnitChoice
 from glucoframe.sources.columns import SourceColumn, classify_all, conflicts
 
@@ -31,13 +31,16 @@ def detect_delimiter(header: str) -> str:
 
 
 def read_text_table(
-    spark: SparkSession, path: str | list[str], delimiter: str = "auto", multi_line: bool = True
+    spark: SparkSession, path: str | list[str], delimiter: str = "auto", multi_line: bool | None = None
 ) -> DataFrame:
     """Delimited text with a header row, every cell a string, blank rows dropped.
 
-    multi_line=True accepts line breaks inside quotes, at the price of one task per file; pass False for
-    files known to have none, so that large files are split.
+    Line breaks inside quotes need a file to be read by one task (multi_line=True). By default the lines are looked
+    through first, split over all tasks: only where one has an odd number of quotes can a cell go on in the next.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+        multi_line = spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
     if delimiter == "auto":
         first = spark.read.text(path).select("value").head()
         delimiter = detect_delimiter(first[0] if first else "")
@@ -49,25 +52,30 @@ def read_text_table(
     )
 
 
-def number_file_rows(df: DataFrame, name: str = "row") -> DataFrame:
-    """1-based row numbers in file order (file name, position in the file).
+def number_file_rows(df: DataFrame, paths: list[str] | None = None, name: str = "row") -> DataFrame:
+    """1-based row numbers in file order: place in `paths` if several are given, then file name, then position.
 
-    Only one count per file split is collected into a running sum; the rows themselves are not shuffled.
+    The rows are read once and kept in the shared folder with their place in the scan, so the counts and the rows come
+    from the same reading. One count per file split goes into a running sum; the rows are not shuffled.
     """
-    marked = df.select(
+    file = F.input_file_name()
+    listed = F.lit(0)
+    for k, path in reversed(list(enumerate(paths or []))):
+        listed = F.when(F.contains(file, F.lit(path.split(":")[-1].rstrip("/"))), F.lit(k)).otherwise(listed)
+    marked = cut_lineage(df.select(
         "*",
-        F.input_file_name().alias("_file"),
+        file.alias("_file"), listed.alias("_list"),
         F.input_file_block_start().alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
-    )
-    blocks = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
-    running = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_ahead", F.coalesce(F.sum("_rows").over(running), F.lit(0))).drop("_rows")
+    ))
+    blocks = marked.groupBy("_list", "_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    running = Window.orderBy("_list", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_ahead", F.coalesce(F.sum("_rows").over(running), F.lit(0))).drop("_rows", "_list")
     # one row per file split (metadata of the scan)
     return (
         marked.join(broadcast_if_small(offsets, MAX_BLOCKS_BROADCAST), ["_file", "_start"])
         .withColumn(name, F.col("_ahead") + F.col("_at") - F.col("_first") + 1)
-        .drop("_file", "_start", "_at", "_first", "_ahead")
+        .drop("_list", "_file", "_start", "_at", "_first", "_ahead")
     )
 
 
@@ -92,19 +100,19 @@ class Cohort:
 
 
 def read_cohort(
-    spark: SparkSession, path: str | list[str], delimiter: str = "auto", multi_line: bool = True
+    spark: SparkSession, path: str | list[str], delimiter: str = "auto", multi_line: bool | None = None
 ) -> Cohort:
     table = read_text_table(spark, path, delimiter, multi_line)
     if not table.columns:
         raise CohortError(f"{path}: the file is empty (no header row)")
-    return parse_table(number_file_rows(table), row="row")
+    return parse_table(number_file_rows(table, path if isinstance(path, list) else None), row="row")
 
 
 def parse_table(table: DataFrame, row: str | None = None, order_by: list[str] | None = None) -> Cohort:
     """Parse a table of text cells.
 
     `row` names an existing column with 1-based row numbers; otherwise rows are numbered by `order_by`,
-    which is needed only when participant ids have to be generated.
+    which is needed only when participant ids have to be generated. Without either nothing is numbered or sorted.
     """
     columns = classify_all([c for c in table.columns if c != row])
     if conflicts(columns):
@@ -131,7 +139,8 @@ def _parsed(table: DataFrame, columns: list[SourceColumn], id_column: SourceColu
         text = F.col(_q(id_column.name))
         is_blank = F.coalesce(text, F.lit("")) == ""
         participant = F.when(is_blank, generated).otherwise(text) if row else text
-        empty_id = F.when(is_blank, F.concat(F.lit("participant ID is empty; generated "), generated))
+        named = F.concat(F.lit("participant ID is empty; generated "), generated) if row else F.lit("participant ID is empty")
+        empty_id = F.when(is_blank, named)
     for c in columns:
         if c.kind != "variable":
             continue
@@ -170,10 +179,17 @@ def duplicate_ids(df: DataFrame, id_column: str = "participant_id") -> DataFrame
     return df.groupBy(id_column).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def problem_rows(df: DataFrame, limit: int | None = 20) -> DataFrame:
-    """The first rows with input problems (all of them with limit=None)."""
-    found = df.where("input_problems <> ''").select("row", "participant_id", "input_problems")
-    return found if limit is None else found.orderBy("row").limit(limit)
+def problem_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """(row, participant_id, input_problems, total): the first `limit` rows with input problems, all of them with None.
+
+    `total` is the number of rows with problems, shown or not.
+    """
+    return _first_rows(df.where("input_problems <> ''").select("row", "participant_id", "input_problems"), limit, "row")
+
+
+def _first_rows(found: DataFrame, limit: int | None, order_by: str) -> DataFrame:
+    total = F.lit(found.count()).cast("bigint").alias("total")
+    return found.select("*", total) if limit is None else found.orderBy(order_by).limit(limit).select("*", total)
 
 
 def derive_bmi(df: DataFrame, height_cm: str = "height") -> DataFrame:
@@ -185,7 +201,8 @@ def derive_bmi(df: DataFrame, height_cm: str = "height") -> DataFrame:
 
 # Analyte names of the long layout and their column prefixes.
 LONG_PREFIXES = {"glucose": "g", "insulin": "i", "glucagon": "gl", "ffa": "ffa"}
-LONG_MINUTES = {
+# The minutes the indices read.
+INDEX_MINUTES = {
     "glucose": (0, 30, 60, 90, 120), "insulin": (0, 30, 60, 90, 120), "glucagon": (0, 30, 60, 120), "ffa": (0, 60, 120),
 }
 
@@ -193,21 +210,29 @@ LONG_MINUTES = {
 def wide_from_long(
     df: DataFrame, id_column: str, analyte: str = "analyte", minute: str = "minute", value: str = "value"
 ) -> DataFrame:
-    """(id, analyte, minute, value) -> one row per id with the columns the indices read.
+    """(id, analyte, minute, value) -> one row per id: the columns the indices read, and per analyte a map
+    `<prefix>_series` from every minute to its value, as curve_summary takes it.
 
-    Repeated samples are averaged. One aggregation with map-side combine: a participant with very many
-    samples is reduced before the shuffle.
+    Repeated samples are averaged, with map-side combine: a participant with very many samples is reduced to one row
+    per minute before the shuffle. Samples of other analytes are left out; missing values are no samples.
     """
-    slots = [(q, t) for q, minutes in LONG_MINUTES.items() for t in minutes]
+    known = df.where(F.col(analyte).isin(*LONG_PREFIXES) & F.col(minute).isNotNull() & F.col(value).isNotNull())
+    averaged = known.groupBy(id_column, analyte, minute).agg(F.avg(value).alias("_value"))
     picked = [
-        F.avg(F.when((F.col(analyte) == q) & (F.col(minute) == t), F.col(value))).alias(f"{LONG_PREFIXES[q]}{t}")
-        for q, t in slots
+        F.max(F.when((F.col(analyte) == q) & (F.col(minute) == t), F.col("_value"))).alias(f"{LONG_PREFIXES[q]}{t}")
+        for q, minutes in INDEX_MINUTES.items() for t in minutes
+    ]
+    sample = F.struct(F.col(minute).alias("key"), F.col("_value").alias("value"))
+    series = [
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(analyte) == q, sample)))).alias(f"{prefix}_series")
+        for q, prefix in LONG_PREFIXES.items()
     ]
-    return df.groupBy(id_column).agg(*picked)
+    everybody = df.select(id_column).distinct()
+    return everybody.join(averaged.groupBy(id_column).agg(*picked, *series), id_column, "left")
 
 
-def find_participants(df: DataFrame, text: str, limit: int = 100, order_by: str = "row") -> DataFrame:
-    """Case-insensitive search in the ids, in row order."""
+def find_participants(df: DataFrame, text: str, limit: int | None, order_by: str = "row") -> DataFrame:
+    """Case-insensitive search in the ids: the first `limit` rows (None: all) in row order, and `total`, the number of hits."""
     wanted = text.strip().lower()
     hits = df if wanted == "" else df.where(F.contains(F.lower("participant_id"), F.lit(wanted)))
-    return hits.orderBy(order_by).limit(limit)
+    return _first_rows(hits, limit, order_by)

@@ -72,7 +72,8 @@ def test_dirty_file(spark, tmp_path):
     assert rows[5].g0 == 10 and rows[5].i0 == 0.5 and rows[5].sex == "female"
     assert rows[6].input_problems == 'G0: not a number ("1d") | I0: not a number ("Infinity")'
     assert [r.participant_id for r in duplicate_ids(cohort.rows).collect()] == ["B"]
-    assert [r.row for r in problem_rows(cohort.rows).collect()] == [2, 3, 6]
+    assert [r.row for r in problem_rows(cohort.rows, 20).collect()] == [2, 3, 6]
+    assert [(r.row, r.total) for r in problem_rows(cohort.rows, 1).collect()] == [(2, 3)]
 
 
 def test_semicolon_and_generated_ids(spark, tmp_path):
@@ -117,6 +118,32 @@ def test_units():
         parse_unit("glucose", "pmol/L")
 
 
+def test_quoted_line_breaks_are_noticed(spark, tmp_path):
+    """By default files are split, but not where a quoted cell goes on in the next line; files keep the order given."""
+    last = write(tmp_path, "a.csv", 'id,G0,note\np9,9,"one\ntwo, three"\n')
+    first = write(tmp_path, "b.csv", "id,G0,note\np1,1,x\np2,2,y\n")
+    rows = read_cohort(spark, [first, last]).rows.orderBy("row").collect()
+    assert [(r.row, r.participant_id, r.g0) for r in rows] == [(1, "p1", 1.0), (2, "p2", 2.0), (3, "p9", 9.0)]
+    assert read_cohort(spark, first).rows.count() == 2
+
+
+def test_scratch_goes(spark, tmp_path):
+    from pathlib import Path
+
+    from glucoframe import session
+
+    before = set(session._scratch)
+    path = session.scratch_path(spark, "thing")
+    spark.range(5).write.parquet(path)
+    assert session.cut_lineage(spark.range(3)).count() == 3
+    made = [Path(p.removeprefix("file:")) for p in session._scratch if p not in before]
+    assert len(made) == 2 and all(p.exists() for p in made)
+    kept, session._scratch[:] = [p for p in session._scratch if p in before], [p for p in session._scratch if p not in before]
+    session.discard_scratch(spark)
+    session._scratch[:] = kept
+    assert not any(p.exists() for p in made)
+
+
 def test_cell_numbers(spark):
     texts = ["5", " 5.5 ", "5.", ".5", "-1e-3", "+2", "0x10", "1d", "1f", "Infinity", "5,1", "", "NA", "1e999", "5 5"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -132,6 +159,10 @@ def test_bmi(spark):
 def test_long_to_wide(spark):
     rows = [("a", "glucose", 0, 5.0), ("a", "glucose", 0, 6.0), ("a", "insulin", 120, 9.0), ("b", "ffa", 0, 0.4)]
     wide = {r.id: r for r in wide_from_long(spark.createDataFrame(rows, "id string, analyte string, minute int, value double"), "id").collect()}
+    more = spark.createDataFrame([("a", "glucose", 45, 7.0), ("a", "glucose", 180, 8.0), ("c", "other", 0, 1.0), ("d", "ffa", 7, None)], "id string, analyte string, minute int, value double")
+    long = spark.createDataFrame(rows, more.schema).union(more)
+    series = {r.id: r.g_series for r in wide_from_long(long, "id").collect()}
+    assert series == {"a": {0: 5.5, 45: 7.0, 180: 8.0}, "b": {}, "c": None, "d": None}
     assert wide["a"].g0 == 5.5 and wide["a"].i120 == 9 and wide["a"].g30 is None and wide["b"].ffa0 == 0.4
 
 
