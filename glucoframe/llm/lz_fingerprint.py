@@ -21,44 +21,44 @@ class Parse:
     """The dictionary parse of a text: each phrase is the longest known phrase at its place and one more code point.
 
     Every beginning of a phrase is a phrase. So whether a stretch is known falls with its length, and the longest known
-    one is found by steps from the length of the phrase before. `resume` continues the parse with another ending.
+    one is found by steps from the length of the phrase before. `cuts` are the places where phrases begin and end.
     """
 
-    def __init__(self) -> None:
-        self.known: set[str] = set()
-        self.starts: list[int] = []
-        self.stops: list[int] = []
+    def __init__(self, known: set[str] | None = None, cuts: list[int] | None = None) -> None:
+        self.known: set[str] = known or set()
+        self.cuts: list[int] = cuts or [0]
 
-    def run(self, text: str, at: int = 0, until: int | None = None) -> int:
-        """Parse from `at` while phrases end before `until` (default: the end); returns where the next one starts.
+    def run(self, text: str, until: int | None = None) -> None:
+        """Parse on from the last cut while phrases end at `until` or before it (default: the end of the text).
 
         Only with the default does the last phrase, which may be a known one cut off by the end, count.
         """
-        known, starts, stops, size = self.known, self.starts, self.stops, len(text)
-        last, guess = size if until is None else until, 3
+        known, size = self.known, len(text)
+        last, at, n = size if until is None else until, self.cuts[-1], 4
+        add, cut = known.add, self.cuts.append
         while at < last:
-            n = min(guess, size - at)
-            if text[at : at + n] in known:
-                n += 1
-                while at + n <= size and text[at : at + n] in known:
+            phrase = text[at : at + n]
+            if phrase in known:
+                while at + n < size:
                     n += 1
+                    phrase = text[at : at + n]
+                    if phrase not in known:
+                        break
             else:
-                while n > 1 and text[at : at + n - 1] not in known:
+                shorter = text[at : at + n - 1]
+                while shorter and shorter not in known:
+                    phrase = shorter
                     n -= 1
-            stop = at + n
-            if until is not None and stop > until:
-                return at
-            stop = min(stop, size)
-            known.add(text[at:stop])
-            starts.append(at)
-            stops.append(stop)
-            at, guess = stop, n
-        return at
+                    shorter = text[at : at + n - 1]
+            stop = at + n if at + n < size else size
+            if stop > last:
+                return
+            add(phrase)
+            cut(stop)
+            at = stop
 
     def copy(self) -> Parse:
-        other = Parse()
-        other.known, other.starts, other.stops = set(self.known), list(self.starts), list(self.stops)
-        return other
+        return Parse(set(self.known), list(self.cuts))
 
 
 def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,40 +71,49 @@ def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def signature(text: str, starts: list[int], stops: list[int]) -> np.ndarray:
-    """The KEPT smallest distinct 32-bit hashes of the phrases text[start:stop], ascending.
+def signature(text: str, cuts: list[int]) -> np.ndarray:
+    """The KEPT smallest distinct 32-bit hashes of the phrases between the cuts, ascending.
 
     A phrase's hash comes from running sums over the code points: the difference of two sums, shifted back to place 0.
     """
-    if not starts:
+    if len(cuts) < 2:
         return np.empty(0, np.uint32)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     power, inverse = _power(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * power[: len(codes)], out=sums[1:])
-    a, b = np.array(starts), np.array(stops)
+    places = np.array(cuts)
+    a, b = places[:-1], places[1:]
     mixed = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
     hashes = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
     if len(hashes) > 4 * KEPT:  # phrases are distinct but for the last, hashes nearly so
         hashes = np.partition(hashes, 2 * KEPT)[: 2 * KEPT]
-    return np.unique(hashes)[:KEPT]
+    return _distinct(hashes)[:KEPT]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values, each once."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.append(True, values[1:] != values[:-1]))] if len(values) else values
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of phrases that two texts have in common: exact while both have at most KEPT. Empty equals empty."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:KEPT]
-    both = np.intersect1d(a, b, assume_unique=True)
+    merged = np.sort(np.concatenate((a, b)))
+    twice = merged[1:] == merged[:-1]
+    both = merged[1:][twice]
+    union = merged[np.flatnonzero(np.append(True, ~twice))][:KEPT]
     return float(np.searchsorted(both, union[-1], side="right") / len(union))
 
 
 def fingerprint_of(text: str) -> np.ndarray:
     parse = Parse()
     parse.run(text)
-    return signature(text, parse.starts, parse.stops)
+    return signature(text, parse.cuts)
 
 
 def edit_pair(text: str, following: str) -> tuple[np.ndarray, str, np.ndarray]:
@@ -115,11 +124,11 @@ def edit_pair(text: str, following: str) -> tuple[np.ndarray, str, np.ndarray]:
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
     parse = Parse()
-    at = parse.run(text, 0, len(text) - half)
+    parse.run(text, len(text) - half)
     other = parse.copy()
-    parse.run(text, at)
-    other.run(edited, at)
-    return signature(text, parse.starts, parse.stops), edited, signature(edited, other.starts, other.stops)
+    parse.run(text)
+    other.run(edited)
+    return signature(text, parse.cuts), edited, signature(edited, other.cuts)
 
 
 def as_hex(hashes: np.ndarray) -> str:

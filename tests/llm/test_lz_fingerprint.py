@@ -25,7 +25,7 @@ def phrases(text: str) -> set[str]:
 def test_parse_and_shared_beginning(text, following):
     parse = lz.Parse()
     parse.run(text)
-    assert {text[a:b] for a, b in zip(parse.starts, parse.stops)} == phrases(text)
+    assert {text[a:b] for a, b in zip(parse.cuts, parse.cuts[1:])} == phrases(text)
     own, edited, other = lz.edit_pair(text, following)
     half = len(text) // 2
     assert edited == text[: len(text) - half] + following[:half]
