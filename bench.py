@@ -68,7 +68,7 @@ def main() -> None:
             tally.status_counts(tally.status_long(calculate_wide(src.cohort(), keep=[], status_columns=True)))
         ),
         "top_reasons": lambda: consume(
-            tally.top_reasons(tally.reason_counts(calculate_long(src.cohort(), keep=["visit_id"], deferred=False)))
+            tally.top_reasons(tally.reason_counts(src.cohort()))
         ),
         "index_means_by_sex": lambda: consume(flagship(src)),
         "describe_all": lambda: consume(descriptives.describe(long(INDEX_IDS), rows)),

@@ -81,13 +81,15 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _evaluated(df: DataFrame, ids: list[str], run: RunContext, keep: list[str]) -> DataFrame:
+def evaluated(df: DataFrame, ids: list[str], run: RunContext, keep: list[str]) -> DataFrame:
+    """The kept columns, input states s_*, and per index state_* and raw_*."""
     states = [f"{index(i).state(run)} AS state_{i}" for i in ids]
     values = [f"CASE WHEN state_{i} = {VALID} THEN {index(i).value_sql(run)} END AS raw_{i}" for i in ids]
     return _prepare(df, ids, run, keep).selectExpr("*", *states).selectExpr("*", *values)
 
 
-def _status(id_: str) -> str:
+def status_of(id_: str) -> str:
+    """SQL for ok, unavailable or error over the columns of evaluated."""
     return (
         f"CASE WHEN state_{id_} IN ({MISSING}, {UNDEFINED}) THEN 'unavailable' "
         f"WHEN state_{id_} = {VALID} AND {is_finite(f'raw_{id_}')} THEN 'ok' ELSE 'error' END"
@@ -125,11 +127,11 @@ def calculate_wide(
     check_orientation(orientation)
     ids = _checked(ids)
     keep = ["participant_id"] if keep is None else keep
-    evaluated = _evaluated(df, ids, RunContext(settings, means, weight), keep)
+    rows = evaluated(df, ids, RunContext(settings, means, weight), keep)
     names = {i: column_name(i, orientation) for i in ids}
     values = [f"{_value(i, orientation)} AS {names[i]}" for i in ids]
-    statuses = [f"{_status(i)} AS {names[i]}_status" for i in ids] if status_columns else []
-    return evaluated.selectExpr(*map(_quoted, keep), *values, *statuses)
+    statuses = [f"{status_of(i)} AS {names[i]}_status" for i in ids] if status_columns else []
+    return rows.selectExpr(*map(_quoted, keep), *values, *statuses)
 
 
 def calculate_long(
@@ -168,7 +170,7 @@ def calculate_long(
     }
     look_up = {name: f"{_text_array(texts)}[_method - 1] AS {name}" for name, texts in facts.items()}
     return (
-        _evaluated(df, ids, run, keep)
+        evaluated(df, ids, run, keep)
         .selectExpr(*map(_quoted, keep), f"inline(array({', '.join(cells)}))")
         .selectExpr(
             *map(_quoted, keep), look_up["method_id"], look_up["name"], look_up["category"], "value", "status",
@@ -191,7 +193,7 @@ def _long_cell(number: int, m: Index | Deferred, run: RunContext, orientation: s
         }
         entries = {}
     else:
-        status = _status(m.id)
+        status = status_of(m.id)
         warnings = m.warnings(run)
         if VERIFICATION.get(m.id) in PROVISIONAL_LEVELS:
             warnings = f"concat({warnings}, array({sql_text(f'Source verification ({VERIFICATION[m.id]})')}))"

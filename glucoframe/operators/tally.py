@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glucoframe.operators.calculate import evaluated, status_of
 from glucoframe.operators.catalog import GROUPS, INDEX_IDS, column_name, index
-from glucoframe.operators.index_model import sql_text
+from glucoframe.operators.index_model import INPUTS, RunContext, sql_text
+from glucoframe.settings import BELFIORE_MEANS, AvignonWeight, BelfioreMeans, ConversionSettings
 
 NO_REASON = "(no reason given)"
 GOT_VALUE = r" \(got [^)]*\)"
@@ -35,28 +39,45 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
     return together.groupBy("method_id").agg(*[F.sum(s).alias(s) for s in ("ok", "unavailable", "error")])
 
 
-def reason_key(strip_values: bool = True) -> Column:
-    """Reasons of a row as one text; by default without the offending number, which would make every bad
-    value its own reason."""
-    key = F.concat_ws("; ", "reasons")
-    if strip_values:
-        key = F.when(F.contains(key, F.lit(" (got ")), F.regexp_replace(key, GOT_VALUE, "")).otherwise(key)
-    return F.when(key == "", NO_REASON).otherwise(key)
-
+def reason_counts(
+    df: DataFrame, *, ids: list[str] | None = None, settings: ConversionSettings = ConversionSettings(),
+    means: BelfioreMeans = BELFIORE_MEANS, weight: AvignonWeight = AvignonWeight(),
+) -> DataFrame:
+    """Per method and status that is not ok: method_id, status, reason, rows. `df` is canonical.
 
-def reason_counts(long: DataFrame, strip_values: bool = True) -> DataFrame:
-    """Per method and status (not ok): rows for each reason."""
-    return (
-        long.where("status <> 'ok'")
-        .groupBy("method_id", "status", reason_key(strip_values).alias("reason"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+    What a reason says follows from the states of a method's inputs. So rows are counted by those states, packed into
+    one number, and texts are made for the few combinations that occur. They leave out the offending value, which
+    would make every bad value its own reason.
+    """
+    run = RunContext(settings, means, weight)
+    ids = [i for i in INDEX_IDS if ids is None or i in set(ids)]
+    cells, cases = [], []
+    for k, id_ in enumerate(ids):
+        inputs = index(id_).inputs()
+        states = " + ".join(f"cast(s_{n} AS bigint) * {4 ** place}L" for place, n in enumerate(inputs))
+        status = status_of(id_)
+        cells.append(f"named_struct('method', {k}, 'status', {status}, 'state', state_{id_}, 'states', CASE WHEN {status} <> 'ok' THEN {states} END)")
+        place = {n: at for at, n in enumerate(inputs)}
+        reasons = re.sub(r"\bs_([a-z][a-z0-9_]*)\b", lambda m: f"cast(shiftright(states, {2 * place[m[1]]}) & 3 AS int)", index(id_).reasons(run, "state", "status"))
+        cases.append(f"WHEN {k} THEN {reasons}")
+    counted = (
+        evaluated(df, ids, run, []).selectExpr(f"inline(array({', '.join(cells)}))").where("status <> 'ok'")
+        .groupBy("method", "status", "state", "states").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    # the values that a text would name are not known any more; any number does, it is taken out again
+    named = counted.selectExpr("*", *[f"{'NULL' if n == 'sex' else '0D'} AS {n}" for n in INPUTS])
+    texts = named.selectExpr(
+        f"array({', '.join(map(sql_text, ids))})[method] AS method_id", "status", "rows",
+        f"concat_ws('; ', CASE method {' '.join(cases)} END) AS text",
     )
+    plain = F.regexp_replace("text", GOT_VALUE, "")
+    return texts.groupBy("method_id", "status", F.when(plain == "", NO_REASON).otherwise(plain).alias("reason")).agg(F.sum("rows").alias("rows"))
 
 
 def top_reasons(counts: DataFrame, n: int = 3) -> DataFrame:
     """The n most frequent reasons per method and status, ties in text order.
 
-    Works on counted reasons: with values stripped there are at most a few dozen per method.
+    Works on counted reasons, of which there are at most a few dozen per method.
     """
     order = Window.partitionBy("method_id", "status").orderBy(F.desc("rows"), F.asc("reason"))
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

@@ -66,7 +66,7 @@ def _long(src: Source, **more) -> DataFrame:
 # ---------- status algebra ----------
 
 def missing_reasons(src: Source) -> DataFrame:
-    return reason_counts(_long(src, deferred=False)).where("status = 'unavailable'").drop("status")
+    return reason_counts(src.cohort()).where("status = 'unavailable'").drop("status")
 
 
 _REASONS = long_status_cte(INDEX_IDS, reasons=True)
@@ -76,7 +76,7 @@ MISSING_SQL = with_prepared(
 
 
 def invalid_reasons(src: Source) -> DataFrame:
-    return reason_counts(_long(src, deferred=False)).where("status = 'error'").drop("status")
+    return reason_counts(src.cohort()).where("status = 'error'").drop("status")
 
 
 INVALID_SQL = with_prepared(
@@ -106,7 +106,7 @@ def _precedence_sql() -> str:
 
 
 def undefined_reasons(src: Source) -> DataFrame:
-    counts = reason_counts(_long(src, ids=["homa_beta", "cir30", "insulinogenic_dg30"]))
+    counts = reason_counts(src.cohort(), ids=["homa_beta", "cir30", "insulinogenic_dg30"])
     return counts.where("reason LIKE 'not defined%'")
 
 
@@ -271,7 +271,7 @@ def merged_counts(src: Source) -> DataFrame:
 
 
 def frequent_reasons(src: Source) -> DataFrame:
-    return top_reasons(reason_counts(_long(src, deferred=False)))
+    return top_reasons(reason_counts(src.cohort()))
 
 
 TOP_SQL = with_prepared(

@@ -9,7 +9,7 @@ from glucoframe.functions import normal
 from glucoframe.functions.normal import qnorm
 from glucoframe.functions.units import unit_choice
 from glucoframe.operators import correlation, density, descriptives, tally, transforms, unit_check
-from glucoframe.operators.calculate import calculate_long, calculate_wide, to_long
+from glucoframe.operators.calculate import calculate_wide, to_long
 from glucoframe.operators.catalog import GROUPS, INDEX_IDS, METHODS, Deferred, catalog, display_order
 from glucoframe.operators.ranking import exact_quantiles
 from glucoframe.operators.transforms import Transform
@@ -312,10 +312,10 @@ NOT_POSITIVE_SQL = with_prepared(
 
 def summary(src: Source) -> DataFrame:
     cohort = src.fixed_cohort()
-    results = cut_lineage(calculate_long(cohort, keep=["visit_id", "sex"], deferred=False))
-    long = results.where("value IS NOT NULL").select(F.col("method_id").alias("index_id"), "sex", "value")
+    wide = cut_lineage(calculate_wide(cohort, keep=["visit_id", "sex"], status_columns=True))
     table = descriptives.summary_table(
-        long, tally.status_counts(results), tally.top_reasons(tally.reason_counts(results)), catalog(src.spark)
+        to_long(wide, INDEX_IDS, ["sex"]), tally.status_counts(tally.status_long(wide)), tally.top_reasons(tally.reason_counts(cohort)),
+        catalog(src.spark),
     )
     flat = table.withColumn("why", F.array_join("why", " / ")).drop("position", "name")
     return rounded_all(flat, 4)

@@ -116,7 +116,7 @@ def test_counts_and_reasons(cohort):
     halves = [cohort.where("row <= 250"), cohort.where("row > 250")]
     parts = [tally.status_counts(tally.status_long(calculate_wide(h, status_columns=True))) for h in halves]
     assert rows_of(tally.merge_counts(*parts)) == rows_of(tally.status_counts(tally.status_long(wide)))
-    reasons = tally.reason_counts(calculate_long(cohort, deferred=False))
+    reasons = tally.reason_counts(cohort)
     top = tally.top_reasons(reasons).where("method_id = 'homa_ir' AND status = 'unavailable'").orderBy("place").collect()
     assert [r.place for r in top] == [1, 2, 3] and top[0].rows >= top[1].rows >= top[2].rows
     available = tally.availability(calculate_wide(cohort), "participant_id").collect()
