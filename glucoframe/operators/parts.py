@@ -191,7 +191,7 @@ def part_problems(parts: DataFrame) -> DataFrame:
     checks += [
         F.when(F.col("of") != F.col("first_of"), F.lit("differs from part 1 in number of parts")),
         F.when(~F.col("part").between(1, F.col("of")), F.lit("part number is out of range")),
-        F.when(F.col("part") == F.col("previous_part"), F.lit("part given more than once")),
+        F.when(F.col("part") == F.col("previous_part"), F.lit("this part is given twice")),
         F.when(
             F.col("part") > F.coalesce(F.col("previous_part"), F.lit(0)) + 1,
             F.concat(F.lit("missing part "), (F.coalesce(F.col("previous_part"), F.lit(0)) + 1).cast("string")),
@@ -207,8 +207,7 @@ def part_problems(parts: DataFrame) -> DataFrame:
         ),
         F.when(
             F.col("next_part").isNull() & (F.col("last_row") != F.col("total_rows")),
-            F.concat(F.lit("parts cover "), F.col("last_row").cast("string"), F.lit(" rows but the input has "),
-                     F.col("total_rows").cast("string")),
+            F.concat(F.lit("rows end at "), F.col("last_row").cast("string"), F.lit(" of "), F.col("total_rows").cast("string")),
         ),
     ]
     return seen.select("part", "name", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
@@ -221,7 +220,7 @@ def merge_parts(
     listed = [(name, doc, df.columns) for name, doc, df in parts]
     problems = part_problems(parts_frame(spark, listed)).orderBy("part", "problem").collect()
     if problems:
-        raise ValueError("the parts do not fit:\n  " + "\n  ".join(f"{p.name}: {p.problem}" for p in problems))
+        raise ValueError("these parts cannot be joined:\n  " + "\n  ".join(f"{p.name}: {p.problem}" for p in problems))
     ordered = sorted(parts, key=lambda p: p[1]["chunk"]["index"])
     merged = None
     counts = None
@@ -233,7 +232,7 @@ def merge_parts(
     for name, doc, _ in ordered:
         expected = doc["chunk"]["last_row"] - doc["chunk"]["first_row"] + 1
         if found[name] != expected:
-            raise ValueError(f"{name}: has {found[name]} data rows, its settings say {expected}")
+            raise ValueError(f"{name}: {found[name]} rows were found where its settings promise {expected}")
     doc = {k: v for k, v in ordered[0][1].items() if k != "chunk"}
     doc["unit_check"] = []
     doc["row_counts"] = {

@@ -21,7 +21,7 @@ from glucoframe.operators.catalog import (
     resolve_selection,
 )
 from glucoframe.operators.curve import curve_summary, curve_summary_long, series_map
-from glucoframe.operators.parts import Run, manifest, merge_parts, part_of, part_problems, parts_frame, take_part
+from glucoframe.operators.parts import Run, manifest, part_of, part_problems, parts_frame, take_part
 from glucoframe.operators.ranking import add_row_numbers
 from glucoframe.operators.reconcile import (
     EARLIER_COLUMNS,
@@ -53,7 +53,8 @@ from glucoframe.plans.index_sql import (
 )
 from glucoframe.plans.source import Query, Source, rounded, rounded_sql
 from glucoframe.settings import AvignonWeight, ConversionSettings
-from glucoframe.session import cut_lineage
+from glucoframe.session import cut_lineage, scratch_path
+from glucoframe.sources.results import merge_part_files, read_manifest, read_results, settings_path, write_results
 from glucoframe.sources.visits import COHORT_COLUMNS
 
 SOME = ["homa_ir", "quicki", "avignon_si0", "vai", "homa_beta", "glucagon_auc"]
@@ -322,43 +323,41 @@ GROUP BY 1"""
 )
 
 
-def merged(src: Source) -> DataFrame:
-    """The results of every part, joined again after the manifests were checked."""
-    numbered = cut_lineage(_numbered(src))
-    total = numbered.count()
-    run = Run("visits", selection=SOME)
-    header = numbered.columns
-    parts = []
+def _written_parts(src: Source) -> list[str]:
+    """The visits calculated as PARTS separate results files with settings; the paths."""
+    numbered = cut_lineage(_numbered(src)).withColumn("input_problems", F.lit(""))
+    total, folder = numbered.count(), scratch_path(src.spark, "parts")
+    paths = []
     for i in range(1, PARTS + 1):
-        rows = take_part(numbered, i, PARTS, total)
-        results = calculate_wide(rows, ids=SOME, keep=["visit_id"])
-        first, last = (i - 1) * total // PARTS + 1, i * total // PARTS
-        doc = manifest(
-            run, version=glucoframe.__version__, timestamp="", rows=last - first + 1, rows_with_problems=0,
-            header=header, part=(i, PARTS, total),
+        paths.append(f"{folder}/part-{i}.csv")
+        write_results(
+            take_part(numbered, i, PARTS, total), paths[-1], Run("visits"), version=glucoframe.__version__, timestamp="",
+            header=numbered.columns, part=(i, PARTS, total), keep=["visit_id"],
         )
-        parts.append((f"part-{i}", doc, results))
-    together, _ = merge_parts(src.spark, list(reversed(parts)))
-    return together.select("visit_id", *[rounded(i, decimals(i)).alias(i) for i in SOME])
+    return paths
+
+
+def merged(src: Source) -> DataFrame:
+    """The results files of all parts, joined again after their settings were checked."""
+    together, _ = merge_part_files(src.spark, list(reversed(_written_parts(src))))
+    return together.select(F.col("visit_id").cast("bigint").alias("visit_id"), *[rounded(i, decimals(i)).alias(i) for i in INDEX_IDS])
 
 
 MERGED_SQL = with_prepared(
-    "SELECT visit_id, " + ", ".join(f"{rounded_value_sql(i)} AS {i}" for i in SOME) + " FROM prepared"
+    "SELECT visit_id, " + ", ".join(f"{rounded_value_sql(i)} AS {i}" for i in INDEX_IDS) + " FROM prepared"
 )
 
 
 def misfits(src: Source) -> DataFrame:
-    """What is reported when part 3 is lost and part 5 was made with another orientation."""
-    total = src.cohort().count()
+    """What is reported of written parts when part 3 is lost and the settings of part 5 name another orientation."""
     listed = []
-    for i in range(1, PARTS + 1):
+    for i, path in enumerate(_written_parts(src), start=1):
         if i == 3:
             continue
-        run = Run("visits", orientation="sensitivity" if i == 5 else "published", selection=SOME)
-        doc = manifest(
-            run, version=glucoframe.__version__, timestamp="", rows=total, rows_with_problems=0, part=(i, PARTS, total)
-        )
-        listed.append((f"part-{i}", doc, ["visit_id", *SOME]))
+        doc = read_manifest(src.spark, settings_path(path))
+        if i == 5:
+            doc["orientation"] = "sensitivity"
+        listed.append((f"part-{i}", doc, read_results(src.spark, path).columns))
     return part_problems(parts_frame(src.spark, listed))
 
 

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import glucoframe
+from glucoframe.functions.units import unit_choice
 from glucoframe.operators import correlation, density
 from glucoframe.operators.calculate import calculate_wide
 from glucoframe.operators.parts import Run
 from glucoframe.operators.transforms import Transform, transform_results
+from glucoframe.operators.unit_check import check_units
 from glucoframe.operators.weight import weight_from_sums
 from glucoframe.plans import batch_queries, statistics_queries
 from glucoframe.plans.cohort_sql import with_prepared
 from glucoframe.plans.index_sql import decimals, rounded_value_sql, status_sql, wide_values_cte
 from glucoframe.plans.source import Query, Source, rounded, rounded_sql
-from glucoframe.session import scratch_path
+from glucoframe.session import cut_lineage, scratch_path
 from glucoframe.sources.results import (
     read_manifest,
     read_results,
     settings_path,
+    unit_check_entries,
     write_csv,
     write_results,
 )
@@ -67,18 +70,27 @@ RESULTS_SQL = with_prepared(
 def settings_json(src: Source) -> DataFrame:
     path = scratch_path(src.spark, "results") + ".csv"
     run = Run("visits", selection=["homa_ir", "lap"], orientation="sensitivity")
-    write_results(_participants(src), path, run, version=glucoframe.__version__, timestamp="")
+    people = cut_lineage(_participants(src))
+    checked = unit_check_entries(check_units(people, unit_choice(glucose="mg/dL")))
+    write_results(
+        people, path, run, version=glucoframe.__version__, timestamp="", header=["visit_id", "g0"], size_bytes=1234, unit_check=checked
+    )
     doc = read_manifest(src.spark, settings_path(path))
+    fits = [c["column"] for c in doc["unit_check"] if c["quantity"] == "glucose" and c["suggested"] == "mmol/L"]
+    mark = doc["input_fingerprint"]
     return src.spark.createDataFrame(
-        [(doc["row_counts"]["total"], doc["row_counts"]["with_problems"], doc["orientation"], m["id"], m["csv_column"])
+        [(doc["row_counts"]["total"], doc["row_counts"]["with_problems"], doc["orientation"], m["id"], m["csv_column"],
+          len(doc["unit_check"]), fits[0] if fits else None, mark["total_rows"], mark["header_sha256"])
          for m in doc["methods"]],
-        "total bigint, with_problems bigint, orientation string, method_id string, csv_column string",
+        "total bigint, with_problems bigint, orientation string, method_id string, csv_column string, quantities int, "
+        "glucose_in_mmol string, input_rows bigint, header_sha256 string",
     )
 
 
 SETTINGS_SQL = with_prepared(
     "SELECT count(*) AS total, count(CASE WHEN sex IS NULL THEN 1 END) AS with_problems, 'sensitivity' AS orientation, "
-    "m.id AS method_id, m.col AS csv_column FROM prepared, "
+    "m.id AS method_id, m.col AS csv_column, CAST(6 AS INTEGER) AS quantities, 'G0' AS glucose_in_mmol, count(*) AS input_rows, "
+    "sha256('visit_id' || chr(31) || 'g0') AS header_sha256 FROM prepared, "
     "(VALUES ('homa_ir', 'homa_ir_inv'), ('lap', 'lap_inv')) AS m(id, col) GROUP BY m.id, m.col"
 )
 

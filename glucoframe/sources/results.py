@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucoframe.operators.calculate import calculate_wide
-from glucoframe.operators.parts import Run, manifest, manifest_frame
-from glucoframe.operators.transforms import index_columns
+from glucoframe.operators.parts import Run, manifest, manifest_frame, merge_parts, transform_settings
+from glucoframe.operators.transforms import Transform, index_columns, transform_report, transform_results
 
 
 def results_table(df: DataFrame, run: Run, keep: list[str] | None = None) -> DataFrame:
@@ -46,19 +46,59 @@ def settings_path(path: str) -> str:
     return (base[: -len(".csv")] if base.endswith(".csv") else base) + ".settings.json"
 
 
+def unit_check_entries(checked: DataFrame) -> list[dict]:
+    """The rows of check_units (one per quantity) for the settings document."""
+    return [row.asDict() for row in checked.orderBy("quantity").collect()]
+
+
 def write_results(
     df: DataFrame, path: str, run: Run, *, version: str, timestamp: str, source: str | None = None,
-    overwrite: bool = False,
+    overwrite: bool = False, header: list[str] | None = None, size_bytes: int | None = None,
+    unit_check: list[dict] | None = None, part: tuple[int, int, int] | None = None, keep: list[str] | None = None,
 ) -> dict:
-    """Calculate, write the results CSV and the settings document beside it; returns the document."""
+    """Calculate, write the results CSV and the settings document beside it; returns the document.
+
+    `header` and `size_bytes` describe the input file, `unit_check` is unit_check_entries of its values, and `part` is
+    (i, n, rows of the whole input) where `df` is only the i-th of n parts.
+    """
     if source is not None and source.rstrip("/") == path.rstrip("/"):
         raise ValueError("the output is the input")
     spark = df.sparkSession
-    write_csv(results_table(df, run), path, overwrite)
+    write_csv(results_table(df, run, keep), path, overwrite)
     totals = df.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("input_problems") != "").alias("bad")
     ).head()
-    doc = manifest(run, version=version, timestamp=timestamp, rows=totals.rows, rows_with_problems=totals.bad)
+    doc = manifest(
+        run, version=version, timestamp=timestamp, rows=totals.rows, rows_with_problems=totals.bad, unit_check=unit_check,
+        header=header, size_bytes=size_bytes, part=part,
+    )
+    write_manifest(spark, doc, settings_path(path), overwrite)
+    return doc
+
+
+def merge_part_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, dict]:
+    """The joined rows and settings of results files that are the parts of one input, in any order."""
+    return merge_parts(spark, [(path, read_manifest(spark, settings_path(path)), read_results(spark, path)) for path in paths])
+
+
+def write_transformed(
+    spark: SparkSession, source: str, path: str, t: Transform, *, version: str, timestamp: str, key: str = "participant_id",
+    keep_only: bool = False, overwrite: bool = False,
+) -> dict:
+    """Transform a results file into another one, with a settings document that says how and what became missing.
+
+    A single part is refused: ranks, means and deviations need every row. Join the parts first.
+    """
+    settings = read_manifest(spark, settings_path(source))
+    if "chunk" in settings:
+        raise ValueError(f"{source} is part {settings['chunk']['index']} of {settings['chunk']['of']}; a transform needs all rows, so merge the parts first")
+    results = read_results(spark, source)
+    write_csv(transform_results(results, t, key=key, keep_only=keep_only), path, overwrite)
+    report = [row.asDict() for row in transform_report(results, t).orderBy("index_id").collect()]
+    doc = settings | {
+        "engine_version": version, "timestamp": timestamp, "source_results": source, "transform": transform_settings(t),
+        "transform_report": report,
+    }
     write_manifest(spark, doc, settings_path(path), overwrite)
     return doc
 

@@ -18,7 +18,16 @@ from glucoframe.operators.reconcile import (
 )
 from glucoframe.operators.weight import cohort_weight, weight_from_sums, weight_sums
 from glucoframe.settings import AvignonWeight
-from glucoframe.sources.results import read_manifest, read_results, settings_path, write_csv, write_results
+from glucoframe.operators.transforms import Transform
+from glucoframe.sources.results import (
+    merge_part_files,
+    read_manifest,
+    read_results,
+    settings_path,
+    write_csv,
+    write_results,
+    write_transformed,
+)
 from glucoframe.streaming.scorer import (
     newest,
     stream_cohort,
@@ -99,9 +108,9 @@ def test_misfitting_parts_are_refused(spark, cohort):
         merge_parts(spark, [good[0], good[2], good[3]])
     with pytest.raises(ValueError, match="missing part 4"):
         merge_parts(spark, good[:3])
-    with pytest.raises(ValueError, match="more than once"):
+    with pytest.raises(ValueError, match="given twice"):
         merge_parts(spark, good + good[:1])
-    with pytest.raises(ValueError, match="data rows"):
+    with pytest.raises(ValueError, match="settings promise"):
         merge_parts(spark, good[:3] + [("part4", good[3][1], good[3][2].limit(3))])
     listed = [(n, d, df.columns + (["x"] if n == "part3" else [])) for n, d, df in good]
     assert [r.problem for r in part_problems(parts_frame(spark, listed)).collect()] == ["header differs from part 1"]
@@ -155,6 +164,27 @@ def test_results_files(spark, cohort, tmp_path):
     assert partial["selection"] == {"groups": [], "ids": ["homa_ir"], "methods": ["homa_ir"]}
 
 
+def test_parts_from_disk(spark, cohort, tmp_path):
+    total, n, paths = cohort.count(), 3, []
+    rows = cohort.withColumn("input_problems", F.lit(""))
+    for i in range(1, n + 1):
+        paths.append(str(tmp_path / f"part-{i}.csv"))
+        write_results(
+            take_part(rows, i, n, total), paths[-1], Run("c.csv"), version="1", timestamp="", header=cohort.columns, size_bytes=10,
+            part=(i, n, total), unit_check=[{"quantity": "glucose", "suggested": None}],
+        )
+    merged, doc = merge_part_files(spark, paths[::-1])
+    assert merged.count() == total and doc["row_counts"]["total"] == total
+    assert doc["input_fingerprint"]["total_rows"] == total and doc["input_fingerprint"]["size_bytes"] == 10
+    with pytest.raises(ValueError, match="merge the parts first"):
+        write_transformed(spark, paths[0], str(tmp_path / "t.csv"), Transform("rint"), version="1", timestamp="")
+    whole = str(tmp_path / "whole.csv")
+    write_results(rows, whole, Run("c.csv"), version="1", timestamp="", header=cohort.columns)
+    doc = write_transformed(spark, whole, str(tmp_path / "t.csv"), Transform("log"), version="1", timestamp="")
+    assert doc["transform"]["kind"] == "log" and len(doc["transform_report"]) > 30 and doc["source_results"] == whole
+    assert "homa_ir_log" in read_results(spark, str(tmp_path / "t.csv")).columns
+
+
 def test_stream_equals_batch(spark, cohort, tmp_path):
     arriving = str(tmp_path / "arriving")
     cohort.repartition(6).write.parquet(arriving)
