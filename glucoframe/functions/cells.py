@@ -29,6 +29,7 @@ def number(cell: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
+# The wording of problems below and of column conflicts, which users of results files compare.
 def number_problem(cell: Column, name: str, canonical: str) -> Column:
     """Problem text of a numeric cell, NULL when it is missing or fine.
 

@@ -10,6 +10,7 @@ its partition numbers, so both uses see the same ones even when an executor is l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,32 @@ from glucoframe.session import broadcast_if_small, cut_lineage
 
 LOCAL_POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 MAX_OFFSETS_BROADCAST = 1_000_000
-HOT_SHARE = 100_000  # a value on more than 1/HOT_SHARE of all rows is joined by broadcast
-HOT_MINIMUM = 10_000
 SALTS = 1024
-APPROXIMATE_ACCURACY = 10_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes at which another plan takes over. Results never depend on them; tests and queries lower them to reach every plan.
+
+    accuracy       of the quantile sketch; keys with fewer than four times as many rows are ordered whole
+    hot_share      a value on more than 1 / hot_share of all rows, and on more than hot_minimum, is joined by broadcast
+    broadcast_rows rows up to which a small table is broadcast
+    """
+
+    accuracy: int = 10_000
+    hot_share: int = 100_000
+    hot_minimum: int = 10_000
+    broadcast_rows: int = MAX_OFFSETS_BROADCAST
+
+
+LIMITS = Limits()
 
 
 def add_row_numbers(df: DataFrame, order_by: list[str], name: str = "row") -> DataFrame:
-    """1-based row numbers in the given total order, without moving rows into one task."""
+    """1-based row numbers in the given total order, without moving rows into one task.
+
+    Rows that agree in every column of the order come to lie in one partition: end it with a column that tells them apart.
+    """
     placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", LOCAL_POSITION_BITS)
@@ -47,16 +66,16 @@ def add_row_numbers(df: DataFrame, order_by: list[str], name: str = "row") -> Da
     )
 
 
-def ordered_counts(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def ordered_counts(values: DataFrame, keys: list[str], value: str = "value", limits: Limits = LIMITS) -> DataFrame:
     """Per distinct (keys, value): cnt = rows with it, before = rows of the key below it, n = rows of the key.
 
     Keys and values must not be NULL or NaN.
     """
     counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return order_counts(counts, keys, value).withColumnsRenamed({"before_cnt": "before", "n_cnt": "n"})
+    return order_counts(counts, keys, value, limits=limits).withColumnsRenamed({"before_cnt": "before", "n_cnt": "n"})
 
 
-def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] | None = None) -> DataFrame:
+def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Adds before_<c> and n_<c> for every count column c in `of`: the sum of c over the smaller values of
     the key, and over all its values. `counts` has one row per (keys, value)."""
     of = of or ["cnt"]
@@ -103,7 +122,7 @@ def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] |
         *[F.coalesce(F.sum(f"rows_{c}").over(above), F.lit(0)).alias(f"ahead_{c}") for c in of],
         *[F.sum(f"rows_{c}").over(key).alias(f"n_{c}") for c in of],
     )
-    return ordered.join(broadcast_if_small(offsets, MAX_OFFSETS_BROADCAST), ["part", *keys]).select(
+    return ordered.join(broadcast_if_small(offsets, limits.broadcast_rows), ["part", *keys]).select(
         *counts.columns,
         *[(F.col(f"ahead_{c}") + F.col(f"upto_{c}") - F.col(c)).alias(f"before_{c}") for c in of],
         *[f"n_{c}" for c in of],
@@ -115,17 +134,17 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("cnt") + 1) / 2.0
 
 
-def attach_by_value(rows: DataFrame, per_value: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def attach_by_value(rows: DataFrame, per_value: DataFrame, keys: list[str], value: str = "value", limits: Limits = LIMITS) -> DataFrame:
     """Join per-value columns (cnt, before, n and whatever was added) back onto the rows.
 
     Values carried by very many rows would all meet in one shuffle partition. There are fewer than
-    HOT_SHARE of them by definition, so they are joined by broadcast, and their rows get a salt in the
+    hot_share of them by definition, so they are joined by broadcast, and their rows get a salt in the
     shuffled join of the others, which spreads them and lets them match nothing there.
     """
     on = [*keys, value]
     extra = [c for c in per_value.columns if c not in on]
     total = per_value.agg(F.sum("cnt")).head()[0] or 0
-    threshold = max(total // HOT_SHARE, HOT_MINIMUM)
+    threshold = max(total // limits.hot_share, limits.hot_minimum)
     hot = per_value.where(F.col("cnt") > threshold)
     if not hot.take(1):
         return rows.join(per_value, on, "left")
@@ -145,17 +164,20 @@ def exact_quantiles(
     probabilities: list[float],
     value: str = "value",
     also: list[Column] | None = None,
+    limits: Limits = LIMITS,
 ) -> DataFrame:
     """Type-7 quantiles (linear interpolation at (n - 1) * p) per key: columns n and q0, q1, ... in the order
     of `probabilities`. `also` are named aggregates to compute in the first of the two passes.
 
-    Pass 1 brackets every quantile with a mergeable sketch; pass 2 counts the rows below each bracket and
-    keeps only the values inside, a few ten-thousandths of the rows, which are then ordered exactly. The
-    full data is therefore scanned twice but never sorted or shuffled.
+    Pass 1 brackets every quantile with a mergeable sketch; pass 2 keeps only the values inside a bracket, a few
+    ten-thousandths of the rows, which are then ordered exactly, and counts the others by the gap they lie in. The
+    full data is therefore scanned twice but never sorted or shuffled, and no value is copied. A position that no
+    kept value covers is an error, never a missing result.
     """
-    slack = 2.0 / APPROXIMATE_ACCURACY
-    ends = sorted({min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-slack, slack)} | {0.0, 1.0})
-    sketch = F.percentile_approx(value, F.array(*[F.lit(e) for e in ends]), F.lit(APPROXIMATE_ACCURACY))
+    slack = 2.0 / limits.accuracy
+    asked = sorted(set(probabilities))
+    ends = sorted({min(max(p + s, 0.0), 1.0) for p in asked for s in (-slack, slack)} | {0.0, 1.0})
+    sketch = F.percentile_approx(value, F.array(*[F.lit(e) for e in ends]), F.lit(limits.accuracy))
     also = also or []
     brackets = cut_lineage(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("ends"), *also))
     more = [c for c in brackets.columns if c not in (*keys, "n", "ends")]
@@ -165,46 +187,40 @@ def exact_quantiles(
 
     # the sketch may be off by n / accuracy ranks; a bracket is only wide enough for that and for the
     # neighbouring rank when n is large, so smaller keys keep all their values
-    wide = F.col("n") < 4 * APPROXIMATE_ACCURACY
-    spans = F.array(*[
-        F.struct(
-            F.lit(k).alias("k"),
-            F.when(wide, bound(0.0)).otherwise(bound(p - slack)).alias("lo"),
-            F.when(wide, bound(1.0)).otherwise(bound(p + slack)).alias("hi"),
-        )
-        for k, p in enumerate(probabilities)
-    ])
-    spanned = brackets.select(*keys, "n", spans.alias("spans"))
-    v = F.col(value)
-    # rows above a bracket are dropped, rows below it collapse into one NULL group per task
-    cells = (
-        values.join(broadcast_if_small(spanned, MAX_OFFSETS_BROADCAST), keys)
-        .select(*keys, v.alias("v"), F.explode(F.filter("spans", lambda s: v <= s["hi"])).alias("s"))
-        .select(*keys, F.col("s.k").alias("k"), F.when(F.col("v") >= F.col("s.lo"), F.col("v") + 0.0).alias("v"))
-    )
-    counts = cut_lineage(cells.groupBy(*keys, "k", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    below = counts.where(F.col("v").isNull()).select(*keys, "k", F.col("cnt").alias("below"))
-    inside = order_counts(counts.where(F.col("v").isNotNull()), [*keys, "k"], "v")
+    few = F.col("n") < 4 * limits.accuracy
+    spans = [F.when(few, bound(e)).otherwise(bound(p + s)).alias(f"_{name}{k}")
+             for k, p in enumerate(asked) for name, e, s in (("lo", 0.0, -slack), ("hi", 1.0, slack))]
+    spanned = broadcast_if_small(brackets.select(*keys, *spans), limits.broadcast_rows)
+    v = F.col(value) + 0.0
+    # brackets rise with the probability: how many lie wholly below a value, and how many begin at or below it
+    above = sum((F.when(v > F.col(f"_hi{k}"), 1).otherwise(0) for k in range(len(asked))), F.lit(0))
+    begun = sum((F.when(v >= F.col(f"_lo{k}"), 1).otherwise(0) for k in range(len(asked))), F.lit(0))
+    cells = values.join(spanned, keys).select(*keys, v.alias("v"), above.alias("gap"), begun.alias("begun"))
+    cells = cells.select(*keys, "gap", F.when(F.col("begun") > F.col("gap"), F.col("v")).alias("v"))
+    counts = cut_lineage(cells.groupBy(*keys, "gap", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    in_gap = [F.sum(F.when(F.col("v").isNull() & (F.col("gap") <= k), F.col("cnt")).otherwise(0)) for k in range(len(asked) + 1)]
+    below = counts.groupBy(*keys).agg(F.array(*in_gap).alias("below"))  # rows in the gaps up to each one
+    inside = order_counts(counts.where(F.col("v").isNotNull()), keys, "v", limits=limits)
     located = (
-        inside.join(broadcast_if_small(below, MAX_OFFSETS_BROADCAST), [*keys, "k"], "left")
-        .join(broadcast_if_small(brackets.select(*keys, "n", *more), MAX_OFFSETS_BROADCAST), keys)
-        .withColumn("start", F.col("before_cnt") + F.coalesce("below", F.lit(0)))
+        inside.join(broadcast_if_small(cut_lineage(below), limits.broadcast_rows), keys)
+        .join(broadcast_if_small(brackets.select(*keys, "n", *more), limits.broadcast_rows), keys)
+        .withColumn("start", F.col("before_cnt") + F.element_at("below", F.col("gap") + 1))
     )
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in probabilities]), F.col("k") + 1)
-    located = located.withColumn("h", (F.col("n") - 1) * p).withColumn("at", F.floor("h"))
 
     def value_at(position: Column) -> Column:
         covers = (F.col("start") <= position) & (position < F.col("start") + F.col("cnt"))
         return F.max(F.when(covers, F.col("v")))
 
-    pairs = located.groupBy(*keys, "k").agg(
-        value_at(F.col("at")).alias("a"),
-        value_at(F.least(F.col("at") + 1, F.col("n") - 1)).alias("b"),
-        F.first(F.col("h") - F.col("at")).alias("f"),
-        *[F.first(c).alias(c) for c in ("n", *more)],
-    )
-    quantile = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
-    picked = [
-        F.max(F.when(F.col("k") == k, quantile)).alias(f"q{k}") for k in range(len(probabilities))
-    ]
-    return pairs.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", *more)], *picked)
+    picked, results = [], []
+    for k, p in enumerate(asked):
+        h = (F.col("n") - 1) * F.lit(float(p))
+        picked += [value_at(F.floor(h)).alias(f"_a{k}"), value_at(F.least(F.floor(h) + 1, F.col("n") - 1)).alias(f"_b{k}")]
+    found = located.groupBy(*keys, "n").agg(*[F.first(c).alias(c) for c in more], *picked)
+    for i, p in enumerate(probabilities):
+        k = asked.index(p)
+        low, high = F.col(f"_a{k}"), F.col(f"_b{k}")
+        part = (F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p)))
+        lost = F.raise_error(F.lit(f"no value was kept for quantile {p}")).cast("double")
+        between = F.when(part == 0, low).otherwise(low + part * (high - low))
+        results.append(F.when(low.isNull() | high.isNull(), lost).otherwise(between).alias(f"q{i}"))
+    return found.select(*keys, "n", *more, *results)

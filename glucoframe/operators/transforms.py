@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glucoframe.functions.normal import qnorm
 from glucoframe.operators.calculate import to_long
 from glucoframe.operators.catalog import INDEX_IDS
-from glucoframe.operators.ranking import attach_by_value, average_rank, ordered_counts
+from glucoframe.operators.ranking import LIMITS, Limits, attach_by_value, average_rank, ordered_counts
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 KINDS = ("none", "log", "z", "rint")
@@ -65,7 +65,7 @@ def z_possible() -> Column:
     return (F.col("n") >= 2) & (F.col("low") < F.col("high")) & (F.col("sd") > 0)
 
 
-def transform_long(long: DataFrame, t: Transform) -> DataFrame:
+def transform_long(long: DataFrame, t: Transform, limits: Limits = LIMITS) -> DataFrame:
     """Adds `transformed` to long values (index_id, value, and the group column when t.within is set).
 
     Rows without a group label are dropped by a within-group transform: their value is missing.
@@ -79,19 +79,19 @@ def transform_long(long: DataFrame, t: Transform) -> DataFrame:
         moments = cut_lineage(group_moments(long, t)).where(z_possible()).select(*keys, "mean", "sd")
         scaled = labelled.join(broadcast_if_small(moments, MAX_GROUPS_BROADCAST), keys, "left")
         return scaled.withColumn("transformed", (F.col("value") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
-    ranked = ordered_counts(labelled, keys).withColumn("transformed", blom(average_rank(), F.col("n")))
-    return attach_by_value(labelled, ranked, keys).drop("cnt", "before", "n")
+    ranked = ordered_counts(labelled, keys, limits=limits).withColumn("transformed", blom(average_rank(), F.col("n")))
+    return attach_by_value(labelled, ranked, keys, limits=limits).drop("cnt", "before", "n")
 
 
 def blom(rank: Column, n: Column) -> Column:
     return qnorm((rank - BLOM_OFFSET) / (n + 1 - 2 * BLOM_OFFSET))
 
 
-def rank_long(long: DataFrame, t: Transform = Transform()) -> DataFrame:
+def rank_long(long: DataFrame, t: Transform = Transform(), limits: Limits = LIMITS) -> DataFrame:
     """Adds `rank`: 1-based, ties share their mean rank."""
     labelled, keys = _grouped(long, t)
-    ranked = ordered_counts(labelled, keys).withColumn("rank", average_rank())
-    return attach_by_value(labelled, ranked, keys).drop("cnt", "before", "n")
+    ranked = ordered_counts(labelled, keys, limits=limits).withColumn("rank", average_rank())
+    return attach_by_value(labelled, ranked, keys, limits=limits).drop("cnt", "before", "n")
 
 
 def index_columns(df: DataFrame) -> list[str]:

@@ -14,6 +14,9 @@ from glucoframe.sources import visits
 
 
 class Source:
+    """Tables of one folder. Sets the two runtime settings of session.tune on the session it is given; they change no
+    result, and stay set."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder

@@ -11,7 +11,7 @@ from glucoframe.functions.units import unit_choice
 from glucoframe.operators import correlation, density, descriptives, tally, transforms, unit_check
 from glucoframe.operators.calculate import calculate_wide, to_long
 from glucoframe.operators.catalog import GROUPS, INDEX_IDS, METHODS, Deferred, catalog, display_order
-from glucoframe.operators.ranking import exact_quantiles
+from glucoframe.operators.ranking import Limits, exact_quantiles
 from glucoframe.operators.transforms import Transform
 from glucoframe.plans.cohort_sql import with_cohort, with_prepared
 from glucoframe.plans.index_sql import long_status_cte, long_values_cte, wide_values_cte
@@ -149,6 +149,12 @@ RINT_BY_SEX_SQL = with_prepared(
 )
 
 
+def rint_by_sex_hot(src: Source) -> DataFrame:
+    """The same by the plan for values that very many rows hold, and without broadcasts of the offsets."""
+    long = transforms.transform_long(graded_long(src), BY_SEX, Limits(hot_share=10**9, hot_minimum=3, broadcast_rows=0))
+    return long.select("visit_id", "sex", "index_id", rounded("transformed").alias("transformed"))
+
+
 def z_by_sex_layout(src: Source) -> DataFrame:
     """Each transformed column directly after its source."""
     table = transforms.transform_results(src.values(SHOWN), Transform("z", "sex"), key="visit_id")
@@ -271,6 +277,12 @@ QUANTILES_SQL = with_prepared(
 )
 
 
+def quantiles_bracketed(src: Source) -> DataFrame:
+    """The same by the plan for very many rows: brackets of a coarse sketch, and shuffled joins."""
+    probabilities = [0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0]
+    return rounded_all(exact_quantiles(src.long_values(SHOWN), ["index_id"], probabilities, limits=Limits(accuracy=200, broadcast_rows=0)))
+
+
 def skewness(src: Source) -> DataFrame:
     long = src.long_values(SHOWN)
     return long.groupBy("index_id").agg(rounded(descriptives.adjusted_skewness()).alias("skewness"))
@@ -725,6 +737,7 @@ QUERIES = {
     "T04_rint": Query(rint, RINT_SQL),
     "T05_qnorm": Query(quantiles_of_normal, QNORM_SQL),
     "T06_rint_within_sex": Query(rint_by_sex, RINT_BY_SEX_SQL),
+    "T06_rint_hot_values": Query(rint_by_sex_hot, RINT_BY_SEX_SQL),
     "T08_layout_z_within_sex": Query(z_by_sex_layout, Z_LAYOUT_SQL),
     "T09_transform_results": Query(transformed_file, TRANSFORMED_SQL),
     "T09_repeated_ids": Query(repeated_ids, REPEATED_SQL),
@@ -732,6 +745,7 @@ QUERIES = {
     "T11_transform_report": Query(report, REPORT_SQL),
     "D01_describe": Query(describe, DESCRIBE_SQL),
     "D02_quantile": Query(quantiles, QUANTILES_SQL),
+    "D02_quantile_brackets": Query(quantiles_bracketed, QUANTILES_SQL),
     "D03_skewness": Query(skewness, SKEWNESS_SQL),
     "D04_sex_medians": Query(medians_by_sex, MEDIANS_SQL),
     "D05_sex_split": Query(split_by_sex, SPLIT_SQL),

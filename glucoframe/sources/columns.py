@@ -76,6 +76,7 @@ def conflicts(columns: list[SourceColumn]) -> list[str]:
         if c.kind != "variable":
             continue
         if c.column in first:
+            # fixed wording, as that of cell problems
             found.append(f"Columns {first[c.column].name} and {c.name} both give {c.variable}; keep only one")
         else:
             first[c.column] = c

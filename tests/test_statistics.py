@@ -58,18 +58,15 @@ def test_negative_zero_is_zero(spark):
     assert ranks == {1: 2.5, 2: 2.5, 3: 1.0}
 
 
-def test_ranks_across_partitions_and_hot_values(spark, monkeypatch):
+def test_ranks_across_partitions_and_hot_values(spark):
     rng = random.Random(3)
     values = [0.0] * 4000 + [float(rng.randrange(3000)) for _ in range(8000)]
     rng.shuffle(values)
     df = spark.createDataFrame(list(enumerate(values)), "k int, value double").withColumn("index_id", F.lit("x"))
-    monkeypatch.setattr(ranking, "HOT_MINIMUM", 50)
-    monkeypatch.setattr(ranking, "HOT_SHARE", 200)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         ordered = ranking.ordered_counts(df.repartition(6), ["index_id"])
-        got = transforms.rank_long(df)
-        rows = got.collect()
+        rows = transforms.rank_long(df, limits=ranking.Limits(hot_minimum=50, hot_share=200, broadcast_rows=0)).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert ordered.agg(F.sum("cnt")).head()[0] == len(values)
