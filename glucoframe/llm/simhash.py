@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     chosen = docs.select(F.col(f"`{id_column}`").alias("doc_id"), fingerprint(F.col(f"`{text_column}`")).alias("fp"))
     prints = cut_lineage(chosen)
-    return prints.join(_classes(prints), "fp").select("doc_id", "fp", "root", "component_id")
+    # The classes are written first, so that both sides of the join are plain tables and Spark can split a hot fingerprint.
+    return prints.join(cut_lineage(_classes(prints)), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
