@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoframe.session import broadcast_if_small
+from glucoframe.session import broadcast_if_small, cut_lineage
 
 MOST_BROADCAST = 100_000
 
@@ -92,10 +92,11 @@ def canonical(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: Mapping[str, tuple[str, ...]]) -> DataFrame:
-    """(known, license) for every known text; of licences with the same canonical text the first by name."""
+    """(known, license, size) for every known text, size in code points; of licences with the same canonical text the
+    first by name."""
     rows = spark.createDataFrame([(name, text) for name, texts in known.items() for text in texts], "license string, text string")
-    digests = rows.select(F.sha2(canonical(canonical_lines(F.col("text"))), 256).alias("known"), "license")
-    return digests.groupBy("known").agg(F.min("license").alias("license"))
+    canon = rows.select("license", canonical(canonical_lines(F.col("text"))).alias("text"))
+    return canon.groupBy(F.sha2("text", 256).alias("known")).agg(F.min("license").alias("license"), F.first(F.char_length("text")).alias("size"))
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: Mapping[str, tuple[str, ...]] = KNOWN) -> DataFrame:
@@ -104,18 +105,24 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     `license` is the licence whose text the whole document is, null if none. `notices` lists the licences named by
     lines that are, each by itself, an entire known text (sorted, distinct; empty if none).
 
-    Digests are looked up by hash joins; the known side is broadcast up to MOST_BROADCAST texts. Lines that hit are
-    reduced to one row per canonical text before the shuffle. Null or empty texts and texts of punctuation have the
-    digest of the empty text and match nothing. Null or repeated ids: every row is judged by its text. Further columns
-    are ignored; an empty table gives no rows.
+    Texts are read once: the digest of the whole and those of lines as long as a known text go to a narrow table in the
+    shared folder (a line of another length matches nothing). They are looked up by hash joins; the known side is
+    broadcast up to MOST_BROADCAST texts. Lines that hit are reduced to one row per canonical text before the shuffle.
+
+    Null or empty texts and texts of punctuation have the digest of the empty text and match nothing. Null or repeated
+    ids: every row is judged by its text. Further columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    digests = broadcast_if_small(known_digests(spark, known), MOST_BROADCAST)
+    digests = cut_lineage(known_digests(docs.sparkSession, known))
+    sizes = sorted({row.size for row in digests.select("size").collect()})
+    digests = broadcast_if_small(digests.drop("size"), MOST_BROADCAST)
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), canonical_lines(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))).alias("lines"))
-    rows = rows.select("doc_id", "lines", F.sha2(canonical(F.col("lines")), 256).alias("text_digest"))
-    line = rows.select(F.col("text_digest").alias("of"), F.explode(F.split("lines", "\n")).alias("line"))
-    line = line.select("of", F.trim("line").alias("line")).where("line != ''").select("of", F.sha2("line", 256).alias("line_digest"))
-    notices = line.join(digests, F.col("line_digest") == F.col("known")).groupBy("of").agg(F.sort_array(F.collect_set("license")).alias("notices"))
-    whole = rows.select("doc_id", "text_digest").join(digests, F.col("text_digest") == F.col("known"), "left")
-    found = whole.join(notices, F.col("text_digest") == F.col("of"), "left")
-    return found.select("doc_id", "text_digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    trimmed = F.transform(F.split("lines", "\n"), lambda line: F.trim(line))
+    possible = F.filter(trimmed, lambda line: (line != "") & F.array_contains(F.lit(sizes), F.char_length(line)))
+    read = cut_lineage(rows.select(
+        "doc_id", F.sha2(canonical(F.col("lines")), 256).alias("text_digest"), F.transform(possible, lambda line: F.sha2(line, 256)).alias("found")
+    ))
+    line = read.select(F.col("text_digest").alias("of"), F.explode("found").alias("line"))
+    notices = line.join(digests, F.col("line") == F.col("known")).groupBy("of").agg(F.sort_array(F.collect_set("license")).alias("notices"))
+    whole = read.select("doc_id", "text_digest").join(digests, F.col("text_digest") == F.col("known"), "left")
+    result = whole.join(notices, F.col("text_digest") == F.col("of"), "left")
+    return result.select("doc_id", "text_digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
