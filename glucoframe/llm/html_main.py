@@ -37,7 +37,7 @@ ENDS_P = frozenset(
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored "
     "promo promotion banner notice notices notification alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search share sharing "
-    "social comment comments commentlist respond replies reply disqus related recommended pagination pager widget toolbar complementary contentinfo skip hidden".split()
+    "social dialog comment comments commentlist respond replies reply disqus related recommended pagination pager widget toolbar complementary contentinfo skip hidden".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*))>", re.DOTALL)
 _BROKEN = re.compile(r"<(?:/?[A-Za-z]|[!?])[^<>]*\Z")
@@ -46,8 +46,11 @@ _WORD = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW}
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes mark an element as not main text, and as main text (role=main or article)."""
+def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the attributes mark an element as not main text, and as main text (role=main or article).
+
+    Inside an article or main element a header is that of the text and stays.
+    """
     main = False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -55,7 +58,7 @@ def _marked(attributes: str) -> tuple[bool, bool]:
             return True, False
         if name == "role":
             main = main or value in ("main", "article")
-        if name in ("class", "id", "role") and any(word in MARKS for word in _WORD.findall(value)):
+        if name in ("class", "id", "role") and any(word in MARKS and not (inside and word == "header") for word in _WORD.findall(value)):
             return True, False
     return False, main
 
@@ -158,10 +161,11 @@ class Page:
                 else:
                     self._text.append(" " if name in ("br", "img", "input", "wbr") and name != "wbr" else "")
                 continue
-            marked, main = _marked(tag[3]) if tag[3] else (False, False)
-            in_article = any(f[2] == 2 for f in self._stack)
+            level = self._stack[-1][2]
+            in_article = level == 2
+            marked, main = _marked(tag[3], level > 0) if tag[3] else (False, False)
             dropped = name in DROPPED or marked and name not in ("body", "html", "article", "main") or marked and name == "article" and in_article
-            dropped = dropped or name == "header" and not in_article
+            dropped = dropped or name == "header" and level == 0
             if dropped and name not in ("html", "body", "head"):
                 if name not in INLINE:
                     self._flush()

@@ -25,6 +25,7 @@ def test_markup_that_names_itself():
 def test_pages_without_an_article():
     assert text_of("<body><nav>m</nav><main><p>a</p><p>b</main><p>c</body>") == "a\nb"
     assert text_of("<body><div role='main'><p>a</p></div><div>c</div>") == "a"
+    assert text_of("<header><h1>site</h1></header><main><header class='entry-header'><h1>t</h1></header><p>a</main>") == "t\na"
     assert text_of("<p>a<p>b<div>c</div>d") == "a\nb\nc\nd"
     assert text_of("just text &amp; more") == "just text & more"
 
