@@ -114,6 +114,8 @@ class _Archive:
         if self.compressor is None:
             self._begin()
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:  # an earlier run of the task got this far
+            self.fs.delete_file(self.path)
         self.fs.move(self.temporary, self.path)
 
 
