@@ -83,29 +83,45 @@ def sample(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sou
     draws, taken one by one. A source without words has target 0 and expects no copies. Further columns are ignored;
     an empty table gives no rows. Reruns agree.
     """
+    plan, ends, picked, drawn = _decided(docs, id_column, source_column, text_column, seed)
+    final = _with_ends(drawn, ends).join(broadcast_if_small(picked, BROADCAST_ROWS), "row", "left")
+    copies = F.col("certain") + (_before_end() | F.col("picked").isNotNull()).cast("long")
+    return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def _decided(docs: DataFrame, id_column: str, source_column: str, text_column: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What decides on every row, written to the shared folder: the plan per source and odds, where each source's draw
+    ends, the rows picked in that last step, and all rows with their draw."""
     size = word_count(F.col(f"`{text_column}`"))
     narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{source_column}`").alias("source"), size.alias("size"))
-    narrow = cut_lineage(narrow.withColumn("odds", short_odds(F.col("size"))).withColumn("row", F.monotonically_increasing_id()))
-    classes = narrow.groupBy("source", "odds").agg(F.sum("size").alias("words"))
+    narrow = cut_lineage(narrow.withColumn("row", F.monotonically_increasing_id()))
+    classes = narrow.groupBy("source", short_odds(F.col("size")).alias("odds")).agg(F.sum("size").alias("words"))
     sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
     plan = _expected(classes.join(sources.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own"))
-    plan = plan.select(F.col("source").alias("own"), F.col("odds").alias("own_odds"), "source_size", "target", F.coalesce("expected", F.lit(0.0)).alias("expected"))
+    plan = cut_lineage(plan.select(F.col("source").alias("own"), F.col("odds").alias("own_odds"), "source_size", "target", F.coalesce("expected", F.lit(0.0)).alias("expected")))
+    drawn = cut_lineage(_drawn(narrow, plan, seed))
+    ends = _ends(drawn)
+    near = drawn.where("rank IS NOT NULL").join(broadcast_if_small(ends, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("own")))
+    return plan, ends, cut_lineage(_picked(near)), drawn
+
 
-    same = F.col("source").eqNullSafe(F.col("own")) & (F.col("odds") == F.col("own_odds"))
-    planned = narrow.join(broadcast_if_small(cut_lineage(plan), BROADCAST_ROWS), same).drop("own", "own_odds", "odds")
+def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows (doc_id, source, size, ...) with their certain copies and, where a fraction is left, rank and rank step."""
+    same = F.col("source").eqNullSafe(F.col("own")) & (short_odds(F.col("size")) == F.col("own_odds"))
+    planned = rows.join(broadcast_if_small(plan, BROADCAST_ROWS), same).drop("own", "own_odds")
     p, u = F.col("expected") - F.floor("expected"), uniform(F.col("doc_id"), seed)
     key = (u / (1 - u)) / (p / (1 - p))
     drawn = planned.withColumn("certain", F.floor("expected").cast("long")).withColumn("rank", F.when((p > 0) & (F.col("size") > 0), key / (1 + key)))
-    drawn = cut_lineage(drawn.drop("expected").withColumn("step", F.floor(F.col("rank") * BINS).cast("int")))
-    ends = _ends(drawn)
-    near = drawn.where("rank IS NOT NULL").join(broadcast_if_small(ends, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("own")))
-    picked = broadcast_if_small(cut_lineage(_picked(near)), BROADCAST_ROWS)
-    final = drawn.join(broadcast_if_small(ends, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("own")), "left")
-    final = final.join(picked, "row", "left")
-    # A source without an end takes every document that takes part in the draw.
-    taken = F.col("rank").isNotNull() & (F.col("last").isNull() | (F.col("step") < F.col("last")) | F.col("picked").isNotNull())
-    copies = F.col("certain") + taken.cast("long")
-    return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return drawn.drop("expected").withColumn("step", F.floor(F.col("rank") * BINS).cast("int"))
+
+
+def _with_ends(drawn: DataFrame, ends: DataFrame) -> DataFrame:
+    return drawn.join(broadcast_if_small(ends, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("own")), "left")
+
+
+def _before_end() -> Column:
+    """Taken by rank alone. A source without an end takes every document that takes part in the draw."""
+    return F.col("rank").isNotNull() & (F.col("last").isNull() | (F.col("step") < F.col("last")))
 
 
 def _ends(drawn: DataFrame) -> DataFrame:
@@ -138,18 +154,24 @@ def _picked(near: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", seed: int = 7) -> DataFrame:
     """The rows of the mix: every row as often as the sample takes it, columns unchanged.
 
-    Copies depend on source, size and the draw of the id alone, so the rows find theirs by id; where ids are null or
-    repeat, the copies of equal (id, source, size) rows are handed out one by one.
+    A row's copies follow from its id, source and size, the plan and where its source's draw ends; so texts are not
+    shuffled. Only the few rows picked in the last rank steps are found by id, source and size; where several rows agree
+    in these, the picks are handed out one by one.
     """
-    counts = sample(docs, id_column, source_column, text_column, seed).select("doc_id", "source", "size", "copies")
-    counts = cut_lineage(counts.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")))
-    rows = packed(docs, id=F.col(f"`{id_column}`"), src=F.col(f"`{source_column}`"), words=word_count(F.col(f"`{text_column}`")))
-    match = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    single = rows.join(counts.where("n = 1 AND copies > 0"), match).select("row", "copies")
-    several = counts.where("n > 1")
-    if several.limit(1).count():
-        shared = rows.join(several, match).withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("row"))) - 1)
-        base = F.floor(F.col("copies") / F.col("n")).cast("long")
-        given = base + (F.col("place") < F.col("copies") - base * F.col("n")).cast("long")
-        single = single.union(shared.select("row", given.alias("copies")).where("copies > 0"))
-    return single.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+    plan, ends, picked, drawn = _decided(docs, id_column, source_column, text_column, seed)
+    key = [F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")]
+    edge = _with_ends(drawn, ends).where("rank IS NOT NULL AND step >= last").join(broadcast_if_small(picked, BROADCAST_ROWS), "row", "left")
+    groups = edge.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("picked").alias("picks")).where("picks > 0")
+    groups = broadcast_if_small(cut_lineage(groups), BROADCAST_ROWS)
+    rows = packed(docs, doc_id=F.col(f"`{id_column}`"), source=F.col(f"`{source_column}`"), size=word_count(F.col(f"`{text_column}`")))
+    rows = _with_ends(_drawn(rows, plan, seed), ends)
+    found = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
+    rows = rows.join(groups, found, "left").withColumn("by_rank", _before_end().cast("long"))
+    several = F.coalesce(F.col("picks") < F.col("n"), F.lit(False))
+    simple = rows.where(~several).select("row", (F.col("certain") + F.when(F.col("picks") > 0, 1).otherwise(F.col("by_rank"))).alias("copies"))
+    if groups.where("picks < n").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.xxhash64("row")))
+        shared = rows.where(several).withColumn("place", place)
+        simple = simple.union(shared.select("row", (F.col("certain") + (F.col("place") <= F.col("picks")).cast("long")).alias("copies")))
+    kept = simple.where("copies > 0")
+    return kept.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
