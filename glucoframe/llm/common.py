@@ -30,6 +30,13 @@ def strings(values: pa.Array, step: int = 256) -> Iterator[str]:
             yield value or ""
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `step` rows, for results that are as large as the texts they come from."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucoframe.llm.common import strings
+from glucoframe.llm.common import few_rows, strings
 from glucoframe.session import cut_lineage
 
 LENGTH = 1024
@@ -140,7 +140,7 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str, id_column: str, text_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = _encoder(ranks_path, pattern), TaskContext.get().partitionId(), {}
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in few_rows(batches):
             queues, ids, starts = batch.column("queue").to_pylist(), [], []
             for queue, text in zip(queues, strings(batch.column("text"))):
                 ids.append(np.array(encoder.encode_ordinary(text), "<u4").tobytes() + end)
@@ -192,7 +192,7 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *shape, place_of, first_of = shared.value
         plan = Plan(*shape)
-        for batch in batches:
+        for batch in few_rows(batches):
             rows: list[list] = [[] for _ in range(7)]
             row_of = []
             columns = [batch.column(c).to_pylist() for c in ("queue", "part", "start", "n", "ids")]
