@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of anything but ASCII white space. Over UTF-8, bytes.split() cuts at exactly these bytes.
@@ -30,6 +30,16 @@ def strings(values: pa.Array, step: int = 256) -> Iterator[str]:
             yield value or ""
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let the session hand at most so many rows at once to Python, where rows are whole texts or their ids.
+
+    Both sides hold a batch, and the buffers outside the heap grow by doubling. The setting stays; it changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of at most `step` rows, for results that are as large as the texts they come from."""
     for batch in batches:

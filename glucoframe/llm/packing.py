@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucoframe.llm.common import few_rows, strings
+from glucoframe.llm.common import few_rows, small_batches, strings
 from glucoframe.session import cut_lineage
 
 LENGTH = 1024
@@ -171,6 +171,7 @@ def pack(
     no sort. Null text: the END id alone. Null source: a queue of its own. Null or repeated ids: each row is a document of
     its own. Further columns are ignored. An empty table gives no pieces.
     """
+    small_batches(docs.sparkSession)
     ids = cut_lineage(tokens(docs, ranks_path, pattern, id_column, text_column, queue_column))
     spark, kind = docs.sparkSession, ids.schema["doc_id"].dataType.simpleString()
     sums = cut_lineage(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")))
