@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -20,19 +21,27 @@ RADIUS = 2  # differing bits that still link
 _CHUNK = 1 << 14  # shingles whose bits are counted at once
 
 
-def fingerprint_of(data: bytes, words_each: int = SHINGLE_WORDS) -> int:
-    """64 bits of one text in UTF-8: bit i is set if it is set in over half of the shingles' hashes."""
+def _shingles(data: bytes, words_each: int) -> list[bytes]:
     words = data.translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= words_each:
-        shingles = [joined]
-    else:
-        ends = list(accumulate(map(len, words)))
-        starts = [0, *[end + k for k, end in enumerate(ends[:-words_each], 1)]]
-        stops = [end + k for k, end in enumerate(ends[words_each - 1 :], words_each - 1)]
-        shingles = list(map(joined.__getitem__, map(slice, starts, stops)))
+        return [joined]
+    ends = list(accumulate(map(len, words)))
+    starts = [0, *[end + k for k, end in enumerate(ends[:-words_each], 1)]]
+    stops = [end + k for k, end in enumerate(ends[words_each - 1 :], words_each - 1)]
+    return list(map(joined.__getitem__, map(slice, starts, stops)))
+
+
+def shingle_hashes(data: bytes, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 64-bit hashes of a text's shingles in order."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, _shingles(data, words_each), repeat(SEED)), np.uint64)
+
+
+def fingerprint_of(data: bytes, words_each: int = SHINGLE_WORDS) -> int:
+    """64 bits of one text in UTF-8: bit i is set if it is set in over half of the shingles' hashes."""
+    shingles = _shingles(data, words_each)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(shingles), _CHUNK):
         hashes = b"".join(map(xxhash.xxh64_digest, shingles[at : at + _CHUNK], repeat(SEED)))
@@ -110,10 +119,10 @@ def links(prints: DataFrame, width: int = 2) -> DataFrame:
     return pairs.union(stars).where((F.col("u") != F.col("v")) & near).distinct()
 
 
-def _classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint of a written table (doc_id, fp); a root stands for its component."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    rooted = cut_lineage(roots(links(distinct.select("fp"))))
+    rooted = cut_lineage(roots(edges(distinct.select("fp"))))
     named = rooted.join(distinct, rooted.node == distinct.fp).select("fp", "root", "doc_id")
     named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select(F.col("fp").alias("linked"), "root", "component_id")
     joined = distinct.join(named, distinct.fp == F.col("linked"), "left")
@@ -133,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     chosen = docs.select(F.col(f"`{id_column}`").alias("doc_id"), fingerprint(F.col(f"`{text_column}`")).alias("fp"))
     prints = cut_lineage(chosen)
     # The classes are written first, so that both sides of the join are plain tables and Spark can split a hot fingerprint.
-    return prints.join(cut_lineage(_classes(prints)), "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(cut_lineage(classes(prints)), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -141,7 +150,12 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Where ids are null or repeat, one row stays as well: of several candidates that with the least text hash.
     """
-    marked = cut_lineage(near_duplicates(docs, id_column, text_column))
+    return keep_one(docs, near_duplicates(docs, id_column, text_column), id_column, text_column, fingerprint)
+
+
+def keep_one(docs: DataFrame, near: DataFrame, id_column: str, text_column: str, print_of: Callable[[Column], Column]) -> DataFrame:
+    """One row of each group of `near` (doc_id, fp, root, component_id), where print_of makes fp from a text."""
+    marked = cut_lineage(near)
     ids = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     unsure = broadcast_if_small(cut_lineage(ids.where("n > 1 OR doc_id IS NULL").select("doc_id")), BROADCAST_ROWS)
     losers = marked.where("doc_id != component_id").select("doc_id").distinct()
@@ -150,9 +164,9 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     sure = rows.join(unsure.where("doc_id IS NOT NULL"), "doc_id", "left_anti").where("doc_id IS NOT NULL").join(losers, "doc_id", "left_anti")
     if not unsure.limit(1).count():
         return sure.select("row.*")
-    classes = marked.select("fp", "root", "component_id").distinct()
+    known = marked.select("fp", "root", "component_id").distinct()
     again = rows.join(unsure.withColumnRenamed("doc_id", "again"), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
-    again = again.select("row", "doc_id", "text", fingerprint(F.col("text")).alias("fp")).join(classes, "fp")
+    again = again.select("row", "doc_id", "text", print_of(F.col("text")).alias("fp")).join(known, "fp")
     again = again.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = again.groupBy("root").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
     return sure.select("row.*").unionByName(kept.select("row.*"))
