@@ -19,6 +19,7 @@ from glucoframe.session import cut_lineage
 LENGTH = 1024
 WINDOW_SEQUENCES = 64
 END = 0
+SPECIAL = "<|endoftext|>"
 # Queues and quota numbers that are kept in memory: they bound what the driver plans and every task receives.
 MOST_SOURCES = 20_000
 MOST_QUOTAS = 2_000_000
@@ -26,12 +27,17 @@ MOST_QUOTAS = 2_000_000
 
 @lru_cache(maxsize=2)
 def _encoder(ranks_path: str, pattern: str):
-    """Byte-level BPE from a file of ranks. No string counts as a special token."""
+    """Byte-level BPE from a file of ranks, with the vocabulary's one special token behind the last rank."""
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: max(ranks.values()) + 1})
+
+
+def encoded(encoder, text: str) -> list[int]:
+    """The ids of a text as the tokenizers library gives them: SPECIAL is one token wherever it stands."""
+    return encoder.encode(text, allowed_special={SPECIAL}, disallowed_special=()) if SPECIAL in text else encoder.encode_ordinary(text)
 
 
 def deal(left: np.ndarray, weights: np.ndarray, deficits: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +149,7 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str, id_column: str, text_
         for batch in few_rows(batches):
             queues, ids, starts = batch.column("queue").to_pylist(), [], []
             for queue, text in zip(queues, strings(batch.column("text"))):
-                ids.append(np.array(encoder.encode_ordinary(text), "<u4").tobytes() + end)
+                ids.append(np.array(encoded(encoder, text), "<u4").tobytes() + end)
                 starts.append(seen.get(queue, 0))
                 seen[queue] = starts[-1] + len(ids[-1]) // 4
             columns = [batch.column("doc_id"), batch.column("queue"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]

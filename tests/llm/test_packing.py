@@ -98,3 +98,15 @@ def test_both_libraries_agree_on_every_character(tokenizer):
         assert [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)] == [encoder.encode_ordinary(t) for t in some]
     text = "<|endoftext|>  two  spaces\n\n 's <|endoftext|>"
     assert tokenizer.encode(text, add_special_tokens=False).ids == encoder.encode_ordinary(text)
+
+
+def test_special_token_in_a_text(spark):
+    """The ids are those of the tokenizers library as it comes, also where a text holds its special token."""
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n <|endoftext|>  y's", "<|endoftext |> <|ENDOFTEXT|> <|endoftext", "none", "é<|endoftext|>😀"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").coalesce(1)
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(docs, *vocabulary()).collect()}
+    assert found == {k: [*plain.encode(t, add_special_tokens=False).ids, packing.END] for k, t in enumerate(texts)}
+    assert found[0] == [64, 220, 50256, 275, packing.END]
