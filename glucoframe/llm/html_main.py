@@ -27,6 +27,10 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "script style template noscript head title nav footer aside form button select option textarea input fieldset dialog menu svg math canvas audio video iframe object embed map xmp noembed noframes".split()
 )
+# An element with a mark inside a longer name is dropped up to this share of the page's text, and articles or the main
+# element are taken for the main text from this share on.
+MOST_MARKED = 1 / 3
+LEAST_MAIN = 1 / 2
 # Text elements hold the running text itself; inside an article they are never taken for a template.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,21 +50,25 @@ _WORD = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW}
 
 
-def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether the attributes mark an element as not main text, and as main text (role=main or article).
+def _marked(attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether the attributes mark an element as not main text, perhaps do, and mark it as main text (role=main or article).
 
-    Inside an article or main element a header is that of the text and stays.
+    A whole name (class="comments") is a mark; a word inside a longer name (class="has-comments") only may be one. Inside
+    an article or main element a header is that of the text and stays.
     """
-    main = False
+    main = maybe = False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True, False
+            return True, False, False
         if name == "role":
             main = main or value in ("main", "article")
-        if name in ("class", "id", "role") and any(word in MARKS and not (inside and word == "header") for word in _WORD.findall(value)):
-            return True, False
-    return False, main
+        if name in ("class", "id", "role"):
+            marks = {word for word in _WORD.findall(value) if word in MARKS and not (inside and word == "header")}
+            if marks.intersection(value.split()):
+                return True, False, False
+            maybe = maybe or bool(marks)
+    return False, maybe, main
 
 
 class Page:
@@ -71,8 +79,20 @@ class Page:
     """
 
     def __init__(self, html: str):
+        self._kept: set[int] = set()  # places of elements that a longer name marks but that hold much of the text
+        while True:
+            self._start(html)
+            most = MOST_MARKED * (sum(len(text) for text, _, _ in self.blocks) + sum(self._skipped.values()))
+            large = {at for at, size in self._skipped.items() if size > most}
+            if not large:
+                break
+            self._kept |= large
+
+    def _start(self, html: str) -> None:
         self.blocks: list[tuple[str, int, int]] = []  # text, node, 2 inside an article, 1 inside main, else 0
         self.nodes: list[list] = []
+        self._titles: set[int] = set()  # nodes that are a first heading
+        self._skipped: dict[int, int] = {}  # characters inside elements that a longer name marks, by place
         self._text: list[str] = []
         self._stack: list[list] = []  # name, node, level
         self._inner: list[list[str]] = []
@@ -87,6 +107,8 @@ class Page:
         above = self._stack[-1][2] if self._stack else 0
         level = max(level, above)
         self.nodes.append([0, parent, bool(name not in ("body", "html", "article", "main") and not (above == 2 and name in TEXT))])
+        if name == "h1":
+            self._titles.add(len(self.nodes) - 1)
         self._stack.append([name, len(self.nodes) - 1, level])
         self._inner.append([name])
 
@@ -110,6 +132,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         at, size, skip, depth = 0, len(html), None, 0  # skip: name of the dropped element around, depth: those of its name
+        perhaps = None  # place of the element around if only a longer name marks it
         broken = _BROKEN.search(html)
         if broken:
             size = broken.start()
@@ -118,6 +141,8 @@ class Page:
             stop = tag.start() if tag else size
             if skip is None and stop > at:
                 self._text.append(html[at:stop])
+            elif perhaps is not None:
+                self._skipped[perhaps] += len(" ".join(html[at:stop].split()))
             if tag is None:
                 return
             at = tag.end()
@@ -162,10 +187,12 @@ class Page:
                     self._text.append(" " if name in ("br", "img", "input", "wbr") and name != "wbr" else "")
                 continue
             level = self._stack[-1][2]
-            in_article = level == 2
-            marked, main = _marked(tag[3], level > 0) if tag[3] else (False, False)
-            dropped = name in DROPPED or marked and name not in ("body", "html", "article", "main") or marked and name == "article" and in_article
-            dropped = dropped or name == "header" and level == 0
+            marked, maybe, main = _marked(tag[3], level > 0) if tag[3] else (False, False, False)
+            dropped = name in DROPPED or marked and name not in ("body", "html", "main") or name == "header" and level == 0
+            perhaps = None
+            if maybe and not dropped and name not in ("body", "html", "main") and tag.start() not in self._kept:
+                dropped, perhaps = True, tag.start()
+                self._skipped[perhaps] = 0
             if dropped and name not in ("html", "body", "head"):
                 if name not in INLINE:
                     self._flush()
@@ -198,9 +225,14 @@ class Page:
             self._flush()
 
     def main_blocks(self) -> list[tuple[str, int]]:
-        """The blocks inside articles if there are any, else those inside main, else all."""
-        best = max((level for _, _, level in self.blocks), default=0)
-        return [(text, node) for text, node, level in self.blocks if level == best]
+        """The blocks inside articles if they hold LEAST_MAIN of the page's text, else those inside main if these do, else all.
+
+        A first heading beside them belongs to them if they have none.
+        """
+        sizes = [sum(len(text) for text, _, level in self.blocks if level >= least) for least in range(3)]
+        best = next(least for least in (2, 1, 0) if sizes[least] >= sizes[0] * LEAST_MAIN)
+        titled = any(level >= best and node in self._titles for _, node, level in self.blocks)
+        return [(text, node) for text, node, level in self.blocks if level >= best or not titled and node in self._titles]
 
 
 def host_of(url: Column) -> Column:
@@ -263,7 +295,7 @@ def main_text(
     """(page_id, url, text, n_chars, n_removed): the main text, one block a line, and the number of template subtrees deleted.
 
     Menus, footers, forms and other parts that the markup names are dropped while parsing; the rest is the page's
-    articles, else its main element, else its body. Of that, subtrees that recur across the host's pages are deleted.
+    articles or its main element if they hold half of its text, else its body. Of that, subtrees that recur across the host's pages are deleted.
     Text elements (paragraphs, headings, list items) inside an article stay even if they recur.
 
     Pages are parsed once and their blocks and hashes written to the shared folder. Null or empty html: empty text.

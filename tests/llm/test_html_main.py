@@ -77,3 +77,20 @@ def test_odd_rows(spark):
     assert sorted((r.page_id or -1, r.n_chars) for r in found)[:5] == [(-1, 1), (1, 0), (1, 0), (2, 1), (2, 1)]
     assert max(r.n_chars for r in found) > 500_000 and all(r.text is not None for r in found)
     assert html_main.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_main_text_is_chosen_by_its_share():
+    long = "Words of the text itself that go on for a while."
+    assert text_of(f"<body><main><h1>T</h1><p>{long}</p><article><p>Teaser</p></article></main></body>") == f"T\n{long}\nTeaser"
+    assert text_of(f"<body><div><p>{long}</p></div><article class='comment'><p>{long} No!</p></article></body>") == long
+    assert text_of(f"<body><div><p>{long}</p></div><article><p>Teaser</p></article></body>") == f"{long}\nTeaser"
+    assert text_of(f"<body><h1>Title</h1><article><p>{long}</p></article><p>beside</p></body>") == f"Title\n{long}"
+    assert text_of(f"<body><h1>Site</h1><article><h1>Title</h1><p>{long}</p></article></body>") == f"Title\n{long}"
+
+
+def test_a_mark_inside_a_longer_name_drops_small_parts_only():
+    long = "Words of the text itself that go on for a while."
+    for start, end in (('<div class="content no-sidebar">', "</div>"), ('<div class="post has-comments">', "</div>"), ('<section id="notice-of-results">', "</section>"), ('<article class="has-sidebar">', "</article>")):
+        assert text_of(f"<body>{start}<p>{long}</p><div class='share-buttons'>Share</div>{end}</body>") == long
+        assert text_of(f"<body><div id='no-nav'>{start}<p>{long}</p>{end}</div></body>") == long
+    assert text_of(f"<body><div><p>{long}</p></div><div class='comments'><p>{long}</p><p>{long}</p></div></body>") == long
