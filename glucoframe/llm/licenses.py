@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,19 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"),
 }
+
+
+def _full_texts() -> dict[str, tuple[str, ...]]:
+    """The licences of the folder license_texts, each whole and, where it has an appendix on how to apply it, without that."""
+    found = {}
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        found[path.stem] = (text, *([terms, terms + end] if end else []))
+    return found
+
+
+KNOWN |= {name: KNOWN.get(name, ()) + texts for name, texts in _full_texts().items()}
 # Spellings that count as one: license/licence, favor/favour, organize/organise, center/centre, acknowledgment/acknowledgement,
 # noncommercial/non-commercial, merchantability/merchantibility, willful/wilful, http/https. The letters in which they
 # differ are taken out, so canonical text is made for comparing, not for reading.

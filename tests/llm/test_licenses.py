@@ -28,3 +28,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
     punctuation = spark.createDataFrame([(1, "--- !!! ---"), (1, "--- !!! ---")], DOCS)
     assert [r.license for r in licenses.scan(punctuation).collect()] == [None, None]
+
+
+def test_whole_texts_of_the_long_licences(spark):
+    from pathlib import Path
+
+    paths = sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))
+    texts = {path.stem: path.read_text(encoding="utf-8") for path in paths}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    rows = list(enumerate([*texts.values(), *[" ".join(t.upper().split()) if "opyright" not in t else t.upper() for t in texts.values()]]))
+    rows += [(100, texts["Apache-2.0"].partition("APPENDIX")[0]), (101, texts["GPL-2.0"][:-2000])]
+    found = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [found[k] for k in range(2 * len(texts))] == 2 * list(texts)
+    assert found[100] == "Apache-2.0" and found[101] is None
