@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoframe.llm import html_main, licenses, lz_fingerprint, mixing, packing, quality, resharding, simhash, url_rules, warc
+from glucoframe.llm import fill_in_middle, html_main, licenses, lz_fingerprint, mixing, packing, quality, resharding, simhash, url_rules, warc
 from glucoframe.llm import sql
 from glucoframe.session import scratch_path
 
@@ -81,6 +81,14 @@ def op10_segment_popcount(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_chunk_memoization(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, folder, "documents"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_digests": op1_license_digests,
     "op2_repetition_coverage": op2_repetition_coverage,
@@ -92,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pareto_mix": op8_pareto_mix,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_segment_popcount": op10_segment_popcount,
+    "op11_chunk_memoization": op11_chunk_memoization,
 }
 SQL: dict[str, str] = sql.SQL

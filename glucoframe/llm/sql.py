@@ -132,10 +132,29 @@ closing AS (
 taken AS (SELECT *, certain + CASE WHEN fits OR (place = 1 AND rank IS NOT NULL AND NOT fits AND most > missing AND abs(size - gap) < gap) THEN 1 ELSE 0 END AS copies FROM closing)
 SELECT doc_id, size, source_size, round(target, 6) AS target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM taken"""
 
+# Every text is split into its tokens; the pieces are put together from the list.
+MIDDLE_SQL = """
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+        sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents),
+draws AS (SELECT *, len(u)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS d FROM t),
+cuts AS (
+    SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS low, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS high,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain'
+            WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM draws),
+parts AS (SELECT *, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m, array_to_string(u[high + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts"""
+
 SQL: dict[str, str] = {
     "op1_license_digests": _license_sql(),
     "op2_repetition_coverage": _quality_sql(),
     "op4_dictionary_warc": WARC_SQL,
     "op6_url_rules": _url_sql(),
     "op8_pareto_mix": MIX_SQL,
+    "op11_chunk_memoization": MIDDLE_SQL,
 }

@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     engine = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     engine.execute(f"CREATE TABLE wanted AS {SQL[name]}")
     got = queries.QUERIES[name](spark, FOLDER).toArrow()
