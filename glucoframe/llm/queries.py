@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glucoframe.llm import fill_in_middle, html_main, licenses, lz_fingerprint, mixing, packing, quality, resharding, simhash, url_rules, warc
+from glucoframe.llm import conversation_repair, fill_in_middle, html_main, licenses, lz_fingerprint, mixing, packing, piece_encoding, quality, resharding, simhash, url_rules, warc
 from glucoframe.llm import sql
 from glucoframe.session import scratch_path
 
@@ -89,6 +89,21 @@ def op11_chunk_memoization(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, folder, "conversations"))
+    return conversation_repair.digested(conversation_repair.repair(turns))
+
+
+def op13_offset_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    made = piece_encoding.encode(table(spark, folder, "documents"), model)
+    text = piece_encoding.decoded(F.col("ids"), model)
+    spans = F.crc32(F.concat("starts", "ends"))
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"), spans.alias("spans_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_digests": op1_license_digests,
     "op2_repetition_coverage": op2_repetition_coverage,
@@ -101,5 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixture_packing": op9_mixture_packing,
     "op10_segment_popcount": op10_segment_popcount,
     "op11_chunk_memoization": op11_chunk_memoization,
+    "op12_prefix_doubling": op12_prefix_doubling,
+    "op13_offset_encoding": op13_offset_encoding,
 }
 SQL: dict[str, str] = sql.SQL

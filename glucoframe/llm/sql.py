@@ -150,6 +150,69 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS
     sha256(text) AS restored_sha256
 FROM parts"""
 
+def _moves() -> str:
+    """What a turn may become after each state (0 nothing yet, 1 system, 2 user, 3 assistant): up to two insertions, then the
+    turn deleted (D), kept with the role that fits (K) or given the other (R)."""
+    following = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    rows = []
+    for state in range(4):
+        after, letters, added = state, "", []
+        for _ in range(3):
+            target, role = following[after]
+            lists = "[" + ", ".join(f"'{r}:'" for r in added) + "]::VARCHAR[]"
+            cost = 3 * len(added)
+            rows.append(f"({state}, '{letters}D', 'D', NULL, NULL, {after}, {cost + 4}, {lists})")
+            rows.append(f"({state}, '{letters}K', 'K', '{role[0]}', NULL, {target}, {cost}, {lists})")
+            if after == 0:
+                rows.append(f"({state}, '{letters}K', 'K', 's', NULL, 1, {cost}, {lists})")
+            rows.append(f"({state}, '{letters}R', 'R', NULL, '{role}', {target}, {cost + 3}, {lists})")
+            letters, added, after = letters + "I", [*added, role], target
+    return ", ".join(rows)
+
+
+# CRC-32 is put together from its polynomial; the least (cost, audit) per state goes from turn to turn.
+REPAIR_SQL = rf"""
+WITH RECURSIVE polynomial AS (
+    SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+filled AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key FROM conversations),
+kinds AS (
+    SELECT filled.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(key, lambda c: ascii(c)::BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 20 AS kind FROM filled, polynomial),
+copied AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM copied),
+turns AS (
+    SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'sound' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+    FROM numbered),
+moves AS (SELECT * FROM (VALUES {_moves()}) AS m(q, letters, edit, needed, given, target, price, added)),
+paths AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, q, best['cost'], best['audit'], best['lines'] FROM (
+        SELECT p.conv_id, p.i + 1 AS i, m.target AS q, min({{
+            'cost': p.cost + m.price + CASE WHEN m.edit <> 'D' AND t.fault = 'truncated' THEN 3 ELSE 0 END, 'audit': p.audit || m.letters,
+            'lines': p.lines || m.added || CASE m.edit WHEN 'D' THEN []::VARCHAR[] ELSE [coalesce(m.given, t.role) || ':' || t.text] END}}) AS best
+        FROM paths p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1
+        JOIN moves m ON m.q = p.q AND (m.needed IS NULL OR m.needed = t.initial) AND (m.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+        GROUP BY ALL)),
+counts AS (
+    SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(i) AS n
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+ended AS (
+    SELECT p.conv_id, min({{'cost': p.cost + e.price, 'audit': p.audit || e.letters, 'lines': p.lines || e.added}}) AS best
+    FROM paths p JOIN counts c ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n
+    JOIN (VALUES (0, '', 0, []::VARCHAR[]), (1, 'II', 6, ['user:', 'assistant:']), (2, 'I', 3, ['assistant:']), (3, '', 0, []::VARCHAR[])) AS e(q, letters, price, added) ON e.q = p.q
+    GROUP BY p.conv_id)
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, best['cost']::BIGINT AS cost, best['audit'] AS audit, sha256(array_to_string(best['lines'], chr(10))) AS repaired_sha256
+FROM counts c JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 SQL: dict[str, str] = {
     "op1_license_digests": _license_sql(),
     "op2_repetition_coverage": _quality_sql(),
@@ -157,4 +220,5 @@ SQL: dict[str, str] = {
     "op6_url_rules": _url_sql(),
     "op8_pareto_mix": MIX_SQL,
     "op11_chunk_memoization": MIDDLE_SQL,
+    "op12_prefix_doubling": REPAIR_SQL,
 }
