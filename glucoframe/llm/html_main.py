@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from glucoframe.llm.common import BROADCAST_ROWS
 from glucoframe.session import broadcast_if_small, cut_lineage
 
-# A subtree is the site's template if it recurs on at least so many different pages and this share of the host's pages.
+# A subtree is the site's template if it recurs on at least so many different pages of the host.
 MIN_PAGES = 5
-MIN_SHARE = 0.5
+# A text element among the first or last EDGE of an article is one if it does so on this share, and at least so many, of the
+# different pages under the same first step of the path: versions of one text share their first and last paragraphs too.
+EDGE = 3
+MIN_EDGE_PAGES = 25
+MIN_EDGE_SHARE = 0.5
 
 # Names of HTML: elements whose content is raw text, has no end tag, flows inside a line, or is never main text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -25,13 +29,13 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 DROPPED = frozenset(
-    "script style template noscript head title nav footer aside form button select option textarea input fieldset dialog menu svg math canvas audio video iframe object embed map xmp noembed noframes".split()
+    "template noscript head nav footer aside form button select option input fieldset dialog menu svg math canvas audio video object map".split()
 )
 # An element with a mark inside a longer name is dropped up to this share of the page's text, and articles or the main
 # element are taken for the main text from this share on.
 MOST_MARKED = 1 / 3
 LEAST_MAIN = 1 / 2
-# Text elements hold the running text itself; inside an article they are never taken for a template.
+# Text elements hold the running text itself; inside an article they are a template at its edges only.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset(
@@ -43,11 +47,16 @@ MARKS = frozenset(
     "promo promotion banner notice notices notification alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search share sharing "
     "social dialog comment comments commentlist respond replies reply disqus related recommended pagination pager widget toolbar complementary contentinfo skip hidden".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*))>", re.DOTALL)
-_BROKEN = re.compile(r"<(?:/?[A-Za-z]|[!?])[^<>]*\Z")
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+_BROKEN = re.compile(r"<(?:/?[A-Za-z]|[!?])")
+_MARK = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+_LONG_NUMBER = re.compile(r"&#0*([0-9]+);?")
+
+# What is known of an element, as bits: its level (2 inside an article, 1 inside main), then these.
+LEVEL, BOX, ARTICLE_TEXT, GONE, PERHAPS, TITLE = 3, 4, 8, 16, 32, 64
 
 
 def _marked(attributes: str, inside: bool) -> tuple[bool, bool, bool]:
@@ -71,266 +80,390 @@ def _marked(attributes: str, inside: bool) -> tuple[bool, bool, bool]:
     return False, maybe, main
 
 
+def _decoded(text: str) -> str:
+    """Character references decoded; a number too large for a character is the replacement character."""
+    if "&" not in text:
+        return text
+    return unescape(_LONG_NUMBER.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "�", text))
+
+
 class Page:
-    """The blocks of a page and the element subtrees that hold them.
+    """A page as runs of text inside a tree of block elements (and of inline elements that are marked).
 
-    nodes: (subtree hash, parent or -1, deletable) for every block-level element that holds text; blocks: (text, node).
-    Dropped elements leave neither. The hash covers the names and texts of the whole subtree.
+    runs: (text, node, opens) where opens tells whether a block begins; white space is one space, also at a run's ends.
+    parents, kinds, hashes: of the nodes, parents first. The hash covers the names and texts of the whole subtree, whatever
+    the elements are called. The markup is read once from left to right: the end of a tag is looked for once, and if quotes never
+    end they count for nothing in the rest of the page, so the time is in proportion to the page.
     """
 
     def __init__(self, html: str):
-        self._kept: set[int] = set()  # places of elements that a longer name marks but that hold much of the text
-        while True:
-            self._start(html)
-            most = MOST_MARKED * (sum(len(text) for text, _, _ in self.blocks) + sum(self._skipped.values()))
-            large = {at for at, size in self._skipped.items() if size > most}
-            if not large:
-                break
-            self._kept |= large
-
-    def _start(self, html: str) -> None:
-        self.blocks: list[tuple[str, int, int]] = []  # text, node, 2 inside an article, 1 inside main, else 0
-        self.nodes: list[list] = []
-        self._titles: set[int] = set()  # nodes that are a first heading
-        self._skipped: dict[int, int] = {}  # characters inside elements that a longer name marks, by place
+        self.runs: list[tuple[str, int, bool]] = []
+        self.parents: list[int] = []
+        self.kinds: list[int] = []
+        self.hashes: list[int] = []
+        self._html, self._quotes = html, True
         self._text: list[str] = []
-        self._stack: list[list] = []  # name, node, level
+        self._opens = True
+        self._stack: list[tuple[str, int]] = []
+        self._open_names: Counter[str] = Counter()
         self._inner: list[list[str]] = []
         self._open("body", 0)
-        self._read(html)
+        self._read()
         while self._stack:
             self._close()
 
-    def _open(self, name: str, level: int) -> None:
-        self._flush()
+    def _open(self, name: str, level: int, extra: int = 0, inline: bool = False) -> None:
+        self._flush(ends=not inline)
         parent = self._stack[-1][1] if self._stack else -1
-        above = self._stack[-1][2] if self._stack else 0
-        level = max(level, above)
-        self.nodes.append([0, parent, bool(name not in ("body", "html", "article", "main") and not (above == 2 and name in TEXT))])
-        if name == "h1":
-            self._titles.add(len(self.nodes) - 1)
-        self._stack.append([name, len(self.nodes) - 1, level])
+        above = self.kinds[parent] if parent >= 0 else 0
+        kind = max(level, above & LEVEL) | extra
+        if name in TEXT and above & LEVEL == 2:
+            kind |= ARTICLE_TEXT
+        elif name not in ("body", "article", "main") and not inline:
+            kind |= BOX
+        self.parents.append(parent)
+        self.kinds.append(kind | (TITLE if name == "h1" else 0))
+        self.hashes.append(0)
+        self._stack.append((name, len(self.parents) - 1))
+        self._open_names[name] += 1
         self._inner.append([name])
 
     def _close(self) -> None:
-        self._flush()
-        _, node, _ = self._stack.pop()
-        inner = self._inner.pop()
-        value = xxhash.xxh64_intdigest("\x1f".join(inner).encode("utf-8", "surrogatepass"), 0)
-        self.nodes[node][0] = value - (1 << 64) if value >> 63 else value
+        name, node = self._stack[-1]
+        self._flush(ends=name not in INLINE)
+        self._stack.pop()
+        self._open_names[name] -= 1
+        value = xxhash.xxh64_intdigest("\x1f".join(self._inner.pop()).encode("utf-8", "surrogatepass"), 0)
+        self.hashes[node] = value - (1 << 64) if value >> 63 else value
         if self._inner:
             self._inner[-1].append(f"\x1e{value:x}")
 
-    def _flush(self) -> None:
+    def _flush(self, ends: bool = True) -> None:
+        """The text read so far is a run; a block ends after it unless an inline element goes on."""
         if self._text:
-            text = " ".join(unescape("".join(self._text)).split())
+            raw = _decoded("".join(self._text))
             self._text = []
-            if text:
-                _, node, level = self._stack[-1]
-                self.blocks.append((text, node, level))
+            text = " ".join(raw.split())
+            if raw and (text or not self._opens):
+                spaced = (" " if raw[0].isspace() else "") + text + (" " if text and raw[-1].isspace() else "")
+                self.runs.append((spaced, self._stack[-1][1], self._opens))
                 self._inner[-1].append(text)
-
-    def _read(self, html: str) -> None:
-        at, size, skip, depth = 0, len(html), None, 0  # skip: name of the dropped element around, depth: those of its name
-        perhaps = None  # place of the element around if only a longer name marks it
-        broken = _BROKEN.search(html)
-        if broken:
-            size = broken.start()
-        while at < size:
-            tag = _TAG.search(html, at, size)
-            stop = tag.start() if tag else size
-            if skip is None and stop > at:
-                self._text.append(html[at:stop])
-            elif perhaps is not None:
-                self._skipped[perhaps] += len(" ".join(html[at:stop].split()))
+                self._opens = False
+        if ends:
+            self._opens = True
+
+    def _tag_end(self, at: int, size: int) -> int:
+        """The place behind the > that ends the tag around `at`. There is one before `size`."""
+        if self._quotes:
+            found = _REST.match(self._html, at, size)
+            if found:
+                return found.end()
+            self._quotes = False
+        return self._html.find(">", at, size) + 1
+
+    def _read(self) -> None:
+        html, at = self._html, 0
+        last = html.rfind(">")
+        tail = html.rfind("<")
+        size = tail if tail > last and _BROKEN.match(html, tail) else len(html)  # an unfinished tag at the end is left out
+        start = 0
+        while True:
+            at = html.find("<", at, last + 1)
+            if at < 0:
+                break
+            tag = _NAME.match(html, at, last + 1)
             if tag is None:
-                return
-            at = tag.end()
-            name = (tag[2] or "").lower()
-            if not name:
-                continue
-            closing = bool(tag[1])
-            if skip is not None:
-                if name == skip:
-                    depth += -1 if closing else 1
-                elif closing and any(frame[0] == name for frame in self._stack[1:]) and name not in INLINE:
-                    depth = 0  # the element around the dropped one ends: so does the dropped one
-                    skip = None
-                    self._end(name)
+                if html.startswith("<!--", at):
+                    end = html.find("-->", at + 2)
+                    end = end + 3 if end >= 0 else size
+                elif html[at + 1 : at + 2] in ("!", "?"):
+                    end = html.find(">", at) + 1
+                else:
+                    at += 1
                     continue
-                if depth == 0:
-                    skip = None
-                if not closing and name in RAW:
-                    end = _RAW_END[name].search(html, at)
-                    at = end.end() if end else size
-                    depth -= name == skip
-                    if skip is not None and depth == 0:
-                        skip = None
+                if at > start:
+                    self._text.append(html[start:at])
+                at = start = end
                 continue
-            if closing:
-                if name == "br":
-                    self._text.append(" ")
-                elif name == "p" and not any(f[0] == "p" for f in self._stack):
-                    self._flush()
-                elif name not in INLINE:
-                    self._end(name)
-                continue
-            if name in RAW:
-                end = _RAW_END[name].search(html, at)
-                at = end.end() if end else size
+            if at > start:
+                self._text.append(html[start:at])
+            end = self._tag_end(tag.end(), last + 1)
+            name, attributes = tag[2].lower(), html[tag.end() : end - 1]
+            if tag[1]:
+                self._end(name)
+            elif name in RAW:
+                found = _RAW_END[name].search(html, end)
+                end = html.find(">", found.end()) + 1 or size if found else size
                 self._flush()
-                continue
-            if name in VOID:
-                if name in ("hr", "embed"):
-                    self._flush()
-                else:
-                    self._text.append(" " if name in ("br", "img", "input", "wbr") and name != "wbr" else "")
-                continue
-            level = self._stack[-1][2]
-            marked, maybe, main = _marked(tag[3], level > 0) if tag[3] else (False, False, False)
-            dropped = name in DROPPED or marked and name not in ("body", "html", "main") or name == "header" and level == 0
-            perhaps = None
-            if maybe and not dropped and name not in ("body", "html", "main") and tag.start() not in self._kept:
-                dropped, perhaps = True, tag.start()
-                self._skipped[perhaps] = 0
-            if dropped and name not in ("html", "body", "head"):
-                if name not in INLINE:
-                    self._flush()
-                if not (tag[3] or "").endswith("/"):
-                    skip, depth = name, 1
-                continue
-            if name == "head":
+            else:
+                self._begin(name, attributes)
+            at = start = end
+        if start < size:
+            comment = html.find("<!--", start, size)  # one that never ends
+            self._text.append(html[start : comment if comment >= 0 else size])
+
+    def _begin(self, name: str, attributes: str) -> None:
+        if name in VOID:
+            if name in ("hr", "embed"):
                 self._flush()
-                skip, depth = "head", 1
-                continue
-            if name in INLINE or name in ("html", "body"):
-                continue
-            if name in ENDS_P:
-                self._implied({"p"})
-            if name in CLOSED_BY:
-                self._implied(CLOSED_BY[name])
-            self._open(name, 2 if name == "article" else 1 if main or name == "main" else 0)
+            elif name in ("br", "img", "input"):
+                self._text.append(" ")
+            return
+        if name in ("html", "body"):
+            self._end("head")
+            return
+        level = self.kinds[self._stack[-1][1]] & LEVEL
+        marked, maybe, main = _marked(attributes, level > 0) if attributes else (False, False, False)
+        gone = name in DROPPED or marked and name != "main" or name == "header" and level == 0
+        extra = GONE if gone else PERHAPS if maybe and name != "main" else 0
+        if name in INLINE:
+            if extra or self._open_names[name]:
+                self._open(name, 0, extra, inline=True)
+            return
+        if gone and attributes.endswith("/") and name not in ENDS_P:
+            return
+        if name in ENDS_P:
+            self._implied({"p"})
+        if name in CLOSED_BY:
+            self._implied(CLOSED_BY[name])
+        self._open(name, 2 if name == "article" else 1 if main or name == "main" else 0, extra)
 
     def _implied(self, names: set[str]) -> None:
-        """End the innermost element if it is one of those that the next one ends."""
-        while len(self._stack) > 1 and self._stack[-1][0] in names:
-            self._close()
+        """End the innermost block if it is one of those that the next one ends, with the inline elements inside it."""
+        inside = len(self._stack) - 1
+        while inside > 0 and self._stack[inside][0] in INLINE:
+            inside -= 1
+        if inside > 0 and self._stack[inside][0] in names:
+            while len(self._stack) > inside:
+                self._close()
+            if self._stack[-1][0] in names:
+                self._implied(names)
 
     def _end(self, name: str) -> None:
-        if any(frame[0] == name for frame in self._stack[1:]):
+        if name == "br":
+            self._text.append(" ")
+        elif name in ("html", "body"):
+            self._flush()
+        elif self._open_names[name]:
             while self._stack[-1][0] != name:
                 self._close()
             self._close()
-        else:
+        elif name not in INLINE:
             self._flush()
 
-    def main_blocks(self) -> list[tuple[str, int]]:
-        """The blocks inside articles if they hold LEAST_MAIN of the page's text, else those inside main if these do, else all.
 
-        A first heading beside them belongs to them if they have none.
-        """
-        sizes = [sum(len(text) for text, _, level in self.blocks if level >= least) for least in range(3)]
-        best = next(least for least in (2, 1, 0) if sizes[least] >= sizes[0] * LEAST_MAIN)
-        titled = any(level >= best and node in self._titles for _, node, level in self.blocks)
-        return [(text, node) for text, node, level in self.blocks if level >= best or not titled and node in self._titles]
+def main_blocks(runs: list[tuple[str, int, bool]], parents: list[int], kinds: list[int], dead: set[int] | frozenset[int] = frozenset()) -> list[tuple[str, int]]:
+    """(text, node) of the blocks of the main text, without the subtrees in `dead`.
+
+    Elements that the markup names as menus and the like go, those that only a longer name marks up to MOST_MARKED of the text.
+    Of the rest the main text is what lies inside articles if that holds LEAST_MAIN of it, else inside main if that does, else
+    all. A first heading beside them belongs to them if they have none.
+    """
+    gone = bytearray(len(parents))
+    for node, parent in enumerate(parents):
+        gone[node] = bool(kinds[node] & GONE) or node in dead or parent >= 0 and gone[parent]
+    sizes = [0] * len(parents)
+    for text, node, _ in runs:
+        if not gone[node]:
+            sizes[node] += len(text)
+    total = sum(sizes)
+    for node in range(len(parents) - 1, 0, -1):
+        sizes[parents[node]] += sizes[node]
+    for node, parent in enumerate(parents):
+        if kinds[node] & PERHAPS and sizes[node] <= MOST_MARKED * total or parent >= 0 and gone[parent]:
+            gone[node] = True
+    blocks: list[list] = []
+    ended = True
+    for text, node, opens in runs:
+        ended = ended or opens
+        if not gone[node]:
+            if ended:
+                blocks.append([[], node])
+            blocks[-1][0].append(text)
+            ended = False
+    made = [(" ".join("".join(texts).split()), node) for texts, node in blocks]
+    made = [(text, node) for text, node in made if text]
+    held = [0, 0, 0]
+    for text, node in made:
+        for level in range((kinds[node] & LEVEL) + 1):
+            held[level] += len(text)
+    best = next(level for level in (2, 1, 0) if held[level] >= held[0] * LEAST_MAIN)
+    titled = any(kinds[node] & LEVEL >= best and kinds[node] & TITLE for _, node in made)
+    return [(text, node) for text, node in made if kinds[node] & LEVEL >= best or not titled and kinds[node] & TITLE]
+
+
+def edges(blocks: list[tuple[str, int]], parents: list[int], kinds: list[int]) -> tuple[list[int], list[int]]:
+    """The text elements of an article that hold its first and its last EDGE blocks, the title aside, from the outside in; -1 for
+    a block outside of text elements."""
+    def holder(node: int) -> int:
+        while node >= 0 and not kinds[node] & ARTICLE_TEXT:
+            node = parents[node]
+        return node
+
+    inner = [node for _, node in blocks if not kinds[node] & TITLE]
+    return [holder(node) for node in inner[:EDGE]], [holder(node) for node in inner[: -EDGE - 1 : -1]]
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
 
 
-_SHAPE = "struct<blocks:array<struct<text:string,node:int>>,nodes:array<struct<hash:bigint,parent:int>>,digest:bigint>"
+def section_of(url: Column) -> Column:
+    """The first step of the path if another one follows, else empty."""
+    return F.coalesce(F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
 
 
-def parsed(html: Column) -> Column:
-    """Blocks of the main text with the deletable subtrees around them, and a digest of that text."""
-    kind = pa.struct([("blocks", pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32())]))), ("nodes", pa.list_(pa.struct([("hash", pa.int64()), ("parent", pa.int32())]))), ("digest", pa.int64())])
-
-    def one(text: str) -> dict:
-        page = Page(text)
-        blocks = page.main_blocks()
-        number: dict[int, int] = {}
-        nodes: list[dict] = []
-
-        def place(node: int) -> int:
-            """Number of the innermost deletable subtree at or above a node, -1 for none. Outer ones come first."""
-            chain = []
-            while node >= 0 and node not in number:
-                chain.append(node)
-                node = page.nodes[node][1]
-            found = number[node] if node >= 0 else -1
-            for node in reversed(chain):
-                if page.nodes[node][2]:
-                    nodes.append({"hash": page.nodes[node][0], "parent": found})
-                    found = len(nodes) - 1
-                number[node] = found
-            return found
-
-        made = [{"text": text, "node": place(node)} for text, node in blocks]
-        digest = xxhash.xxh64_intdigest("\n".join(t for t, _ in blocks).encode("utf-8", "surrogatepass"), 1)
-        return {"blocks": made, "nodes": nodes, "digest": digest - (1 << 64) if digest >> 63 else digest}
+_RUNS = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("opens", pa.bool_())]))
+_NODES = pa.list_(pa.struct([("hash", pa.int64()), ("parent", pa.int32()), ("kind", pa.int8())]))
+_PAGE = pa.struct([("runs", _RUNS), ("nodes", _NODES), ("boxes", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64())), ("identity", pa.int64())])
+_SHAPE = (
+    "struct<runs:array<struct<text:string,node:int,opens:boolean>>,nodes:array<struct<hash:bigint,parent:int,kind:tinyint>>,"
+    "boxes:array<bigint>,edges:array<bigint>,identity:bigint>"
+)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def parse(html: str) -> dict:
+    """A page as rows: its runs, the nodes that hold some, the hashes that may be templates, and what tells the page from copies:
+    its title, or else its main text."""
+    page = Page(html)
+    needed, number = [False] * len(page.parents), {}
+    for _, node, _ in page.runs:
+        while node >= 0 and not needed[node]:
+            needed[node] = True
+            node = page.parents[node]
+    for node, wanted in enumerate(needed):
+        if wanted:
+            number[node] = len(number)
+    parents = [number.get(page.parents[node], -1) for node in number]
+    kinds, hashes = [page.kinds[node] for node in number], [page.hashes[node] for node in number]
+    runs = [(text, number[node], opens) for text, node, opens in page.runs]
+    blocks = main_blocks(runs, parents, kinds)
+    title = next((text for text, node in blocks if kinds[node] & TITLE), None)
+    said = title if title is not None else "\n".join(text for text, _ in blocks)
+    first, last = edges(blocks, parents, kinds)
+    return {
+        "runs": [{"text": text, "node": node, "opens": opens} for text, node, opens in runs],
+        "nodes": [{"hash": h, "parent": p, "kind": k} for h, p, k in zip(hashes, parents, kinds)],
+        "boxes": sorted({h for h, kind in zip(hashes, kinds) if kind & BOX}),
+        "edges": sorted({hashes[node] for node in (*first, *last) if node >= 0}),
+        "identity": _signed(xxhash.xxh64_intdigest(said.encode("utf-8", "surrogatepass"), 1)),
+    }
 
+
+def parsed(html: Column) -> Column:
     @F.arrow_udf(_SHAPE)
     def read(values: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([one(v or "") for v in values.slice(at, 256).to_pylist()], kind) for at in range(0, len(values), 256)] or [pa.array([], kind)])
+        parts = [pa.array([parse(v or "") for v in values.slice(at, 64).to_pylist()], _PAGE) for at in range(0, len(values), 64)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _PAGE)
 
     return read(html)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that are a host's template, from rows with host and p (the parsed page).
+def without(page: dict, boxes: list[int], at_edges: list[int]) -> tuple[str, int]:
+    """The main text of a parsed page without templates, and how many of its subtrees (outermost ones) they were.
 
-    Pages with the same main text count once, so copies of an article do not make a template of it. Counts are
-    combined before each shuffle; a host with a third of all pages is spread by its subtrees.
+    Boxes go wherever they stand; text elements of an article go from its ends inwards as long as they are templates. An
+    article that would be left empty by that keeps them.
     """
-    held = pages.select("host", "p.digest", F.explode(F.array_distinct(F.col("p.nodes.hash"))).alias("hash"))
-    often = held.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.select("host", "p.digest").distinct().groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("pages"))
-    return often.join(sizes, F.col("host") == F.col("of")).where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    runs = [(run["text"], run["node"], run["opens"]) for run in page["runs"]]
+    parents, kinds = [node["parent"] for node in page["nodes"]], [node["kind"] for node in page["nodes"]]
+    boxes, at_edges = set(boxes), set(at_edges)
+    dead, removed = set(), 0
+    if boxes:
+        inside = bytearray(len(parents))
+        for at, node in enumerate(page["nodes"]):
+            above = node["parent"] >= 0 and inside[node["parent"]]
+            inside[at] = above or bool(node["kind"] & BOX) and node["hash"] in boxes
+            if inside[at] and not above:
+                dead.add(at)
+                removed += 1
+    blocks = main_blocks(runs, parents, kinds, dead)
+    if at_edges:
+        cut = set()
+        for side in edges(blocks, parents, kinds):
+            for node in side:
+                if node < 0 or page["nodes"][node]["hash"] not in at_edges:
+                    break
+                cut.add(node)
+        inside = bytearray(len(parents))
+        for node, parent in enumerate(parents):
+            inside[node] = node in cut or parent >= 0 and inside[parent]
+        left = [(text, node) for text, node in blocks if not inside[node]]
+        if any(not kinds[node] & TITLE for _, node in left):
+            blocks, removed = left, removed + len(cut)
+    return "\n".join(text for text, _ in blocks), removed
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_edge_pages: int = MIN_EDGE_PAGES, min_edge_share: float = MIN_EDGE_SHARE) -> DataFrame:
+    """(host, section, hash) of the templates, from rows with host, section and p (the parsed page); section is null for boxes.
+
+    A box counts by the number of different pages of its host it is on, a text element at an article's edge also by their share
+    under the first step of the path. Pages with the same title (without one: the same main text) count once, so copies and
+    new versions of an article make no template of it. Counts are combined before each shuffle, and a host with a third
+    of all pages is spread by its subtrees.
+    """
+    boxes = pages.select("host", "p.identity", F.explode("p.boxes").alias("hash")).distinct()
+    often = boxes.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    ends = pages.select("host", "section", "p.identity", F.explode("p.edges").alias("hash")).distinct()
+    common = ends.groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_edge_pages)
+    sizes = pages.select("host", "section", "p.identity").distinct().groupBy(F.col("host").alias("of"), F.col("section").alias("under"))
+    sizes = sizes.agg(F.count(F.lit(1)).alias("pages"))
+    same = (F.col("host") == F.col("of")) & (F.col("section") == F.col("under"))
+    usual = common.join(sizes, same).where(F.col("n") >= F.col("pages") * min_edge_share)
+    return often.select("host", F.lit(None).cast("string").alias("section"), "hash").unionByName(usual.select("host", "section", "hash"))
 
 
 def main_text(
-    pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+    pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES,
+    min_edge_pages: int = MIN_EDGE_PAGES, min_edge_share: float = MIN_EDGE_SHARE, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(page_id, url, text, n_chars, n_removed): the main text, one block a line, and the number of template subtrees deleted.
 
-    Menus, footers, forms and other parts that the markup names are dropped while parsing; the rest is the page's
-    articles or its main element if they hold half of its text, else its body. Of that, subtrees that recur across the host's pages are deleted.
-    Text elements (paragraphs, headings, list items) inside an article stay even if they recur.
+    Every block element's subtree is hashed, whatever its name. Subtrees that recur on `min_pages` different pages of the host are deleted;
+    inside an article the text elements (paragraphs, headings, list items) only from its edges and if they recur on
+    `min_edge_pages` and on `min_edge_share` of the pages under the same first path step. Of what is left, parts that the markup names as menus, footers, forms
+    and the like are dropped; the rest is the page's articles or its main element if they hold half of the text, else its body.
 
-    Pages are parsed once and their blocks and hashes written to the shared folder. Null or empty html: empty text.
-    Null url: the pages without a host are a host of their own. Null or repeated ids: every row is a page. Broken
-    markup is read as far as it goes; an unfinished tag at the end is left out. Further columns are ignored.
+    Pages are parsed once and written to the shared folder. Up to `broadcast_rows` templates are broadcast as one list per host and
+    section; beyond that hashes meet templates in a join and only those that hit return to their page. Null or empty html: empty
+    text. Null url: the pages without a host are a host of their own. Null or repeated ids: every row is a page. Broken markup
+    is read as far as it goes; an unfinished tag at the end is left out. Further columns are ignored.
     """
     rows = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
-    read = cut_lineage(rows.select("page_id", "url", host_of(F.col("url")).alias("host"), parsed(F.col("html")).alias("p")))
-    # A template is on min_share of a host's pages, so a host has at most 1 / min_share times as many as a page has subtrees.
-    sites = templates(read, min_pages, min_share).groupBy(F.col("host").alias("of")).agg(F.collect_set("hash").alias("gone"))
-    sites = broadcast_if_small(cut_lineage(sites), BROADCAST_ROWS)
-    joined = read.join(sites, F.col("host") == F.col("of"), "left").select("page_id", "url", "p", "gone")
+    place = F.monotonically_increasing_id().alias("row")
+    read = cut_lineage(rows.select("page_id", "url", place, host_of(F.col("url")).alias("host"), section_of(F.col("url")).alias("section"), parsed(F.col("html")).alias("p")))
+    found = cut_lineage(templates(read, min_pages, min_edge_pages, min_edge_share))
+    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        boxes = found.where(F.col("section").isNull()).groupBy(F.col("host").alias("of")).agg(F.collect_set("hash").alias("often"))
+        ends = found.where(F.col("section").isNotNull()).groupBy(F.col("host").alias("under"), F.col("section").alias("step")).agg(F.collect_set("hash").alias("usual"))
+        joined = read.join(F.broadcast(boxes), F.col("host") == F.col("of"), "left")
+        joined = joined.join(F.broadcast(ends), (F.col("host") == F.col("under")) & (F.col("section") == F.col("step")), "left")
+        none = F.array().cast("array<bigint>")
+        hits = [F.coalesce(F.array_intersect(have, lists), none) for have, lists in (("p.boxes", "often"), ("p.edges", "usual"))]
+        joined = joined.select("page_id", "url", "p.runs", "p.nodes", hits[0].alias("boxes"), hits[1].alias("edges"))
+    else:
+        held = read.select("row", "host", F.lit(None).cast("string").alias("section"), F.explode("p.boxes").alias("hash"))
+        held = held.unionByName(read.select("row", "host", "section", F.explode("p.edges").alias("hash")))
+        known = found.select(F.col("host").alias("of"), F.col("section").alias("step"), F.col("hash").alias("known"))
+        same = (F.col("host") == F.col("of")) & F.col("section").eqNullSafe(F.col("step")) & (F.col("hash") == F.col("known"))
+        lists = [F.collect_set(F.when(F.col("section").isNull() == boxes, F.col("hash"))).alias(name) for boxes, name in ((True, "boxes"), (False, "edges"))]
+        hits = held.join(known, same).groupBy(F.col("row").alias("at")).agg(*lists)
+        joined = read.join(hits, F.col("row") == F.col("at"), "left").select("page_id", "url", "p.runs", "p.nodes", "boxes", "edges")
 
     @F.arrow_udf("struct<text:string,removed:bigint>")
-    def without(page: pa.Array, gone: pa.Array) -> pa.Array:
+    def finished(runs: pa.Array, nodes: pa.Array, boxes: pa.Array, at_edges: pa.Array) -> pa.Array:
         texts, removed = [], []
-        for p, hashes in zip(page, gone):
-            if not p.is_valid:
-                texts.append(None)
-                removed.append(0)
-                continue
-            p, hashes = p.as_py(), set(hashes.as_py())
-            dead: list[bool] = []
-            count = 0
-            for node in p["nodes"]:
-                inside = node["parent"] >= 0 and dead[node["parent"]]
-                dead.append(inside or node["hash"] in hashes)
-                count += dead[-1] and not inside
-            texts.append("\n".join(b["text"] for b in p["blocks"] if b["node"] < 0 or not dead[b["node"]]))
-            removed.append(count)
+        for at in range(0, len(runs), 64):
+            few = [values.slice(at, 64).to_pylist() for values in (runs, nodes, boxes, at_edges)]
+            for r, n, b, e in zip(*few):
+                text, count = without({"runs": r or [], "nodes": n or []}, b or [], e or [])
+                texts.append(text)
+                removed.append(count)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["text", "removed"])
 
-    has_template = F.col("gone").isNotNull()
-    cleaned = joined.withColumn("w", without(F.when(has_template, F.col("p")), F.col("gone")))
-    text = F.when(has_template, F.col("w.text")).otherwise(F.concat_ws("\n", F.col("p.blocks.text")))
-    return cleaned.select("page_id", "url", text.alias("text"), F.col("w.removed").alias("n_removed")).select(
-        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed"
-    )
+    cleaned = joined.select("page_id", "url", finished("runs", "nodes", "boxes", "edges").alias("w"))
+    return cleaned.select("page_id", "url", F.col("w.text").alias("text"), F.char_length("w.text").cast("long").alias("n_chars"), F.col("w.removed").alias("n_removed"))
