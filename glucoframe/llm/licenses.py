@@ -87,16 +87,20 @@ KNOWN |= {name: KNOWN.get(name, ()) + texts for name, texts in _full_texts().ite
 # differ are taken out, so canonical text is made for comparing, not for reading.
 EQUIVALENT = r"(licen)[cs](?:e|ing)|(fav|hon|lab)ou?r|(author|organ|recogn)i[sz]|(cent)(?:er|re)|(acknowledg|judg)ement|(non) commercial|(merchant)[ai]bility|(wil)l?ful|(http)s"
 _KEEP = "$1$2$3$4$5$6$7$8$9"
-# A copyright line: the word or sign before a year, or "all rights reserved", from the start of a line to its end.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(?:(?:copyright|\(c\)|©)(?:[^a-z0-9\n]|\(c\))*[0-9]{4}[^\n]*|all rights reserved[^\n]*)"
+# A copyright line: the word or sign before a year, or "all rights reserved", from the start of a line to its end. The sign
+# is one character here, (c) is made one beforehand. Every repetition is of single characters and gives nothing back, so that
+# the expression needs neither a stack nor more than one pass, whatever the line holds.
+COPYRIGHT = r"(^|\n)(?:[^a-z0-9\n]*+copyright[^a-z0-9\n]*+[0-9]{4}|[^a-z0-9\n©]*+©[^a-z0-9\n]*+[0-9]{4}|[^a-z0-9\n]*+all rights reserved)[^\n]*+"
 # Letters beyond ASCII are part of a word and stay.
 PUNCTUATION = r"[^a-z0-9\x80-\x{10FFFF}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lower case (A-Z), without copyright lines, punctuation as one space, equivalent spellings as one. Lines stay."""
+    """Lower case (A-Z), without copyright lines, punctuation as one space, equivalent spellings as one; © and (c) are one. Lines stay."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cleaned = F.regexp_replace(F.regexp_replace(lower, COPYRIGHT, "$1"), PUNCTUATION, " ")
+    signed = F.replace(lower, F.lit("(c)"), F.lit("©"))
+    spoken = F.replace(F.regexp_replace(signed, COPYRIGHT, "$1"), F.lit("©"), F.lit(" c "))
+    cleaned = F.regexp_replace(spoken, PUNCTUATION, " ")
     return F.regexp_replace(cleaned, EQUIVALENT, _KEEP)
 
 

@@ -19,46 +19,56 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Limits:
-    """Largest allowed share of word characters inside repeated sequences and lines.
+    """Largest allowed share of word characters inside repeated sequences, and of repeated lines and their characters.
 
-    Every occurrence counts, the first too, so a short text that opens and closes with the same line has a fifth to a
-    quarter of its characters inside repeats without being junk. Repetitive junk has nearly all of them. The limits
-    lie between and fall with the length, as long sequences repeat by chance less often.
+    What stands first is no repetition: characters count from the second occurrence on. The shares are those usual for web
+    text and fall with the length, as long sequences repeat by chance less often. A text may always hold one repeated line
+    and `free_chars` repeated characters, so that a short text which opens and closes with the same line stays.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    ngram_chars: tuple[tuple[int, float], ...] = ((5, 0.40), (6, 0.39), (7, 0.38), (8, 0.37), (9, 0.36), (10, 0.35))
-    line_share: float = 0.50
-    line_chars: float = 0.40
+    ngram_chars: tuple[tuple[int, float], ...] = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+    line_share: float = 0.30
+    line_chars: float = 0.20
+    free_chars: int = 60
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _repeated(hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Those starts whose n words occur at another start too. Equal hashes are compared word by word."""
+def _repeated(hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those starts whose n words occur at another start too, in order, and for each whether they occurred before.
+
+    Equal hashes are compared word by word.
+    """
     order = np.argsort(hashes, kind="stable")
     sorted_hashes, at = hashes[order], starts[order]
     same = sorted_hashes[1:] == sorted_hashes[:-1]
     left, right = at[:-1][same], at[1:][same]
+    twice, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
     if any((ids[left + j] != ids[right + j]).any() for j in range(n)):  # a collision: group by the words themselves
-        _, group, size = np.unique(ids[starts[:, None] + np.arange(n)], axis=0, return_inverse=True, return_counts=True)
-        return starts[size[group.reshape(-1)] > 1]
-    twice = np.zeros(len(at), bool)
-    twice[1:] = same
-    twice[:-1] |= same
-    return np.sort(at[twice])
-
-
-def covered_words(ids: np.ndarray, sizes: Iterable[int]) -> dict[int, np.ndarray]:
-    """Per length, which words lie inside a sequence of that many words found at two or more places.
+        _, first, group, size = np.unique(ids[starts[:, None] + np.arange(n)], axis=0, return_index=True, return_inverse=True, return_counts=True)
+        group = group.reshape(-1)
+        twice = size[group] > 1
+        later = twice & (first[group] != np.arange(len(starts)))
+        return starts[twice], later[twice]
+    later[1:] = same
+    twice[:-1] = same
+    twice |= later
+    kept = np.argsort(at[twice], kind="stable")
+    return at[twice][kept], later[twice][kept]
+
+
+def coverage(ids: np.ndarray, sizes: Iterable[int]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Per length, which words lie inside a sequence of that many words found at two or more places, and which inside one that
+    occurred before.
 
     A sequence can only repeat where its first words do, so each length looks at the starts left by the one before.
     The hash of n + 1 words rolls on from that of n.
     """
     total, wanted = len(ids), set(sizes)
-    out = {n: np.zeros(total, bool) for n in wanted}
+    every, again = ({n: np.zeros(total, bool) for n in wanted} for _ in range(2))
     codes = (ids.astype(np.uint64) + np.uint64(1)) * _FACTOR
     codes ^= codes >> np.uint64(29)
     codes *= np.uint64(0xBF58476D1CE4E5B9)
@@ -70,16 +80,17 @@ def covered_words(ids: np.ndarray, sizes: Iterable[int]) -> dict[int, np.ndarray
             hashes = hashes[starts] * _FACTOR + codes[starts + n - 1]
         if len(starts) < 2:
             break
-        kept = _repeated(hashes, starts, ids, n)
+        kept, later = _repeated(hashes, starts, ids, n)
         rolled = np.zeros(total, np.uint64)
         rolled[starts] = hashes
         starts, hashes = kept, rolled
         if n in wanted and len(starts):
-            steps = np.zeros(total + 1, np.int64)
-            steps[starts] += 1
-            steps[starts + n] -= 1
-            out[n] = np.cumsum(steps[:-1]) > 0
-    return out
+            for out, which in ((every, starts), (again, starts[later])):
+                steps = np.zeros(total + 1, np.int64)
+                steps[which] += 1
+                steps[which + n] -= 1
+                out[n] = np.cumsum(steps[:-1]) > 0
+    return every, again
 
 
 def _lines(data: bytes) -> tuple[int, int, int, int]:
@@ -98,16 +109,16 @@ def _lines(data: bytes) -> tuple[int, int, int, int]:
 
 
 def measure(data: bytes, sizes: tuple[int, ...]) -> tuple:
-    """The counts of one text: COUNTS, characters inside repeated sequences by length, then the four line counts."""
+    """The counts of one text: COUNTS, characters inside sequences that occurred before by length, then the four line counts."""
     words = data.split()
     seen: dict[bytes, int] = {}
     ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
     lengths = np.array(list(map(len, words if data.isascii() else map(bytes.decode, words))), np.int64)
-    covered = covered_words(ids, {WINDOW, *sizes})
+    every, again = coverage(ids, {WINDOW, *sizes})
     lines = _lines(data)
     symbols = len(data) - len(data.translate(None, SYMBOLS))
-    counts = (len(words), int(lengths.sum()), symbols, lines[2], int(covered[WINDOW].sum()))
-    return counts, [int(lengths[covered[n]].sum()) for n in sizes], lines
+    counts = (len(words), int(lengths.sum()), symbols, lines[2], int(every[WINDOW].sum()))
+    return counts, [int(lengths[again[n]].sum()) for n in sizes], lines
 
 
 def _shape(sizes: tuple[int, ...]) -> list[str]:
@@ -140,8 +151,10 @@ def passes(counts: str, limits: Limits) -> Column:
     Shares are compared as products, so an empty text passes here; it fails on its number of words.
     """
     of = lambda name: F.col(f"{counts}.{name}").cast("double")
-    rules = [of(f"repeat_chars_{n}") <= of("word_chars") * most for n, most in limits.ngram_chars]
-    rules += [of("n_dup_lines") <= of("n_lines") * limits.line_share, of("dup_line_chars") <= of("line_chars") * limits.line_chars]
+    free = float(limits.free_chars)
+    rules = [of(f"repeat_chars_{n}") <= F.greatest(of("word_chars") * most, F.lit(free)) for n, most in limits.ngram_chars]
+    rules.append(of("n_dup_lines") <= F.greatest(of("n_lines") * limits.line_share, F.lit(1.0)))
+    rules.append(of("dup_line_chars") <= F.greatest(of("line_chars") * limits.line_chars, F.lit(free)))
     verdict = rules[0]
     for rule in rules[1:]:
         verdict = verdict & rule

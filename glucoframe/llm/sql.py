@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glucoframe.llm import licenses, quality, url_rules
+from glucoframe.llm import licenses, url_rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -13,10 +13,16 @@ def quoted(text: str) -> str:
 
 
 def _canonical_lines(text: str) -> str:
-    backs = "".join(rf"\{k}" for k in range(1, 10))
-    out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), {quoted(licenses.COPYRIGHT)}, '\\1', 'g')"
-    out = f"regexp_replace({out}, {quoted(licenses.PUNCTUATION)}, ' ', 'g')"
-    return f"regexp_replace({out}, {quoted(licenses.EQUIVALENT)}, '{backs}', 'g')"
+    lower = f"replace(translate({text}, '{UPPER}', '{LOWER}'), '(c)', '©')"
+    line = r"(^|\n)[^a-z0-9\n]*(?:(?:copyright|©)[^a-z0-9\n]*[0-9]{4}|all rights reserved)[^\n]*"
+    plain = f"replace(regexp_replace({lower}, '{line}', '\\1', 'g'), '©', ' c ')"
+    out = rf"regexp_replace({plain}, '[^a-z0-9\x80-\x{{10FFFF}}\n]+', ' ', 'g')"
+    for found, kept in (
+        ("(licen)[cs](?:e|ing)", 1), ("(fav|hon|lab)ou?r", 1), ("(author|organ|recogn)i[sz]", 1), ("(cent)(?:er|re)", 1), ("(acknowledg|judg)ement", 1),
+        ("(non) commercial", 1), ("(merchant)[ai]bility", 1), ("(wil)l?ful", 1), ("(http)s", 1),
+    ):
+        out = f"regexp_replace({out}, '{found}', '\\{kept}', 'g')"
+    return out
 
 
 def _license_sql() -> str:
@@ -32,22 +38,24 @@ SELECT doc_id, d.text_digest, license, coalesce(array_to_string(notices, ','), '
 FROM digests d LEFT JOIN known ON d.text_digest = known LEFT JOIN named n ON n.text_digest = d.text_digest"""
 
 
-def _quality_sql(limits: quality.Limits = quality.Limits()) -> str:
-    sizes = sorted({quality.WINDOW, *(n for n, _ in limits.ngram_chars)})
+def _quality_sql() -> str:
+    shares = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+    sizes = [3, *shares]
     gram = lambda n: "concat_ws(' ', " + ", ".join(f"lead(word, {k}) OVER w" if k else "word" for k in range(n)) + ")"
     grams = ", ".join(f"CASE WHEN p + {n - 1} <= n THEN {gram(n)} END AS g{n}" for n in sizes)
-    again = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1 AS r{n}" for n in sizes)
+    again = "g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS r3, "
+    again += ", ".join(f"g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY p) > 1 AS r{n}" for n in shares)
     inside = ", ".join(f"coalesce(bool_or(r{n}) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS c{n}" for n in sizes)
-    chars = ", ".join(f"sum(CASE WHEN c{n} THEN length(word) ELSE 0 END)::BIGINT AS repeat_chars_{n}" for n, _ in limits.ngram_chars)
-    names = ", ".join(f"coalesce(repeat_chars_{n}, 0) AS repeat_chars_{n}" for n, _ in limits.ngram_chars)
-    rules = " AND ".join(f"repeat_chars_{n} <= word_chars * {most}::DOUBLE" for n, most in limits.ngram_chars)
+    chars = ", ".join(f"sum(CASE WHEN c{n} THEN length(word) ELSE 0 END)::BIGINT AS repeat_chars_{n}" for n in shares)
+    names = ", ".join(f"coalesce(repeat_chars_{n}, 0) AS repeat_chars_{n}" for n in shares)
+    rules = " AND ".join(f"repeat_chars_{n} <= greatest(word_chars * {most}::DOUBLE, 60)" for n, most in shares.items())
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
 words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p, len(words) AS n FROM docs),
 grams AS (SELECT *, {grams} FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 again AS (SELECT *, {again} FROM grams),
 inside AS (SELECT *, {inside} FROM again),
-word_sums AS (SELECT doc_id, sum(length(word))::BIGINT AS word_chars, sum(c{quality.WINDOW}::INT)::BIGINT AS n_repeat_words, {chars} FROM inside GROUP BY doc_id),
+word_sums AS (SELECT doc_id, sum(length(word))::BIGINT AS word_chars, sum(c3::INT)::BIGINT AS n_repeat_words, {chars} FROM inside GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 line_groups AS (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
 line_sums AS (
@@ -58,8 +66,8 @@ counts AS (
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {names}, coalesce(n_lines, 0) AS n_lines,
         coalesce(line_chars, 0) AS line_chars, coalesce(dup_line_chars, 0) AS dup_line_chars
     FROM docs LEFT JOIN word_sums USING (doc_id) LEFT JOIN line_sums USING (doc_id)),
-judged AS (SELECT *, n_words < {limits.min_words} OR n_repeat_words * 100 > n_words * {limits.max_repeat_percent} AS base_failed FROM counts)
-SELECT *, NOT base_failed AND {rules} AND n_dup_lines <= n_lines * {limits.line_share}::DOUBLE AND dup_line_chars <= line_chars * {limits.line_chars}::DOUBLE AS kept
+judged AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM counts)
+SELECT *, NOT base_failed AND {rules} AND n_dup_lines <= greatest(n_lines * 0.3::DOUBLE, 1) AND dup_line_chars <= greatest(line_chars * 0.2::DOUBLE, 60) AS kept
 FROM judged"""
 
 
@@ -185,9 +193,11 @@ copied AS (
         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM copied),
 turns AS (
-    SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-        WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'sound' END AS fault,
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'sound' END AS fault,
         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
     FROM numbered),
 moves AS (SELECT * FROM (VALUES {_moves()}) AS m(q, letters, edit, needed, given, target, price, added)),

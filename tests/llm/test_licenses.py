@@ -41,3 +41,25 @@ def test_whole_texts_of_the_long_licences(spark):
     found = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
     assert [found[k] for k in range(2 * len(texts))] == 2 * list(texts)
     assert found[100] == "Apache-2.0" and found[101] is None
+
+
+def test_a_million_marks_in_a_line(spark):
+    """Runs of punctuation, signs and half copyright lines take neither stack nor more than linear time."""
+    import time
+
+    size = 1_000_000
+    texts = ["copyright " + "-" * size + " x", "©" * size, "(c)" * size, "copyright " * (size // 10), "- " * size + "copyright 2000 x", "\n" * size, "licen" * (size // 5), "all rights " * (size // 10)]
+    frame = spark.createDataFrame([(k, text) for k, text in enumerate(texts)], DOCS).cache()
+    frame.count()
+    licenses.scan(spark.createDataFrame([(0, "warm")], DOCS)).collect()
+    started = time.time()
+    assert all(r.license is None and r.notices == [] for r in licenses.scan(frame).collect())
+    assert time.time() - started < 2 * len(texts)
+
+
+def test_copyright_lines(spark):
+    rows = ["a\nCopyright (c) 2000 x", "a\n(C) 2001 - x\n", "a\n © 1999, x", "a\n* Copyright © 2000", "a\n-- (c) Copyright 2000 x", "a\nAll rights reserved.", "a\ncopyright holders", "a (c) 2000", "a © 2000", "a\n(c) the third"]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], DOCS).select("doc_id", licenses.canonical(licenses.canonical_lines(F.col("text"))).alias("t")).collect()
+    got = {r.doc_id: r.t for r in found}
+    assert [got[k] for k in range(6)] == ["a"] * 6
+    assert [got[k] for k in range(6, 10)] == ["a copyright holders", "a c 2000", "a c 2000", "a c the third"]
