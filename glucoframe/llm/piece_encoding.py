@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from glucoframe.llm.common import small_batches, strings
 
 SPACE = "▁"
-# Words whose ids a Python worker remembers, and the longest of them in characters.
-REMEMBERED = 200_000
-LONGEST = 64
+# Characters after which a stretch of words handed to the library ends with the next word.
+STRETCH = 2_000
 _LABELS = np.arange(256, dtype=np.uint32)
-_NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)  # fixed values: kinds of pieces in a model file
+_NORMAL, _USER, _UNUSED, _BYTE = 1, 4, 5, 6  # fixed values: kinds of pieces in a model file
 
 
 def character_map(compiled: bytes) -> dict[str, str]:
@@ -100,7 +99,8 @@ class Normalizer:
         return "".join([*parts, text[at:]]), np.concatenate([*places, own[byte:]])
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its bytes the first original byte of its source, then the end of the last."""
+        """The normalised text with its spaces unescaped, and for each byte of its escaped form the first original byte of its
+        source, then the end of the last. Escaping puts a three-byte mark in place of a space."""
         end = len(text.encode())
         made, places = self._replaced(text)
         if self._squeeze and made:
@@ -122,15 +122,14 @@ class Normalizer:
         if self._escape:
             data = np.frombuffer(made.encode(), np.uint8)
             places = np.repeat(places, np.where(data == 32, 3, 1))
-            made = made.replace(" ", SPACE)
         return made, np.append(places, np.int32(end))
 
 
 class Encoder:
-    """A model file read once per worker: our normaliser before the library's segmentation of single words.
+    """A model file read once per worker: our normaliser before the library's segmentation of short stretches of words.
 
-    Segmentation never joins two words where no piece runs from another character into a space mark; then words are
-    encoded once and remembered. In a vocabulary with such a piece the whole text is one word.
+    Segmentation never joins two words where no piece runs from another character into a space mark, so a text may be cut
+    there and the library's tables stay small for any text. In a vocabulary with such a piece the whole text is one stretch.
     """
 
     def __init__(self, model: bytes):
@@ -143,29 +142,29 @@ class Encoder:
         if _USER in kinds or not proto.trainer_spec.byte_fallback or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models with byte fallback, without user-defined pieces and with spaces before words are supported")
         self.normalize = Normalizer(character_map(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        crossing = any(re.search(f"[^{SPACE}]{SPACE}", piece.piece) for piece in proto.pieces if piece.type in (_NORMAL, _UNUSED))
-        self._word = re.compile(".+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
+        marks = f"[{SPACE} ]" if spec.escape_whitespaces else f"[{SPACE}]"
+        self._border = re.compile(f"(?<!{marks})(?={marks})")
+        self._crossing = any(self._border.search(piece.piece, 1) for piece in proto.pieces if piece.type in (_NORMAL, _UNUSED))
         self._bytes = np.array([1 if piece.type == _BYTE else len(piece.piece.encode()) for piece in proto.pieces], np.int32)
-        self._is_byte = np.array([piece.type == _BYTE for piece in proto.pieces], bool)
         self._whole = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.begin, self.end = self._whole.bos_id(), self._whole.eos_id()
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self._plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self._known: dict[str, list[int]] = {}
+
+    def _stretches(self, normal: str) -> list[str]:
+        if self._crossing:
+            return [normal]
+        found, at = [], 0
+        while at < len(normal):
+            border = self._border.search(normal, at + STRETCH)
+            end = border.start() if border else len(normal)
+            found.append(normal[at:end])
+            at = end
+        return found
 
     def _ids(self, normal: str) -> np.ndarray:
-        words = self._word.findall(normal)
-        new = list({word for word in words if word not in self._known})
-        passing = {}
-        if new:
-            if len(self._known) + len(new) > REMEMBERED:
-                self._known.clear()
-                new = list(set(words))
-            for word, ids in zip(new, self._plain.encode(new, num_threads=1)):
-                (self._known if len(word) <= LONGEST and len(self._known) < REMEMBERED else passing)[word] = ids
-        known = self._known
-        found = [known[word] if word in known else passing[word] for word in words] if passing else [known[word] for word in words]
-        return np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+        ids = self._plain.encode(self._stretches(normal), num_threads=1)
+        return np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with the model's begin and end ids, and the first and last byte (exclusive) of each piece in the text.

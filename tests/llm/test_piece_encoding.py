@@ -36,9 +36,7 @@ def mapped_model(squeeze: bool, dummy: bool) -> bytes:
 
 
 def spans_of_library(processor, text):
-    """Spans in characters of the library's pieces, carried to bytes."""
-    at = np.cumsum([0, *(len(c.encode()) for c in text)])
-    return [(p.id, int(at[p.begin]), int(at[p.end])) for p in processor.encode(text, out_type="immutable_proto").pieces]
+    return [(p.id, p.begin, p.end) for p in processor.encode(text, return_type="proto").pieces]
 
 
 @pytest.mark.parametrize("model", [open(MODEL, "rb").read(), mapped_model(True, True), mapped_model(False, True), mapped_model(True, False)], ids=["identity", "squeezed", "kept", "bare"])
@@ -68,8 +66,9 @@ def test_character_map_holds_every_rule():
     assert piece_encoding.character_map(b"") == {}
 
 
-def test_forgotten_words_change_nothing(monkeypatch):
-    monkeypatch.setattr(piece_encoding, "REMEMBERED", 3)
+@pytest.mark.parametrize("stretch", [1, 7])
+def test_short_stretches_change_nothing(monkeypatch, stretch):
+    monkeypatch.setattr(piece_encoding, "STRETCH", stretch)
     ours, processor = piece_encoding.Encoder(open(MODEL, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for text in TEXTS + ["one two three four five one two", "five four " + "y" * 100]:
         assert ours.encode(text)[0].tolist() == [1, *processor.encode(text), 2]
