@@ -145,7 +145,11 @@ class Encoder:
         marks = f"[{SPACE} ]" if spec.escape_whitespaces else f"[{SPACE}]"
         self._border = re.compile(f"(?<!{marks})(?={marks})")
         self._crossing = any(self._border.search(piece.piece, 1) for piece in proto.pieces if piece.type in (_NORMAL, _UNUSED))
+        self._simple = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.escape_whitespaces
+        self._dummy = spec.add_dummy_prefix
         self._bytes = np.array([1 if piece.type == _BYTE else len(piece.piece.encode()) for piece in proto.pieces], np.int32)
+        self._short = np.array([1 if piece.type == _BYTE else len(piece.piece.replace(SPACE, " ").encode()) for piece in proto.pieces], np.int32)
+        self._spelled = np.array([piece.type == _BYTE and int(piece.piece[1:-1], 16) >= 0x80 for piece in proto.pieces], bool)
         self._whole = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.begin, self.end = self._whole.bos_id(), self._whole.eos_id()
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
@@ -166,18 +170,39 @@ class Encoder:
         ids = self._plain.encode(self._stretches(normal), num_threads=1)
         return np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
 
+    def _aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._simple and text and SPACE not in text:  # the map changes nothing and every mark is a space: bytes stay in step
+            dummy = int(self._dummy)
+            ids = self._ids(" " + text if dummy else text)
+            stops = np.cumsum(self._short[ids], dtype=np.int64) - dummy
+            starts = np.maximum(stops - self._short[ids], 0)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            self._check(stops, len(raw))
+            parts = np.flatnonzero(self._spelled[ids])  # single bytes of a character
+            for _ in range(3):
+                starts[parts] -= (raw[starts[parts]] & 0xC0) == 0x80
+            inner = parts[stops[parts] < len(raw)]
+            inner = inner[(raw[stops[inner]] & 0xC0) == 0x80]
+            stops[inner] = starts[inner]
+            return ids, starts, stops
+        normal, places = self.normalize(text)
+        ids = self._ids(normal)
+        stops = np.cumsum(self._bytes[ids], dtype=np.int64)
+        self._check(stops, len(places) - 1)
+        return ids, places[stops - self._bytes[ids]], places[stops]
+
+    @staticmethod
+    def _check(stops: np.ndarray, size: int) -> None:
+        if (int(stops[-1]) if len(stops) else 0) != size:
+            raise ValueError("pieces do not cover the normalised text")
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with the model's begin and end ids, and the first and last byte (exclusive) of each piece in the text.
 
         Of a character spelled as bytes the last piece holds its span, the others are empty at its start. The begin and end
         ids are empty at the text's ends.
         """
-        normal, places = self.normalize(text)
-        ids = self._ids(normal)
-        stops = np.cumsum(self._bytes[ids])
-        starts, ends = places[stops - self._bytes[ids]], places[stops]
-        if len(ids) and int(stops[-1]) != len(places) - 1:
-            raise ValueError("pieces do not cover the normalised text")
+        ids, starts, ends = self._aligned(text)
         size = len(text.encode())
         return (
             np.concatenate([[self.begin], ids, [self.end]]).astype("<u4"),

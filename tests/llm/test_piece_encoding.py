@@ -18,12 +18,13 @@ MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 TEXTS = [
     "", " ", "   ", "a", " a ", "Hello  world", "line\nnext\tcell\r\n", "▁▁already ▁ marked▁", "naïve café Ünï 😀😀 漢字 ​ zero\0byte", "x" * 500,
     "ＡＢＣ　ﬁ  ㍿ ¨ ½ é   ﷺ", " lead and trail 　", "<s> </s> <unk> <0x41>", "12345 6.7e-8", " \n " * 50, "a b" * 1000, "각각 각", "ｶﾞｷﾞ ﾊﾟ",
+    "\U0001f9ff\U00013000x\U00013001", "\U00013000", "a\u0378\U00013000 \u0378\n\n\u0378", "\n", "\n\n a\tb\r",
 ]
 
 
 def random_texts(count):
     rng = random.Random(3)
-    return ["".join(rng.choice(["the ", "▁", " ", "é", "ﬁ", "ｶﾞ", "　", "😀", "word", "\n", "½", "각", "é", "¨", "7", "\U0001f468‍"]) for _ in range(rng.randrange(60))) for _ in range(count)]
+    return ["".join(rng.choice(["the ", "▁", " ", "é", "ﬁ", "ｶﾞ", "　", "😀", "word", "\n", "½", "각", "é", "¨", "7", "\U0001f468‍", "\U00013000", "\u0378"]) for _ in range(rng.randrange(60))) for _ in range(count)]
 
 
 def mapped_model(squeeze: bool, dummy: bool) -> bytes:
