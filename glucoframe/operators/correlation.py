@@ -7,25 +7,23 @@ never pairs of rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucoframe.operators.ranking import (
-    add_row_numbers,
-    attach_by_value,
-    average_rank,
-    order_counts,
-    ordered_counts,
-)
+from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, Limits, mean_rank, range_ranks
 from glucoframe.operators.transforms import Transform, transform_results
-from glucoframe.session import cut_lineage
+from glucoframe.session import broadcast_if_small, cut_lineage
 
 MIN_PAIRS = 3
+MASK_BITS = 62  # columns whose presence fits into one number
+MOST_MASKS = 50_000  # different patterns of missing columns that the driver compares
+BLOCK_BITS = 14  # products are taken over blocks of 16,384 rows
 SUMS_SCHEMA = (
     "i int, j int, n bigint, si double, sj double, sii double, sjj double, sij double, "
     "lo_i double, hi_i double, lo_j double, hi_j double"
@@ -125,118 +123,109 @@ def pair_counts(wide: DataFrame, columns: list[str]) -> dict[tuple[int, int], in
     return {(i, j): found.get((i, j), 0) for i in range(k) for j in range(k)}
 
 
-def rank_sets(n: dict[tuple[int, int], int], k: int) -> tuple[dict[tuple[int, int], int], list[tuple[int, int]]]:
-    """Which rankings the matrix needs.
+def _masks(columns: list[str]) -> list[Column]:
+    """The finite columns of a row as bits, MASK_BITS to a number."""
+    masks = []
+    for start in range(0, len(columns), MASK_BITS):
+        bits = [F.when(is_finite(c), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(columns[start : start + MASK_BITS])]
+        masks.append(functools.reduce(lambda a, b: a.bitwiseOR(b), bits).cast("bigint").alias(f"_mask{len(masks)}"))
+    return masks
+
+
+def _present(masks: list[np.ndarray], column: int) -> np.ndarray:
+    return (masks[column // MASK_BITS] >> (column % MASK_BITS)) & 1
+
 
-    Ranks of column i for the pair (i, j) are taken over the rows where both are present. That set of rows
-    depends on j only through where j is missing, so columns that are missing on the same rows share a
-    ranking, and when j is present wherever i is, the ranking of i over its own rows serves.
-    Returns (i, j) -> set number, and per set (column, column whose presence limits it).
+def rank_sets(wide: DataFrame, columns: list[str], most_masks: int = MOST_MASKS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows where both columns of a pair are finite (k x k), and which pairs have the same such rows: a number per pair.
+
+    A dictionary of the patterns of missing columns, with the number of rows of each, tells it exactly: the rows of a pair are those
+    of the patterns that hold both. With more than `most_masks` patterns the numbers of rows decide: pairs with a column share their rows
+    if the other columns are missing on the same rows or hold all of the first one's. That finds fewer equal sets, never wrong ones.
     """
-    twin = list(range(k))
-    for j in range(k):
-        for i in range(j):
-            if n[i, j] == n[i, i] == n[j, j]:
-                twin[j] = i
-                break
-    number: dict[tuple[int, int], int] = {}
-    sets: list[tuple[int, int]] = []
-    for i in range(k):
-        for j in range(k):
-            limit = i if n[i, j] == n[i, i] else twin[j]
-            if (i, limit) not in sets:
-                sets.append((i, limit))
-            number[i, j] = sets.index((i, limit))
-    return number, sets
-
-
-def spearman_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
+    k = len(columns)
+    names = [f"_mask{m}" for m in range(-(-k // MASK_BITS))]
+    patterns = wide.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).limit(most_masks + 1).toArrow()
+    if patterns.num_rows > most_masks:
+        n = pair_counts(wide, columns)
+        counts = np.array([[n[i, j] for j in range(k)] for i in range(k)])
+        own = np.diag(counts)
+        twin = [min(i for i in range(j + 1) if counts[i, j] == own[i] == own[j]) for j in range(k)]
+
+        def label(i: int, j: int) -> tuple[int, int]:
+            if counts[i, j] == own[i]:
+                return twin[i], twin[i]
+            if counts[i, j] == own[j]:
+                return twin[j], twin[j]
+            return min(twin[i], twin[j]), max(twin[i], twin[j])
+    else:
+        masks = [patterns.column(name).to_numpy() for name in names]
+        held = np.array([_present(masks, j) for j in range(k)], bool).reshape(k, -1)
+        rows = patterns.column("n").to_numpy()
+        counts = (held * rows) @ held.T
+
+        def label(i: int, j: int) -> bytes:
+            return np.packbits(held[i] & held[j]).tobytes()
+
+    numbers: dict[object, int] = {}
+    sets = np.array([[numbers.setdefault(label(min(i, j), max(i, j)), len(numbers)) for j in range(k)] for i in range(k)])
+    return counts, sets
+
+
+def spearman_matrix(wide: DataFrame, columns: list[str], limits: Limits = LIMITS, most_masks: int = MOST_MASKS) -> DataFrame:
     """Long matrix (row, col, value, n): Pearson on average ranks over the complete pairs.
 
-    Rows are told apart by a number of their own, so participant ids may repeat or be missing. Each column is ordered once: its distinct values carry one count per
-    pattern of missing rows, and running sums of those counts give the ranks over every subset of rows that
-    some pair needs. Only the column values (never the pairs) are joined back to the rows.
+    Rows are told apart by a number of their own, so participant ids may repeat or be missing. Each column is ordered once:
+    every value goes out with the pattern of its row and comes back with its rank among the rows of each set that a pair of
+    the column needs (see rank_sets). Blocks of rows then multiply, per set, the ranks of all columns that need it; what is shuffled
+    after that is k x k sums per block.
     """
-    k, key = len(columns), "_row"
-    wide = cut_lineage(wide.select(F.monotonically_increasing_id().alias(key), *columns))
-    counts = pair_counts(wide, columns)
-    number, sets = rank_sets(counts, k)
-    limits = sorted({limit for i, limit in sets if limit != i})
-    subset = ["own"] + [f"with_{g}" for g in limits]  # names of the count columns
-
-    def present(i: int) -> Column:
-        return is_finite(columns[i])
-
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("s"), F.when(present(i), F.col(c) + 0.0).alias("value")) for i, c in enumerate(columns)
-    ])
-    flags = [F.when(present(g), 1).otherwise(0).alias(f"with_{g}") for g in limits]
-    per_value = (
-        wide.select(*flags, F.inline(cells)).where("value IS NOT NULL")
-        .groupBy("s", "value")
-        .agg(F.count(F.lit(1)).alias("own"), *[F.sum(f"with_{g}").alias(f"with_{g}") for g in limits])
-    )
-    ordered = order_counts(per_value, ["s"], "value", subset)
-    # average ranks around their mean, one per subset
-    centred = [F.col(f"before_{c}") + (F.col(c) + 1) / 2.0 - (F.col(f"n_{c}") + 1) / 2.0 for c in subset]
-    spread = ordered.groupBy("s").agg(
-        *[F.sum(F.col(c) * r * r).alias(f"ss_{c}") for c, r in zip(subset, centred, strict=True)],
-        *[F.count_if(F.col(c) > 0).alias(f"distinct_{c}") for c in subset],
-    ).collect()  # one row per column
-    by_column = {r["s"]: r for r in spread}
-
-    def place(i: int, j: int) -> int:
-        """Which of the subsets gives the ranks of column i for the pair (i, j)."""
-        limit = sets[number[i, j]][1]
-        return 0 if limit == i else 1 + limits.index(limit)
-
-    def square(i: int, j: int) -> tuple[float, int]:
-        """Sum of squares of those ranks, and how many different ones there are."""
-        if i not in by_column:
-            return 0.0, 0
-        c = subset[place(i, j)]
-        return by_column[i][f"ss_{c}"], by_column[i][f"distinct_{c}"]
-
-    ranks = ordered.select("s", "value", F.col("own").alias("cnt"), F.array(*centred).alias("ranks"))
-    long = wide.select(key, F.inline(cells)).where("value IS NOT NULL")
-    per_row = attach_by_value(long, ranks, ["s"]).groupBy(key).agg(
-        F.collect_list(F.struct("s", "ranks")).alias("entries")  # at most one per column
-    )
-    size = len(subset)
-    pairs = [
-        (i, j, i * size + place(i, j), j * size + place(j, i)) for i in range(k) for j in range(i + 1, k)
-    ]
-    first, second, left, right = np.array(pairs, dtype="int32").reshape(-1, 4).T.copy()
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per pair the sum of products of the two ranks it uses; one contiguous line of ranks per column and subset."""
-        total = np.zeros(len(left))
-        for batch in batches:
-            rows = batch.column(0)
-            column, row_ranks = rows.flatten().flatten()
-            row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
-            dense = np.zeros((k, size, len(rows)))
-            dense[column.to_numpy(), :, row] = row_ranks.flatten().to_numpy().reshape(-1, size)
-            lines = dense.reshape(k * size, len(rows))
-            for p, (a, b) in enumerate(zip(left, right, strict=True)):
-                total[p] += lines[a] @ lines[b]
-        yield pa.RecordBatch.from_pydict({"i": first, "j": second, "sxy": total})
-
-    crossed = (
-        per_row.select("entries").mapInArrow(products, "i int, j int, sxy double")
-        .groupBy("i", "j").agg(F.sum("sxy").alias("sxy"))
-    )
-    known = []
-    for i in range(k):
-        for j in range(i, k):
-            (sxx, values_i), (syy, values_j) = square(i, j), square(j, i)
-            usable = counts[i, j] >= MIN_PAIRS and values_i > 1 and values_j > 1
-            known.append((i, j, counts[i, j], usable, float(np.sqrt(sxx) * np.sqrt(syy))))
-    sizes = wide.sparkSession.createDataFrame(known, "i int, j int, n bigint, usable boolean, scale double")
-    rho = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
-        _clamped(F.try_divide(F.coalesce("sxy", F.lit(0.0)), F.col("scale")))
-    )
-    upper = sizes.join(crossed, ["i", "j"], "left").select("i", "j", F.when(F.col("usable"), rho).alias("value"), "n")
+    k = len(columns)
+    wide = cut_lineage(wide.select(F.monotonically_increasing_id().alias("_row"), *columns, *_masks(columns)))
+    counts, sets = rank_sets(wide, columns, most_masks)
+    needed = [sorted(set(sets[i])) for i in range(k)]  # the sets of a column, in the order of its ranks
+    partner = {(i, int(g)): int(np.flatnonzero(sets[i] == g)[0]) for i in range(k) for g in needed[i]}
+    names = [f"_mask{m}" for m in range(-(-k // MASK_BITS))]
+
+    def flags(batch: pa.RecordBatch) -> np.ndarray:
+        column = batch.column("_column")[0].as_py()
+        masks = [batch.column(name).to_numpy() for name in names]
+        return np.column_stack([_present(masks, partner[column, g]) for g in needed[column]]).astype(np.int64)
+
+    cells = F.array(*[F.struct(F.lit(i).alias("_column"), F.when(is_finite(c), F.col(c) + 0.0).alias("value")) for i, c in enumerate(columns)])
+    long = wide.select("_row", *names, F.inline(cells)).where("value IS NOT NULL")
+    ranked = range_ranks(long, ["_column"], "value", "_row", flags, limits)
+    users = {int(g): [i for i in range(k) if g in needed[i]] for g in np.unique(sets)}
+    pairs = {g: [(a, b) for a, i in enumerate(members) for b, j in enumerate(members) if i <= j and sets[i, j] == g] for g, members in users.items()}
+
+    def products(table: pa.Table) -> pa.Table:
+        """Per pair the sums of products of the two columns' ranks, taken around their mean over the set's rows."""
+        table = table.combine_chunks()
+        column, row = table.column("_column").to_numpy(), table.column("_row").to_numpy()
+        ranks = table.column("twice").chunk(0)
+        begin, flat = ranks.offsets.to_numpy()[:-1], ranks.values.to_numpy()
+        lines, line = np.unique(row, return_inverse=True)
+        place = np.full((k, len(lines)), -1)
+        place[column, line] = begin
+        out: list[tuple] = []
+        for g, members in users.items():
+            if not pairs[g]:
+                continue
+            a, b = (members[x] for x in pairs[g][0])
+            inside = np.flatnonzero((place[a] >= 0) & (place[b] >= 0))
+            x = np.stack([flat[place[i, inside] + needed[i].index(g)] for i in members]).astype(float)
+            x = x / 2 - (counts[a, b] + 1) / 2
+            sums = x @ x.T
+            out += [(members[a], members[b], sums[a, b], sums[a, a], sums[b, b]) for a, b in pairs[g]]
+        return pa.table([pa.array(values, kind) for values, kind in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.float64()] * 3))], names=["i", "j", "sxy", "sxx", "syy"])
+
+    block = F.shiftright("_row", BLOCK_BITS).alias("_block")
+    blocks = ranked.select(block, "_row", "_column", "twice").groupBy("_block")
+    crossed = blocks.applyInArrow(products, "i int, j int, sxy double, sxx double, syy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("sxy", "sxx", "syy")])
+    sizes = wide.sparkSession.createDataFrame([(i, j, int(counts[i, j])) for i in range(k) for j in range(i, k)], "i int, j int, n bigint")
+    rho = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(_clamped(F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))))
+    usable = (F.col("n") >= MIN_PAIRS) & (F.col("sxx") > 0) & (F.col("syy") > 0)
+    upper = sizes.join(F.broadcast(crossed), ["i", "j"], "left").select("i", "j", F.when(usable, rho).alias("value"), "n")  # k x k rows
     return _both_triangles(upper, columns)
 
 
@@ -271,17 +260,13 @@ def pearson(wide: DataFrame, x: str, y: str) -> DataFrame:
     return measured.select("n", F.when((F.col("n") >= MIN_PAIRS) & F.col("varies"), r).alias("r"))
 
 
-def spearman(wide: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """One row (n, rho), ranks taken over the complete pairs."""
-    both = complete_pairs(wide, x, y, key)
-    ranked = None
-    for side in ("x", "y"):
-        values = both.select(key, F.col(side).alias("value"), F.lit(1).alias("s"))
-        counts = ordered_counts(values, ["s"]).withColumn("rank", average_rank())
-        ranks = attach_by_value(values, counts.select("s", "value", "cnt", "rank"), ["s"])
-        ranks = ranks.select(key, F.col("rank").alias(side))
-        ranked = ranks if ranked is None else ranked.join(ranks, key)
-    return pearson(ranked, "x", "y").select("n", F.col("r").alias("rho"))
+def spearman(wide: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (n, rho), ranks taken over the complete pairs. Pairs are told apart by a number of their own, never by an id."""
+    both = cut_lineage(complete_pairs(wide, x, y).withColumn("_row", F.monotonically_increasing_id()))
+    sides = F.inline(F.array(*[F.struct(F.lit(s).alias("_side"), F.col(s).alias("value")) for s in ("x", "y")]))
+    ranked = range_ranks(both.select("_row", sides), ["_side"], "value", "_row").withColumn("rank", mean_rank())
+    pairs = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_side") == s, F.col("rank"))).alias(s) for s in ("x", "y")])
+    return pearson(pairs, "x", "y").select("n", F.col("r").alias("rho"))
 
 
 def complete_pairs(wide: DataFrame, x: str, y: str, *keep: str) -> DataFrame:
@@ -312,13 +297,22 @@ def matrix_table(matrix: DataFrame, columns: list[str], what: str = "value") ->
 
 
 def scatter_sample(wide: DataFrame, x: str, y: str, key: str, at_most: int | None) -> DataFrame:
-    """(key, x, y, total): complete pairs in key order; above `at_most` of them (None: no bound), pair
-    floor(k * total / at_most) for k = 0, 1, ... `total` is the number of all complete pairs."""
-    numbered = add_row_numbers(complete_pairs(wide, x, y, key), [key], "row")
-    total = numbered.count()
-    shown = numbered
+    """(key, x, y, total): complete pairs in row order; above `at_most` of them (None: no bound), pair
+    floor(k * total / at_most) for k = 0, 1, ... `total` is the number of all complete pairs.
+
+    Row order is that of the table as it is read. Pairs are kept with their partition and their place in it, one count per
+    partition gives their place among all, and the sample is picked where the pairs lie: nothing is sorted or shuffled.
+    """
+    pairs = cut_lineage(complete_pairs(wide, x, y, key).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", LOCAL_POSITION_BITS).alias("_part")
+    sizes = pairs.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    ahead = cut_lineage(sizes.select("_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead")))
+    total = ahead.agg(F.sum("_n")).head()[0] or 0
+    placed = pairs.select("*", part, F.col("_at").bitwiseAND(F.lit((1 << LOCAL_POSITION_BITS) - 1)).alias("_in"))
+    shown = placed.join(broadcast_if_small(ahead, MAX_OFFSETS_BROADCAST), "_part").withColumn("_row", F.col("_ahead") + F.col("_in"))
     if at_most is not None and total > at_most:
         # row p (0-based) is drawn when it is floor(k * total / at_most) for the first k with k * total >= p * at_most
-        k = f"(((row - 1) * {at_most} + {total} - 1) div {total})"
-        shown = numbered.where(f"{k} < {at_most} AND {k} * {total} div {at_most} = row - 1")
+        k = f"((_row * {at_most} + {total} - 1) div {total})"
+        shown = shown.where(f"{k} < {at_most} AND {k} * {total} div {at_most} = _row")
     return shown.select(key, "x", "y", F.lit(total).cast("bigint").alias("total"))

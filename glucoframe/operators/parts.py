@@ -17,6 +17,7 @@ from glucoframe.operators.catalog import (
     index,
 )
 from glucoframe.operators.transforms import BLOM_OFFSET, Transform
+from glucoframe.session import cut_lineage
 from glucoframe.settings import AvignonWeight, ConversionSettings, UnitChoice
 
 HEADER_SEPARATOR = "\x1f"
@@ -81,8 +82,9 @@ def manifest(
     header: list[str] | None = None,
     size_bytes: int | None = None,
     part: tuple[int, int, int] | None = None,
+    columns: list[str] | None = None,
 ) -> dict:
-    """The settings document. `part` is (i, n, total rows) when only a part was calculated."""
+    """The settings document. `part` is (i, n, total rows) when only a part was calculated, `columns` are those of the results."""
     s = run.settings
     doc = {
         "engine_version": version,
@@ -119,6 +121,8 @@ def manifest(
             "size_bytes": size_bytes, "total_rows": part[2] if part else rows,
             "header_sha256": header_fingerprint(header),
         }
+    if columns is not None:
+        doc["results_columns"] = columns
     if part is not None:
         first, last = part_rows(*part)
         doc["chunk"] = {"index": part[0], "of": part[1], "first_row": first, "last_row": last, "total_rows": part[2]}
@@ -164,6 +168,53 @@ def parts_frame(spark: SparkSession, parts: list[tuple[str, dict, list[str]]]) -
     return spark.createDataFrame(rows, PARTS_SCHEMA)
 
 
+def manifest_rows(texts: DataFrame) -> DataFrame:
+    """(name, value) rows with settings documents -> the columns of parts_frame, `rows` they promise and their `counts`.
+
+    Objects are compared by their entries, whatever their order. `part` is null for a document of no part.
+    """
+    def entries(text: Column) -> Column:
+        inner = F.from_json(text, "map<string,string>")
+        return F.when(F.ltrim(text).startswith("{"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(inner))))).otherwise(text)
+
+    shape = (
+        "chunk struct<index:int,of:int,first_row:bigint,last_row:bigint,total_rows:bigint>, results_columns array<string>, "
+        "row_counts struct<total:bigint,with_problems:bigint,calculated:bigint>"
+    )
+    read = texts.select("name", F.from_json("value", shape).alias("d"), F.from_json("value", "map<string,string>").alias("top"))
+    settings = F.create_map(*[x for _, key in MUST_AGREE for x in (F.lit(key), entries(F.try_element_at("top", F.lit(key))))])
+    chunk = [F.col(f"d.chunk.{name}").alias(name if name != "index" else "part") for name in ("index", "of", "first_row", "last_row", "total_rows")]
+    rows = F.col("d.chunk.last_row") - F.col("d.chunk.first_row") + 1
+    columns = F.array_join("d.results_columns", HEADER_SEPARATOR)
+    return read.select("name", *chunk, columns.alias("columns"), settings.alias("settings"), rows.alias("rows"), F.col("d.row_counts").alias("counts"))
+
+
+def checked_parts(texts: DataFrame, found: DataFrame) -> dict:
+    """The settings document of the whole, from those of its parts (name, value) and the rows found of each (name, found).
+
+    Everything that does not fit is an error. The number of jobs does not depend on the number of parts.
+    """
+    parts = cut_lineage(manifest_rows(texts).join(found, "name", "left"))
+    strange = parts.where("part IS NULL").select("name", F.lit("settings have no part information").alias("problem"))
+    differ = parts.where("coalesce(found, 0) != rows").select(
+        "name", F.format_string("%d rows were found where its settings promise %d", F.coalesce("found", F.lit(0).cast("bigint")), F.col("rows")).alias("problem")
+    )
+    fitting = part_problems(parts.where("part IS NOT NULL")).select("name", "problem")
+    problems = strange.union(fitting).union(differ).orderBy("name", "problem").collect()
+    if problems:
+        raise ValueError("these parts cannot be joined:\n  " + "\n  ".join(f"{p.name}: {p.problem}" for p in problems))
+    summed = parts.agg(
+        *[F.sum(f"counts.{name}").alias(name) for name in ("total", "with_problems", "calculated")],
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "name"))), lambda p: p["name"]).alias("names"),
+    ).head()
+    doc = json.loads(texts.where(F.col("name") == summed.names[0]).head().value)
+    doc.pop("chunk")
+    return doc | {
+        "unit_check": [], "merged_from": summed.names,
+        "row_counts": {name: summed[name] for name in ("total", "with_problems", "calculated")},
+    }
+
+
 def part_problems(parts: DataFrame) -> DataFrame:
     """(part, problem) for everything that keeps parts from being joined; empty when they fit.
 
@@ -216,7 +267,10 @@ def part_problems(parts: DataFrame) -> DataFrame:
 def merge_parts(
     spark: SparkSession, parts: list[tuple[str, dict, DataFrame]]
 ) -> tuple[DataFrame, dict]:
-    """Join the results of parts 1..n: checks the manifests and the row counts, then unions."""
+    """Join tables that hold the results of parts 1..n: checks the manifests and the row counts, then unions.
+
+    Written parts are better joined by results.merge_part_files or merge_folder, which read them as one table.
+    """
     listed = [(name, doc, df.columns) for name, doc, df in parts]
     problems = part_problems(parts_frame(spark, listed)).orderBy("part", "problem").collect()
     if problems:

@@ -1,29 +1,29 @@
 """Distributed ordering: average ranks, row numbers and exact quantiles with no one-task window.
 
-A window ordered by value would put a whole index into one task. Here equal values are first counted
-(with map-side combine, so a value on a third of all rows is one row per task), the distinct values are
-range-partitioned and sorted, and every partition keeps a running count; one total per partition and key
-then gives the number of rows ahead of each partition. The ordered table is written to the shared folder with
-its partition numbers, so both uses see the same ones even when an executor is lost in between.
+A window ordered by value would put a whole index into one task. For ranks the rows themselves are range-partitioned by key,
+value and row, numbered inside their partition, and written with their partition's number to the shared folder; a small
+table of partition sizes and of runs of equal values that may go on across a border turns the numbers into ranks.
+For quantiles equal values are counted first and the distinct ones ordered the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 LOCAL_POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 MAX_OFFSETS_BROADCAST = 1_000_000
-SALTS = 1024
 
 
 @dataclass(frozen=True)
@@ -31,13 +31,12 @@ class Limits:
     """Sizes at which another plan takes over. Results never depend on them; tests and queries lower them to reach every plan.
 
     accuracy       of the quantile sketch; keys with fewer than four times as many rows are ordered whole
-    hot_share      a value on more than 1 / hot_share of all rows, and on more than hot_minimum, is joined by broadcast
+    held           rows of one value that a task holds back until it knows how many there are
     broadcast_rows rows up to which a small table is broadcast
     """
 
     accuracy: int = 10_000
-    hot_share: int = 100_000
-    hot_minimum: int = 10_000
+    held: int = 200_000
     broadcast_rows: int = MAX_OFFSETS_BROADCAST
 
 
@@ -66,15 +65,6 @@ def add_row_numbers(df: DataFrame, order_by: list[str], name: str = "row") -> Da
     )
 
 
-def ordered_counts(values: DataFrame, keys: list[str], value: str = "value", limits: Limits = LIMITS) -> DataFrame:
-    """Per distinct (keys, value): cnt = rows with it, before = rows of the key below it, n = rows of the key.
-
-    Keys and values must not be NULL or NaN.
-    """
-    counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return order_counts(counts, keys, value, limits=limits).withColumnsRenamed({"before_cnt": "before", "n_cnt": "n"})
-
-
 def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Adds before_<c> and n_<c> for every count column c in `of`: the sum of c over the smaller values of
     the key, and over all its values. `counts` has one row per (keys, value)."""
@@ -129,33 +119,180 @@ def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] |
     )
 
 
-def average_rank() -> Column:
-    """1-based rank shared by ties, over the columns of ordered_counts."""
-    return F.col("before") + (F.col("cnt") + 1) / 2.0
+Flags = Callable[[pa.RecordBatch], np.ndarray]
 
 
-def attach_by_value(rows: DataFrame, per_value: DataFrame, keys: list[str], value: str = "value", limits: Limits = LIMITS) -> DataFrame:
-    """Join per-value columns (cnt, before, n and whatever was added) back onto the rows.
+class _Runs:
+    """Numbers the rows of one sorted partition by runs of equal values, set by set.
 
-    Values carried by very many rows would all meet in one shuffle partition. There are fewer than
-    hot_share of them by definition, so they are joined by broadcast, and their rows get a salt in the
-    shuffled join of the others, which spreads them and lets them match nothing there.
+    A row belongs to the sets its flags name (all rows to the one set if there are no flags). Of a run that lies inside the
+    partition every row gets twice its mean rank among the partition's rows of the key. The first and the last run of the
+    partition may go on in its neighbours, and a run of more than `held` rows is not held back: their rows name the run, and
+    the run's place and size follow as a row of their own.
     """
-    on = [*keys, value]
-    extra = [c for c in per_value.columns if c not in on]
-    total = per_value.agg(F.sum("cnt")).head()[0] or 0
-    threshold = max(total // limits.hot_share, limits.hot_minimum)
-    hot = per_value.where(F.col("cnt") > threshold)
-    if not hot.take(1):
-        return rows.join(per_value, on, "left")
-    cold = per_value.where(F.col("cnt") <= threshold)
-    hot_side = F.broadcast(hot.select(*on, F.struct(*extra).alias("_hot")))
-    salted = rows.join(hot_side, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0)
-    )
-    cold_side = cold.select(*on, F.lit(0).cast("bigint").alias("_salt"), F.struct(*extra).alias("_cold"))
-    joined = salted.join(cold_side, [*on, "_salt"], "left")
-    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in extra])
+
+    def __init__(self, keys: list[str], value: str, flags: Flags | None, held: int, schema: pa.Schema):
+        self._keys, self._value, self._flags, self._held, self._schema = keys, value, flags, held, schema
+        self._part = TaskContext.get().partitionId()
+        self._key: tuple | None = None
+        self._run: object = None
+        self._size = np.zeros(0, np.int64)  # rows of the key so far, of each set
+        self._count = np.zeros(0, np.int64)  # rows of the run so far
+        self._waiting: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        self._open, self._runs = True, 0
+
+    def _rows(self, batch: pa.RecordBatch, twice: np.ndarray | None, run: int | None) -> pa.RecordBatch:
+        """The rows with twice their rank inside the partition, or with the number of their run."""
+        n = batch.num_rows
+        if twice is None:
+            ranks = pa.nulls(n, pa.list_(pa.int64()))
+        else:
+            ranks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * twice.shape[1]), pa.array(twice.reshape(-1)))
+        numbers = pa.nulls(n, pa.int64()) if run is None else pa.array(np.full(n, run))
+        added = [pa.array(np.full(n, self._part, np.int32)), ranks, numbers, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], schema=self._schema)
+
+    def _note(self, run: int | None, ahead: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        """A row without a rank: where a run begins and its size, or (run null) the size of the key in this partition."""
+        known = dict(zip(self._keys, self._key)) | ({self._value: self._run} if run is not None else {})
+        known |= {"_part": self._part, "_run": run, "_ahead": ahead.tolist(), "_count": count.tolist()}
+        return pa.RecordBatch.from_arrays([pa.array([known.get(f.name)], f.type) for f in self._schema], schema=self._schema)
+
+    def _end_run(self, last: bool) -> Iterator[pa.RecordBatch]:
+        if self._open or last:
+            yield from (self._rows(batch, None, self._runs) for batch, _ in self._waiting)
+            yield self._note(self._runs, self._size, self._count)
+            self._runs += 1
+        else:
+            twice = 2 * self._size + self._count + 1
+            yield from (self._rows(batch, np.broadcast_to(twice, (batch.num_rows, len(twice))), None) for batch, _ in self._waiting)
+        self._size = self._size + self._count
+        self._waiting, self._open = [], False
+
+    def _end_key(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        yield from self._end_run(last)
+        yield self._note(None, np.zeros(0, np.int64), self._size)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from self._batch(batch)
+        if self._key is not None:
+            yield from self._end_key(last=True)
+
+    def _batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = batch.num_rows
+        new_key, new_run = np.zeros(rows, bool), np.zeros(rows, bool)
+        for name, marks in [(k, new_key) for k in self._keys] + [(self._value, new_run)]:
+            column = batch.column(name)
+            marks[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        new_run |= new_key
+        first_key = tuple(batch.column(k)[0].as_py() for k in self._keys)
+        new_key[0] = first_key != self._key
+        new_run[0] = new_key[0] or batch.column(self._value)[0].as_py() != self._run
+        borders = np.append(np.flatnonzero(new_key), rows)
+        if not new_key[0]:
+            yield from self._stretch(batch.slice(0, borders[0]), new_run[: borders[0]])
+        for start, stop in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            if self._key is not None:
+                yield from self._end_key()
+            self._key = tuple(batch.column(k)[start].as_py() for k in self._keys)
+            self._size = self._count = None
+            yield from self._stretch(batch.slice(start, stop - start), new_run[start:stop])
+
+    def _stretch(self, batch: pa.RecordBatch, new_run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of one key."""
+        rows = batch.num_rows
+        if not rows:
+            return
+        flags = np.ones((rows, 1), np.int64) if self._flags is None else self._flags(batch)
+        if self._size is None:
+            self._size = self._count = np.zeros(flags.shape[1], np.int64)
+        starts = np.append(np.flatnonzero(new_run), rows)
+        if starts[0] > 0:  # the run before goes on
+            yield from self._wait(batch.slice(0, starts[0]), flags[: starts[0]])
+        if len(starts) == 1:
+            return
+        if self._waiting or self._open and self._run is not None:
+            yield from self._end_run(last=False)
+        begin, last = int(starts[0]), int(starts[-2])
+        if self._open and last > begin:  # the partition's first run
+            self._run, self._count = batch.column(self._value)[begin].as_py(), np.zeros_like(self._size)
+            yield from self._wait(batch.slice(begin, starts[1] - begin), flags[begin : starts[1]])
+            yield from self._end_run(last=False)
+            begin = int(starts[1])
+        if last > begin:  # whole runs
+            inner = starts[(starts >= begin) & (starts <= last)]
+            sums = np.add.reduceat(flags[begin:last], inner[:-1] - begin, axis=0)
+            ahead = self._size + np.cumsum(sums, axis=0) - sums
+            twice = np.repeat(2 * ahead + sums + 1, np.diff(inner), axis=0)
+            yield self._rows(batch.slice(begin, last - begin), twice, None)
+            self._size = self._size + sums.sum(0)
+        self._run, self._count = batch.column(self._value)[last].as_py(), np.zeros_like(self._size)
+        yield from self._wait(batch.slice(last), flags[last:])
+
+    def _wait(self, batch: pa.RecordBatch, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """More rows of the current run."""
+        self._count = self._count + flags.sum(0)
+        self._waiting.append((batch, flags))
+        if self._open or sum(b.num_rows for b, _ in self._waiting) > self._held:
+            self._open = True
+            yield from (self._rows(b, None, self._runs) for b, _ in self._waiting)
+            self._waiting = []
+
+
+def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str, flags: Flags | None = None, limits: Limits = LIMITS) -> DataFrame:
+    """The rows with `twice`: twice the mean rank of their value among the rows of the same key, and `total`: how many these are.
+
+    Both are arrays with one entry per set: `flags` gives for rows of one key (an Arrow batch) which sets each belongs to, as a
+    table of 0 and 1 (rows x sets); without it there is one set of all rows. Of sets a row does not belong to its entry has no
+    meaning. Keys, values and `row` (which tells the rows apart) must not be NULL or NaN.
+
+    One shuffle: rows are range-partitioned by keys, value and row, so a value on a third of all rows is spread over as many
+    tasks as it fills. What is added up over partitions has a row per partition and key, and one per run of equal values at a
+    partition's border or of more than `limits.held` rows.
+    """
+    types = rows.schema.fields
+    placed = rows.repartitionByRange(*keys, value, row).sortWithinPartitions(*keys, value)
+    longs = T.ArrayType(T.LongType())
+    added = [T.StructField("_part", T.IntegerType()), T.StructField("_twice", longs), T.StructField("_run", T.LongType()), T.StructField("_ahead", longs), T.StructField("_count", longs)]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in types], *added])
+    arrow = to_arrow_schema(schema)
+    held = limits.held
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _Runs(keys, value, flags, held, arrow)(batches)
+
+    read = cut_lineage(placed.mapInArrow(number, schema))
+    notes = read.where(F.col("_count").isNotNull())
+
+    # one row per partition, key and set; both windows see the partitions of one key
+    key = Window.partitionBy(*keys, "_set")
+    above = key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = notes.where(F.col("_run").isNull()).select("_part", *keys, F.posexplode("_count").alias("_set", "_n"))
+    sums = sizes.select("_part", *keys, F.struct("_set", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("b"), F.sum("_n").over(key).alias("t")).alias("_s"))
+    entries = sums.groupBy("_part", *keys).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
+    offsets = cut_lineage(entries.select("_part", *keys, F.col("_s.b").alias("_before"), F.col("_s.t").alias("total")))
+    runs = notes.where(F.col("_run").isNotNull()).select("_part", *keys, value, "_run", "_ahead", "_count")
+    located = runs.join(broadcast_if_small(offsets, limits.broadcast_rows), ["_part", *keys]).withColumn("_start", F.zip_with("_before", "_ahead", lambda b, a: b + a))
+    # a run that crosses borders is one: its rows before are those before its first part
+    whole = located.groupBy(*keys, value).agg(F.min_by("_start", "_part").alias("_first"), F.aggregate(F.collect_list("_count"), F.array().cast("array<bigint>"), _plus).alias("_rows"))
+    met = located.select("_part", *keys, value, "_run").join(whole, [*keys, value])
+    met = met.select("_part", "_run", F.zip_with("_first", "_rows", lambda a, c: 2 * a + c + 1).alias("_whole"))
+    ranked = read.where(F.col("_count").isNull()).join(broadcast_if_small(offsets, limits.broadcast_rows), ["_part", *keys])
+    ranked = ranked.join(broadcast_if_small(cut_lineage(met), limits.broadcast_rows), ["_part", "_run"], "left")
+    moved = F.zip_with("_twice", "_before", lambda t, b: t + 2 * b)
+    return ranked.select(*[f.name for f in types], F.when(F.col("_run").isNull(), moved).otherwise(F.col("_whole")).alias("twice"), "total")
+
+
+def _plus(left: Column, right: Column) -> Column:
+    """Sum by entry; an empty array counts as zeros."""
+    return F.when(F.size(left) == 0, right).when(F.size(right) == 0, left).otherwise(F.zip_with(left, right, lambda a, b: a + b))
+
+
+def mean_rank() -> Column:
+    """1-based rank shared by ties, over the columns of range_ranks with one set."""
+    return F.col("twice")[0] / 2.0
 
 
 def exact_quantiles(

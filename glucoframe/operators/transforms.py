@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucoframe.functions.normal import qnorm
 from glucoframe.operators.calculate import to_long
 from glucoframe.operators.catalog import INDEX_IDS
-from glucoframe.operators.ranking import LIMITS, Limits, attach_by_value, average_rank, ordered_counts
+from glucoframe.operators.ranking import LIMITS, Limits, mean_rank, range_ranks
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 KINDS = ("none", "log", "z", "rint")
 BLOM_OFFSET = 0.375
 MAX_GROUPS_BROADCAST = 100_000
+BLOCK_BITS = 13  # 8,192 rows are filled at once
 
 
 @dataclass(frozen=True)
@@ -79,8 +83,12 @@ def transform_long(long: DataFrame, t: Transform, limits: Limits = LIMITS) -> Da
         moments = cut_lineage(group_moments(long, t)).where(z_possible()).select(*keys, "mean", "sd")
         scaled = labelled.join(broadcast_if_small(moments, MAX_GROUPS_BROADCAST), keys, "left")
         return scaled.withColumn("transformed", (F.col("value") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
-    ranked = ordered_counts(labelled, keys, limits=limits).withColumn("transformed", blom(average_rank(), F.col("n")))
-    return attach_by_value(labelled, ranked, keys, limits=limits).drop("cnt", "before", "n")
+    ranked = _with_ranks(labelled, keys, limits)
+    return ranked.withColumn("transformed", blom(mean_rank(), F.col("total")[0])).select(*labelled.columns, "transformed")
+
+
+def _with_ranks(long: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
+    return range_ranks(long.withColumn("_tie", F.monotonically_increasing_id()), keys, "value", "_tie", limits=limits)
 
 
 def blom(rank: Column, n: Column) -> Column:
@@ -90,8 +98,7 @@ def blom(rank: Column, n: Column) -> Column:
 def rank_long(long: DataFrame, t: Transform = Transform(), limits: Limits = LIMITS) -> DataFrame:
     """Adds `rank`: 1-based, ties share their mean rank."""
     labelled, keys = _grouped(long, t)
-    ranked = ordered_counts(labelled, keys, limits=limits).withColumn("rank", average_rank())
-    return attach_by_value(labelled, ranked, keys, limits=limits).drop("cnt", "before", "n")
+    return _with_ranks(labelled, keys, limits).withColumn("rank", mean_rank()).select(*labelled.columns, "rank")
 
 
 def index_columns(df: DataFrame) -> list[str]:
@@ -160,24 +167,68 @@ def _narrow(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
 
 
 def _ranked(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
+    """One shuffle of single values out to their order, one back to their rows.
+
+    Rows are numbered and written first. A value goes out as (column number, group, value, row); its transform comes back to
+    the block of BLOCK neighbouring row numbers it belongs to, where a task fills the block's columns.
+    """
     numbered = cut_lineage(results.withColumn("_row", F.monotonically_increasing_id()))
-    long = transform_long(to_long(numbered, columns, ["_row"] + ([t.within] if t.within else [])), t)
-    picked = [F.max(F.when(F.col("index_id") == c, F.col("transformed"))).alias(c + t.suffix) for c in columns]
-    return numbered.join(long.groupBy("_row").agg(*picked), "_row", "left").drop("_row")
+    group = [] if t.within is None else [t.within]
+    cells = ", ".join(f"named_struct('_column', {k}, 'value', `{c}` + 0D)" for k, c in enumerate(columns))
+    long = numbered.selectExpr("_row", *[f"`{g}`" for g in group], f"inline(array({cells}))").where("value IS NOT NULL AND NOT isnan(value)")
+    for g in group:
+        long = long.where(F.col(g).isNotNull() & (F.col(g) != ""))
+    ranked = range_ranks(long, ["_column", *group], "value", "_row")
+    back = ranked.select(_block(), "_row", "_column", blom(mean_rank(), F.col("total")[0]).alias("value"))
+    kept = numbered.select(_block(), "_row", F.struct(*[F.col(f"`{c}`") for c in results.columns]).alias("kept"))
+    shape = T.StructType([kept.schema["kept"], *[T.StructField(f"c{k}", T.DoubleType()) for k in range(len(columns))]])
+
+    def fill(rows: pa.Table, values: pa.Table) -> pa.Table:
+        numbers = rows.column("_row").to_numpy()
+        order = np.argsort(numbers)
+        at = order[np.searchsorted(numbers, values.column("_row").to_numpy(), sorter=order)]
+        made = np.full((len(columns), len(numbers)), np.nan)
+        made[values.column("_column").to_numpy(), at] = values.column("value").to_numpy()
+        filled = [pa.array(line, mask=np.isnan(line)) for line in made]
+        return pa.table([rows.column("kept"), *filled], names=["kept", *[f"c{k}" for k in range(len(columns))]])
+
+    joined = kept.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(fill, shape)
+    return joined.select("kept.*", *[F.col(f"c{k}").alias(c + t.suffix) for k, c in enumerate(columns)])
+
+
+def _block() -> Column:
+    return F.shiftright("_row", BLOCK_BITS).alias("_block")
 
 
 def attach_sex(results: DataFrame, source: DataFrame, key: str = "participant_id") -> DataFrame:
-    """Sex from the original table by id. Duplicate ids on either side and ids not found are errors."""
-    for name, df in (("results", results), ("source", source)):
-        repeated = df.groupBy(key).count().where("count > 1").limit(6).collect()
-        if repeated:
-            examples = ", ".join(str(r[key]) for r in repeated[:5])
-            raise ValueError(f"{name}: duplicate participant IDs: {examples}; within-sex needs unique IDs")
-    unknown = results.join(source.select(key), key, "left_anti").select(key).limit(6).collect()
-    if unknown:
-        examples = ", ".join(str(r[key]) for r in unknown[:5])
-        raise ValueError(f"participant IDs not found in the source: {examples}")
-    return results.drop("sex").join(source.select(key, "sex"), key, "left")
+    """Sex from the original table by id. Duplicate ids on either side and ids not found are errors.
+
+    Both sides meet once, in one table grouped by id: a group holds how often the id stands on either side, the row and the sex.
+    A row without an id has no partner and is an error too. Up to five ids of the first kind of error are named.
+    """
+    names = results.drop("sex").columns
+    kept = F.struct(*[F.col(f"`{c}`") for c in names])
+    left = results.select(F.col(f"`{key}`").alias("_id"), F.lit(1).alias("_here"), F.lit(0).alias("_there"), kept.alias("_kept"), F.lit(None).cast("string").alias("_sex"))
+    nothing = F.lit(None).cast(left.schema["_kept"].dataType)
+    right = source.select(F.col(f"`{key}`").alias("_id"), F.lit(0).alias("_here"), F.lit(1).alias("_there"), nothing.alias("_kept"), F.col("sex").alias("_sex"))
+    met = left.union(right).groupBy("_id").agg(
+        F.sum("_here").alias("_here"), F.sum("_there").alias("_there"), F.first("_kept", ignorenulls=True).alias("_kept"), F.max("_sex").alias("_sex")
+    )
+    unknown = (F.col("_here") > 0) & ((F.col("_there") == 0) | F.col("_id").isNull())
+    problem = F.when(F.col("_id").isNotNull() & (F.col("_here") > 1), 1).when(F.col("_id").isNotNull() & (F.col("_there") > 1), 2).when(unknown, 3)
+    met = cut_lineage(met.withColumn("_problem", problem))
+    found = {}
+    for number in (1, 2, 3):
+        rows = met.where(F.col("_problem") == number).select(F.coalesce(F.col("_id").cast("string"), F.lit("(none)")).alias("id")).limit(5).collect()
+        if rows:
+            found[number] = ", ".join(sorted(r.id for r in rows))
+            break
+    for number, side in ((1, "results"), (2, "source")):
+        if number in found:
+            raise ValueError(f"{side}: duplicate participant IDs: {found[number]}; within-sex needs unique IDs")
+    if 3 in found:
+        raise ValueError(f"participant IDs not found in the source: {found[3]}")
+    return met.where("_here = 1").select("_kept.*", F.col("_sex").alias("sex"))
 
 
 def transform_report(results: DataFrame, t: Transform, columns: list[str] | None = None) -> DataFrame:

@@ -54,7 +54,15 @@ from glucoframe.plans.index_sql import (
 from glucoframe.plans.source import Query, Source, rounded, rounded_sql
 from glucoframe.settings import AvignonWeight, ConversionSettings
 from glucoframe.session import cut_lineage, scratch_path
-from glucoframe.sources.results import merge_part_files, read_manifest, read_results, settings_path, write_results
+from glucoframe.sources.results import (
+    merge_folder,
+    merge_part_files,
+    read_manifest,
+    read_results,
+    settings_path,
+    write_parts,
+    write_results,
+)
 from glucoframe.sources.visits import COHORT_COLUMNS
 
 SOME = ["homa_ir", "quicki", "avignon_si0", "vai", "homa_beta", "glucagon_auc"]
@@ -348,6 +356,15 @@ MERGED_SQL = with_prepared(
 )
 
 
+def merged_folder(src: Source) -> DataFrame:
+    """The same from a single partitioned write of all parts and a single read; two hundred parts, so that some may be small."""
+    numbered = cut_lineage(_numbered(src)).withColumn("input_problems", F.lit(""))
+    folder = scratch_path(src.spark, "parts")
+    write_parts(numbered, folder, Run("visits"), 200, version=glucoframe.__version__, timestamp="", header=numbered.columns, keep=["visit_id"])
+    together, _ = merge_folder(src.spark, folder)
+    return together.select(F.col("visit_id").cast("bigint").alias("visit_id"), *[rounded(i, decimals(i)).alias(i) for i in INDEX_IDS])
+
+
 def misfits(src: Source) -> DataFrame:
     """What is reported of written parts when part 3 is lost and the settings of part 5 name another orientation."""
     listed = []
@@ -654,6 +671,7 @@ QUERIES = {
     "B07_selection": Query(selection, SELECTION_SQL),
     "B09_cohort_parts": Query(cohort_parts, PARTS_SQL),
     "B10_merge_parts": Query(merged, MERGED_SQL),
+    "B10_merge_folder": Query(merged_folder, MERGED_SQL),
     "B10_part_problems": Query(misfits, MISFITS_SQL),
     "B11_run_manifest": Query(run_manifest, _manifest_sql()),
     "B12_method_catalog": Query(catalog_coverage, _catalog_sql()),

@@ -179,6 +179,24 @@ def generated_ids(src: Source) -> DataFrame:
 GENERATED_SQL = _with_text("SELECT row_no AS row, pid AS participant_id FROM parsed WHERE participant_id = ''")
 
 
+def file_list(src: Source) -> DataFrame:
+    """Generated ids over a list of files whose names begin alike or need escaping, in the order of the list."""
+    folder = scratch_path(src.spark, "listed")
+    names = ["x", "x2", "b c", "x%20"]
+    table = text_table(src).select("visit_id", *[c for c in TEXT_COLUMNS if c != "participant_id"])
+    for k, name in enumerate(names):
+        rows = table.where(F.col("visit_id") % len(names) == k).repartitionByRange("visit_id").sortWithinPartitions("visit_id")
+        write_csv(rows.withColumn("weight", F.col("visit_id").cast("string")).drop("visit_id"), f"{folder}/{name}.csv")
+    rows = read_cohort(src.spark, [f"{folder}/{name}.csv" for name in names]).rows
+    return rows.select("row", "participant_id", F.col("weight").cast("bigint").alias("visit_id"))
+
+
+FILE_LIST_SQL = with_cohort(
+    "SELECT r AS row, concat('row_', CAST(r AS VARCHAR)) AS participant_id, visit_id FROM "
+    "(SELECT visit_id, row_number() OVER (ORDER BY visit_id % 4, visit_id) AS r FROM cohort)"
+)
+
+
 def duplicates(src: Source) -> DataFrame:
     people = src.table("orders").select(F.col("o_custkey").cast("string").alias("participant_id"))
     return duplicate_ids(people)
@@ -344,6 +362,7 @@ QUERIES = {
     "S03_classify_columns": Query(classify_columns, _classify_sql()),
     "S05_parse_cells": Query(parse_cells, PARSE_SQL),
     "S06_parse_sex": Query(parse_sex, PARSE_SEX_SQL),
+    "S07_file_list": Query(file_list, FILE_LIST_SQL),
     "S07_generated_ids": Query(generated_ids, GENERATED_SQL),
     "S08_duplicate_ids": Query(duplicates, DUPLICATES_SQL),
     "S09_to_canonical": Query(to_canonical, TO_CANONICAL_SQL),

@@ -150,8 +150,8 @@ RINT_BY_SEX_SQL = with_prepared(
 
 
 def rint_by_sex_hot(src: Source) -> DataFrame:
-    """The same by the plan for values that very many rows hold, and without broadcasts of the offsets."""
-    long = transforms.transform_long(graded_long(src), BY_SEX, Limits(hot_share=10**9, hot_minimum=3, broadcast_rows=0))
+    """The same with runs of equal values that no task holds back, and without broadcasts of the offsets."""
+    long = transforms.transform_long(graded_long(src), BY_SEX, Limits(held=2, broadcast_rows=0))
     return long.select("visit_id", "sex", "index_id", rounded("transformed").alias("transformed"))
 
 
@@ -403,7 +403,13 @@ PEARSON_PAIR_SQL = with_prepared(
 
 
 def spearman_pair(src: Source) -> DataFrame:
-    return rounded_all(correlation.spearman(src.values(SHOWN), "homa_ir", "tg_hdl", "visit_id"))
+    return rounded_all(correlation.spearman(src.values(SHOWN), "homa_ir", "tg_hdl"))
+
+
+def spearman_pair_repeated(src: Source) -> DataFrame:
+    """Rows that share an id or have none count like any other."""
+    values = src.values(SHOWN).withColumn("visit_id", F.expr("CASE WHEN visit_id % 3 = 0 THEN visit_id div 4 END"))
+    return rounded_all(correlation.spearman(values, "homa_ir", "tg_hdl"))
 
 
 def _pair_ranks(x: str, y: str) -> str:
@@ -579,7 +585,8 @@ MATRIX_COUNTS_SQL = with_prepared(
 
 
 def scatter(src: Source) -> DataFrame:
-    found = correlation.scatter_sample(src.values(SHOWN), "homa_ir", "tg_hdl", "visit_id", at_most=1000)
+    in_order = src.values(SHOWN).repartitionByRange("visit_id").sortWithinPartitions("visit_id")  # the row order of this table
+    found = correlation.scatter_sample(in_order, "homa_ir", "tg_hdl", "visit_id", at_most=1000)
     return rounded_all(found)
 
 
@@ -674,10 +681,14 @@ DENSITIES_SQL = with_prepared(
 
 
 def density_table(src: Source) -> DataFrame:
+    return rounded_all(_density_table(src))
+
+
+def _density_table(src: Source) -> DataFrame:
     """The export layout of a transformed scale."""
     long = transforms.transform_long(src.long_values(INDEX_IDS), Transform("log"))
     logged = long.where("transformed IS NOT NULL").select("index_id", "sex", F.col("transformed").alias("value"))
-    return rounded_all(density.group_densities(logged, "log"))
+    return density.group_densities(logged, "log")
 
 
 DENSITY_TABLE_SQL = with_prepared(
@@ -757,6 +768,7 @@ QUERIES = {
     "C02_spearman_pair": Query(spearman_pair, SPEARMAN_PAIR_SQL),
     "C03_pearson_matrix": Query(pearson_matrix, PEARSON_SQL),
     "C03_with_infinite": Query(pearson_with_infinite, INFINITE_SQL),
+    "C02_repeated_ids": Query(spearman_pair_repeated, SPEARMAN_PAIR_SQL),
     "C04_spearman_matrix": Query(spearman_matrix, SPEARMAN_SQL),
     "C04_spearman_rint_by_sex": Query(spearman_by_sex_rint, SPEARMAN_BY_SEX_SQL),
     "C05_matrix_members": Query(members, _members_sql()),

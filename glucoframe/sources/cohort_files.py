@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,55 +31,98 @@ def detect_delimiter(header: str) -> str:
     return max(counts, key=lambda name: counts[name])
 
 
+def _plain_uri(uri: str) -> str:
+    """A file's address with one slash behind the scheme, so that file:/x and file:///x are the same."""
+    return re.sub(r"^([^:/]+):/+", r"\1:/", uri)
+
+
+def _readable(spark: SparkSession, uri: str) -> str:
+    """The path that the readers take for a file's address: decoded, with the characters of patterns escaped."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _addresses(spark: SparkSession, path: str) -> list[str]:
+    """The addresses of the files or folders that a path, perhaps a pattern, stands for."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return [] if found is None else [_plain_uri(status.getPath().toUri().toString()) for status in found]
+
+
 def read_text_table(
     spark: SparkSession, path: str | list[str], delimiter: str = "auto", multi_line: bool | None = None
 ) -> DataFrame:
     """Delimited text with a header row, every cell a string, blank rows dropped.
 
     Line breaks inside quotes need a file to be read by one task (multi_line=True). By default the lines are looked
-    through first, split over all tasks: only where one has an odd number of quotes can a cell go on in the next.
+    through first, split over all tasks: only a file where one has an odd number of quotes can have a cell that goes on in the
+    next line, and only such files are read whole.
     """
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        multi_line = spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+    if delimiter not in ("auto", *DELIMITERS):
+        raise ValueError(f"delimiter {delimiter!r} is not valid (use auto, {', '.join(DELIMITERS)})")
     if delimiter == "auto":
         first = spark.read.text(path).select("value").head()
         delimiter = detect_delimiter(first[0] if first else "")
-    elif delimiter not in DELIMITERS:
-        raise ValueError(f"delimiter {delimiter!r} is not valid (use auto, {', '.join(DELIMITERS)})")
-    return spark.read.csv(
-        path, sep=DELIMITERS[delimiter], header=True, quote='"', escape='"', multiLine=multi_line,
-        inferSchema=False, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+
+    def read(paths: str | list[str], whole: bool) -> DataFrame:
+        return spark.read.csv(
+            paths, sep=DELIMITERS[delimiter], header=True, quote='"', escape='"', multiLine=whole,
+            inferSchema=False, enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+
+    if multi_line is not None:
+        return read(path, multi_line)
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = {_plain_uri(r[0]) for r in lines.where(quotes % 2 == 1).select(F.input_file_name()).distinct().collect()}
+    if not odd:
+        return read(path, False)
+    files = lines.inputFiles()
+    clean = [_readable(spark, uri) for uri in files if _plain_uri(uri) not in odd]
+    if not clean:
+        return read(path, True)
+    split, whole = read(clean, False), read([_readable(spark, uri) for uri in files if _plain_uri(uri) in odd], True)
+    if split.columns != whole.columns:
+        raise CohortError(f"the files have different headers: {', '.join(split.columns)} and {', '.join(whole.columns)}")
+    return split.union(whole)
 
 
 def number_file_rows(df: DataFrame, paths: list[str] | None = None, name: str = "row") -> DataFrame:
     """1-based row numbers in file order: place in `paths` if several are given, then file name, then position.
 
+    A file belongs to the first entry that is the file itself or a folder around it; whole addresses are compared.
     The rows are read once and kept in the shared folder with their place in the scan, so the counts and the rows come
     from the same reading. One count per file split goes into a running sum; the rows are not shuffled.
     """
-    file = F.input_file_name()
-    listed = F.lit(0)
-    for k, path in reversed(list(enumerate(paths or []))):
-        listed = F.when(F.contains(file, F.lit(path.split(":")[-1].rstrip("/"))), F.lit(k)).otherwise(listed)
     marked = cut_lineage(df.select(
         "*",
-        file.alias("_file"), listed.alias("_list"),
+        F.input_file_name().alias("_file"),
         F.input_file_block_start().alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
     ))
-    blocks = marked.groupBy("_list", "_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
-    running = Window.orderBy("_list", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_ahead", F.coalesce(F.sum("_rows").over(running), F.lit(0))).drop("_rows", "_list")
+    blocks = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    blocks = blocks.join(entries_of(blocks.select("_file").distinct(), paths or []), "_file", "left")
+    running = Window.orderBy("_entry", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_ahead", F.coalesce(F.sum("_rows").over(running), F.lit(0))).drop("_rows", "_entry")
     # one row per file split (metadata of the scan)
     return (
-        marked.join(broadcast_if_small(offsets, MAX_BLOCKS_BROADCAST), ["_file", "_start"])
+        marked.join(broadcast_if_small(cut_lineage(offsets), MAX_BLOCKS_BROADCAST), ["_file", "_start"])
         .withColumn(name, F.col("_ahead") + F.col("_at") - F.col("_first") + 1)
-        .drop("_list", "_file", "_start", "_at", "_first", "_ahead")
+        .drop("_file", "_start", "_at", "_first", "_ahead")
     )
 
 
+def entries_of(files: DataFrame, paths: list[str]) -> DataFrame:
+    """(_file, _entry): for files (column _file, as input_file_name gives it) the first entry of `paths`, from 0, that is the file
+    itself or a folder around it. Whole addresses are compared, so names that begin alike stay apart."""
+    spark = files.sparkSession
+    places = [(address, k) for k, path in enumerate(paths) for address in _addresses(spark, path)]
+    listed = spark.createDataFrame(places, "_around string, _entry int").groupBy("_around").agg(F.min("_entry").alias("_entry"))
+    steps = F.split(F.regexp_replace("_file", r"^([^:/]+):/+", "$1:/"), "/")
+    around = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    return files.select("_file", F.explode(around).alias("_around")).join(listed, "_around").groupBy("_file").agg(F.min("_entry").alias("_entry"))
+
+
 @dataclass(frozen=True)
 class Cohort:
     """A parsed table: `rows` has row, participant_id, input_problems and the recognised columns in file units."""

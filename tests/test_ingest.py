@@ -13,6 +13,7 @@ from glucoframe.sources.cohort_files import (
     parse_table,
     problem_rows,
     read_cohort,
+    read_text_table,
     wide_from_long,
 )
 from glucoframe.sources.columns import classify, classify_all, conflicts
@@ -174,3 +175,45 @@ def test_file_check(spark, tmp_path):
     assert items["unit_warning", "G0 mg/dL"] == 93.5
     assert ("ignored_column", "odd") in items and ("recognised_column", "G120") in items
     assert ("avignon_weight", "sample") in items
+
+
+def test_files_keep_the_order_of_the_list(spark, tmp_path):
+    """Names that begin alike, need escaping, hold pattern characters, or lie in a folder of the list."""
+    names = ["x.csv", "x2.csv", "b c.csv", "100%25.csv", "a[1].csv", "ä.csv"]
+    for k, name in enumerate(names):
+        write(tmp_path, name, f"G0,I0\n{k}.5,40\n{k}.25,41\n")
+    (tmp_path / "x").mkdir()
+    for k, name in enumerate(["2.csv", "1.csv"]):
+        write(tmp_path / "x", name, f"G0,I0\n{10 + k}.5,40\n")
+    for order in (names, names[::-1], ["ä.csv", "x", "x2.csv", "b c.csv"], ["x2.csv", "x"]):
+        paths = [str(tmp_path / name).replace("[", "\\[").replace("]", "\\]") for name in order]
+        rows = read_cohort(spark, paths).rows.orderBy("row").collect()
+        wanted = [v for name in order for v in ([11.5, 10.5] if name == "x" else [names.index(name) + 0.5, names.index(name) + 0.25])]
+        assert [r.row for r in rows] == list(range(1, len(wanted) + 1)) and [r.g0 for r in rows] == wanted
+        assert [r.participant_id for r in rows] == [f"row_{k}" for k in range(1, len(wanted) + 1)]
+
+
+def test_one_odd_quote_makes_only_its_file_whole(spark, tmp_path):
+    """Clean files of a mixed folder are still split; rows keep their order."""
+    for k in range(3):
+        text = "id,G0,note\n" + "".join(f"p{k}-{n},{n}.5,some words to fill the line\n" for n in range(1, 2000))
+        write(tmp_path, f"{k}.csv", text + ('q,7.5,"two\nlines"\n' if k == 1 else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        table = read_text_table(spark, str(tmp_path))
+        starts = table.select(F.input_file_name().alias("f"), F.input_file_block_start().alias("s")).distinct().groupBy("f").count().collect()
+        counts = {r.f.rsplit("/")[-1]: r["count"] for r in starts}
+        rows = read_cohort(spark, [str(tmp_path / f"{k}.csv") for k in (2, 1, 0)]).rows.orderBy("row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert counts["1.csv"] == 1 and counts["0.csv"] > 2 and counts["2.csv"] > 2
+    wanted = [f"p2-{n}" for n in range(1, 2000)] + [f"p1-{n}" for n in range(1, 2000)] + ["q"] + [f"p0-{n}" for n in range(1, 2000)]
+    assert [r.participant_id for r in rows] == wanted
+
+
+def test_mixed_files_need_one_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "id,G0\nx,5.5\n")
+    write(tmp_path, "b.csv", 'id,I0\n"y\nz",40\n')
+    with pytest.raises(CohortError, match="different headers"):
+        read_cohort(spark, str(tmp_path))

@@ -1,6 +1,7 @@
 """Parts, manifests, sinks, streaming, reconciliation, and what the plans look like."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,21 +21,34 @@ from glucoframe.operators.weight import cohort_weight, weight_from_sums, weight_
 from glucoframe.settings import AvignonWeight
 from glucoframe.operators.transforms import Transform
 from glucoframe.sources.results import (
+    merge_folder,
     merge_part_files,
     read_manifest,
     read_results,
     settings_path,
     write_csv,
+    write_manifest,
+    write_parts,
     write_results,
     write_transformed,
 )
+from glucoframe.settings import ConversionSettings, UnitChoice
+from glucoframe.sources.cohort_files import canonical, read_cohort
 from glucoframe.streaming.scorer import (
-    newest,
+    COUNT_KEYS,
+    REASON_KEYS,
+    SUM_KEYS,
+    add_to_ledger,
+    compact_ledger,
+    count_delta,
+    read_ledger,
+    reason_delta,
+    scored_cells,
+    stream_cells,
     stream_cohort,
-    stream_counts,
     stream_score,
-    stream_weight_sums,
-    write_running_table,
+    write_cells,
+    write_ledger,
     write_scores,
 )
 
@@ -118,6 +132,62 @@ def test_misfitting_parts_are_refused(spark, cohort):
         parts_frame(spark, [("whole", manifest(Run("x"), version="1", timestamp="", rows=1, rows_with_problems=0), [])])
 
 
+def jobs_of(spark, work):
+    """The result of `work` and how many jobs it started."""
+    group = f"counted-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        found = work()
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_parts_in_one_folder(spark, cohort, tmp_path):
+    """Many parts, some without rows, are one write and one read; the number of jobs is that of a few parts."""
+    rows = cohort.withColumn("input_problems", F.when(F.col("row") % 50 == 0, "odd").otherwise(""))
+    jobs = {}
+    for n in (4, 300):
+        folder = str(tmp_path / f"parts-{n}")
+        write_parts(rows, folder, Run("c.csv"), n, version="1", timestamp="", header=cohort.columns)
+        (merged, doc), jobs[n] = jobs_of(spark, lambda: merge_folder(spark, folder))
+        assert rows_of(merged.select("participant_id", *INDEX_IDS).na.fill(-1.0)) == rows_of(calculate_wide(cohort, keep=["participant_id"]).na.fill(-1.0))
+        assert doc["row_counts"] == {"total": 600, "with_problems": 12, "calculated": 600} and "chunk" not in doc
+        assert doc["merged_from"] == [f"part {k}" for k in range(1, n + 1)] and doc["results_columns"] == merged.columns
+    assert jobs[300] <= jobs[4] + 4  # long lists of files are listed by jobs of their own
+
+
+def test_misfitting_files_are_refused(spark, cohort, tmp_path):
+    rows, total, n, paths = cohort.withColumn("input_problems", F.lit("")), 600, 4, []
+    for i in range(1, n + 1):
+        paths.append(str(tmp_path / f"part-{i}.csv"))
+        run = Run("c.csv", orientation="sensitivity" if i == 3 else "published", selection=["homa_ir"] if i == 4 else INDEX_IDS)
+        write_results(take_part(rows, i, n, total), paths[-1], run, version="1", timestamp="", header=cohort.columns, part=(i, n, total))
+    with pytest.raises(ValueError, match="part-3.csv: differs from part 1 in orientation"):
+        merge_part_files(spark, paths[:3])
+    with pytest.raises(ValueError, match="part-4.csv: (differs from part 1 in index selection|header differs)"):
+        merge_part_files(spark, [*paths[:2], paths[3]])
+    with pytest.raises(ValueError, match="missing part 2"):
+        merge_part_files(spark, paths[:1])
+    write_csv(take_part(calculate_wide(rows, keep=["participant_id", "input_problems", "row"]), 2, n, total).drop("row").limit(7), paths[1], overwrite=True)
+    with pytest.raises(ValueError, match="part-2.csv: 7 rows were found where its settings promise 150"):
+        merge_part_files(spark, paths[:2])
+    whole = str(tmp_path / "whole.csv")
+    write_results(rows, whole, Run("c.csv"), version="1", timestamp="")
+    with pytest.raises(ValueError, match="whole.csv: settings have no part information"):
+        merge_part_files(spark, [whole])
+
+
+def test_results_are_one_job(spark, cohort, tmp_path):
+    """Rows are counted while they are written: one job for the results, those of the settings aside."""
+    rows = cohort.withColumn("input_problems", F.lit(""))
+    run = Run("c.csv", status_columns=True)
+    wide = calculate_wide(rows, keep=["participant_id", "input_problems"], status_columns=True)
+    _, alone = jobs_of(spark, lambda: (write_csv(wide, str(tmp_path / "a.csv")), write_manifest(spark, {}, str(tmp_path / "a.json"))))
+    doc, both = jobs_of(spark, lambda: write_results(rows, str(tmp_path / "b.csv"), run, version="1", timestamp=""))
+    assert doc["row_counts"]["total"] == 600 and both == alone
+
+
 def test_counts_and_reasons(cohort):
     wide = calculate_wide(cohort, status_columns=True)
     counts = {r.method_id: r for r in tally.status_counts(tally.status_long(wide)).collect()}
@@ -194,18 +264,64 @@ def test_stream_equals_batch(spark, cohort, tmp_path):
     batch = calculate_wide(cohort, status_columns=True)
     assert rows_of(spark.read.parquet(out).na.fill(-1.0)) == rows_of(batch.na.fill(-1.0))
 
-    counts = str(tmp_path / "counts")
-    write_running_table(stream_counts(stream), counts).awaitTermination()
-    assert rows_of(newest(spark, counts)) == rows_of(tally.status_counts(tally.status_long(batch)))
+    counts, wanted = str(tmp_path / "counts"), rows_of(tally.status_counts(tally.status_long(batch)))
+    write_ledger(stream, count_delta(), counts).awaitTermination()
+    assert rows_of(read_ledger(spark, counts, COUNT_KEYS)) == wanted
 
     sums = str(tmp_path / "sums")
-    write_running_table(stream_weight_sums(stream), sums).awaitTermination()
-    row = weight_from_sums(newest(spark, sums)).head()
+    write_ledger(stream, weight_sums, sums).awaitTermination()
+    row = weight_from_sums(read_ledger(spark, sums, SUM_KEYS)).head()
     assert row.weight == pytest.approx(cohort_weight(cohort).value, rel=1e-12)
+
+    reasons = str(tmp_path / "reasons")
+    write_ledger(stream, reason_delta(), reasons).awaitTermination()
+    assert rows_of(read_ledger(spark, reasons, REASON_KEYS)) == rows_of(tally.reason_counts(cohort))
     with pytest.raises(ValueError, match="whole cohort"):
         stream_score(stream, keep=[], weight=cohort_weight(cohort))
 
 
+def test_every_batch_counts_once(spark, cohort, tmp_path):
+    """Batches that are repeated, before or after a compaction, and entries that were never finished leave the counts as they are."""
+    path = str(tmp_path / "ledger")
+    batches = [cohort.where(F.col("row") % 7 == k) for k in range(7)]
+    delta, wanted = count_delta(["homa_ir", "vai"]), rows_of(count_delta(["homa_ir", "vai"])(cohort))
+    with pytest.raises(ValueError, match="nothing was written"):
+        read_ledger(spark, path, COUNT_KEYS)
+    for number, batch in enumerate(batches):
+        add_to_ledger(delta(batch), number, path)
+        add_to_ledger(delta(batch), number, path)
+    assert rows_of(read_ledger(spark, path, COUNT_KEYS)) == wanted
+    assert compact_ledger(spark, path, COUNT_KEYS, keep=3) == 3 and compact_ledger(spark, path, COUNT_KEYS, keep=3) == 3
+    add_to_ledger(delta(batches[2]), 2, path)
+    add_to_ledger(delta(batches[5]), 5, path)
+    (tmp_path / "ledger" / "deltas" / "batch=9").mkdir()
+    assert rows_of(read_ledger(spark, path, COUNT_KEYS)) == wanted
+    assert compact_ledger(spark, path, COUNT_KEYS, keep=0) == 6 and rows_of(read_ledger(spark, path, COUNT_KEYS)) == wanted
+    assert sorted(p.name for p in (tmp_path / "ledger" / "base").iterdir()) == ["upto=6"]
+
+
+def test_cells_as_they_arrive(spark, tmp_path):
+    """Text files with problems give the rows of a batch over the same files; a stream that starts again adds only new files."""
+    folder, out, state = tmp_path / "cells", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    header = ["id", "G0", "I0", "sex", "note"]
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(",".join(header) + "\n" + f'a{k},5.{k},42,m,"x, y"\n,"5,1",40,f,\nb{k},abc,NA,9,z\nc{k},4.5,0,2,\n')
+    rows, columns = stream_cells(spark, str(folder), header, files_per_batch=1)
+    scored = stream_score(canonical(rows, columns, UnitChoice(), ConversionSettings()), keep=["participant_id", "input_problems"], ids=["homa_ir"])
+    for extra in (0, 1):
+        if extra:
+            (folder / "3.csv").write_text(",".join(header) + "\nlate,6.5,30,1,\n")
+        write_cells(scored, out, state).awaitTermination()
+        found, totals = scored_cells(spark, out)
+        assert (totals.head()["rows"], totals.head().rows_with_problems) == (12 + extra, 6)
+    batch = read_cohort(spark, str(folder)).rows.where("participant_id NOT LIKE 'row%'")
+    wanted = calculate_wide(batch.drop("row"), ids=["homa_ir"], keep=["participant_id", "input_problems"], status_columns=True)
+    assert rows_of(found.where("participant_id IS NOT NULL").na.fill(-1.0)) == rows_of(wanted.na.fill(-1.0))
+    empty = found.where("participant_id IS NULL").collect()
+    assert len(empty) == 3 and all(r.input_problems == 'participant ID is empty | G0: use a decimal point ("5,1")' for r in empty)
+
+
 def test_reconcile(spark):
     assert len(EARLIER_COLUMNS) == 32 and len(ISLET_COLUMNS) == 12
     counterparts = (

@@ -58,20 +58,53 @@ def test_negative_zero_is_zero(spark):
     assert ranks == {1: 2.5, 2: 2.5, 3: 1.0}
 
 
-def test_ranks_across_partitions_and_hot_values(spark):
+@pytest.mark.parametrize("held, broadcast_rows, batch", [(200_000, 1_000_000, 10_000), (50, 0, 97), (1, 1_000_000, 1), (10_000, 0, 1000)])
+def test_ranks_across_partitions_and_hot_values(spark, held, broadcast_rows, batch):
+    """One value on a third of the rows and whole keys of one value lie across borders of tasks and batches."""
     rng = random.Random(3)
-    values = [0.0] * 4000 + [float(rng.randrange(3000)) for _ in range(8000)]
-    rng.shuffle(values)
-    df = spark.createDataFrame(list(enumerate(values)), "k int, value double").withColumn("index_id", F.lit("x"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    size = 300 if batch == 1 else 4000
+    rows = [("x", 0.0)] * size + [("x", float(rng.randrange(3000))) for _ in range(2 * size)] + [("y", 5.0)] * size + [("z", 1.0), ("w", 2.0), ("w", -0.0)]
+    rows += [("v", float(k // 7)) for k in range(size // 2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, index_id string, value double").repartition(6)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.shuffle.partitions": "13"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        ordered = ranking.ordered_counts(df.repartition(6), ["index_id"])
-        rows = transforms.rank_long(df, limits=ranking.Limits(hot_minimum=50, hot_share=200, broadcast_rows=0)).collect()
+        got = transforms.rank_long(df, limits=ranking.Limits(held=held, broadcast_rows=broadcast_rows)).collect()
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert ordered.agg(F.sum("cnt")).head()[0] == len(values)
-    expected = average_ranks(values)
-    assert len(rows) == len(values) and all(r["rank"] == expected[r["value"]] for r in rows)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    expected = {key: average_ranks([v for i, v in rows if i == key]) for key in "vwxyz"}
+    assert len(got) == len(rows) == len({r.k for r in got}) and all(r["rank"] == expected[r.index_id][r.value] for r in got)
+
+
+def test_ranks_in_sets(spark):
+    """Ranks among the rows of every set, from one ordering."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice("ab"), float(rng.randrange(40)), rng.randrange(8)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "row long, key string, value double, mask int").repartition(5)
+
+    def flags(batch):
+        mask = batch.column("mask").to_numpy()
+        return np.column_stack([(mask >> bit) & 1 for bit in range(3)]).astype(np.int64)
+
+    found = ranking.range_ranks(df, ["key"], "value", "row", flags, ranking.Limits(held=10)).collect()
+    for bit in range(3):
+        for key in "ab":
+            inside = [v for _, k, v, m in rows if k == key and m >> bit & 1]
+            expected = average_ranks(inside)
+            for r in found:
+                if r.key == key and r["mask"] >> bit & 1:
+                    assert r.twice[bit] / 2 == expected[r.value] and r.total[bit] == len(inside)
+
+
+def test_repeated_and_missing_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 1.0), ("b", 3.0, 5.0), ("c", 4.0, 3.0), (None, 5.0, 9.0)], "id string, x double, y double")
+    row = correlation.spearman(df, "x", "y").head()
+    matrix = correlation.spearman_matrix(df, ["x", "y"]).where("row = 'x' AND col = 'y'").head()
+    assert row.n == matrix.n == 5 and row.rho == pytest.approx(0.8, abs=1e-12) and matrix.value == pytest.approx(0.8, abs=1e-12)
 
 
 def test_row_numbers(spark):
@@ -202,18 +235,63 @@ def test_correlation_matrices(table):
             rx, ry = average_ranks(xs), average_ranks(ys)
             assert pearson[x, y].value == pytest.approx(plain_pearson(xs, ys), abs=1e-12)
             assert spearman[x, y].value == pytest.approx(plain_pearson([rx[v] for v in xs], [ry[v] for v in ys]), abs=1e-12)
-    pair = correlation.spearman(df, "a", "b", "k").head()
+    pair = correlation.spearman(df, "a", "b").head()
     assert pair.rho == pytest.approx(spearman["a", "b"].value, abs=1e-12)
     assert correlation.pearson(df, "a", "same").head().r is None
 
 
-def test_rank_sets_share_rankings():
-    # columns 0 and 1 are missing on the same rows, column 2 is never missing
-    n = {(0, 0): 5, (0, 1): 5, (0, 2): 5, (1, 1): 5, (1, 2): 5, (2, 2): 9}
-    full = {(i, j): n[min(i, j), max(i, j)] for i in range(3) for j in range(3)}
-    number, sets = correlation.rank_sets(full, 3)
-    assert sets == [(0, 0), (1, 1), (2, 0), (2, 2)]
-    assert number[2, 0] == number[2, 1] == 2
+def patterned(spark, count=3000):
+    """Columns that are missing on the same rows, never, in ten patterns, or at random; ties and infinities."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(count):
+        lacking = k % 10
+        row = [float(rng.randrange(50)), rng.gauss(0, 1), float(k % 7), rng.gauss(0, 1), float(rng.randrange(4)), rng.gauss(0, 1)]
+        row = [None if lacking in gone else v for v, gone in zip(row, ((1, 2), (1, 2), (), (2, 3, 4), (5,), ()))]
+        if rng.random() < 0.3:
+            row[5] = float("inf") if rng.random() < 0.5 else None
+        rows.append(tuple(row))
+    return spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(6))), rows
+
+
+@pytest.mark.parametrize("most_masks", [0, 50_000])
+def test_rank_sets(spark, most_masks):
+    """Pairs with the same number have the same rows, by the dictionary of patterns exactly then; the counts are those of the pairs."""
+    df, rows = patterned(spark)
+    columns = [f"c{k}" for k in range(6)]
+    masked = df.select("*", *correlation._masks(columns))
+    counts, sets = correlation.rank_sets(masked, columns, most_masks)
+    finite = np.array([[v is not None and math.isfinite(v) for v in row] for row in rows])
+    for i in range(6):
+        for j in range(6):
+            inside = finite[:, i] & finite[:, j]
+            assert counts[i, j] == inside.sum()
+            for a in range(6):
+                for b in range(6):
+                    same = (inside == (finite[:, a] & finite[:, b])).all()
+                    assert same if sets[i, j] == sets[a, b] else not same or most_masks == 0
+    assert sets[0, 0] == sets[1, 1] == sets[0, 1] == sets[0, 2]
+
+
+@pytest.mark.parametrize("most_masks, limits", [(0, ranking.Limits(held=1, broadcast_rows=0)), (50_000, ranking.LIMITS)])
+def test_spearman_over_patterns_of_missing_values(spark, most_masks, limits):
+    df, rows = patterned(spark)
+    columns = [f"c{k}" for k in range(6)]
+    found = {(r.row, r.col): r for r in correlation.spearman_matrix(df, columns, limits, most_masks).collect()}
+    table = pd.DataFrame(rows, columns=columns).replace([np.inf], np.nan)
+    for x in columns:
+        for y in columns:
+            both = table[[x, y]].dropna() if x != y else table[[x]].dropna()
+            assert found[x, y].n == len(both)
+            assert found[x, y].value == pytest.approx(1.0 if x == y else both[x].rank().corr(both[y].rank()), abs=1e-12)
+
+
+def test_more_columns_than_bits(spark):
+    df = spark.range(50).select(*[((F.col("id") * (k + 3)) % 53 + 0.0).alias(f"c{k}") for k in range(70)])
+    columns = df.columns
+    found = {(r.row, r.col): r.value for r in correlation.spearman_matrix(df, columns).collect()}
+    table = df.toPandas()
+    assert found["c1", "c68"] == pytest.approx(table["c1"].rank().corr(table["c68"].rank()), abs=1e-12) and len(found) == 4900
 
 
 def test_too_few_pairs(spark):
