@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from glucoframe.session import broadcast_if_small, cut_lineage
 
 # A word is a run of anything but ASCII white space. Over UTF-8, bytes.split() cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,3 +60,28 @@ def word_count(text: Column) -> Column:
 def packed(df: DataFrame, **keys: Column) -> DataFrame:
     """The whole row as one struct beside named keys, so that input columns can have any names."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])
+
+
+def running_sum(df: DataFrame, order: list, value: str, name: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds `name`: the sum of `value` (a long or double, not null) over the rows before each row in a total order, without one
+    task for all.
+
+    Rows are range-partitioned and summed inside their partition; a running sum over one row per partition gives the rest.
+    """
+    kind = df.schema[value].dataType
+    number = np.float64 if isinstance(kind, DoubleType) else np.int64
+    added = StructType([*df.schema.fields, StructField("_in", IntegerType()), StructField("_upto", kind)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, carried = TaskContext.get().partitionId(), number(0)
+        for batch in batches:
+            upto = np.cumsum(batch.column(value).to_numpy(), dtype=number) + carried
+            carried = upto[-1] if len(upto) else carried
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(upto), part, np.int32)), pa.array(upto)], names=added.names)
+
+    held = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sums, added))
+    parts = held.groupBy(F.col("_in").alias("_of")).agg(F.max("_upto").alias("_sum"))
+    above = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    ahead = cut_lineage(parts.select("_of", F.coalesce(F.sum("_sum").over(above), F.lit(0)).cast(kind).alias("_ahead")))
+    joined = held.join(broadcast_if_small(ahead, broadcast_rows), F.col("_in") == F.col("_of"))
+    return joined.select(*df.columns, (F.col("_ahead") + F.col("_upto") - F.col(value)).alias(name))

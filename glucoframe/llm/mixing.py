@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucoframe.llm.common import BROADCAST_ROWS, packed, word_count
+from glucoframe.llm.common import BROADCAST_ROWS, packed, running_sum, word_count
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 CYCLE = (5.0, 2.0, 1.0)
@@ -22,22 +22,20 @@ def targets(sources: DataFrame, cycle: tuple[float, ...] = CYCLE, share: float =
     Sources in code-point order, null last, weigh the cycle's numbers in turn. They divide share times all words by
     weight; no target exceeds most times its source, and the excess goes to the others by weight until none does.
     That ends at min(most * size, level * weight) for one level: sources reach their bound in the order of
-    size / weight, so the level follows from running sums. One row per source, hence windows without a partition.
+    size / weight, so the level follows from running sums, which are taken over all tasks.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in cycle]), (F.col("place") % len(cycle)).cast("int") + 1)
-    placed = sources.withColumn("place", F.row_number().over(order) - 1).withColumn("weight", weight)
-    filling = Window.orderBy(F.col("source_size") / F.col("weight"), "place")
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("place") % len(cycle)).cast("int") + 1)
+    placed = running_sum(sources.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], "one", "place")
+    weighed = placed.select("source", "source_size", "place", weight.alias("weight"), (F.col("source_size") / weight).alias("ratio"))
+    order = ["ratio", "place"]
+    summed = running_sum(running_sum(weighed, order, "source_size", "size_before"), order, "weight", "weight_before")
+    total = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(total.size) * share - F.col("size_before") * most) / (F.lit(total.weight) - F.col("weight_before"))
     # The first source whose bound is at or above its level, and all after it, stay below their bounds.
-    leveled = placed.withColumn("level", level).withColumn("open", F.col("source_size") * F.lit(float(most)) >= F.col("level") * F.col("weight"))
-    final = F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "place", "level"))).over(everything)["level"]
-    target = F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(final, F.lit(float("inf"))) * F.col("weight"))
-    return leveled.select("source", "source_size", target.alias("target"))
+    still_open = F.col("source_size") * F.lit(float(most)) >= level * F.col("weight")
+    final = summed.agg(F.min(F.when(still_open, F.struct("ratio", "place", level.alias("level"))))["level"].alias("level")).first().level
+    target = F.least(F.col("source_size") * F.lit(float(most)), F.lit(float("inf") if final is None else final) * F.col("weight"))
+    return summed.select("source", "source_size", target.alias("target"))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -126,23 +124,24 @@ def _before_end() -> Column:
 
 def _ends(drawn: DataFrame) -> DataFrame:
     """Per source whose draw must end: the rank step `last` in which it does, and the words that step may give."""
-    own = Window.partitionBy("source")
     steps = drawn.groupBy("source", "step").agg(
         F.sum(F.when(F.col("step").isNotNull(), F.col("size")).otherwise(0)).alias("words"),
         F.sum(F.col("size") * F.col("certain")).alias("certain_words"), F.first("target").alias("target"),
     )
-    missing = F.col("target") - F.sum("certain_words").over(own)
-    upto = F.sum("words").over(own.orderBy(F.col("step").asc_nulls_first()))
-    steps = steps.select("source", "step", "words", missing.alias("missing"), upto.alias("upto")).where("step IS NOT NULL AND upto > missing")
-    ends = steps.groupBy("source").agg(F.min(F.struct("step", (F.col("missing") - F.col("upto") + F.col("words")).alias("rest"))).alias("end"))
+    steps = running_sum(steps, [F.col("source").asc_nulls_last(), F.col("step").asc_nulls_first()], "words", "before")
+    sources = steps.groupBy(F.col("source").alias("own")).agg(F.min("before").alias("base"), (F.first("target") - F.sum("certain_words")).alias("missing"))
+    steps = steps.join(broadcast_if_small(cut_lineage(sources), BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("own")))
+    steps = steps.where("step IS NOT NULL AND before - base + words > missing")
+    ends = steps.groupBy("source").agg(F.min(F.struct("step", (F.col("missing") - F.col("before") + F.col("base")).alias("rest"))).alias("end"))
     return cut_lineage(ends.select(F.col("source").alias("own"), F.col("end.step").alias("last"), "end.rest"))
 
 
 def _picked(near: DataFrame) -> DataFrame:
     """The rows taken within the last step of their source, and the row that closes it."""
-    order = Window.partitionBy("source").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = near.where("step = last").withColumn("upto", F.sum("size").over(order))
-    edge = cut_lineage(edge.select("row", "own", "rest", "size", "rank", (F.col("upto") <= F.col("rest")).alias("fits")))
+    edge = running_sum(near.where("step = last").select("row", "own", "rest", "size", "rank"), [F.col("own").asc_nulls_last(), "rank", "row"], "size", "before")
+    begins = edge.groupBy(F.col("own").alias("of")).agg(F.min("before").alias("base"))
+    edge = edge.join(broadcast_if_small(cut_lineage(begins), BROADCAST_ROWS), F.col("own").eqNullSafe(F.col("of")))
+    edge = cut_lineage(edge.select("row", "own", "rest", "size", "rank", (F.col("before") - F.col("base") + F.col("size") <= F.col("rest")).alias("fits")))
     gaps = edge.groupBy(F.col("own").alias("of")).agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
     over = near.where("step > last").select("row", "own", "size", "rank").union(edge.where(~F.col("fits")).select("row", "own", "size", "rank"))
     over = over.join(broadcast_if_small(cut_lineage(gaps), BROADCAST_ROWS), F.col("own").eqNullSafe(F.col("of")))

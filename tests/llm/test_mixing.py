@@ -55,3 +55,21 @@ def test_larger_odds_are_drawn_more_often(spark):
     for r in mixing.sample(frame).where("source = 'b' OR source = 'a'").collect():
         mean.setdefault((r.source, r.size), []).append(r.copies)
     assert sum(mean["b", 50]) / 1000 < sum(mean["b", 150]) / 1000
+
+
+def test_running_sums_over_many_partitions(spark):
+    """Longs and doubles, ties broken by the order's last column, nulls where the order puts them."""
+    from pyspark.sql import functions as F
+
+    from glucoframe.llm.common import running_sum
+
+    rows = [(None if k % 9 == 0 else f"s{k * 7919 % 1000:04}", k, k % 13, (k % 5) / 2) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "name string, k long, n long, w double").repartition(7)
+    wanted = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+    for value, at, broadcast_rows in (("n", 2, 0), ("w", 3, 100)):
+        found = {r.k: r.before for r in running_sum(frame, [F.col("name").asc_nulls_last(), "k"], value, "before", broadcast_rows).collect()}
+        upto = 0
+        for row in wanted:
+            assert found[row[1]] == upto
+            upto += row[at]
+    assert running_sum(frame.limit(0), ["k"], "n", "before").count() == 0
