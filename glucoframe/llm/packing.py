@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -13,16 +14,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glucoframe.llm.common import few_rows, small_batches, strings
-from glucoframe.session import cut_lineage
+from glucoframe.llm.common import few_rows, running_sum, small_batches, strings
+from glucoframe.session import broadcast_if_small, cut_lineage
 
 LENGTH = 1024
 WINDOW_SEQUENCES = 64
 END = 0
 SPECIAL = "<|endoftext|>"
-# Queues and quota numbers that are kept in memory: they bound what the driver plans and every task receives.
-MOST_SOURCES = 20_000
-MOST_QUOTAS = 2_000_000
+# Sources with at least one MANY-th of all tokens, and those given a proportion, have a queue of their own; smaller ones follow each
+# other in order in at most as many shared queues. That bounds the numbers per window, whatever the number of sources.
+MANY = 256
+FANOUT = 64  # windows, or groups of windows, that one step of the schedule deals out
+KEPT = 128  # steps of the schedule a task remembers
+MOST_FIRSTS = 1_000_000  # rows of (source, input partition) up to which they are broadcast
 
 
 @lru_cache(maxsize=2)
@@ -78,62 +82,68 @@ def deal(left: np.ndarray, weights: np.ndarray, deficits: np.ndarray, room: int)
 class Plan:
     """Where every token of every queue goes.
 
-    Windows are grouped into parts. `before[c, s]` is how many tokens of queue s lie in the parts before part c, dealt
-    by rounds over whole parts with deficits carried from part to part. Inside a part the same rounds deal out its
-    windows; their quotas are worked out where they are needed and kept for a few parts.
+    The windows are the leaves of a tree in which a node stands for FANOUT times as many windows as its children. Rounds of
+    deficit round-robin deal a node's tokens to its children, whole children at first and single windows at the last level,
+    with the same target weights everywhere; deficits are carried from child to child, and through the node's own share from node to node.
+    So the windows around any place follow from one path through the tree, and nothing is kept per window.
     """
 
     totals: np.ndarray
     window: int
-    part_windows: int
-    before: np.ndarray
-    _quotas: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
-
-    def bounds(self, part: int) -> np.ndarray:
-        """(windows + 1, queues): the tokens of each queue before each window of the part."""
-        if part not in self._quotas:
-            left = self.before[part + 1] - self.before[part]
-            weights, deficits, rows = left.astype(float), np.zeros(len(left)), [self.before[part]]
-            while left.sum() > 0:
-                given, deficits = deal(left, weights, deficits, self.window)
-                left = left - given
-                rows.append(rows[-1] + given)
-            while len(self._quotas) >= 64:
-                self._quotas.pop(next(iter(self._quotas)))
-            self._quotas[part] = np.array(rows)
-        return self._quotas[part]
+    weights: np.ndarray
+    _steps: OrderedDict[tuple[int, int], np.ndarray] = field(default_factory=OrderedDict, repr=False)
+
+    @property
+    def levels(self) -> int:
+        windows, levels = -(-int(self.totals.sum()) // self.window), 1
+        while FANOUT**levels < windows:
+            levels += 1
+        return levels
+
+    def bounds(self, level: int, index: int) -> np.ndarray:
+        """(children + 1, queues): the tokens of each queue before each child of a node; at level 1 children are windows."""
+        known = self._steps.get((level, index))
+        if known is not None:
+            self._steps.move_to_end((level, index))
+            return known
+        if level == self.levels:
+            begin, left = np.zeros(len(self.totals), np.int64), self.totals.copy()
+        else:
+            above = self.bounds(level + 1, index // FANOUT)
+            begin = above[index % FANOUT]
+            left = above[index % FANOUT + 1] - begin
+        room, deficits, rows = self.window * FANOUT ** (level - 1), np.zeros(len(left)), [begin]
+        while left.sum() > 0:
+            given, deficits = deal(left, self.weights, deficits, room)
+            left = left - given
+            rows.append(rows[-1] + given)
+        self._steps[level, index] = np.array(rows)
+        while len(self._steps) > KEPT:
+            self._steps.popitem(last=False)
+        return self._steps[level, index]
 
     def place(self, queue: int, start: int, stop: int) -> Iterator[tuple[int, int]]:
         """The queue's tokens start to stop as runs (first global position, tokens), in order."""
-        part = int(np.searchsorted(self.before[:, queue], start, side="right")) - 1
         while start < stop:
-            bounds = self.bounds(part)
-            column = bounds[:, queue]
-            at = int(np.searchsorted(column, start, side="right")) - 1
-            while start < stop and at < len(column) - 1:
-                end = min(stop, int(column[at + 1]))
+            index = 0
+            for level in range(self.levels, 0, -1):
+                bounds = self.bounds(level, index)
+                index = index * FANOUT + int(np.searchsorted(bounds[:, queue], start, side="right")) - 1
+            first = index // FANOUT * FANOUT
+            at = index - first
+            while start < stop and at < len(bounds) - 1:
+                end = min(stop, int(bounds[at + 1, queue]))
                 if end > start:
                     earlier = int((bounds[at + 1, :queue] - bounds[at, :queue]).sum())
-                    first = (part * self.part_windows + at) * self.window + earlier + start - int(column[at])
-                    yield first, end - start
+                    yield (first + at) * self.window + earlier + start - int(bounds[at, queue]), end - start
                     start = end
                 at += 1
-            part += 1
 
 
-def plan_windows(totals: np.ndarray, window: int, weights: np.ndarray | None = None, parts: int | None = None) -> Plan:
+def plan_windows(totals: np.ndarray, window: int, weights: np.ndarray | None = None) -> Plan:
     """Deal the queues into windows. Weights default to the queues' own sizes, so that all run dry together."""
     totals = totals.astype(np.int64)
-    weights = totals.astype(float) if weights is None else weights.astype(float)
-    windows = -(-int(totals.sum()) // window)
-    parts = parts or max(1, min(MOST_QUOTAS // max(1, len(totals)), -(-windows // 16)))
-    part_windows = max(1, -(-windows // parts))
-    rows, left, deficits = [np.zeros(len(totals), np.int64)], totals.copy(), np.zeros(len(totals))
-    while left.sum() > 0:
-        given, deficits = deal(left, weights, deficits, window * part_windows)
-        left -= given
-        rows.append(rows[-1] + given)
-    return Plan(totals, window, part_windows, np.array(rows))
+    return Plan(totals, window, totals.astype(float) if weights is None else weights.astype(float))
 
 
 def tokens(docs: DataFrame, ranks_path: str, pattern: str, id_column: str, text_column: str, queue_column: str) -> DataFrame:
@@ -162,7 +172,8 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str, id_column: str, text_
 
 def pack(
     docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", queue_column: str = "source",
-    length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, proportions: dict[str | None, float] | None = None,
+    length: int = LENGTH, window_sequences: int = WINDOW_SEQUENCES, proportions: dict[str | None, float] | None = None, many: int = MANY,
+    most_firsts: int = MOST_FIRSTS,
 ) -> DataFrame:
     """Pieces of all documents in sequences of `length` tokens: doc_id, start, n (tokens), ids, doc_tokens, sequence_id, offset.
 
@@ -171,42 +182,31 @@ def pack(
     served when the others are dry). Windows are full, so only the last sequence needs padding. Documents are cut
     where a window's share or a sequence ends; every id lies in exactly one piece.
 
-    Texts are encoded once and the ids written to the shared folder. The totals of every queue by input partition are
-    added up in Spark; the driver gets one number per queue and input partition (at most MOST_SOURCES queues, more
-    are refused) and deals out parts of many windows. Each task then places its own documents: no shuffle of ids and
-    no sort. Null text: the END id alone. Null source: a queue of its own. Null or repeated ids: each row is a document of
+    Texts are encoded once and the ids written to the shared folder. Tokens are added up by source and input partition; sources
+    become queues (see MANY), and a running sum in Spark gives the place of every source and partition in its queue, which is
+    joined back to the ids (broadcast up to `most_firsts` rows, else a join). The driver gets the totals of the queues, at most
+    2 * MANY and the given proportions. Each task then places its own documents: no sort, and without that join no shuffle of ids.
+    Null text: the END id alone. Null source: a queue of its own. Null or repeated ids: each row is a document of
     its own. Further columns are ignored. An empty table gives no pieces.
     """
     small_batches(docs.sparkSession)
     ids = cut_lineage(tokens(docs, ranks_path, pattern, id_column, text_column, queue_column))
     spark, kind = docs.sparkSession, ids.schema["doc_id"].dataType.simpleString()
-    sums = cut_lineage(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")))
-    queues = [row.queue for row in sums.select("queue").distinct().limit(MOST_SOURCES + 1).collect()]
-    if len(queues) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them into fewer queues first")
-    queues.sort(key=lambda q: (q is None, q or ""))
-    at = {queue: k for k, queue in enumerate(queues)}
-    ordered = sorted((at[row.queue], row.part, row.n) for row in sums.toLocalIterator())
-    firsts: list[dict[int, int]] = [{} for _ in queues]
-    totals = np.zeros(len(queues), np.int64)
-    for queue, part, n in ordered:
-        firsts[queue][part] = int(totals[queue])
-        totals[queue] += n
-    weights = None if proportions is None else np.array([float(proportions.get(q, 0.0)) for q in queues])
+    firsts, totals, weights = _queues(ids, proportions, many)
     plan = plan_windows(totals, window_sequences * length, weights)
-    shared = spark.sparkContext.broadcast((plan.totals, plan.window, plan.part_windows, plan.before, at, firsts))
+    placed = ids.join(broadcast_if_small(firsts, most_firsts), F.col("queue").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    placed = placed.select("doc_id", "line", (F.col("first") + F.col("start")).alias("first"), "n", "ids")
+    shared = spark.sparkContext.broadcast((plan.totals, plan.window, plan.weights))  # at most 2 * MANY queues and the named ones
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *shape, place_of, first_of = shared.value
-        plan = Plan(*shape)
+        plan = Plan(*shared.value)
         for batch in few_rows(batches):
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(6)]
             row_of = []
-            columns = [batch.column(c).to_pylist() for c in ("queue", "part", "start", "n", "ids")]
-            for k, (queue, part, start, n, data) in enumerate(zip(*columns)):
-                queue = place_of[queue]
-                first, done = first_of[queue][part] + start, 0
-                for position, run in plan.place(queue, first, first + n):
+            columns = [batch.column(c).to_pylist() for c in ("line", "first", "n", "ids")]
+            for k, (line, first, n, data) in enumerate(zip(*columns)):
+                done = 0
+                for position, run in plan.place(line, first, first + n):
                     while run:
                         offset = position % length
                         size = min(run, length - offset)
@@ -218,7 +218,42 @@ def pack(
             made = [pa.array(column, k) for column, k in zip(rows, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row_of, pa.int64())), *made], names=["doc_id", "start", "n", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    return ids.mapInArrow(cut, f"doc_id {kind}, start long, n long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(cut, f"doc_id {kind}, start long, n long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def _queues(ids: DataFrame, proportions: dict[str | None, float] | None, many: int) -> tuple[DataFrame, np.ndarray, np.ndarray | None]:
+    """Where every source and input partition begins in its queue (of, of_part, line, first), and the totals and weights of the queues.
+
+    Own queues come first in code-point order, then the shared ones, null last in each; a shared queue holds its sources one after
+    the other. Unnamed sources have weight 0 if proportions are given.
+    """
+    sums = cut_lineage(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")))
+    sources = cut_lineage(sums.groupBy("queue").agg(F.sum("n").alias("n")))
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    named = [F.col("queue").eqNullSafe(F.lit(name)) for name in proportions or {}]
+    large = F.col("n") * many >= total
+    for name in named:
+        large = large | name
+    own = sources.where(large).orderBy(F.col("queue").asc_nulls_last()).collect()  # at most `many` and the named ones
+    spark = ids.sparkSession
+    lines = spark.createDataFrame([(r.queue, k, 0, r.n) for k, r in enumerate(own)], "queue string, line int, ahead long, n long")
+    small = running_sum(sources.where(~large), [F.col("queue").asc_nulls_last()], "n", "before")
+    small = small.select("queue", (F.lit(len(own)) + F.floor(F.col("before") * many / total)).cast("int").alias("line"), "before", "n")
+    held = cut_lineage(small)
+    shared = held.groupBy("line").agg(F.sum("n").alias("n"), F.min("before").alias("base")).orderBy("line").collect()  # at most `many`
+    bases = spark.createDataFrame([(r.line, r.base, len(own) + k) for k, r in enumerate(shared)], "line int, base long, place int")
+    moved = held.join(F.broadcast(bases), "line").select("queue", F.col("place").alias("line"), (F.col("before") - F.col("base")).alias("ahead"), "n")
+    places = lines.unionByName(moved).select(F.col("queue").alias("of"), "line", "ahead")
+    joined = sums.join(broadcast_if_small(cut_lineage(places), MOST_FIRSTS), F.col("queue").eqNullSafe(F.col("of")))
+    summed = running_sum(joined.select("of", "line", "ahead", "part", "n"), ["line", "ahead", "of", "part"], "n", "before")
+    totals = [r.n for r in own] + [r.n for r in shared]
+    begin = np.concatenate([[0], np.cumsum(totals)]).astype(int).tolist()  # running sums go on from queue to queue
+    starts = F.element_at(F.array(*[F.lit(b) for b in begin]), F.col("line") + 1)
+    firsts = summed.select("of", F.col("part").alias("of_part"), "line", (F.col("before") - starts).alias("first"))
+    weights = None
+    if proportions is not None:
+        weights = np.array([float(proportions.get(r.queue, 0.0)) for r in own] + [0.0] * len(shared))
+    return cut_lineage(firsts), np.array(totals, np.int64), weights
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -110,3 +110,67 @@ def test_special_token_in_a_text(spark):
     found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(docs, *vocabulary()).collect()}
     assert found == {k: [*plain.encode(t, add_special_tokens=False).ids, packing.END] for k, t in enumerate(texts)}
     assert found[0] == [64, 220, 50256, 275, packing.END]
+
+
+def test_far_more_sources_than_queues(spark, tokenizer):
+    """Sources become a bounded number of queues; every id still lies in one place and the large source is in every window."""
+    rows = [(k, f"s{k % 1500}" if k % 3 else "large", "word " * (k % 40 + 1)) for k in range(6000)] + [(9000, None, "null source " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    texts = [(k, tokenizer.encode(t, add_special_tokens=False).ids) for k, _, t in rows]
+    found = {}
+    for most_firsts in (packing.MOST_FIRSTS, 0):
+        pieces = packing.pack(docs, *vocabulary(), length=256, window_sequences=8, many=10, most_firsts=most_firsts).collect()
+        check(pieces, texts, tokenizer, 256)
+        found[most_firsts] = sorted((r.doc_id, r.start, r.sequence_id, r.offset) for r in pieces)
+    assert found[0] == found[packing.MOST_FIRSTS]
+    share = sum(len(ids) + 1 for k, ids in texts if rows[k if k < 6000 else 6000][1] == "large") / sum(len(ids) + 1 for _, ids in texts)
+    held = {}
+    for r in pieces:
+        if r.doc_id % 3 == 0 and r.doc_id != 9000:
+            held[r.sequence_id // 8] = held.get(r.sequence_id // 8, 0) + r.n
+    assert all(abs(held[w] / 2048 - share) < 0.01 for w in range(max(r.sequence_id for r in pieces) // 8))
+
+
+def test_queues_of_two_hundred_thousand_sources(spark):
+    """What reaches the driver is a few hundred totals, and the places of all sources are gapless within their queue."""
+    ids = spark.range(400_000).selectExpr("concat('s', id % 200000) AS queue", "cast(id % 7 AS int) AS part", "id % 50 + 1 AS n")
+    firsts, totals, weights = packing._queues(ids, None, packing.MANY)
+    assert len(totals) <= 2 * packing.MANY and weights is None and totals.sum() == sum(k % 50 + 1 for k in range(400_000))
+    sums = ids.groupBy("queue", "part").sum("n").withColumnRenamed("sum(n)", "n")
+    joined = firsts.join(sums, (firsts["of"] == sums["queue"]) & (firsts["of_part"] == sums["part"]))
+    by_line = joined.selectExpr("line", "first", "first + n AS stop").groupBy("line").agg({"first": "min", "stop": "max", "*": "count"}).collect()
+    assert len(by_line) == len(totals) and all(r["min(first)"] == 0 and r["max(stop)"] == totals[r.line] for r in by_line)
+    assert joined.count() == firsts.count() == sums.count()
+
+
+def test_schedule_of_many_windows():
+    """A tree of several levels: windows are full, follow the weights, and any place is found from one path."""
+    totals = np.array([1_000_003, 333_331, 77_777, 5, 0, 12_345])
+    plan = packing.plan_windows(totals, 100)
+    assert plan.levels == 3
+    taken = []
+    for queue, n in enumerate(totals):
+        runs = list(plan.place(queue, 0, int(n)))
+        assert sum(run for _, run in runs) == n
+        half = [r for start in (0, int(n) // 2) for r in plan.place(queue, start, int(n) // 2 if start == 0 and n > 1 else int(n))]
+        assert sum(run for _, run in half) == n
+        taken += [(position, run, queue) for position, run in runs]
+    taken.sort()
+    at = 0
+    served = np.zeros(len(totals))
+    for position, run, queue in taken:
+        assert position == at
+        at += run
+        served[queue] += run
+        if at % 100 == 0:
+            assert (abs(served - at * totals / totals.sum()) <= 4).all()
+    assert at == totals.sum()
+
+
+def test_whole_long_texts_have_the_ids_of_the_other_library(docs_folder, spark, tokenizer):
+    encoder = packing._encoder(*vocabulary())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["".join(texts[k : k + 9])[::step] for k in range(0, 60, 10) for step in (1, -1, 3)]
+    texts.append(" ".join("漢字かな кириллица عربى हिन्दी 😀👩‍👩‍👧 naïve\u0301 1234567 \r\n\t  end".split(" ") * 500))
+    for text in texts:
+        assert tokenizer.encode(text, add_special_tokens=False).ids == encoder.encode_ordinary(text)
