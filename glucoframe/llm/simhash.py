@@ -107,12 +107,11 @@ def links(prints: DataFrame, width: int = 2) -> DataFrame:
     at most 65 distinct prints, all of them within two bits of each other, and any two linked prints share one. They
     are tied to the least print of that cell, so no group of near copies is ever expanded into its pairs.
     """
-    met = cells(prints, width)
-    meeting = Window.partitionBy("cell")
-    met = met.select("fp", "cell", F.count(F.lit(1)).over(meeting).alias("n"), F.min("fp").over(meeting).alias("lo"), F.max("fp").over(meeting).alias("hi"))
-    met = cut_lineage(met.where("n >= 2 AND (n > 2 OR fp = lo)").select("fp", "lo", "hi", (F.col("n") > 2).alias("full")).distinct())
-    pairs = met.where(~F.col("full")).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    crowded = met.where("full").select("fp").distinct()
+    met = cells(prints, width).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    met = cut_lineage(met.where("n >= 2"))
+    pairs = met.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    full = broadcast_if_small(met.where("n > 2").select("cell"), BROADCAST_ROWS)
+    crowded = cells(prints, width).join(full, "cell", "left_semi").select("fp").distinct()
     shared = cells(crowded, 1).groupBy("cell").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = shared.select("u", F.explode("all").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from glucoframe.llm import components as component_steps
 from glucoframe.llm import simhash
 from glucoframe.llm.components import roots
 
@@ -86,3 +87,25 @@ def test_odd_rows(odd_docs, no_docs):
         (-1, "no id at all here"), (1, "one two three four five"), (2, ""), (8, "Ünï cödé 😀 text ÄÖ"), (9, "other text under the same id"), (9, "x"),
     ]
     assert kept.where("doc_id IN (6, 7)").count() == 1
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_components_of_hot_nodes(spark, monkeypatch, broadcast_rows):
+    """A star, a chain and random edges by the plan with a broadcast and by that for very many nodes."""
+    monkeypatch.setattr(component_steps, "HEAVY", 50)
+    rng = random.Random(2)
+    edges = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5300)] + [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(250)]
+    edges += [(7, 7), (5000, 5001)]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    found = {r.node: r.root for r in roots(frame, broadcast_rows).collect()}
+    assert found == {x: root(x) for u, v in edges if u != v for x in (u, v)}
