@@ -13,6 +13,8 @@ from glucoframe.operators.catalog import (
     INDEX_IDS,
     METHODS,
     NEGATED,
+    POPULATION,
+    SOURCES,
     VERIFICATION,
     Deferred,
     catalog,
@@ -418,18 +420,21 @@ def catalog_coverage(src: Source) -> DataFrame:
     """The method list with how many visits each index could be calculated for."""
     counted = status_counts(status_long(calculate_wide(src.cohort(), keep=[], status_columns=True)))
     listed = catalog(src.spark).where("included")
-    return listed.join(counted, "method_id").select("position", "method_id", "name", "category", "direction", "ok")
+    kept = ["position", "method_id", "name", "category", "direction", "derivation_population", "derivation_n", "derivation_place", "ok"]
+    return listed.join(counted, "method_id").select(*kept)
 
 
 def _catalog_sql() -> str:
+    quoted = lambda text: "NULL" if not text else "'" + text.replace("'", "''") + "'"
     rows = ", ".join(
-        f"({k}, '{m.id}', '{m.name}', '{m.category}', '{m.direction}')" for k, m in enumerate(METHODS) if not isinstance(m, Deferred)
+        f"({k}, '{m.id}', '{m.name}', '{m.category}', '{m.direction}', {quoted(POPULATION[m.id])}, {quoted(SOURCES[m.id][1])}, {quoted(SOURCES[m.id][2])})"
+        for k, m in enumerate(METHODS) if not isinstance(m, Deferred)
     )
+    columns = "position, method_id, name, category, direction, derivation_population, derivation_n, derivation_place"
     return with_prepared(
-        "SELECT CAST(position AS INTEGER) AS position, c.method_id, name, category, direction, "
+        "SELECT CAST(position AS INTEGER) AS position, c.method_id, name, category, direction, derivation_population, derivation_n, derivation_place, "
         "count(CASE WHEN status = 'ok' THEN 1 END) AS ok "
-        f"FROM (VALUES {rows}) AS c(position, method_id, name, category, direction) "
-        "JOIN statuses ON statuses.method_id = c.method_id GROUP BY ALL",
+        f"FROM (VALUES {rows}) AS c({columns}) JOIN statuses ON statuses.method_id = c.method_id GROUP BY ALL",
         long_status_cte(INDEX_IDS),
     )
 

@@ -320,10 +320,11 @@ LOOKUP_SQL = with_cohort(
 
 
 def file_check(src: Source) -> DataFrame:
-    """Rows, problems, columns, units and weight of the text table in one listing."""
-    parsed = parse_table(text_table(src), order_by=["visit_id"])
+    """Rows, problems, ids that repeat, columns, units, a selection and the weight of the text table in one listing."""
+    table = text_table(src).withColumn("participant_id", F.expr("CASE WHEN participant_id <> '' THEN concat('P', visit_id - visit_id % 3) ELSE '' END"))
+    parsed = parse_table(table, order_by=["visit_id"])
     fixed = type(parsed)(cut_lineage(parsed.rows), parsed.columns, parsed.generated_ids)
-    checked = check_cohort(fixed)
+    checked = check_cohort(fixed, selection=["quicki", "glucagon_fasting"])
     return checked.select("item", "detail", rounded("number", 4).alias("number"))
 
 
@@ -341,11 +342,17 @@ _PAIRS = (
     "FROM readings WHERE g0 > 0 AND i0 > 0 AND g120 > 0 AND i120 > 0 AND weight > 0"
 )
 _RECOGNISED = [s for s, kind, _ in _MAPPING if kind != "ignored"]
+_SAID = "concat('row ', CAST(row_no AS VARCHAR), ' (', pid, '): ', problems)"
 FILE_CHECK_SQL = (
-    f"WITH {TEXT.strip()},\nreadings AS (SELECT g0, {_READ} FROM parsed),\npairs AS ({_PAIRS}),\nlisting AS (\n"
+    f"WITH {TEXT.strip()},\nnamed AS (SELECT row_no, problems, CASE WHEN participant_id = '' THEN pid ELSE "
+    "concat('P', CAST(visit_id - visit_id % 3 AS VARCHAR)) END AS pid FROM parsed),\n"
+    f"twins AS (SELECT pid, min(row_no) AS row_no FROM named GROUP BY 1 HAVING count(*) > 1),\nreadings AS (SELECT g0, {_READ} FROM parsed),\npairs AS ({_PAIRS}),\nlisting AS (\n"
     "SELECT 'rows' AS item, '' AS detail, CAST(count(*) AS DOUBLE) AS number FROM parsed\n"
     "UNION ALL SELECT 'rows_with_problems', '', CAST(count(CASE WHEN problems <> '' THEN 1 END) AS DOUBLE) FROM parsed\n"
-    "UNION ALL SELECT 'duplicate_ids', '', CAST(count(*) AS DOUBLE) FROM (SELECT pid FROM parsed GROUP BY 1 HAVING count(*) > 1)\n"
+    "UNION ALL SELECT 'duplicate_ids', '', CAST(count(*) AS DOUBLE) FROM twins\n"
+    "UNION ALL (SELECT 'duplicate_id', pid, row_no FROM twins ORDER BY row_no LIMIT 5)\n"
+    f"UNION ALL (SELECT 'problem_row', {_SAID}, row_no FROM named WHERE problems <> '' ORDER BY row_no LIMIT 20)\n"
+    "UNION ALL SELECT 'selection', '2 of 47 (groups: none; other indices: quicki, glucagon_fasting)', 2E0\n"
     + "".join(f"UNION ALL SELECT 'recognised_column', '{s}', NULL\n" for s in _RECOGNISED)
     + "UNION ALL SELECT 'ignored_column', 'visit_id', NULL\nUNION ALL SELECT 'ignored_column', 'site notes', NULL\n"
     + f"UNION ALL SELECT 'unit_ok', 'G0 mmol/L', {_median('g0')}\n"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glucoframe.operators.calculate import calculate_wide, to_long
 from glucoframe.operators.catalog import INDEX_IDS
-from glucoframe.plans import batch_queries, index_queries, ingest_queries, output_queries, statistics_queries
+from glucoframe.plans import batch_queries, index_queries, ingest_queries, output_queries, spoilt_queries, statistics_queries
 from glucoframe.plans.index_sql import long_values_cte
 from glucoframe.plans.cohort_sql import with_prepared
 from glucoframe.plans.source import Query, Source, rounded, rounded_sql
@@ -34,4 +34,5 @@ QUERIES: dict[str, Query] = {
     **batch_queries.QUERIES,
     **statistics_queries.QUERIES,
     **output_queries.QUERIES,
+    **spoilt_queries.QUERIES,
 }

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glucoframe.functions import cells
 from glucoframe.functions.units import parse_unit
+from glucoframe.operators.catalog import resolve_selection
 from glucoframe.sources.cohort_files import (
     CohortError,
     derive_bmi,
@@ -174,7 +175,22 @@ def test_file_check(spark, tmp_path):
     assert items["rows", ""] == 8 and items["duplicate_ids", ""] == 0
     assert items["unit_warning", "G0 mg/dL"] == 93.5
     assert ("ignored_column", "odd") in items and ("recognised_column", "G120") in items
-    assert ("avignon_weight", "sample") in items
+    assert ("avignon_weight", "sample") in items and not any(item in ("selection", "problem_row", "duplicate_id") for item, _ in items)
+
+
+def test_file_check_names_examples(spark, tmp_path):
+    lines = ["id,G0,I0,sex"] + [f"p{k % 40},{'x' if k % 3 == 0 else 5.5},40,{'9' if k == 4 else 'm'}" for k in range(90)]
+    cohort = read_cohort(spark, write(tmp_path, "u.csv", "\n".join(lines) + "\n"))
+    chosen = resolve_selection(groups=["glucagon"], ids=["homa_ir", "tyg"])
+    rows = check_cohort(cohort, selection=chosen).collect()
+    assert [(r.detail, r.number) for r in rows if r.item == "duplicate_id"] == [(f"p{k}", k + 1) for k in range(5)]
+    shown = [r.detail for r in rows if r.item == "problem_row"]
+    assert len(shown) == 20 and shown[:3] == ['row 1 (p0): G0: not a number ("x")', 'row 4 (p3): G0: not a number ("x")', 'row 5 (p4): sex: unrecognised value "9"']
+    items = {r.item: (r.detail, r.number) for r in rows}
+    assert items["rows_with_problems"][1] == 31 and items["duplicate_ids"][1] == 40
+    assert items["selection"] == ("7 of 47 (groups: glucagon; other indices: homa_ir, tyg)", 7)
+    everything = {r.item: r.detail for r in check_cohort(cohort, selection=resolve_selection()).collect()}
+    assert everything["selection"] == "47 of 47 (all)"
 
 
 def test_files_keep_the_order_of_the_list(spark, tmp_path):
