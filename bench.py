@@ -13,8 +13,17 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import tempfile
 import time
+from pathlib import Path
+
+import numpy as np
+
+# Python workers import the package too, from wherever this is started.
+ROOT = str(Path(__file__).resolve().parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 from glucoframe.operators.calculate import calculate_long, calculate_wide, to_long
 from glucoframe.operators.catalog import INDEX_IDS
@@ -34,7 +43,21 @@ def consume(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def machine_speed() -> float:
+    """Seconds of a fixed piece of work on one core, so that rounds on slower machines can be compared."""
+    numbers = np.random.default_rng(1).random(2_000_000)
+    taken = []
+    for _ in range(3):
+        started = time.perf_counter()
+        for _ in range(3):
+            np.sort(numbers)
+            sum(k * k for k in range(300_000))
+        taken.append(time.perf_counter() - started)
+    return min(taken)
+
+
 def main() -> None:
+    probe = machine_speed()
     spark = local_session(CPUS, "bench", spark__sql__shuffle__partitions=CPUS)
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     cohort_path = f"{scratch}/cohort.parquet"
@@ -97,6 +120,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": {k: round(v, 3) for k, v in timings.items()}, "sf": os.path.basename(FOLDER.rstrip("/")),
         "visits": rows, "rows_per_second": round(rows / timings["calculate_all"]), "cpus": int(CPUS),
+        "probe_seconds": round(probe, 3),
     }))
 
 

@@ -23,7 +23,7 @@ from glucoframe.session import broadcast_if_small, cut_lineage
 MIN_PAIRS = 3
 MASK_BITS = 62  # columns whose presence fits into one number
 MOST_MASKS = 50_000  # different patterns of missing columns that the driver compares
-BLOCK_BITS = 14  # products are taken over blocks of 16,384 rows
+BLOCK_BITS = 12  # products are taken over blocks of 4,096 rows
 SUMS_SCHEMA = (
     "i int, j int, n bigint, si double, sj double, sii double, sjj double, sij double, "
     "lo_i double, hi_i double, lo_j double, hi_j double"

@@ -143,19 +143,22 @@ class _Runs:
 
     def _rows(self, batch: pa.RecordBatch, twice: np.ndarray | None, run: int | None) -> pa.RecordBatch:
         """The rows with twice their rank inside the partition, or with the number of their run."""
-        n = batch.num_rows
+        n, kind = batch.num_rows, self._schema.field("_twice").type
         if twice is None:
-            ranks = pa.nulls(n, pa.list_(pa.int64()))
+            ranks = pa.nulls(n, kind)
+        elif self._flags is None:
+            ranks = pa.array(twice[:, 0])
         else:
             ranks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * twice.shape[1]), pa.array(twice.reshape(-1)))
         numbers = pa.nulls(n, pa.int64()) if run is None else pa.array(np.full(n, run))
-        added = [pa.array(np.full(n, self._part, np.int32)), ranks, numbers, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))]
+        added = [pa.array(np.full(n, self._part, np.int32)), ranks, numbers, pa.nulls(n, kind), pa.nulls(n, kind)]
         return pa.RecordBatch.from_arrays([*batch.columns, *added], schema=self._schema)
 
     def _note(self, run: int | None, ahead: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         """A row without a rank: where a run begins and its size, or (run null) the size of the key in this partition."""
         known = dict(zip(self._keys, self._key)) | ({self._value: self._run} if run is not None else {})
-        known |= {"_part": self._part, "_run": run, "_ahead": ahead.tolist(), "_count": count.tolist()}
+        numbers = [[int(x) for x in sums] if self._flags is not None else int(sums[0]) if len(sums) else None for sums in (ahead, count)]
+        known |= {"_part": self._part, "_run": run, "_ahead": numbers[0], "_count": numbers[1]}
         return pa.RecordBatch.from_arrays([pa.array([known.get(f.name)], f.type) for f in self._schema], schema=self._schema)
 
     def _end_run(self, last: bool) -> Iterator[pa.RecordBatch]:
@@ -244,9 +247,8 @@ class _Runs:
 def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str, flags: Flags | None = None, limits: Limits = LIMITS) -> DataFrame:
     """The rows with `twice`: twice the mean rank of their value among the rows of the same key, and `total`: how many these are.
 
-    Both are arrays with one entry per set: `flags` gives for rows of one key (an Arrow batch) which sets each belongs to, as a
-    table of 0 and 1 (rows x sets); without it there is one set of all rows. Of sets a row does not belong to its entry has no
-    meaning. Keys, values and `row` (which tells the rows apart) must not be NULL or NaN.
+    With `flags` both are arrays with one entry per set: it gives for rows of one key (an Arrow batch) which sets each belongs to,
+    as a table of 0 and 1 (rows x sets). Of sets a row does not belong to its entry has no meaning. Keys, values and `row` (which tells the rows apart) must not be NULL or NaN.
 
     One shuffle: rows are range-partitioned by keys, value and row, so a value on a third of all rows is spread over as many
     tasks as it fills. What is added up over partitions has a row per partition and key, and one per run of equal values at a
@@ -254,7 +256,7 @@ def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str, flags: F
     """
     types = rows.schema.fields
     placed = rows.repartitionByRange(*keys, value, row).sortWithinPartitions(*keys, value)
-    longs = T.ArrayType(T.LongType())
+    longs = T.LongType() if flags is None else T.ArrayType(T.LongType())
     added = [T.StructField("_part", T.IntegerType()), T.StructField("_twice", longs), T.StructField("_run", T.LongType()), T.StructField("_ahead", longs), T.StructField("_count", longs)]
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in types], *added])
     arrow = to_arrow_schema(schema)
@@ -264,8 +266,9 @@ def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str, flags: F
         return _Runs(keys, value, flags, held, arrow)(batches)
 
     read = cut_lineage(placed.mapInArrow(number, schema))
-    notes = read.where(F.col("_count").isNotNull())
-
+    notes = cut_lineage(read.where(F.col("_count").isNotNull()).select("_part", *keys, value, "_run", "_ahead", "_count"))
+    if flags is None:
+        notes = notes.withColumn("_ahead", F.array("_ahead")).withColumn("_count", F.array("_count"))
     # one row per partition, key and set; both windows see the partitions of one key
     key = Window.partitionBy(*keys, "_set")
     above = key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -278,10 +281,13 @@ def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str, flags: F
     # a run that crosses borders is one: its rows before are those before its first part
     whole = located.groupBy(*keys, value).agg(F.min_by("_start", "_part").alias("_first"), F.aggregate(F.collect_list("_count"), F.array().cast("array<bigint>"), _plus).alias("_rows"))
     met = located.select("_part", *keys, value, "_run").join(whole, [*keys, value])
-    met = met.select("_part", "_run", F.zip_with("_first", "_rows", lambda a, c: 2 * a + c + 1).alias("_whole"))
-    ranked = read.where(F.col("_count").isNull()).join(broadcast_if_small(offsets, limits.broadcast_rows), ["_part", *keys])
-    ranked = ranked.join(broadcast_if_small(cut_lineage(met), limits.broadcast_rows), ["_part", "_run"], "left")
+    met = cut_lineage(met.select("_part", "_run", F.zip_with("_first", "_rows", lambda a, c: 2 * a + c + 1).alias("_whole")))
     moved = F.zip_with("_twice", "_before", lambda t, b: t + 2 * b)
+    if flags is None:
+        offsets = offsets.withColumn("_before", F.col("_before")[0]).withColumn("total", F.col("total")[0])
+        met, moved = met.withColumn("_whole", F.col("_whole")[0]), F.col("_twice") + 2 * F.col("_before")
+    ranked = read.where(F.col("_count").isNull()).join(broadcast_if_small(offsets, limits.broadcast_rows), ["_part", *keys])
+    ranked = ranked.join(broadcast_if_small(met, limits.broadcast_rows), ["_part", "_run"], "left")
     return ranked.select(*[f.name for f in types], F.when(F.col("_run").isNull(), moved).otherwise(F.col("_whole")).alias("twice"), "total")
 
 
@@ -291,8 +297,8 @@ def _plus(left: Column, right: Column) -> Column:
 
 
 def mean_rank() -> Column:
-    """1-based rank shared by ties, over the columns of range_ranks with one set."""
-    return F.col("twice")[0] / 2.0
+    """1-based rank shared by ties, over the columns of range_ranks without flags."""
+    return F.col("twice") / 2.0
 
 
 def exact_quantiles(

@@ -19,7 +19,7 @@ from glucoframe.session import broadcast_if_small, cut_lineage
 KINDS = ("none", "log", "z", "rint")
 BLOM_OFFSET = 0.375
 MAX_GROUPS_BROADCAST = 100_000
-BLOCK_BITS = 13  # 8,192 rows are filled at once
+BLOCK_BITS = 11  # 2,048 rows are filled at once
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def transform_long(long: DataFrame, t: Transform, limits: Limits = LIMITS) -> Da
         scaled = labelled.join(broadcast_if_small(moments, MAX_GROUPS_BROADCAST), keys, "left")
         return scaled.withColumn("transformed", (F.col("value") - F.col("mean")) / F.col("sd")).drop("mean", "sd")
     ranked = _with_ranks(labelled, keys, limits)
-    return ranked.withColumn("transformed", blom(mean_rank(), F.col("total")[0])).select(*labelled.columns, "transformed")
+    return ranked.withColumn("transformed", blom(mean_rank(), F.col("total"))).select(*labelled.columns, "transformed")
 
 
 def _with_ranks(long: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
@@ -179,7 +179,7 @@ def _ranked(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
     for g in group:
         long = long.where(F.col(g).isNotNull() & (F.col(g) != ""))
     ranked = range_ranks(long, ["_column", *group], "value", "_row")
-    back = ranked.select(_block(), "_row", "_column", blom(mean_rank(), F.col("total")[0]).alias("value"))
+    back = ranked.select(_block(), "_row", "_column", blom(mean_rank(), F.col("total")).alias("value"))
     kept = numbered.select(_block(), "_row", F.struct(*[F.col(f"`{c}`") for c in results.columns]).alias("kept"))
     shape = T.StructType([kept.schema["kept"], *[T.StructField(f"c{k}", T.DoubleType()) for k in range(len(columns))]])
 

@@ -52,3 +52,11 @@ def test_query(spark, other_engine, name):
 def test_entry(spark):
     df = spark_entry.entry(spark)
     assert df.columns == ["index_id", "sex", "n", "mean"] and df.count() > 47
+
+
+def test_every_sql_is_compared(request):
+    """No comparison is lost on the way to the run, as by two files of one name."""
+    if request.config.option.keyword or any("::" in arg for arg in request.config.args):
+        pytest.skip("a selection of tests")
+    compared = {item.callspec.params["name"] for item in request.session.items if item.path == Path(__file__) and hasattr(item, "callspec")}
+    assert compared == set(SQL) <= set(QUERIES)
