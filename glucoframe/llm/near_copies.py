@@ -1,4 +1,5 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, exact Jaccard verifies every one of them."""
+"""Near copies by shingle similarity: segment popcounts of SimHash fingerprints find close texts, MinHash bands those that are
+farther apart, and exact Jaccard verifies every pair."""
 
 from __future__ import annotations
 
@@ -10,9 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucoframe.llm.common import few_rows, utf8
-from glucoframe.llm.simhash import SEED, classes, keep_one, shingle_hashes
-from glucoframe.session import cut_lineage
+from glucoframe.llm.common import BROADCAST_ROWS, few_rows, utf8
+from glucoframe.llm.components import roots
+from glucoframe.llm.simhash import SEED, classes, fingerprint_of_hashes, keep_one, named, shingle_hashes
+from glucoframe.session import broadcast_if_small, cut_lineage
 
 SHINGLE_WORDS = 5
 # Least similarity that links, as a fraction of whole numbers: 4/5.
@@ -61,14 +63,15 @@ def set_hash(text: Column, words_each: int = SHINGLE_WORDS) -> Column:
 
 
 def _marks(text: Column, words_each: int) -> Column:
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("cells", pa.list_(pa.int64()))])
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<node:bigint,n:bigint,cells:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,n:bigint,print:bigint,cells:array<bigint>>")
     def marked(values: pa.Array) -> pa.Array:
         rows = []
         for data in utf8(values):
-            found = shingle_set(data, words_each)
-            rows.append({"node": _node(found), "n": len(found), "cells": bands(found)})
+            hashes = shingle_hashes(data, words_each)
+            found = np.unique(hashes)
+            rows.append({"node": _node(found), "n": len(found), "print": fingerprint_of_hashes(hashes), "cells": bands(found)})
         return pa.array(rows, kind)
 
     return marked(text)
@@ -122,18 +125,13 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(nodes[pairs[:, 0]], pa.int64()), "v": pa.array(nodes[pairs[:, 1]], pa.int64())})
 
 
-def links(marked: DataFrame, texts: DataFrame, words_each: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct shingle sets that connect exactly what a similarity of 0.8 connects among sets that share a band.
+def _verified(met: DataFrame, keys: DataFrame, texts: DataFrame, words_each: int, block: int) -> DataFrame:
+    """Edges (u, v) that connect what a similarity of 0.8 connects inside the cells of a written table (cell, node, n).
 
-    `marked` holds key, node, n and cells of every text, `texts` holds key and text. Sets meet in the cells of their bands; cells
-    with the same members count once. The members of a cell are dealt to blocks, and every two blocks are compared in
-    a task of their own through a matrix of shared shingles, so no pair of texts is ever a row, and no set is sent once
-    per pair. Only sets that share a cell are made a second time.
+    `keys` (node, key) and `texts` (key, text) lead to a text of each set. Cells with the same members count once. The members of a
+    cell are dealt to blocks, and every two blocks are compared in a task of their own through a matrix of shared shingles,
+    so no pair of texts is ever a row, and no set is sent once per pair. Only sets that share a cell are made again.
     """
-    distinct = cut_lineage(marked.groupBy("node").agg(F.min(F.struct("key", "n", "cells")).alias("m")).select("node", "m.*"))
-    met = distinct.select("node", "n", F.explode("cells").alias("cell")).repartition("cell")
-    met = met.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("cell"))).where("members > 1")
-    met = cut_lineage(met.select("cell", "node", "n"))
     alike = met.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("t"))
     once = cut_lineage(alike.groupBy("members", "s", "t").agg(F.min("cell").alias("cell")).select("cell"))
     ordered = Window.partitionBy("cell").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,13 +146,37 @@ def links(marked: DataFrame, texts: DataFrame, words_each: int = SHINGLE_WORDS,
             found = [shingle_set(data, words_each) for data in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], names=["node", "found"])
 
-    wanted = cut_lineage(distinct.join(work.select("node").distinct(), "node").select("key").distinct())
+    wanted = cut_lineage(keys.join(work.select("node").distinct(), "node").select("key").distinct())
     needed = texts.join(wanted, "key", "left_semi").select("text").distinct()
     sets = cut_lineage(needed.mapInArrow(made, "node long, found binary").groupBy("node").agg(F.first("found").alias("found")))
     edges = work.join(sets, "node").groupBy("cell", "i", "j").applyInArrow(_compare, "u long, v long")
     return cut_lineage(edges.distinct())
 
 
+def links(marked: DataFrame, texts: DataFrame, words_each: int = SHINGLE_WORDS, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between distinct shingle sets that connect exactly what a similarity of 0.8 connects among sets that meet.
+
+    `marked` holds key, node, n, print and cells of every text, `texts` holds key and text. Sets meet first in the classes that
+    segment popcounts find for their fingerprints (simhash.classes), which are compared exactly, then in the cells of their bands: similar
+    texts often differ in more bits than a grid of popcounts selects. A band's cell is only compared if it joins sets that
+    are not connected already.
+    """
+    distinct = cut_lineage(marked.groupBy("node").agg(F.min(F.struct("key", "n", "print", "cells")).alias("m")).select("node", "m.*"))
+    some = distinct.where("n > 0")  # a text without words is like no other
+    found = classes(some.select(F.col("node").alias("doc_id"), F.col("print").alias("fp")))
+    close = cut_lineage(some.join(found, some.print == found.fp).select(F.col("component_id").alias("cell"), "node", "n"))
+    many = cut_lineage(close.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("cell"))
+    near = _verified(cut_lineage(close.join(many, "cell")), distinct.select("node", "key"), texts, words_each, block)
+    known = broadcast_if_small(cut_lineage(roots(near).withColumnRenamed("node", "of")), BROADCAST_ROWS)
+    placed = distinct.join(known, F.col("node") == F.col("of"), "left").select("node", "n", "cells", F.coalesce("root", "node").alias("root"))
+    cell = Window.partitionBy("cell")
+    met = placed.select("node", "n", "root", F.explode("cells").alias("cell")).repartition("cell")
+    met = met.withColumn("least", F.min("root").over(cell)).withColumn("most", F.max("root").over(cell)).where("least != most")
+    met = cut_lineage(met.select("cell", "node", "n"))
+    far = _verified(met, distinct.select("node", "key"), texts, words_each, block)
+    return near.union(far)
+
+
 def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_each: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of which one stays in each group of near copies: the smallest id; columns are unchanged.
 
@@ -166,6 +188,6 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     chosen = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("key"), _marks(text, words_each).alias("m"))
     marked = cut_lineage(chosen.select("doc_id", "key", "m.*"))
     prints = marked.select("doc_id", F.col("node").alias("fp"))
-    found = classes(prints, lambda _: links(marked, texts, words_each))
+    found = named(prints, lambda _: links(marked, texts, words_each))
     near = prints.join(cut_lineage(found), "fp").select("doc_id", "fp", "root", "component_id")
     return keep_one(docs, near, id_column, text_column, lambda column: set_hash(column, words_each))

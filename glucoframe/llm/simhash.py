@@ -39,14 +39,29 @@ def shingle_hashes(data: bytes, words_each: int = SHINGLE_WORDS) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, _shingles(data, words_each), repeat(SEED)), np.uint64)
 
 
+def _count_bits(digests: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, count: int) -> int:
+    return int.from_bytes(np.packbits(ones * 2 > count).tobytes(), "big", signed=True)
+
+
 def fingerprint_of(data: bytes, words_each: int = SHINGLE_WORDS) -> int:
     """64 bits of one text in UTF-8: bit i is set if it is set in over half of the shingles' hashes."""
     shingles = _shingles(data, words_each)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(shingles), _CHUNK):
-        hashes = b"".join(map(xxhash.xxh64_digest, shingles[at : at + _CHUNK], repeat(SEED)))
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big", signed=True)
+        ones += _count_bits(b"".join(map(xxhash.xxh64_digest, shingles[at : at + _CHUNK], repeat(SEED))))
+    return _majority(ones, len(shingles))
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """The same from the hashes of the shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += _count_bits(hashes[at : at + _CHUNK].astype(">u8").tobytes())
+    return _majority(ones, len(hashes))
 
 
 def fingerprint(text: Column, words_each: int = SHINGLE_WORDS) -> Column:
@@ -118,8 +133,13 @@ def links(prints: DataFrame, width: int = 2) -> DataFrame:
     return pairs.union(stars).where((F.col("u") != F.col("v")) & near).distinct()
 
 
-def classes(prints: DataFrame, edges: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+def classes(prints: DataFrame) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint of a written table (doc_id, fp); a root stands for its component."""
+    return named(prints, links)
+
+
+def named(prints: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, root, component_id) as in `classes`, where `edges` makes the links (u, v) between distinct values of fp."""
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     rooted = cut_lineage(roots(edges(distinct.select("fp"))))
     named = rooted.join(distinct, rooted.node == distinct.fp).select("fp", "root", "doc_id")

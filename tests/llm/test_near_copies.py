@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from glucoframe.llm import near_copies
+from glucoframe.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -82,3 +82,30 @@ def test_odd_rows(odd_docs, no_docs):
         (-1, "no id at all here"), (1, "one two three four five"), (2, ""), (8, "Ünï cödé 😀 text ÄÖ"), (9, "other text under the same id"), (9, "x"),
     ]
     assert kept.where("doc_id IN (6, 7)").count() == 1
+
+
+def test_segment_popcounts_come_first(spark, monkeypatch):
+    """Copies that differ in one of many words are found by their fingerprints' segment popcounts alone, with every band off; pairs
+    whose fingerprints agree though most words differ are not linked."""
+    monkeypatch.setattr(near_copies, "bands", lambda found: [])
+    rng = random.Random(5)
+    rows = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        rows += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["Other", *base[1:]])]
+    rows += ["a b c d e", "f g h i j", "", None]
+    rows = list(enumerate(rows))
+    prints = {k: near_copies.fingerprint_of_hashes(near_copies.shingle_hashes((text or "").encode(), 5)) for k, text in rows}
+    assert prints == {k: simhash.fingerprint_of((text or "").encode(), 5) for k, text in rows}
+    close = {k for k in range(60) if k % 3 and any((prints[k] ^ prints[m]).bit_count() <= simhash.RADIUS for m in range(k - k % 3, k))}
+    assert len(close) > 30
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == set(range(63)) - close
+
+
+def test_close_fingerprints_are_compared(spark):
+    """A class of fingerprints holds texts that are not alike."""
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, "a b c d e f g"), (4, "g h i j k l m")], "key long, text string")
+    sets = {k: near_copies.shingle_set(text.encode()) for k, text in texts.collect()}
+    marked = spark.createDataFrame([(k, near_copies._node(s), len(s), 5 if k < 3 else 4, []) for k, s in sets.items()], "key long, node long, n long, print long, cells array<long>")
+    assert near_copies.links(marked, texts).count() == 0
