@@ -324,6 +324,20 @@ def test_binned_density_is_close(spark):
     assert density.bandwidths(df, ["index_id"]).head().bandwidth == pytest.approx(bw, rel=1e-9)
 
 
+def test_density_sums_close_values_first(spark):
+    """Many values, in two clusters far apart: as many kernels as cells, the same sums at every point down to the smallest."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1, 20_000), rng.normal(90, 0.01, 3), [90.0] * 5]).round(7)
+    df = spark.createDataFrame([("x", float(v)) for v in values], "index_id string, value double").repartition(4)
+    stats = density.bandwidths(df, ["index_id"]).head()
+    known = [F.lit(stats[c]).alias(c) for c in ("low", "high", "bandwidth")]
+    cells = density._cells(df.select(F.lit(0).cast("long").alias("number"), F.col("value").alias("centre"), *known))
+    assert cells.agg(F.sum("weight")).head()[0] == len(values) and cells.count() < len(values) / 8
+    for r in density.density(df, ["index_id"]).collect():
+        exact = np.exp(-0.5 * ((r.x - values) / r.bandwidth) ** 2).sum() / (np.sqrt(2 * np.pi) * r.bandwidth * r.n)
+        assert r.density == pytest.approx(exact, rel=1e-9, abs=1e-300)
+
+
 def test_density_of_a_long_tail_is_exact(spark):
     """Two million values whose range is many thousand bandwidths: neither bins nor a bound blur the sum."""
     values = np.random.default_rng(8).lognormal(0, 2, 2_000_000)
