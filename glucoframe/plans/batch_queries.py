@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -334,17 +336,21 @@ GROUP BY 1"""
 
 
 def _written_parts(src: Source) -> list[str]:
-    """The visits calculated as PARTS separate results files with settings; the paths."""
+    """The visits calculated as PARTS separate results files with settings; the paths. The rows of a part lie in few tasks, so the
+    parts are written side by side."""
     numbered = cut_lineage(_numbered(src)).withColumn("input_problems", F.lit(""))
     total, folder = numbered.count(), scratch_path(src.spark, "parts")
-    paths = []
-    for i in range(1, PARTS + 1):
-        paths.append(f"{folder}/part-{i}.csv")
+
+    def write(i: int) -> str:
+        path = f"{folder}/part-{i}.csv"
         write_results(
-            take_part(numbered, i, PARTS, total), paths[-1], Run("visits"), version=glucoframe.__version__, timestamp="",
+            take_part(numbered, i, PARTS, total), path, Run("visits"), version=glucoframe.__version__, timestamp="",
             header=numbered.columns, part=(i, PARTS, total), keep=["visit_id"],
         )
-    return paths
+        return path
+
+    with ThreadPoolExecutor(PARTS) as side_by_side:
+        return list(side_by_side.map(write, range(1, PARTS + 1)))
 
 
 def merged(src: Source) -> DataFrame:

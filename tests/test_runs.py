@@ -1,6 +1,8 @@
 """Parts, manifests, sinks, streaming, reconciliation, and what the plans look like."""
 
 import random
+import threading
+import types
 import uuid
 
 import pytest
@@ -20,6 +22,7 @@ from glucoframe.operators.reconcile import (
 from glucoframe.operators.weight import cohort_weight, weight_from_sums, weight_sums
 from glucoframe.settings import AvignonWeight
 from glucoframe.operators.transforms import Transform
+from glucoframe.plans import batch_queries
 from glucoframe.sources.results import (
     merge_folder,
     merge_part_files,
@@ -396,3 +399,12 @@ def test_library_uses_no_forbidden_shortcuts():
     source = "\n".join(p.read_text() for p in files)
     for word in ("localCheckpoint", "crossJoin", "toPandas("):
         assert word not in source
+
+
+def test_parts_are_written_side_by_side(spark, monkeypatch):
+    """Every part waits until all of them are being written."""
+    all_at_once = threading.Barrier(batch_queries.PARTS, timeout=60)
+    monkeypatch.setattr(batch_queries, "_numbered", lambda src: spark.range(1, 15).toDF("row"))
+    monkeypatch.setattr(batch_queries, "write_results", lambda *args, **more: all_at_once.wait())
+    paths = batch_queries._written_parts(types.SimpleNamespace(spark=spark))
+    assert [p.rsplit("/", 1)[1] for p in paths] == [f"part-{i}.csv" for i in range(1, batch_queries.PARTS + 1)]
