@@ -1,13 +1,14 @@
 """Distributed ordering: average ranks, row numbers and exact quantiles with no one-task window.
 
-A window ordered by value would put a whole index into one task. For ranks the rows themselves are range-partitioned by key,
-value and row, numbered inside their partition, and written with their partition's number to the shared folder; a small
-table of partition sizes and of runs of equal values that may go on across a border turns the numbers into ranks.
+A window ordered by value would put a whole index into one task. For ranks a sample cuts the values of every key into groups;
+rows travel in packed pieces to the task that orders their group and are written with their rank in it to the shared folder; a small
+table of the groups' sizes turns these into ranks.
 For quantiles equal values are counted first and the distinct ones ordered the same way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,12 @@ from glucoframe.session import broadcast_if_small, cut_lineage
 
 LOCAL_POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 MAX_OFFSETS_BROADCAST = 1_000_000
+ROW_BITS = 14  # ranks come back in pieces of blocks of 16,384 row numbers
+PIECE_ROWS = 1 << 13
+WIDE_ROWS, LONG_ROWS = 1 << 16, 1 << 20  # rows that are split into pieces together
+LEAST_SAMPLED, MOST_SAMPLED, SAMPLE_SEED = 10_000, 1_000_000, 11
+PROBED = 1 / 64
+LEAST_GROUPS = 64  # however small `held` is, a key is not cut into smaller shares
 
 
 @dataclass(frozen=True)
@@ -31,7 +38,7 @@ class Limits:
     """Sizes at which another plan takes over. Results never depend on them; tests and queries lower them to reach every plan.
 
     accuracy       of the quantile sketch; keys with fewer than four times as many rows are ordered whole
-    held           rows of one value that a task holds back until it knows how many there are
+    held           rows of a key that one task orders, about; a value on more rows is dealt to several tasks
     broadcast_rows rows up to which a small table is broadcast
     """
 
@@ -120,180 +127,271 @@ def order_counts(counts: DataFrame, keys: list[str], value: str, of: list[str] |
 
 
 Flags = Callable[[pa.RecordBatch], np.ndarray]
-
-
-class _Runs:
-    """Numbers the rows of one sorted partition by runs of equal values, set by set.
-
-    A row belongs to the sets its flags name (all rows to the one set if there are no flags). Of a run that lies inside the
-    partition every row gets twice its mean rank among the partition's rows of the key. The first and the last run of the
-    partition may go on in its neighbours, and a run of more than `held` rows is not held back: their rows name the run, and
-    the run's place and size follow as a row of their own.
+Cuts = dict[tuple, tuple[np.ndarray, np.ndarray]]
+
+
+def _by_key(table: pa.Table, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The keys of a table, each with the places of its rows."""
+    code = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        words = table.column(k).combine_chunks().dictionary_encode()
+        code = code * (len(words.dictionary) + 1) + words.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    borders = [0, *(np.flatnonzero(np.diff(code[order])) + 1).tolist(), table.num_rows]
+    for start, stop in zip(borders[:-1], borders[1:]):
+        if stop > start:
+            yield tuple(table.column(k)[int(order[start])].as_py() for k in keys), order[start:stop]
+
+
+def _sample_share(rows: int) -> float:
+    """A sixteenth of the rows, at least 10,000 and at most a million of them."""
+    return min(1.0, min(max(rows / 16, LEAST_SAMPLED), MOST_SAMPLED) / max(rows, 1))
+
+
+def find_cuts(sample: DataFrame, keys: list[str], value: str, share: float, limits: Limits) -> Cuts:
+    """Per key that one task should not order alone: rising values to cut at, and over how many groups the rows with that very
+    value are dealt (0: they lie with the larger ones). A value that takes two cuts or more fills a group by itself."""
+    table, found = sample.select(*keys, value).toArrow(), {}
+    for key, at in _by_key(table, keys):
+        values = np.sort(table.column(value).to_numpy()[at])
+        rows = len(values) / share
+        held = max(limits.held, min(LIMITS.held, rows / LEAST_GROUPS))
+        number = min(math.ceil(rows / held), len(values))
+        if number > 1:
+            cuts, times = np.unique(values[np.arange(1, number) * len(values) // number], return_counts=True)
+            found[key] = cuts, np.where(times > 1, times, 0)
+    return found
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(piece: pa.Scalar) -> pa.Table:
+    """The rows of one piece."""
+    return pa.ipc.open_stream(piece.as_buffer()).read_all()
+
+
+class _Pieces:
+    """Collects pieces: rows of one key whose values lie between two cuts, packed into one cell."""
+
+    def __init__(self, cuts: Cuts, schema: pa.Schema):
+        self._cuts, self._schema = cuts, schema
+        self._turn = TaskContext.get().partitionId()
+        self._made: list[tuple] = []
+
+    def add(self, key: tuple, values: np.ndarray, rows: pa.Table) -> None:
+        """Odd groups hold one value: that of a cut."""
+        if key not in self._cuts:
+            self._made.append((*key, 0, 0, _packed(rows)))
+            return
+        cuts, spread = self._cuts[key]
+        above = np.searchsorted(cuts, values, side="right")
+        at = np.maximum(above - 1, 0)
+        group = 2 * above - ((above > 0) & (spread[at] > 0) & (values == cuts[at]))
+        order = np.argsort(group, kind="stable")
+        rows, group = rows.take(pa.array(order)), group[order]
+        borders = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for start, stop in zip(borders[:-1], borders[1:]):
+            number = int(group[start])
+            dealt = self._turn % int(spread[number // 2]) if number % 2 else 0
+            self._made.append((*key, number, dealt, _packed(rows.slice(start, stop - start))))
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        self._turn += 1
+        made, self._made = self._made, []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(zip(*made), self._schema)], schema=self._schema)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= rows:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+            waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
+    return [T.StructField(n, df.schema[n].dataType) for n in names]
+
+
+def _rank_pieces(pieces: DataFrame, keys: list[str], value: str, flags: Callable[[tuple, pa.Table], np.ndarray] | None, row: str | None, limits: Limits) -> DataFrame:
+    """The rows in pieces of their own with their ranks: keys, _block, _rows, _base, _total.
+
+    A task orders the rows of one group and counts, per set, twice their rank there (columns t0, t1, ...); _base is what the smaller
+    groups add to it and _total the rows of the key, per set. Rows of a value that is a group of its own need no order: their rank
+    is in _base. With `row` a piece holds the rows of one block of 2^ROW_BITS row numbers: their places in it, without their values.
     """
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*_fields(pieces, [*keys, "_group"]), T.StructField("_block", T.LongType()), T.StructField("_rows", T.BinaryType()), T.StructField("_count", longs)])
+    arrow = to_arrow_schema(schema)
 
-    def __init__(self, keys: list[str], value: str, flags: Flags | None, held: int, schema: pa.Schema):
-        self._keys, self._value, self._flags, self._held, self._schema = keys, value, flags, held, schema
-        self._part = TaskContext.get().partitionId()
-        self._key: tuple | None = None
-        self._run: object = None
-        self._size = np.zeros(0, np.int64)  # rows of the key so far, of each set
-        self._count = np.zeros(0, np.int64)  # rows of the run so far
-        self._waiting: list[tuple[pa.RecordBatch, np.ndarray]] = []
-        self._open, self._runs = True, 0
-
-    def _rows(self, batch: pa.RecordBatch, twice: np.ndarray | None, run: int | None) -> pa.RecordBatch:
-        """The rows with twice their rank inside the partition, or with the number of their run."""
-        n, kind = batch.num_rows, self._schema.field("_twice").type
-        if twice is None:
-            ranks = pa.nulls(n, kind)
-        elif self._flags is None:
-            ranks = pa.array(twice[:, 0])
+    def order(known: tuple, found: pa.Table) -> pa.Table:
+        *key, group, _ = (k.as_py() for k in known)
+        rows = pa.concat_tables([unpacked(p) for p in found.column("_rows")]).combine_chunks()
+        n = rows.num_rows
+        run = np.zeros(n, np.int64)  # of every row the number of its run of equal values
+        if group % 2:
+            at, ends = np.arange(n), np.array([0, n])  # one run, whose rank is in _base
         else:
-            ranks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * twice.shape[1]), pa.array(twice.reshape(-1)))
-        numbers = pa.nulls(n, pa.int64()) if run is None else pa.array(np.full(n, run))
-        added = [pa.array(np.full(n, self._part, np.int32)), ranks, numbers, pa.nulls(n, kind), pa.nulls(n, kind)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *added], schema=self._schema)
-
-    def _note(self, run: int | None, ahead: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        """A row without a rank: where a run begins and its size, or (run null) the size of the key in this partition."""
-        known = dict(zip(self._keys, self._key)) | ({self._value: self._run} if run is not None else {})
-        numbers = [[int(x) for x in sums] if self._flags is not None else int(sums[0]) if len(sums) else None for sums in (ahead, count)]
-        known |= {"_part": self._part, "_run": run, "_ahead": numbers[0], "_count": numbers[1]}
-        return pa.RecordBatch.from_arrays([pa.array([known.get(f.name)], f.type) for f in self._schema], schema=self._schema)
-
-    def _end_run(self, last: bool) -> Iterator[pa.RecordBatch]:
-        if self._open or last:
-            yield from (self._rows(batch, None, self._runs) for batch, _ in self._waiting)
-            yield self._note(self._runs, self._size, self._count)
-            self._runs += 1
+            values = rows.column(value).to_numpy()
+            at = np.argsort(values, kind="stable")
+            values = values[at]
+            starts = np.append(True, values[1:] != values[:-1])
+            run[at] = np.cumsum(starts) - 1
+            ends = np.append(np.flatnonzero(starts), n)
+        member = None if flags is None else flags(tuple(key), rows.take(pa.array(at)))
+        counts = [n] if member is None else member.sum(0).tolist()
+        if row is None:
+            borders, blocks = [*range(0, n, PIECE_ROWS), n], None
         else:
-            twice = 2 * self._size + self._count + 1
-            yield from (self._rows(batch, np.broadcast_to(twice, (batch.num_rows, len(twice))), None) for batch, _ in self._waiting)
-        self._size = self._size + self._count
-        self._waiting, self._open = [], False
+            numbers = rows.column(row).to_numpy()
+            by_row = np.argsort(numbers)
+            numbers, run = numbers[by_row], run[by_row]
+            blocks = numbers >> ROW_BITS
+            borders = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), n]
+            blocks = blocks[borders[:-1]].tolist()
+            rows = pa.table({row: (numbers & ((1 << ROW_BITS) - 1)).astype(np.uint16)})
+        for s in range(len(counts)):
+            upto = np.arange(n + 1) if member is None else np.append(0, np.cumsum(member[:, s]))
+            twice = upto[ends[:-1]] + upto[ends[1:]] + 1 if group % 2 == 0 else np.zeros(1, np.int64)
+            rows = rows.append_column(f"t{s}", pa.array(twice.astype(np.int32)[run]))
+        made = [_packed(rows.slice(a, b - a)) for a, b in zip(borders[:-1], borders[1:])]
+        size = len(made) + 1  # the last row holds the counts
+        columns = [pa.array([k] * size, f.type) for k, f in zip([*key, group], arrow)]
+        return pa.Table.from_arrays([*columns, pa.array([*(blocks or [0] * len(made)), None], pa.int64()), pa.array([*made, None], pa.binary()), pa.array([None] * len(made) + [counts], arrow.field("_count").type)], schema=arrow)
+
+    read = cut_lineage(pieces.groupBy(*keys, "_group", "_dealt").applyInArrow(order, schema))
+    # one row per key, group and set; both windows see the groups of one key
+    sizes = read.where(F.col("_count").isNotNull()).select(*keys, "_group", F.posexplode("_count").alias("_set", "_n"))
+    sizes = sizes.groupBy(*keys, "_group", "_set").agg(F.sum("_n").alias("_n"))
+    key = Window.partitionBy(*keys, "_set")
+    above = key.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.when(F.col("_group") % 2 == 1, F.col("_n") + 1).otherwise(0)
+    base = 2 * F.coalesce(F.sum("_n").over(above), F.lit(0)) + alone
+    sums = sizes.select(*keys, "_group", F.struct("_set", base.alias("b"), F.sum("_n").over(key).alias("t")).alias("_s"))
+    entries = sums.groupBy(*keys, "_group").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
+    offsets = cut_lineage(entries.select(*keys, "_group", F.col("_s.b").alias("_base"), F.col("_s.t").alias("_total")))
+    ranked = read.where(F.col("_rows").isNotNull()).join(broadcast_if_small(offsets, limits.broadcast_rows), [*keys, "_group"])
+    return ranked.select(*keys, "_block", "_rows", "_base", "_total")
 
-    def _end_key(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        yield from self._end_run(last)
-        yield self._note(None, np.zeros(0, np.int64), self._size)
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from self._batch(batch)
-        if self._key is not None:
-            yield from self._end_key(last=True)
-
-    def _batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = batch.num_rows
-        new_key, new_run = np.zeros(rows, bool), np.zeros(rows, bool)
-        for name, marks in [(k, new_key) for k in self._keys] + [(self._value, new_run)]:
-            column = batch.column(name)
-            marks[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
-        new_run |= new_key
-        first_key = tuple(batch.column(k)[0].as_py() for k in self._keys)
-        new_key[0] = first_key != self._key
-        new_run[0] = new_key[0] or batch.column(self._value)[0].as_py() != self._run
-        borders = np.append(np.flatnonzero(new_key), rows)
-        if not new_key[0]:
-            yield from self._stretch(batch.slice(0, borders[0]), new_run[: borders[0]])
-        for start, stop in zip(borders[:-1].tolist(), borders[1:].tolist()):
-            if self._key is not None:
-                yield from self._end_key()
-            self._key = tuple(batch.column(k)[start].as_py() for k in self._keys)
-            self._size = self._count = None
-            yield from self._stretch(batch.slice(start, stop - start), new_run[start:stop])
-
-    def _stretch(self, batch: pa.RecordBatch, new_run: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of one key."""
-        rows = batch.num_rows
-        if not rows:
-            return
-        flags = np.ones((rows, 1), np.int64) if self._flags is None else self._flags(batch)
-        if self._size is None:
-            self._size = self._count = np.zeros(flags.shape[1], np.int64)
-        starts = np.append(np.flatnonzero(new_run), rows)
-        if starts[0] > 0:  # the run before goes on
-            yield from self._wait(batch.slice(0, starts[0]), flags[: starts[0]])
-        if len(starts) == 1:
-            return
-        if self._waiting or self._open and self._run is not None:
-            yield from self._end_run(last=False)
-        begin, last = int(starts[0]), int(starts[-2])
-        if self._open and last > begin:  # the partition's first run
-            self._run, self._count = batch.column(self._value)[begin].as_py(), np.zeros_like(self._size)
-            yield from self._wait(batch.slice(begin, starts[1] - begin), flags[begin : starts[1]])
-            yield from self._end_run(last=False)
-            begin = int(starts[1])
-        if last > begin:  # whole runs
-            inner = starts[(starts >= begin) & (starts <= last)]
-            sums = np.add.reduceat(flags[begin:last], inner[:-1] - begin, axis=0)
-            ahead = self._size + np.cumsum(sums, axis=0) - sums
-            twice = np.repeat(2 * ahead + sums + 1, np.diff(inner), axis=0)
-            yield self._rows(batch.slice(begin, last - begin), twice, None)
-            self._size = self._size + sums.sum(0)
-        self._run, self._count = batch.column(self._value)[last].as_py(), np.zeros_like(self._size)
-        yield from self._wait(batch.slice(last), flags[last:])
-
-    def _wait(self, batch: pa.RecordBatch, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """More rows of the current run."""
-        self._count = self._count + flags.sum(0)
-        self._waiting.append((batch, flags))
-        if self._open or sum(b.num_rows for b, _ in self._waiting) > self._held:
-            self._open = True
-            yield from (self._rows(b, None, self._runs) for b, _ in self._waiting)
-            self._waiting = []
-
-
-def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str, flags: Flags | None = None, limits: Limits = LIMITS) -> DataFrame:
+def _piece_schema(df: DataFrame, keys: list[T.StructField]) -> T.StructType:
+    numbers = [T.StructField(n, T.IntegerType()) for n in ("_group", "_dealt")]
+    return T.StructType([*keys, *numbers, T.StructField("_rows", T.BinaryType())])
+
+
+def column_ranks(
+    numbered: DataFrame, columns: list[str], group: list[str], row: str, also: list[str] | None = None,
+    flags: Callable[[tuple, pa.Table], np.ndarray] | None = None, finite: bool = False, limits: Limits = LIMITS,
+) -> DataFrame:
+    """Ranks of every column of a written table (within `group`, where its label is neither NULL nor empty) in pieces of blocks of
+    rows: _column (the number), the group, _block, _rows, _base, _total (see _rank_pieces).
+
+    NULL and NaN have no rank, infinite values only without `finite`. `flags` gets (column, *group) and the rows (`row`, value and the
+    columns `also`) and gives their sets. Values leave their row as numbers in packed pieces, so what is shuffled is bytes, not rows.
+    """
+    also = also or []
+    keys = ["_column", *group]
+    labelled = numbered
+    for g in group:
+        labelled = labelled.where(F.col(f"`{g}`").isNotNull() & (F.col(f"`{g}`") != ""))
+    cells = ", ".join(f"named_struct('_column', {k}, 'value', `{c}` + 0D)" for k, c in enumerate(columns))
+    usable = "value IS NOT NULL AND NOT isnan(value)" + (" AND abs(value) < double('Infinity')" if finite else "")
+    share = _sample_share(numbered.count() * len(columns))
+    sample = labelled.sample(share, seed=SAMPLE_SEED).selectExpr(*[f"`{g}`" for g in group], f"inline(array({cells}))").where(usable)
+    cuts = find_cuts(sample, keys, "value", share, limits)
+    schema = _piece_schema(numbered, [T.StructField("_column", T.IntegerType()), *_fields(numbered, group)])
+    arrow = to_arrow_schema(schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces(cuts, arrow)
+        for table in _chunks(batches, WIDE_ROWS):
+            kept = table.select([row, *also])
+            labels = list(_by_key(table, group)) if group else [((), np.arange(table.num_rows))]
+            for k in range(len(columns)):
+                values = table.column(f"c{k}").to_numpy()
+                good = np.isfinite(values) if finite else ~np.isnan(values)
+                for label, at in labels:
+                    at = at[good[at]]
+                    if len(at):
+                        found = values[at]
+                        pieces.add((k, *label), found, kept.take(pa.array(at)).append_column("value", pa.array(found)))
+            yield from pieces.batch()
+
+    out = labelled.selectExpr(row, *[f"`{c}`" for c in [*group, *also]], *[f"`{c}` + 0D AS c{k}" for k, c in enumerate(columns)])
+    return _rank_pieces(out.mapInArrow(split, schema), keys, "value", flags, row, limits)
+
+
+def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str | None = None, flags: Flags | None = None, limits: Limits = LIMITS) -> DataFrame:
     """The rows with `twice`: twice the mean rank of their value among the rows of the same key, and `total`: how many these are.
 
     With `flags` both are arrays with one entry per set: it gives for rows of one key (an Arrow batch) which sets each belongs to,
-    as a table of 0 and 1 (rows x sets). Of sets a row does not belong to its entry has no meaning. Keys, values and `row` (which tells the rows apart) must not be NULL or NaN.
+    as a table of 0 and 1 (rows x sets). Of sets a row does not belong to its entry has no meaning. Keys and values must not be
+    NULL or NaN. Nothing needs to tell the rows apart; a `row` column is one of them like any other.
 
-    One shuffle: rows are range-partitioned by keys, value and row, so a value on a third of all rows is spread over as many
-    tasks as it fills. What is added up over partitions has a row per partition and key, and one per run of equal values at a
-    partition's border or of more than `limits.held` rows.
+    One shuffle: a sample cuts the values of every key into groups of about `limits.held` rows, and rows travel in packed pieces to the
+    task that orders their group. A value that fills a group is one of its own, dealt to as many tasks as it fills; it is
+    counted, not ordered. What is added up over groups has a row per key and group.
     """
-    types = rows.schema.fields
-    placed = rows.repartitionByRange(*keys, value, row).sortWithinPartitions(*keys, value)
+    names = rows.columns
+    # rows may be costly to make: of many, one pass writes some of them, whose number tells how many there are
+    probe = cut_lineage(rows.select(*keys, value).sample(PROBED, seed=SAMPLE_SEED))
+    some = probe.count()
+    if some > LEAST_SAMPLED:
+        share = min(1.0, MOST_SAMPLED / some)
+        sample, share = probe.sample(share, seed=SAMPLE_SEED), share * PROBED
+    else:
+        share = _sample_share(int(some / PROBED))
+        sample = rows.sample(share, seed=SAMPLE_SEED)
+    cuts = find_cuts(sample, keys, value, share, limits)
+    others = [n for n in names if n not in keys]
+    schema = _piece_schema(rows, _fields(rows, keys))
+    arrow, of_rows = to_arrow_schema(schema), to_arrow_schema(T.StructType(_fields(rows, names)))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces(cuts, arrow)
+        for table in _chunks(batches, LONG_ROWS):
+            kept = table.select(others)
+            values = table.column(value).to_numpy()
+            for key, at in _by_key(table, keys):
+                pieces.add(key, values[at], kept.take(pa.array(at)))
+            yield from pieces.batch()
+
+    def with_keys(key: tuple, table: pa.Table) -> list[pa.Array]:
+        known = {k: pa.repeat(pa.scalar(x, of_rows.field(k).type), table.num_rows) for k, x in zip(keys, key)}
+        return [known[n] if n in known else table.column(n).combine_chunks() for n in names]
+
+    def sets(key: tuple, table: pa.Table) -> np.ndarray:
+        return flags(pa.RecordBatch.from_arrays(with_keys(key, table), schema=of_rows))
+
+    ranked = _rank_pieces(rows.mapInArrow(split, schema), keys, value, None if flags is None else sets, None, limits)
     longs = T.LongType() if flags is None else T.ArrayType(T.LongType())
-    added = [T.StructField("_part", T.IntegerType()), T.StructField("_twice", longs), T.StructField("_run", T.LongType()), T.StructField("_ahead", longs), T.StructField("_count", longs)]
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in types], *added])
-    arrow = to_arrow_schema(schema)
-    held = limits.held
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _Runs(keys, value, flags, held, arrow)(batches)
+    out = T.StructType([*_fields(rows, names), T.StructField("twice", longs), T.StructField("total", longs)])
+    out_arrow = to_arrow_schema(out)
 
-    read = cut_lineage(placed.mapInArrow(number, schema))
-    notes = cut_lineage(read.where(F.col("_count").isNotNull()).select("_part", *keys, value, "_run", "_ahead", "_count"))
-    if flags is None:
-        notes = notes.withColumn("_ahead", F.array("_ahead")).withColumn("_count", F.array("_count"))
-    # one row per partition, key and set; both windows see the partitions of one key
-    key = Window.partitionBy(*keys, "_set")
-    above = key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = notes.where(F.col("_run").isNull()).select("_part", *keys, F.posexplode("_count").alias("_set", "_n"))
-    sums = sizes.select("_part", *keys, F.struct("_set", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("b"), F.sum("_n").over(key).alias("t")).alias("_s"))
-    entries = sums.groupBy("_part", *keys).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
-    offsets = cut_lineage(entries.select("_part", *keys, F.col("_s.b").alias("_before"), F.col("_s.t").alias("total")))
-    runs = notes.where(F.col("_run").isNotNull()).select("_part", *keys, value, "_run", "_ahead", "_count")
-    located = runs.join(broadcast_if_small(offsets, limits.broadcast_rows), ["_part", *keys]).withColumn("_start", F.zip_with("_before", "_ahead", lambda b, a: b + a))
-    # a run that crosses borders is one: its rows before are those before its first part
-    whole = located.groupBy(*keys, value).agg(F.min_by("_start", "_part").alias("_first"), F.aggregate(F.collect_list("_count"), F.array().cast("array<bigint>"), _plus).alias("_rows"))
-    met = located.select("_part", *keys, value, "_run").join(whole, [*keys, value])
-    met = cut_lineage(met.select("_part", "_run", F.zip_with("_first", "_rows", lambda a, c: 2 * a + c + 1).alias("_whole")))
-    moved = F.zip_with("_twice", "_before", lambda t, b: t + 2 * b)
-    if flags is None:
-        offsets = offsets.withColumn("_before", F.col("_before")[0]).withColumn("total", F.col("total")[0])
-        met, moved = met.withColumn("_whole", F.col("_whole")[0]), F.col("_twice") + 2 * F.col("_before")
-    ranked = read.where(F.col("_count").isNull()).join(broadcast_if_small(offsets, limits.broadcast_rows), ["_part", *keys])
-    ranked = ranked.join(broadcast_if_small(met, limits.broadcast_rows), ["_part", "_run"], "left")
-    return ranked.select(*[f.name for f in types], F.when(F.col("_run").isNull(), moved).otherwise(F.col("_whole")).alias("twice"), "total")
-
-
-def _plus(left: Column, right: Column) -> Column:
-    """Sum by entry; an empty array counts as zeros."""
-    return F.when(F.size(left) == 0, right).when(F.size(right) == 0, left).otherwise(F.zip_with(left, right, lambda a, b: a + b))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.to_pylist():
+                table = pa.ipc.open_stream(piece["_rows"]).read_all()
+                n, base, total = table.num_rows, piece["_base"], piece["_total"]
+                twice = np.column_stack([table.column(f"t{s}").to_numpy() + b for s, b in enumerate(base)])
+                if flags is None:
+                    added = [pa.array(twice[:, 0]), pa.array(np.full(n, total[0]))]
+                else:
+                    places = pa.array(np.arange(n + 1, dtype=np.int32) * len(base))
+                    added = [pa.ListArray.from_arrays(places, pa.array(x)) for x in (twice.reshape(-1), np.tile(np.array(total, np.int64), n))]
+                yield pa.RecordBatch.from_arrays([*with_keys(tuple(piece[k] for k in keys), table), *added], schema=out_arrow)
+
+    return ranked.select(*keys, "_rows", "_base", "_total").mapInArrow(unpack, out)
 
 
 def mean_rank() -> Column:

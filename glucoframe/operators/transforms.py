@@ -88,7 +88,7 @@ def transform_long(long: DataFrame, t: Transform, limits: Limits = LIMITS) -> Da
 
 
 def _with_ranks(long: DataFrame, keys: list[str], limits: Limits) -> DataFrame:
-    return range_ranks(long.withColumn("_tie", F.monotonically_increasing_id()), keys, "value", "_tie", limits=limits)
+    return range_ranks(long, keys, "value", limits=limits)
 
 
 def blom(rank: Column, n: Column) -> Column:

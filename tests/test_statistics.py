@@ -411,3 +411,30 @@ def test_curves(spark):
     long = spark.createDataFrame(samples, "id string, minute int, value double")
     rows = {r.id: r for r in curve_summary_long(long, "id").collect()}
     assert rows["a"].auc == 360 and rows["a"].points == 2 and rows["b"].auc is None
+
+
+def tables_written(monkeypatch, module):
+    """Collects the tables a module writes to the shared folder."""
+    found, write = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: found.append(write(df)) or found[-1])
+    return found
+
+
+def test_rows_travel_in_pieces(spark, monkeypatch):
+    """Rows of many equal values are ranked without a written row for each, whatever the limits."""
+    df = spark.range(40_000).selectExpr("id", "concat('k', id % 2) index_id", "CAST(if(id % 3 = 0, 7, id % 1000) AS DOUBLE) value").repartition(5)
+    for limits in (ranking.LIMITS, ranking.Limits(held=2, broadcast_rows=0)):
+        found = tables_written(monkeypatch, ranking)
+        got = {r.id: r["rank"] for r in transforms.rank_long(df, limits=limits).collect()}
+        assert max(t.count() for t in found) < 4_000
+        table = df.toPandas()
+        expected = table.groupby("index_id").value.rank()
+        assert got == dict(zip(table.id, expected))
+
+
+def test_a_value_that_fills_groups_is_dealt(spark):
+    df = spark.range(9_000).selectExpr("id", "'k' key", "CAST(if(id % 3 = 0, 7, id) AS DOUBLE) value")
+    cuts = ranking.find_cuts(df, ["key"], "value", 1.0, ranking.Limits(held=2))
+    values, spread = cuts["k",]
+    assert spread[values == 7.0][0] > 10 and (spread[values != 7.0] == 0).all() and 40 < len(values) < 64
+    assert ranking.find_cuts(df, ["key"], "value", 1.0, ranking.LIMITS) == {}
