@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, Limits, mean_rank, range_ranks
+from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, Limits, column_ranks, mean_rank, range_ranks, unpacked
 from glucoframe.operators.transforms import Transform, transform_results
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 MIN_PAIRS = 3
 MASK_BITS = 62  # columns whose presence fits into one number
 MOST_MASKS = 50_000  # different patterns of missing columns that the driver compares
-BLOCK_BITS = 12  # products are taken over blocks of 4,096 rows
 SUMS_SCHEMA = (
     "i int, j int, n bigint, si double, sj double, sii double, sjj double, sij double, "
     "lo_i double, hi_i double, lo_j double, hi_j double"
@@ -177,7 +176,7 @@ def spearman_matrix(wide: DataFrame, columns: list[str], limits: Limits = LIMITS
 
     Rows are told apart by a number of their own, so participant ids may repeat or be missing. Each column is ordered once:
     every value goes out with the pattern of its row and comes back with its rank among the rows of each set that a pair of
-    the column needs (see rank_sets). Blocks of rows then multiply, per set, the ranks of all columns that need it; what is shuffled
+    the column needs (see rank_sets), packed. Blocks of rows then multiply, per set, the ranks of all columns that need it; what is shuffled
     after that is k x k sums per block.
     """
     k = len(columns)
@@ -187,40 +186,40 @@ def spearman_matrix(wide: DataFrame, columns: list[str], limits: Limits = LIMITS
     partner = {(i, int(g)): int(np.flatnonzero(sets[i] == g)[0]) for i in range(k) for g in needed[i]}
     names = [f"_mask{m}" for m in range(-(-k // MASK_BITS))]
 
-    def flags(batch: pa.RecordBatch) -> np.ndarray:
-        column = batch.column("_column")[0].as_py()
-        masks = [batch.column(name).to_numpy() for name in names]
-        return np.column_stack([_present(masks, partner[column, g]) for g in needed[column]]).astype(np.int64)
+    def flags(key: tuple, rows: pa.Table) -> np.ndarray:
+        masks = [rows.column(name).to_numpy() for name in names]
+        return np.stack([_present(masks, partner[key[0], g]) for g in needed[key[0]]]).T
 
-    cells = F.array(*[F.struct(F.lit(i).alias("_column"), F.when(is_finite(c), F.col(c) + 0.0).alias("value")) for i, c in enumerate(columns)])
-    long = wide.select("_row", *names, F.inline(cells)).where("value IS NOT NULL")
-    ranked = range_ranks(long, ["_column"], "value", "_row", flags, limits)
+    ranked = column_ranks(wide, columns, [], "_row", names, flags, finite=True, limits=limits)
     users = {int(g): [i for i in range(k) if g in needed[i]] for g in np.unique(sets)}
     pairs = {g: [(a, b) for a, i in enumerate(members) for b, j in enumerate(members) if i <= j and sets[i, j] == g] for g, members in users.items()}
 
-    def products(table: pa.Table) -> pa.Table:
+    def products(pieces: pa.Table) -> pa.Table:
         """Per pair the sums of products of the two columns' ranks, taken around their mean over the set's rows."""
-        table = table.combine_chunks()
-        column, row = table.column("_column").to_numpy(), table.column("_row").to_numpy()
-        ranks = table.column("twice").chunk(0)
-        begin, flat = ranks.offsets.to_numpy()[:-1], ranks.values.to_numpy()
-        lines, line = np.unique(row, return_inverse=True)
-        place = np.full((k, len(lines)), -1)
-        place[column, line] = begin
+        found = [(c.as_py(), unpacked(p), b.as_py()) for c, p, b in zip(*(pieces.column(n) for n in ("_column", "_rows", "_base")))]
+        wide_as = max(t.column("_row")[-1].as_py() for _, t, _ in found) + 1  # places run up in a piece
+        present = np.zeros((k, wide_as), bool)
+        parts: list[list[tuple]] = [[] for _ in range(k)]
+        for column, table, base in found:
+            at = table.column("_row").to_numpy()
+            present[column, at] = True
+            parts[column].append((at, table, base))
         out: list[tuple] = []
         for g, members in users.items():
             if not pairs[g]:
                 continue
             a, b = (members[x] for x in pairs[g][0])
-            inside = np.flatnonzero((place[a] >= 0) & (place[b] >= 0))
-            x = np.stack([flat[place[i, inside] + needed[i].index(g)] for i in members]).astype(float)
-            x = x / 2 - (counts[a, b] + 1) / 2
+            x = np.zeros((len(members), wide_as))
+            for line, i in zip(x, members):
+                s = needed[i].index(g)
+                for at, table, base in parts[i]:
+                    line[at] = table.column(f"t{s}").to_numpy() + base[s]
+            x = x[:, present[a] & present[b]] / 2 - (counts[a, b] + 1) / 2
             sums = x @ x.T
             out += [(members[a], members[b], sums[a, b], sums[a, a], sums[b, b]) for a, b in pairs[g]]
         return pa.table([pa.array(values, kind) for values, kind in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.float64()] * 3))], names=["i", "j", "sxy", "sxx", "syy"])
 
-    block = F.shiftright("_row", BLOCK_BITS).alias("_block")
-    blocks = ranked.select(block, "_row", "_column", "twice").groupBy("_block")
+    blocks = ranked.select("_block", "_column", "_rows", "_base").groupBy("_block")
     crossed = blocks.applyInArrow(products, "i int, j int, sxy double, sxx double, syy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("sxy", "sxx", "syy")])
     sizes = wide.sparkSession.createDataFrame([(i, j, int(counts[i, j])) for i in range(k) for j in range(i, k)], "i int, j int, n bigint")
     rho = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(_clamped(F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))))
@@ -264,7 +263,7 @@ def spearman(wide: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho), ranks taken over the complete pairs. Pairs are told apart by a number of their own, never by an id."""
     both = cut_lineage(complete_pairs(wide, x, y).withColumn("_row", F.monotonically_increasing_id()))
     sides = F.inline(F.array(*[F.struct(F.lit(s).alias("_side"), F.col(s).alias("value")) for s in ("x", "y")]))
-    ranked = range_ranks(both.select("_row", sides), ["_side"], "value", "_row").withColumn("rank", mean_rank())
+    ranked = range_ranks(both.select("_row", sides), ["_side"], "value").withColumn("rank", mean_rank())
     pairs = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_side") == s, F.col("rank"))).alias(s) for s in ("x", "y")])
     return pearson(pairs, "x", "y").select("n", F.col("r").alias("rho"))
 

@@ -438,3 +438,13 @@ def test_a_value_that_fills_groups_is_dealt(spark):
     values, spread = cuts["k",]
     assert spread[values == 7.0][0] > 10 and (spread[values != 7.0] == 0).all() and 40 < len(values) < 64
     assert ranking.find_cuts(df, ["key"], "value", 1.0, ranking.LIMITS) == {}
+
+
+def test_matrix_ranks_travel_in_pieces(spark, monkeypatch):
+    """The ranks of 24,000 values in their sets come back in a few packed cells."""
+    df = spark.range(6_000).selectExpr(*[f"if(id % 5 = {k}, NULL, CAST(id * {k + 3} % 4001 AS DOUBLE)) c{k}" for k in range(5)]).repartition(4)
+    found = tables_written(monkeypatch, ranking)
+    matrix = {(r.row, r.col): r.value for r in correlation.spearman_matrix(df, df.columns, ranking.Limits(held=500, broadcast_rows=0)).collect()}
+    assert found and max(t.count() for t in found) < 2_400
+    both = df.toPandas()[["c1", "c4"]].dropna()
+    assert matrix["c1", "c4"] == pytest.approx(both.c1.rank().corr(both.c4.rank()), abs=1e-12)
