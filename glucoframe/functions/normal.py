@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +37,19 @@ CENTRE_LIMIT, CENTRE_SHIFT = 0.425, 0.180625
 MIDDLE_LIMIT, MIDDLE_SHIFT = 5.0, 1.6
 
 
-def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+def _poly(coefficients: tuple[float, ...], x: Column | np.ndarray) -> Column | np.ndarray:
     high_first = list(reversed(coefficients))
-    return reduce(lambda acc, c: acc * x + F.lit(c), high_first[1:], F.lit(high_first[0]))
+    return reduce(lambda acc, c: acc * x + c, high_first[2:], high_first[0] * x + high_first[1])
+
+
+def qnorm_array(p: np.ndarray) -> np.ndarray:
+    """The same for an array of numbers between 0 and 1."""
+    q = p - 0.5
+    r = CENTRE_SHIFT - q * q
+    tail = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    m, t = tail - MIDDLE_SHIFT, tail - MIDDLE_LIMIT
+    size = np.where(tail <= MIDDLE_LIMIT, _poly(MIDDLE_NUM, m) / _poly(MIDDLE_DEN, m), _poly(TAIL_NUM, t) / _poly(TAIL_DEN, t))
+    return np.where(np.abs(q) <= CENTRE_LIMIT, q * _poly(CENTRE_NUM, r) / _poly(CENTRE_DEN, r), np.where(q < 0, -size, size))
 
 
 def qnorm(p: Column) -> Column:

@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glucoframe.functions.normal import qnorm
+from glucoframe.functions.normal import qnorm, qnorm_array
 from glucoframe.operators.calculate import to_long
 from glucoframe.operators.catalog import INDEX_IDS
-from glucoframe.operators.ranking import LIMITS, Limits, mean_rank, range_ranks
+from glucoframe.operators.ranking import LIMITS, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, unpacked
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 KINDS = ("none", "log", "z", "rint")
 BLOM_OFFSET = 0.375
 MAX_GROUPS_BROADCAST = 100_000
-BLOCK_BITS = 11  # 2,048 rows are filled at once
 
 
 @dataclass(frozen=True)
@@ -131,7 +130,7 @@ def transform_results(
     if t.kind == "log" or (t.kind == "z"):
         added = _narrow(results, t, columns)
     else:
-        added = _ranked(results, t, columns)
+        added = _ranked(results, t, columns, results.columns)
     names = []
     for c in ([key, *columns] if keep_only else results.columns):
         if not (keep_only and c in columns):
@@ -166,40 +165,38 @@ def _narrow(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
     return joined.select(*results.columns, *scaled)
 
 
-def _ranked(results: DataFrame, t: Transform, columns: list[str]) -> DataFrame:
-    """One shuffle of single values out to their order, one back to their rows.
+def _ranked(results: DataFrame, t: Transform, columns: list[str], keep: list[str]) -> DataFrame:
+    """One shuffle of packed values out to their order, one back to their rows.
 
-    Rows are numbered and written first. A value goes out as (column number, group, value, row); its transform comes back to
-    the block of BLOCK neighbouring row numbers it belongs to, where a task fills the block's columns.
+    Rows are numbered and written first. A value goes out with its row's number; its rank comes back to
+    the block of neighbouring row numbers it belongs to, where a task fills the block's columns. `keep` are the columns that
+    stay beside them.
     """
-    numbered = cut_lineage(results.withColumn("_row", F.monotonically_increasing_id()))
     group = [] if t.within is None else [t.within]
-    cells = ", ".join(f"named_struct('_column', {k}, 'value', `{c}` + 0D)" for k, c in enumerate(columns))
-    long = numbered.selectExpr("_row", *[f"`{g}`" for g in group], f"inline(array({cells}))").where("value IS NOT NULL AND NOT isnan(value)")
-    for g in group:
-        long = long.where(F.col(g).isNotNull() & (F.col(g) != ""))
-    ranked = range_ranks(long, ["_column", *group], "value", "_row")
-    back = ranked.select(_block(), "_row", "_column", blom(mean_rank(), F.col("total")).alias("value"))
-    kept = numbered.select(_block(), "_row", F.struct(*[F.col(f"`{c}`") for c in results.columns]).alias("kept"))
+    names = [c for c in results.columns if c in {*keep, *columns, *group}]
+    numbered = cut_lineage(results.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("_row")))
+    back = column_ranks(numbered, columns, group, "_row").select("_block", "_column", "_rows", "_base", "_total")
+    kept = numbered.select(F.shiftright("_row", ROW_BITS).alias("_block"), "_row", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
     shape = T.StructType([kept.schema["kept"], *[T.StructField(f"c{k}", T.DoubleType()) for k in range(len(columns))]])
 
-    def fill(rows: pa.Table, values: pa.Table) -> pa.Table:
-        numbers = rows.column("_row").to_numpy()
+    def fill(rows: pa.Table, pieces: pa.Table) -> pa.Table:
+        numbers = rows.column("_row").to_numpy() & ((1 << ROW_BITS) - 1)
         order = np.argsort(numbers)
-        at = order[np.searchsorted(numbers, values.column("_row").to_numpy(), sorter=order)]
         made = np.full((len(columns), len(numbers)), np.nan)
-        made[values.column("_column").to_numpy(), at] = values.column("value").to_numpy()
-        filled = [pa.array(line, mask=np.isnan(line)) for line in made]
+        for column, piece, base, total in zip(*(pieces.column(n) for n in ("_column", "_rows", "_base", "_total"))):
+            found = unpacked(piece)
+            at = order[np.searchsorted(numbers, found.column("_row").to_numpy(), sorter=order)]
+            rank = (found.column("t0").to_numpy() + base[0].as_py()) / 2.0
+            made[column.as_py(), at] = (rank - BLOM_OFFSET) / (total[0].as_py() + 1 - 2 * BLOM_OFFSET)
+        present = ~np.isnan(made)
+        made[present] = qnorm_array(made[present])
+        filled = [pa.array(line, mask=~there) for line, there in zip(made, present)]
         return pa.table([rows.column("kept"), *filled], names=["kept", *[f"c{k}" for k in range(len(columns))]])
 
     joined = kept.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(fill, shape)
     return joined.select("kept.*", *[F.col(f"c{k}").alias(c + t.suffix) for k, c in enumerate(columns)])
 
 
-def _block() -> Column:
-    return F.shiftright("_row", BLOCK_BITS).alias("_block")
-
-
 def attach_sex(results: DataFrame, source: DataFrame, key: str = "participant_id") -> DataFrame:
     """Sex from the original table by id. Duplicate ids on either side and ids not found are errors.
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glucoframe.functions.normal import qnorm
+from glucoframe.functions.normal import qnorm, qnorm_array
 from glucoframe.operators import correlation, density, descriptives, ranking, transforms, unit_check
 from glucoframe.operators.curve import curve_summary, curve_summary_long, series_map
 from glucoframe.operators.transforms import Transform
@@ -448,3 +448,23 @@ def test_matrix_ranks_travel_in_pieces(spark, monkeypatch):
     assert found and max(t.count() for t in found) < 2_400
     both = df.toPandas()[["c1", "c4"]].dropna()
     assert matrix["c1", "c4"] == pytest.approx(both.c1.rank().corr(both.c4.rank()), abs=1e-12)
+
+
+def test_transformed_ranks_travel_in_pieces(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("id participant_id", "if(id % 10 = 0, '', concat('s', id % 2)) sex", "CAST(id * 7 % 20011 AS DOUBLE) homa_ir", "if(id % 4 = 0, NULL, CAST(id % 50 AS DOUBLE)) lap").repartition(5)
+    found = tables_written(monkeypatch, ranking)
+    got = transforms.transform_results(df, Transform("rint", "sex")).toPandas().sort_values("participant_id")
+    assert found and max(t.count() for t in found) < 2_000
+    shown = got[got.sex != ""]
+    assert got[got.sex == ""].lap_rint_bysex.isna().all() and shown.lap_rint_bysex.isna().equals(shown.lap.isna())
+    for c in ("homa_ir", "lap"):
+        place = shown.groupby("sex")[c].rank()
+        total = shown.groupby("sex")[c].transform("count")
+        expected = [np.nan if math.isnan(p) else NormalDist().inv_cdf(p) for p in (place - 0.375) / (total + 0.25)]
+        np.testing.assert_allclose(shown[c + "_rint_bysex"], expected, atol=1e-9)
+
+
+def test_normal_quantile_of_arrays(spark):
+    p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 997), [0.5, 1e-15, 0.075, 0.925, 1e-300]])
+    rows = spark.createDataFrame([(float(x),) for x in p], "p double").select("p", qnorm(F.col("p")).alias("z")).collect()
+    np.testing.assert_allclose(qnorm_array(np.array([r.p for r in rows])), [r.z for r in rows], rtol=1e-14, atol=0)
