@@ -130,7 +130,7 @@ def transform_results(
     if t.kind == "log" or (t.kind == "z"):
         added = _narrow(results, t, columns)
     else:
-        added = _ranked(results, t, columns, results.columns)
+        added = _ranked(results, t, columns, [key] if keep_only else results.columns)
     names = []
     for c in ([key, *columns] if keep_only else results.columns):
         if not (keep_only and c in columns):

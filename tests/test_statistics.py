@@ -468,3 +468,12 @@ def test_normal_quantile_of_arrays(spark):
     p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 997), [0.5, 1e-15, 0.075, 0.925, 1e-300]])
     rows = spark.createDataFrame([(float(x),) for x in p], "p double").select("p", qnorm(F.col("p")).alias("z")).collect()
     np.testing.assert_allclose(qnorm_array(np.array([r.p for r in rows])), [r.z for r in rows], rtol=1e-14, atol=0)
+
+
+def test_dropped_columns_are_not_moved(spark, monkeypatch):
+    """With keep_only the untransformed columns stay where they are."""
+    df = spark.createDataFrame([(f"p{k}", "m", float(k), float(-k)) for k in range(20)], "participant_id string, sex string, homa_ir double, lap double")
+    found = tables_written(monkeypatch, transforms)
+    got = transforms.transform_results(df, Transform("rint", "sex"), columns=["lap"], keep_only=True)
+    assert set(found[0].columns) == {"participant_id", "sex", "lap", "_row"}
+    assert got.columns == ["participant_id", "lap_rint_bysex"] and got.count() == 20
