@@ -360,6 +360,8 @@ def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str | None =
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces(cuts, arrow)
         for table in _chunks(batches, LONG_ROWS):
+            if any(table.column(n).null_count for n in [*keys, value]):
+                raise ValueError(f"no rank without {', '.join(keys)} and {value}")
             kept = table.select(others)
             values = table.column(value).to_numpy()
             for key, at in _by_key(table, keys):

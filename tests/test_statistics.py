@@ -477,3 +477,9 @@ def test_dropped_columns_are_not_moved(spark, monkeypatch):
     got = transforms.transform_results(df, Transform("rint", "sex"), columns=["lap"], keep_only=True)
     assert set(found[0].columns) == {"participant_id", "sex", "lap", "_row"}
     assert got.columns == ["participant_id", "lap_rint_bysex"] and got.count() == 20
+
+
+def test_missing_values_have_no_rank(spark):
+    df = spark.range(12).selectExpr("id", "'v' index_id", "if(id % 5 = 0, NULL, CAST(id AS DOUBLE)) value")
+    with pytest.raises(Exception, match="no rank without index_id and value"):
+        transforms.rank_long(df).collect()
