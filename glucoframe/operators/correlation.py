@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, Limits, column_ranks, mean_rank, range_ranks, unpacked
+from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, read_ranks, set_ranks
 from glucoframe.operators.transforms import Transform, transform_results
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 MIN_PAIRS = 3
 MASK_BITS = 62  # columns whose presence fits into one number
 MOST_MASKS = 50_000  # different patterns of missing columns that the driver compares
+MOST_RANKS = 1 << 26  # ranks that a block of rows may have in all sets
 SUMS_SCHEMA = (
     "i int, j int, n bigint, si double, sj double, sii double, sjj double, sij double, "
     "lo_i double, hi_i double, lo_j double, hi_j double"
@@ -175,35 +176,39 @@ def spearman_matrix(wide: DataFrame, columns: list[str], limits: Limits = LIMITS
     """Long matrix (row, col, value, n): Pearson on average ranks over the complete pairs.
 
     Rows are told apart by a number of their own, so participant ids may repeat or be missing. Each column is ordered once:
-    every value goes out with the pattern of its row and comes back with its rank among the rows of each set that a pair of
-    the column needs (see rank_sets), packed. Blocks of rows then multiply, per set, the ranks of all columns that need it; what is shuffled
-    after that is k x k sums per block.
+    every value goes out with the sets its row is in, of those that a pair of the column needs (see rank_sets), and comes back with
+    its rank in each of these sets, packed. Blocks of rows then multiply, per set, the ranks of all columns that need it; what is
+    shuffled after that is k x k sums per block.
     """
     k = len(columns)
     wide = cut_lineage(wide.select(F.monotonically_increasing_id().alias("_row"), *columns, *_masks(columns)))
     counts, sets = rank_sets(wide, columns, most_masks)
-    needed = [sorted(set(sets[i])) for i in range(k)]  # the sets of a column, in the order of its ranks
-    partner = {(i, int(g)): int(np.flatnonzero(sets[i] == g)[0]) for i in range(k) for g in needed[i]}
+    needed = [[sets[i, i], *sorted(set(sets[i]) - {sets[i, i]})] for i in range(k)]  # the sets of a column, in the order of its ranks
+    partners = [[int(np.flatnonzero(sets[i] == g)[0]) for g in needed[i][1:]] for i in range(k)]
+    bits = min(ROW_BITS, max(MOST_RANKS // sum(map(len, needed)), 1024).bit_length() - 1)
     names = [f"_mask{m}" for m in range(-(-k // MASK_BITS))]
 
     def flags(key: tuple, rows: pa.Table) -> np.ndarray:
         masks = [rows.column(name).to_numpy() for name in names]
-        return np.stack([_present(masks, partner[key[0], g]) for g in needed[key[0]]]).T
+        return np.array([_present(masks, j) for j in partners[key[0]]], bool).reshape(-1, rows.num_rows).T
 
-    ranked = column_ranks(wide, columns, [], "_row", names, flags, finite=True, limits=limits)
+    ranked = column_ranks(wide, columns, [], "_row", names, flags, finite=True, limits=limits, bits=bits)
     users = {int(g): [i for i in range(k) if g in needed[i]] for g in np.unique(sets)}
     pairs = {g: [(a, b) for a, i in enumerate(members) for b, j in enumerate(members) if i <= j and sets[i, j] == g] for g, members in users.items()}
 
     def products(pieces: pa.Table) -> pa.Table:
         """Per pair the sums of products of the two columns' ranks, taken around their mean over the set's rows."""
-        found = [(c.as_py(), unpacked(p), b.as_py()) for c, p, b in zip(*(pieces.column(n) for n in ("_column", "_rows", "_base")))]
-        wide_as = max(t.column("_row")[-1].as_py() for _, t, _ in found) + 1  # places run up in a piece
+        read = [read_ranks(cell) for cell in pieces.column("_rows")]
+        wide_as = max(int(at.max()) for at, _, _ in read) + 1
         present = np.zeros((k, wide_as), bool)
-        parts: list[list[tuple]] = [[] for _ in range(k)]
-        for column, table, base in found:
-            at = table.column("_row").to_numpy()
+        numbers = pieces.column("_column").to_pylist()
+        for column, (at, _, _) in zip(numbers, read):
             present[column, at] = True
-            parts[column].append((at, table, base))
+        parts: list[list[tuple]] = [[] for _ in range(k)]
+        for column, (at, own, rest), base, count in zip(numbers, read, pieces.column("_base").to_pylist(), pieces.column("_count").to_pylist()):
+            member = present[partners[column]][:, at]
+            parts[column].append((at, own, member, [t.astype(np.int32) for t in set_ranks(own, rest, member, np.array(count))], base))
+        del read
         out: list[tuple] = []
         for g, members in users.items():
             if not pairs[g]:
@@ -212,14 +217,14 @@ def spearman_matrix(wide: DataFrame, columns: list[str], limits: Limits = LIMITS
             x = np.zeros((len(members), wide_as))
             for line, i in zip(x, members):
                 s = needed[i].index(g)
-                for at, table, base in parts[i]:
-                    line[at] = table.column(f"t{s}").to_numpy() + base[s]
+                for at, own, member, ranks, base in parts[i]:
+                    line[at if s == 0 else at[member[s - 1]]] = (own if s == 0 else ranks[s - 1]) + float(base[s])
             x = x[:, present[a] & present[b]] / 2 - (counts[a, b] + 1) / 2
             sums = x @ x.T
             out += [(members[a], members[b], sums[a, b], sums[a, a], sums[b, b]) for a, b in pairs[g]]
         return pa.table([pa.array(values, kind) for values, kind in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.float64()] * 3))], names=["i", "j", "sxy", "sxx", "syy"])
 
-    blocks = ranked.select("_block", "_column", "_rows", "_base").groupBy("_block")
+    blocks = ranked.select("_block", "_column", "_rows", "_base", "_count").groupBy("_block")
     crossed = blocks.applyInArrow(products, "i int, j int, sxy double, sxx double, syy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("sxy", "sxx", "syy")])
     sizes = wide.sparkSession.createDataFrame([(i, j, int(counts[i, j])) for i in range(k) for j in range(i, k)], "i int, j int, n bigint")
     rho = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(_clamped(F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))))

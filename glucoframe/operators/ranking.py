@@ -1,13 +1,14 @@
 """Distributed ordering: average ranks, row numbers and exact quantiles with no one-task window.
 
 A window ordered by value would put a whole index into one task. For ranks a sample cuts the values of every key into groups;
-rows travel in packed pieces to the task that orders their group and are written with their rank in it to the shared folder; a small
-table of the groups' sizes turns these into ranks.
+rows travel in packed pieces to the task that orders their group and get their rank in it; a small table of the groups' sizes turns
+these into ranks. Ranks of the columns of a wide table travel as differences of few bits, because of them there are many.
 For quantiles equal values are counted first and the distinct ones ordered the same way.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,9 +26,10 @@ from glucoframe.session import broadcast_if_small, cut_lineage
 
 LOCAL_POSITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
 MAX_OFFSETS_BROADCAST = 1_000_000
-ROW_BITS = 14  # ranks come back in pieces of blocks of 16,384 row numbers
+ROW_BITS = 16  # ranks of columns come back to blocks of at most 65,536 row numbers
+SHARE_BITS = 20  # of the share of a group's rows that a set holds
 PIECE_ROWS = 1 << 13
-WIDE_ROWS, LONG_ROWS = 1 << 16, 1 << 20  # rows that are split into pieces together
+LONG_ROWS = 1 << 20  # rows that are split into pieces together
 LEAST_SAMPLED, MOST_SAMPLED, SAMPLE_SEED = 10_000, 1_000_000, 11
 PROBED = 1 / 64
 LEAST_GROUPS = 64  # however small `held` is, a key is not cut into smaller shares
@@ -223,43 +225,28 @@ def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType) for n in names]
 
 
-def _rank_pieces(pieces: DataFrame, keys: list[str], value: str, flags: Callable[[tuple, pa.Table], np.ndarray] | None, row: str | None, limits: Limits) -> DataFrame:
-    """The rows in pieces of their own with their ranks: keys, _block, _rows, _base, _total.
+def _rank_pieces(pieces: DataFrame, keys: list[str], value: str, flags: Callable[[tuple, pa.Table], np.ndarray] | None, limits: Limits) -> DataFrame:
+    """The rows in pieces of their own with their ranks: keys, _rows, _base, _total.
 
     A task orders the rows of one group and counts, per set, twice their rank there (columns t0, t1, ...); _base is what the smaller
     groups add to it and _total the rows of the key, per set. Rows of a value that is a group of its own need no order: their rank
-    is in _base. With `row` a piece holds the rows of one block of 2^ROW_BITS row numbers: their places in it, without their values.
+    is in _base.
     """
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([*_fields(pieces, [*keys, "_group"]), T.StructField("_block", T.LongType()), T.StructField("_rows", T.BinaryType()), T.StructField("_count", longs)])
+    schema = T.StructType([*_fields(pieces, [*keys, "_group"]), T.StructField("_rows", T.BinaryType()), T.StructField("_count", longs)])
     arrow = to_arrow_schema(schema)
 
     def order(known: tuple, found: pa.Table) -> pa.Table:
         *key, group, _ = (k.as_py() for k in known)
         rows = pa.concat_tables([unpacked(p) for p in found.column("_rows")]).combine_chunks()
         n = rows.num_rows
-        run = np.zeros(n, np.int64)  # of every row the number of its run of equal values
-        if group % 2:
-            at, ends = np.arange(n), np.array([0, n])  # one run, whose rank is in _base
-        else:
-            values = rows.column(value).to_numpy()
-            at = np.argsort(values, kind="stable")
-            values = values[at]
-            starts = np.append(True, values[1:] != values[:-1])
-            run[at] = np.cumsum(starts) - 1
-            ends = np.append(np.flatnonzero(starts), n)
+        at, ends = np.arange(n), np.array([0, n])  # one run of equal values, whose rank is in _base
+        run = np.zeros(n, np.int64)  # of every row the number of its run
+        if group % 2 == 0:
+            at, ends, run = _runs(rows.column(value).to_numpy())
         member = None if flags is None else flags(tuple(key), rows.take(pa.array(at)))
         counts = [n] if member is None else member.sum(0).tolist()
-        if row is None:
-            borders, blocks = [*range(0, n, PIECE_ROWS), n], None
-        else:
-            numbers = rows.column(row).to_numpy()
-            by_row = np.argsort(numbers)
-            numbers, run = numbers[by_row], run[by_row]
-            blocks = numbers >> ROW_BITS
-            borders = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), n]
-            blocks = blocks[borders[:-1]].tolist()
-            rows = pa.table({row: (numbers & ((1 << ROW_BITS) - 1)).astype(np.uint16)})
+        borders = [*range(0, n, PIECE_ROWS), n]
         for s in range(len(counts)):
             upto = np.arange(n + 1) if member is None else np.append(0, np.cumsum(member[:, s]))
             twice = upto[ends[:-1]] + upto[ends[1:]] + 1 if group % 2 == 0 else np.zeros(1, np.int64)
@@ -267,7 +254,7 @@ def _rank_pieces(pieces: DataFrame, keys: list[str], value: str, flags: Callable
         made = [_packed(rows.slice(a, b - a)) for a, b in zip(borders[:-1], borders[1:])]
         size = len(made) + 1  # the last row holds the counts
         columns = [pa.array([k] * size, f.type) for k, f in zip([*key, group], arrow)]
-        return pa.Table.from_arrays([*columns, pa.array([*(blocks or [0] * len(made)), None], pa.int64()), pa.array([*made, None], pa.binary()), pa.array([None] * len(made) + [counts], arrow.field("_count").type)], schema=arrow)
+        return pa.Table.from_arrays([*columns, pa.array([*made, None], pa.binary()), pa.array([None] * len(made) + [counts], arrow.field("_count").type)], schema=arrow)
 
     read = cut_lineage(pieces.groupBy(*keys, "_group", "_dealt").applyInArrow(order, schema))
     # one row per key, group and set; both windows see the groups of one key
@@ -281,7 +268,17 @@ def _rank_pieces(pieces: DataFrame, keys: list[str], value: str, flags: Callable
     entries = sums.groupBy(*keys, "_group").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     offsets = cut_lineage(entries.select(*keys, "_group", F.col("_s.b").alias("_base"), F.col("_s.t").alias("_total")))
     ranked = read.where(F.col("_rows").isNotNull()).join(broadcast_if_small(offsets, limits.broadcast_rows), [*keys, "_group"])
-    return ranked.select(*keys, "_block", "_rows", "_base", "_total")
+    return ranked.select(*keys, "_rows", "_base", "_total")
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of values, where the runs of equal ones begin (and the last ends), and of every value the number of its run."""
+    at = np.argsort(values, kind="stable")
+    ordered = values[at]
+    starts = np.append(True, ordered[1:] != ordered[:-1])
+    run = np.empty(len(at), np.int64)
+    run[at] = np.cumsum(starts) - 1
+    return at, np.append(np.flatnonzero(starts), len(at)), run
 
 
 def _piece_schema(df: DataFrame, keys: list[T.StructField]) -> T.StructType:
@@ -289,15 +286,123 @@ def _piece_schema(df: DataFrame, keys: list[T.StructField]) -> T.StructType:
     return T.StructType([*keys, *numbers, T.StructField("_rows", T.BinaryType())])
 
 
+@functools.cache
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers in few bytes: the lowest bytes of all numbers of an array, then the next ones, each compressed
+    where that helps. Highest bytes that are all zero are left out."""
+    head, body = [len(arrays)], []
+    for numbers in arrays:
+        size = len(numbers)
+        used = (int(numbers.max()).bit_length() + 7) // 8 if size else 0
+        head += [size, used]
+        for plane in np.ascontiguousarray(numbers).view(np.uint8).reshape(size, numbers.itemsize).T[:used]:
+            plain = plane.tobytes()
+            small = _zstd().compress(plain, asbytes=True)
+            body.append(small if len(small) < size else plain)
+            head.append(len(body[-1]))
+    return b"".join([np.array([len(head), *head], np.uint32).tobytes(), *body])
+
+
+def expanded(cell: pa.Scalar) -> list[np.ndarray]:
+    """What `squeezed` was given, as numbers of 64 bits."""
+    found = cell.as_buffer()
+    at = 4 * (int(np.frombuffer(found, np.uint32, 1)[0]) + 1)
+    count, *head = np.frombuffer(found, np.uint32, at // 4)[1:].tolist()
+    left, out = iter(head), []
+    for _ in range(count):
+        size, used = next(left), next(left)
+        numbers = np.zeros(size, np.uint64)
+        planes = numbers.view(np.uint8).reshape(size, 8)
+        for plane in range(used):
+            held = next(left)
+            part = found.slice(at, held)
+            planes[:, plane] = np.frombuffer(part if held == size else _zstd().decompress(part, size), np.uint8)
+            at += held
+        out.append(numbers)
+    return out
+
+
+def _steps(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; at `starts` the numbers themselves."""
+    steps = np.diff(numbers, prepend=numbers[:1])
+    steps[starts] = numbers[starts]
+    return steps
+
+
+def _folded(steps: np.ndarray) -> np.ndarray:
+    """Signed numbers as unsigned ones, small where these are near zero."""
+    return ((steps << 1) ^ (steps >> 63)).view(np.uint64)
+
+
+def _unfolded(numbers: np.ndarray) -> np.ndarray:
+    return (numbers >> np.uint64(1)).view(np.int64) ^ -(numbers & np.uint64(1)).view(np.int64)
+
+
+def _ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits in the order of the values."""
+    bits = values.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], row: str, bits: int) -> Iterator[tuple[int, pa.Table]]:
+    """Neighbouring rows whose numbers agree above the lowest `bits` bits."""
+    waiting: list[pa.RecordBatch] = []
+    block = None
+    for batch in batches:
+        blocks = batch.column(row).to_numpy() >> bits
+        borders = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for start, stop in zip(borders[:-1], borders[1:]):
+            if stop == start:
+                continue
+            if waiting and blocks[start] != block:
+                yield block, pa.Table.from_batches(waiting).combine_chunks()
+                waiting = []
+            block = int(blocks[start])
+            waiting.append(batch.slice(start, stop - start))
+    if waiting:
+        yield block, pa.Table.from_batches(waiting).combine_chunks()
+
+
+def read_ranks(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a piece of column_ranks: the places of its rows in their block, twice their rank in their group, and what set_ranks needs."""
+    places, own, rest = expanded(cell)
+    return np.cumsum(places).astype(np.uint16), np.cumsum(own).view(np.int64), _unfolded(rest)
+
+
+def _expected(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per set and row what twice the rank would be if the set's rows lay evenly in the group. counts: of the group, of its sets."""
+    return (own * ((counts[1:, None] << SHARE_BITS) // max(int(counts[0]), 1))) >> SHARE_BITS
+
+
+def set_ranks(own: np.ndarray, rest: np.ndarray, member: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Per set, twice the rank of its rows in the group. member: sets x rows of the piece, True where the set holds the row."""
+    expected, out, start = _expected(own, counts), [], 0
+    for line, held in zip(expected, member):
+        line = line[held]
+        out.append(np.cumsum(rest[start : start + len(line)]) + line)
+        start += len(line)
+    return out
+
+
 def column_ranks(
     numbered: DataFrame, columns: list[str], group: list[str], row: str, also: list[str] | None = None,
-    flags: Callable[[tuple, pa.Table], np.ndarray] | None = None, finite: bool = False, limits: Limits = LIMITS,
+    flags: Callable[[tuple, pa.Table], np.ndarray] | None = None, finite: bool = False, limits: Limits = LIMITS, bits: int = ROW_BITS,
 ) -> DataFrame:
     """Ranks of every column of a written table (within `group`, where its label is neither NULL nor empty) in pieces of blocks of
-    rows: _column (the number), the group, _block, _rows, _base, _total (see _rank_pieces).
+    2^bits row numbers: _column (the number), the group, _block, _rows (see read_ranks, set_ranks), _base, _total, _count.
+
+    NULL and NaN have no rank, infinite values only without `finite`. The first set of a column is all its rows. `flags` gets
+    (column, *group) and the rows (`row`, values and the columns `also`) and gives the others, as a table of 0 and 1 (rows x sets).
+    Per set, _base is twice the rows of smaller groups, _total the rows of the key and _count those of the group.
 
-    NULL and NaN have no rank, infinite values only without `finite`. `flags` gets (column, *group) and the rows (`row`, value and the
-    columns `also`) and gives their sets. Values leave their row as numbers in packed pieces, so what is shuffled is bytes, not rows.
+    Values leave their row in the order of their size, as differences, with the place of their row in its block and the sets that
+    hold it. A first pass counts the groups, so ranks come back without being written in between: a piece holds, in the order of
+    rank, the steps between places and between ranks, and per set how far the ranks of its rows are from those in an even mix.
+    Whoever reads a block knows which sets hold a row: other columns' pieces tell where these have a value.
     """
     also = also or []
     keys = ["_column", *group]
@@ -309,26 +414,126 @@ def column_ranks(
     share = _sample_share(numbered.count() * len(columns))
     sample = labelled.sample(share, seed=SAMPLE_SEED).selectExpr(*[f"`{g}`" for g in group], f"inline(array({cells}))").where(usable)
     cuts = find_cuts(sample, keys, "value", share, limits)
-    schema = _piece_schema(numbered, [T.StructField("_column", T.IntegerType()), *_fields(numbered, group)])
+    none = np.zeros(0), np.zeros(0, np.int64)
+
+    def ordered(table: pa.Table) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per key the places of its rows, ordered by value, the values, where the groups begin, and which sets hold the rows."""
+        labels = list(_by_key(table, group)) if group else [((), np.arange(table.num_rows))]
+        for k in range(len(columns)):
+            values = table.column(f"c{k}").to_numpy()
+            good = np.isfinite(values) if finite else ~np.isnan(values)
+            for label, at in labels:
+                key, at = (k, *label), at[good[at]]
+                if not len(at):
+                    continue
+                at = at[np.argsort(values[at], kind="stable")]
+                found = values[at]
+                at_cut, spread = cuts.get(key, none)
+                low, high = (np.searchsorted(found, at_cut, side) for side in ("left", "right"))
+                edges = np.concatenate([[0], np.column_stack([low, np.where(spread > 0, high, low)]).reshape(-1), [len(found)]])
+                member = np.zeros((len(at), 0), bool) if flags is None else flags(key, table)[at].astype(bool)
+                yield key, at, found, edges, member
+
+    of_keys = [T.StructField("_column", T.IntegerType()), *_fields(numbered, group)]
+    count_schema = T.StructType([*of_keys, T.StructField("_counts", T.BinaryType())])
+    count_arrow = to_arrow_schema(count_schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for _, table in _blocks(batches, row, bits):
+            for key, at, _, edges, member in ordered(table):
+                upto = np.zeros((len(at) + 1, member.shape[1] + 1), np.int64)
+                upto[:, 0] = np.arange(len(at) + 1)
+                np.cumsum(member, axis=0, out=upto[1:, 1:])
+                sizes = np.diff(upto[edges], axis=0)
+                sums[key] = sums[key] + sizes if key in sums else sizes
+        if sums:
+            lines = [(*key, squeezed(sizes.reshape(-1).view(np.uint64))) for key, sizes in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(zip(*lines), count_arrow)], schema=count_arrow)
+
+    longs = T.ArrayType(T.LongType())
+    offset_schema = T.StructType([*of_keys, T.StructField("_group", T.IntegerType()), *[T.StructField(n, longs) for n in ("_base", "_total", "_count")]])
+    offset_arrow = to_arrow_schema(offset_schema)
+
+    def add_up(known: tuple, found: pa.Table) -> pa.Table:
+        key = tuple(k.as_py() for k in known)
+        flat = sum(expanded(cell)[0].view(np.int64) for cell in found.column("_counts"))
+        sizes = flat.reshape(2 * len(cuts.get(key, none)[0]) + 1, -1)
+        base = 2 * (np.cumsum(sizes, axis=0) - sizes)
+        base[1::2] += sizes[1::2] + 1  # rows of one value share their rank
+        total = sizes.sum(0).tolist()
+        made = [*[[k] * len(sizes) for k in key], range(len(sizes)), base.tolist(), [total] * len(sizes), sizes.tolist()]
+        return pa.Table.from_arrays([pa.array(cells, f.type) for cells, f in zip(made, offset_arrow)], schema=offset_arrow)
+
+    schema = T.StructType([*of_keys, *[T.StructField(n, T.IntegerType()) for n in ("_group", "_dealt")], *[T.StructField(n, T.LongType()) for n in ("_block", "_least")], T.StructField("_rows", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _Pieces(cuts, arrow)
-        for table in _chunks(batches, WIDE_ROWS):
-            kept = table.select([row, *also])
-            labels = list(_by_key(table, group)) if group else [((), np.arange(table.num_rows))]
-            for k in range(len(columns)):
-                values = table.column(f"c{k}").to_numpy()
-                good = np.isfinite(values) if finite else ~np.isnan(values)
-                for label, at in labels:
-                    at = at[good[at]]
-                    if len(at):
-                        found = values[at]
-                        pieces.add((k, *label), found, kept.take(pa.array(at)).append_column("value", pa.array(found)))
-            yield from pieces.batch()
+        turn = TaskContext.get().partitionId()
+        for block, table in _blocks(batches, row, bits):
+            turn, made = turn + 1, []
+            numbers = (table.column(row).to_numpy() & ((1 << bits) - 1)).astype(np.uint16)
+            for key, at, found, edges, member in ordered(table):
+                starts = edges[:-1][edges[:-1] < edges[1:]]
+                codes = _ordered_bits(found)
+                gaps = np.diff(codes.view(np.uint64), prepend=np.uint64(0))
+                gaps[starts] = 0
+                places = _steps(numbers[at], starts)
+                packed = np.packbits(member, axis=1, bitorder="little")
+                spread = cuts.get(key, none)[1]
+                for g in np.flatnonzero(edges[:-1] < edges[1:]).tolist():
+                    part = slice(edges[g], edges[g + 1])
+                    dealt = turn % int(spread[g // 2]) if g % 2 else 0
+                    made.append((*key, g, dealt, block, int(codes[edges[g]]), squeezed(gaps[part], places[part], *packed[part].T)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(cells, f.type) for cells, f in zip(zip(*made), arrow)], schema=arrow)
+
+    ranked_schema = T.StructType([*of_keys, T.StructField("_group", T.IntegerType()), T.StructField("_block", T.LongType()), T.StructField("_rows", T.BinaryType())])
+    ranked_arrow = to_arrow_schema(ranked_schema)
+
+    def order(known: tuple, found: pa.Table) -> pa.Table:
+        *key, group, _ = (k.as_py() for k in known)
+        values, places, member = [], [], []
+        for least, cell in zip(found.column("_least"), found.column("_rows")):
+            gaps, steps, *packed = expanded(cell)
+            values.append((np.cumsum(gaps) + np.int64(least.as_py()).view(np.uint64)).view(np.int64))
+            places.append(np.cumsum(steps).astype(np.uint16))
+            member.append(np.column_stack(packed).astype(np.uint8) if packed else np.zeros((len(gaps), 0), np.uint8))
+        sizes = [len(v) for v in values]
+        piece = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.int64), sizes)
+        values, places = np.concatenate(values), np.concatenate(places)
+        member = np.unpackbits(np.concatenate(member), axis=1, bitorder="little").astype(bool)  # with some more columns of zeros
+        n = len(values)
+        own = np.zeros(n, np.int64)  # in a group of one value, whose rank is in _base
+        if group % 2 == 0:
+            at, ends, run = _runs(values)
+            own = (ends[:-1] + ends[1:] + 1)[run]
+        by_piece = np.lexsort((own, piece)) if group % 2 == 0 else np.arange(n)
+        piece, starts = piece[by_piece], np.cumsum([0, *sizes[:-1]])
+        counts = np.array([n, *member.sum(0)])
+        expected = (own * 0)[None].repeat(member.shape[1], 0) if group % 2 else _expected(own, counts)
+        far, far_of = [np.zeros(0, np.int64)], [piece[:0]]
+        for s in range(member.shape[1]):
+            held = member[:, s]
+            twice = np.zeros(n, np.int64)
+            if group % 2 == 0:
+                upto = np.append(0, np.cumsum(held[at]))
+                twice = (upto[ends[:-1]] + upto[ends[1:]] + 1)[run]
+            inside = held[by_piece]
+            of, off = piece[inside], (twice - expected[s])[by_piece][inside]
+            far.append(_steps(off, np.append(True, of[1:] != of[:-1])[: len(of)]))
+            far_of.append(of)
+        far, far_of = np.concatenate(far), np.concatenate(far_of)
+        far, upto = _folded(far[np.argsort(far_of, kind="stable")]), np.append(0, np.cumsum(np.bincount(far_of, minlength=len(sizes))))
+        steps, ranks = _steps(places[by_piece], starts), _steps(own[by_piece], starts).view(np.uint64)
+        made = [squeezed(steps[a : a + size], ranks[a : a + size], far[b:c]) for a, size, b, c in zip(starts, sizes, upto[:-1], upto[1:])]
+        columns = [pa.array([k] * len(made), f.type) for k, f in zip([*key, group], ranked_arrow)]
+        return pa.Table.from_arrays([*columns, found.column("_block"), pa.array(made, pa.binary())], schema=ranked_arrow)
 
     out = labelled.selectExpr(row, *[f"`{c}`" for c in [*group, *also]], *[f"`{c}` + 0D AS c{k}" for k, c in enumerate(columns)])
-    return _rank_pieces(out.mapInArrow(split, schema), keys, "value", flags, row, limits)
+    offsets = cut_lineage(out.mapInArrow(count, count_schema).groupBy(*keys).applyInArrow(add_up, offset_schema))
+    ranked = out.mapInArrow(split, schema).groupBy(*keys, "_group", "_dealt").applyInArrow(order, ranked_schema)
+    return ranked.join(broadcast_if_small(offsets, limits.broadcast_rows), [*keys, "_group"]).select(*keys, "_block", "_rows", "_base", "_total", "_count")
 
 
 def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str | None = None, flags: Flags | None = None, limits: Limits = LIMITS) -> DataFrame:
@@ -375,7 +580,7 @@ def range_ranks(rows: DataFrame, keys: list[str], value: str, row: str | None =
     def sets(key: tuple, table: pa.Table) -> np.ndarray:
         return flags(pa.RecordBatch.from_arrays(with_keys(key, table), schema=of_rows))
 
-    ranked = _rank_pieces(rows.mapInArrow(split, schema), keys, value, None if flags is None else sets, None, limits)
+    ranked = _rank_pieces(rows.mapInArrow(split, schema), keys, value, None if flags is None else sets, limits)
     longs = T.LongType() if flags is None else T.ArrayType(T.LongType())
     out = T.StructType([*_fields(rows, names), T.StructField("twice", longs), T.StructField("total", longs)])
     out_arrow = to_arrow_schema(out)

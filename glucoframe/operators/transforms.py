@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from glucoframe.functions.normal import qnorm, qnorm_array
 from glucoframe.operators.calculate import to_long
 from glucoframe.operators.catalog import INDEX_IDS
-from glucoframe.operators.ranking import LIMITS, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, unpacked
+from glucoframe.operators.ranking import LIMITS, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, read_ranks
 from glucoframe.session import broadcast_if_small, cut_lineage
 
 KINDS = ("none", "log", "z", "rint")
@@ -184,13 +184,15 @@ def _ranked(results: DataFrame, t: Transform, columns: list[str], keep: list[str
         order = np.argsort(numbers)
         made = np.full((len(columns), len(numbers)), np.nan)
         for column, piece, base, total in zip(*(pieces.column(n) for n in ("_column", "_rows", "_base", "_total"))):
-            found = unpacked(piece)
-            at = order[np.searchsorted(numbers, found.column("_row").to_numpy(), sorter=order)]
-            rank = (found.column("t0").to_numpy() + base[0].as_py()) / 2.0
+            places, twice, _ = read_ranks(piece)
+            at = order[np.searchsorted(numbers, places, sorter=order)]
+            rank = (twice + base[0].as_py()) / 2.0
             made[column.as_py(), at] = (rank - BLOM_OFFSET) / (total[0].as_py() + 1 - 2 * BLOM_OFFSET)
-        present = ~np.isnan(made)
-        made[present] = qnorm_array(made[present])
-        filled = [pa.array(line, mask=~there) for line, there in zip(made, present)]
+        filled = []
+        for line in made:
+            present = ~np.isnan(line)
+            line[present] = qnorm_array(line[present])
+            filled.append(pa.array(line, mask=~present))
         return pa.table([rows.column("kept"), *filled], names=["kept", *[f"c{k}" for k in range(len(columns))]])
 
     joined = kept.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(fill, shape)

@@ -31,9 +31,13 @@ class Source:
         """The cohort written once to the shared folder, for operators that read it more than once."""
         return cut_lineage(self.cohort())
 
+    def computed(self, ids: list[str]) -> DataFrame:
+        """Wide values of some indices with visit_id and sex, for operators that read them once."""
+        return calculate_wide(self.cohort(), ids=ids, keep=["visit_id", "sex"])
+
     def values(self, ids: list[str]) -> DataFrame:
-        """Wide values of some indices with visit_id and sex, written once to the shared folder."""
-        return cut_lineage(calculate_wide(self.cohort(), ids=ids, keep=["visit_id", "sex"]))
+        """The same, written once to the shared folder."""
+        return cut_lineage(self.computed(ids))
 
     def long_values(self, ids: list[str]) -> DataFrame:
         return to_long(self.values(ids), ids, ["visit_id", "sex"])

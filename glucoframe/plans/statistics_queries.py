@@ -479,7 +479,7 @@ INFINITE_SQL = with_prepared(
 
 
 def spearman_matrix(src: Source) -> DataFrame:
-    return rounded_all(correlation.spearman_matrix(graded(src.values(SHOWN)), SHOWN))
+    return rounded_all(correlation.spearman_matrix(graded(src.computed(SHOWN)), SHOWN))
 
 
 def _spearman_ctes(of: str) -> tuple[str, ...]:

@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from glucoframe.functions.normal import qnorm, qnorm_array
 from glucoframe.operators import correlation, density, descriptives, ranking, transforms, unit_check
 from glucoframe.operators.curve import curve_summary, curve_summary_long, series_map
 from glucoframe.operators.transforms import Transform
+from glucoframe.session import SHUFFLE_CLEANUP, cut_lineage
 from glucoframe.settings import UnitChoice
 
 
@@ -450,6 +453,62 @@ def test_matrix_ranks_travel_in_pieces(spark, monkeypatch):
     assert matrix["c1", "c4"] == pytest.approx(both.c1.rank().corr(both.c4.rank()), abs=1e-12)
 
 
+def test_matrix_ranks_are_few_bytes(spark, monkeypatch):
+    """A rank in six sets takes less than a number of 64 bits and the place of its row."""
+    rng = random.Random(5)
+    rows = [tuple(None if rng.random() < 0.2 else rng.gauss(0, 1) for _ in range(6)) for _ in range(8_000)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(6))).coalesce(1)
+    found, ranks = [], correlation.column_ranks
+    monkeypatch.setattr(correlation, "column_ranks", lambda *a, **b: found.append(ranks(*a, **b)) or found[-1])
+    matrix = {(r.row, r.col): r.value for r in correlation.spearman_matrix(df, df.columns).collect()}
+    both = pd.DataFrame(rows, columns=df.columns)[["c1", "c4"]].dropna()
+    assert matrix["c1", "c4"] == pytest.approx(both.c1.rank().corr(both.c4.rank()), abs=1e-12)
+    size = found[0].agg(F.sum(F.octet_length("_rows"))).head()[0]
+    assert size < 10 * sum(v is not None for row in rows for v in row)
+
+
+def test_ranks_over_several_blocks(spark):
+    """More rows in a partition than a block has, values of every size, ties, and a value that fills groups."""
+    rng = np.random.default_rng(6)
+    table = pd.DataFrame({
+        "homa_ir": np.where(rng.random(150_000) < 0.3, 7.0, rng.normal(0, 1, 150_000) * 10.0 ** rng.integers(-300, 300, 150_000)),
+        "lap": np.where(rng.random(150_000) < 0.1, np.nan, rng.integers(-900, 900, 150_000) / 7),
+        "sex": np.where(rng.random(150_000) < 0.5, "f", "m"), "participant_id": np.arange(150_000),
+    })
+    df = spark.createDataFrame(table).coalesce(2)
+    for limits in (ranking.LIMITS, ranking.Limits(held=1, broadcast_rows=0)):
+        matrix = {(r.row, r.col): r for r in correlation.spearman_matrix(df, ["homa_ir", "lap"], limits).collect()}
+        both = table[["homa_ir", "lap"]].dropna()
+        assert matrix["homa_ir", "lap"].n == len(both)
+        assert matrix["homa_ir", "lap"].value == pytest.approx(both.homa_ir.rank().corr(both["lap"].rank()), abs=1e-12)
+    got = transforms.transform_results(df, Transform("rint", "sex"), keep_only=True).toPandas().sort_values("participant_id")
+    for c in ("homa_ir", "lap"):
+        place = table.groupby("sex")[c].rank()
+        total = table.groupby("sex")[c].transform("count")
+        np.testing.assert_allclose(got[c + "_rint_bysex"], qnorm_array(((place - 0.375) / (total + 0.25)).to_numpy()), rtol=1e-12)
+
+
+def test_numbers_keep_their_value_when_squeezed():
+    arrays = [np.array(x, kind) for x, kind in (([], np.uint64), ([0, 0], np.uint8), ([0, 1, 2**64 - 1], np.uint64), (range(65_536), np.uint16))]
+    back = ranking.expanded(pa.scalar(ranking.squeezed(*arrays)))
+    assert [b.tolist() for b in back] == [a.tolist() for a in arrays]
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    written = cut_lineage(spark.range(10_000).groupBy((F.col("id") % 997).alias("key")).count())
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert written.count() == 997 and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
 def test_transformed_ranks_travel_in_pieces(spark, monkeypatch):
     df = spark.range(20_000).selectExpr("id participant_id", "if(id % 10 = 0, '', concat('s', id % 2)) sex", "CAST(id * 7 % 20011 AS DOUBLE) homa_ir", "if(id % 4 = 0, NULL, CAST(id % 50 AS DOUBLE)) lap").repartition(5)
     found = tables_written(monkeypatch, ranking)
