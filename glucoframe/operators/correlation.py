@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, read_ranks, set_ranks
 from glucoframe.operators.transforms import Transform, transform_results
-from glucoframe.session import broadcast_if_small, cut_lineage
+from glucoframe.session import broadcast_if_small, cut_lineage, discard_scratch, noted_scratch
 
 MIN_PAIRS = 3
 MASK_BITS = 62  # columns whose presence fits into one number
@@ -172,16 +172,19 @@ def rank_sets(wide: DataFrame, columns: list[str], most_masks: int = MOST_MASKS)
     return counts, sets
 
 
-def spearman_matrix(wide: DataFrame, columns: list[str], limits: Limits = LIMITS, most_masks: int = MOST_MASKS) -> DataFrame:
+def spearman_matrix(
+    wide: DataFrame, columns: list[str], limits: Limits = LIMITS, most_masks: int = MOST_MASKS, spent: list[str] | None = None
+) -> DataFrame:
     """Long matrix (row, col, value, n): Pearson on average ranks over the complete pairs.
 
     Rows are told apart by a number of their own, so participant ids may repeat or be missing. Each column is ordered once:
     every value goes out with the sets its row is in, of those that a pair of the column needs (see rank_sets), and comes back with
     its rank in each of these sets, packed. Blocks of rows then multiply, per set, the ranks of all columns that need it; what is
-    shuffled after that is k x k sums per block.
+    shuffled after that is k x k sums per block. `spent` are scratch paths that `wide` reads and nothing else needs.
     """
     k = len(columns)
     wide = cut_lineage(wide.select(F.monotonically_increasing_id().alias("_row"), *columns, *_masks(columns)))
+    discard_scratch(wide.sparkSession, spent or [])
     counts, sets = rank_sets(wide, columns, most_masks)
     needed = [[sets[i, i], *sorted(set(sets[i]) - {sets[i, i]})] for i in range(k)]  # the sets of a column, in the order of its ranks
     partners = [[int(np.flatnonzero(sets[i] == g)[0]) for g in needed[i][1:]] for i in range(k)]
@@ -244,12 +247,14 @@ def correlation_matrix(
     if method not in ("pearson", "spearman"):
         raise ValueError(f"method {method!r} is not valid (use pearson or spearman)")
     same_ranks = method == "spearman" and transform.within is None and transform.kind in ("z", "rint")
+    spent: list[str] = []
     if transform.kind != "none" and not same_ranks:
-        changed = transform_results(wide, transform, key=key, columns=columns, keep_only=True)
+        with noted_scratch() as spent:
+            changed = transform_results(wide, transform, key=key, columns=columns, keep_only=True)
         wide = changed.select(*[F.col(c + transform.suffix).alias(c) for c in columns])
     if method == "pearson":
         return pearson_matrix(wide, columns)
-    return spearman_matrix(wide, columns)
+    return spearman_matrix(wide, columns, spent=spent)
 
 
 def pearson(wide: DataFrame, x: str, y: str) -> DataFrame:

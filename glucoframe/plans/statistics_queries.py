@@ -541,7 +541,7 @@ COMPARISON_SQL = with_prepared(
 
 def spearman_by_sex_rint(src: Source) -> DataFrame:
     """Spearman of values that were rank-normalised within sex."""
-    matrix = correlation.correlation_matrix(graded(src.values(SHOWN)), SHOWN, "visit_id", "spearman", BY_SEX)
+    matrix = correlation.correlation_matrix(graded(src.computed(SHOWN)), SHOWN, "visit_id", "spearman", BY_SEX)
     return rounded_all(matrix)
 
 

@@ -1,6 +1,7 @@
 """Ranks, quantiles, transforms, correlation and density against plain Python on seeded data."""
 
 import math
+import os
 import random
 import time
 from statistics import NormalDist
@@ -509,6 +510,20 @@ def test_shuffles_go_when_a_table_is_written(spark):
     assert written.count() == 997 and spark.conf.get(SHUFFLE_CLEANUP) == "false"
 
 
+def test_transformed_values_do_not_stay_behind_their_matrix(spark, monkeypatch):
+    """The tables behind a transform go once the matrix has its own rows; others stay."""
+    df = spark.range(600).selectExpr("id participant_id", "concat('s', id % 2) sex", "CAST(id * 7 % 601 AS DOUBLE) homa_ir", "CAST(id * id % 83 AS DOUBLE) lap")
+    df = cut_lineage(df)
+    found = tables_written(monkeypatch, transforms)
+    matrix = correlation.correlation_matrix(df, ["homa_ir", "lap"], "participant_id", "spearman", Transform("rint", "sex"))
+    left = [os.path.exists(f.removeprefix("file://")) for t in (df, *found) for f in t.inputFiles()[:1]]
+    assert len(found) == 1 and left == [True, False]
+    table = df.toPandas()
+    normal = [qnorm_array(((table.groupby("sex")[c].rank() - 0.375) / 300.25).to_numpy()) for c in ("homa_ir", "lap")]
+    expected = pd.Series(normal[0].round(12)).rank().corr(pd.Series(normal[1].round(12)).rank())
+    assert {(r.row, r.col): r.value for r in matrix.collect()}["homa_ir", "lap"] == pytest.approx(expected, abs=1e-12)
+
+
 def test_transformed_ranks_travel_in_pieces(spark, monkeypatch):
     df = spark.range(20_000).selectExpr("id participant_id", "if(id % 10 = 0, '', concat('s', id % 2)) sex", "CAST(id * 7 % 20011 AS DOUBLE) homa_ir", "if(id % 4 = 0, NULL, CAST(id % 50 AS DOUBLE)) lap").repartition(5)
     found = tables_written(monkeypatch, ranking)
