@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, read_ranks, set_ranks
+from glucoframe.operators.ranking import LIMITS, LOCAL_POSITION_BITS, MAX_OFFSETS_BROADCAST, ROW_BITS, Limits, column_ranks, mean_rank, range_ranks, read_places, read_ranks, set_ranks
 from glucoframe.operators.transforms import Transform, transform_results
 from glucoframe.session import broadcast_if_small, cut_lineage, discard_scratch, noted_scratch
 
 MIN_PAIRS = 3
 MASK_BITS = 62  # columns whose presence fits into one number
 MOST_MASKS = 50_000  # different patterns of missing columns that the driver compares
-MOST_RANKS = 1 << 26  # ranks that a block of rows may have in all sets
+MOST_RANKS = 48 << 20  # ranks that a block of rows may have in all sets
 SUMS_SCHEMA = (
     "i int, j int, n bigint, si double, sj double, sii double, sjj double, sij double, "
     "lo_i double, hi_i double, lo_j double, hi_j double"
@@ -201,17 +201,18 @@ def spearman_matrix(
 
     def products(pieces: pa.Table) -> pa.Table:
         """Per pair the sums of products of the two columns' ranks, taken around their mean over the set's rows."""
-        read = [read_ranks(cell) for cell in pieces.column("_rows")]
-        wide_as = max(int(at.max()) for at, _, _ in read) + 1
+        cells, numbers = pieces.column("_rows"), pieces.column("_column").to_pylist()
+        held = [read_places(cell) for cell in cells]
+        wide_as = max(int(at.max()) for at in held) + 1
         present = np.zeros((k, wide_as), bool)
-        numbers = pieces.column("_column").to_pylist()
-        for column, (at, _, _) in zip(numbers, read):
+        for column, at in zip(numbers, held):
             present[column, at] = True
         parts: list[list[tuple]] = [[] for _ in range(k)]
-        for column, (at, own, rest), base, count in zip(numbers, read, pieces.column("_base").to_pylist(), pieces.column("_count").to_pylist()):
+        for column, cell, base, count in zip(numbers, cells, pieces.column("_base").to_pylist(), pieces.column("_count").to_pylist()):
+            at, own, rest = read_ranks(cell)
             member = present[partners[column]][:, at]
-            parts[column].append((at, own, member, [t.astype(np.int32) for t in set_ranks(own, rest, member, np.array(count))], base))
-        del read
+            ranks = [t.astype(np.int32) for t in set_ranks(own, rest, member, np.array(count))]
+            parts[column].append((at, own.astype(np.int32), member, ranks, base))
         out: list[tuple] = []
         for g, members in users.items():
             if not pairs[g]:
@@ -222,7 +223,9 @@ def spearman_matrix(
                 s = needed[i].index(g)
                 for at, own, member, ranks, base in parts[i]:
                     line[at if s == 0 else at[member[s - 1]]] = (own if s == 0 else ranks[s - 1]) + float(base[s])
-            x = x[:, present[a] & present[b]] / 2 - (counts[a, b] + 1) / 2
+            x = x[:, present[a] & present[b]]
+            x /= 2
+            x -= (counts[a, b] + 1) / 2
             sums = x @ x.T
             out += [(members[a], members[b], sums[a, b], sums[a, a], sums[b, b]) for a, b in pairs[g]]
         return pa.table([pa.array(values, kind) for values, kind in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.float64()] * 3))], names=["i", "j", "sxy", "sxx", "syy"])

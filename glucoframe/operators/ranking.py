@@ -307,13 +307,13 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(head), *head], np.uint32).tobytes(), *body])
 
 
-def expanded(cell: pa.Scalar) -> list[np.ndarray]:
-    """What `squeezed` was given, as numbers of 64 bits."""
+def expanded(cell: pa.Scalar, most: int | None = None) -> list[np.ndarray]:
+    """What `squeezed` was given, as numbers of 64 bits; of `most` arrays at most."""
     found = cell.as_buffer()
     at = 4 * (int(np.frombuffer(found, np.uint32, 1)[0]) + 1)
     count, *head = np.frombuffer(found, np.uint32, at // 4)[1:].tolist()
     left, out = iter(head), []
-    for _ in range(count):
+    for _ in range(count if most is None else min(most, count)):
         size, used = next(left), next(left)
         numbers = np.zeros(size, np.uint64)
         planes = numbers.view(np.uint8).reshape(size, 8)
@@ -367,6 +367,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], row: str, bits: int) -> Iterator[
         yield block, pa.Table.from_batches(waiting).combine_chunks()
 
 
+def read_places(cell: pa.Scalar) -> np.ndarray:
+    """Of a piece of column_ranks: the places of its rows in their block."""
+    return np.cumsum(expanded(cell, 1)[0]).astype(np.uint16)
+
+
 def read_ranks(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a piece of column_ranks: the places of its rows in their block, twice their rank in their group, and what set_ranks needs."""
     places, own, rest = expanded(cell)
