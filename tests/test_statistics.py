@@ -4,6 +4,7 @@ import math
 import os
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from statistics import NormalDist
 
 import numpy as np
@@ -508,6 +509,19 @@ def test_shuffles_go_when_a_table_is_written(spark):
         time.sleep(0.1)
     assert not shuffles() - before
     assert written.count() == 997 and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    with ThreadPoolExecutor(4) as side_by_side:
+        counts = list(side_by_side.map(lambda k: cut_lineage(spark.range(k).groupBy("id").count()).count(), (5, 6000, 70, 8)))
+    assert counts == [5, 6000, 70, 8] and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
+def test_ranks_of_no_values(spark):
+    df = spark.createDataFrame([("a", "m", None, 2.0), ("b", "", None, 1.0), ("c", None, None, 3.0)], "participant_id string, sex string, homa_ir double, lap double")
+    for rows, n in ((df, 3), (df.limit(0), 0)):
+        matrix = {(r.row, r.col): r for r in correlation.spearman_matrix(rows, ["homa_ir", "lap"]).collect()}
+        assert matrix["lap", "lap"].n == n and matrix["lap", "lap"].value == (1.0 if n else None)
+        assert matrix["homa_ir", "lap"].n == matrix["homa_ir", "homa_ir"].n == 0 and matrix["homa_ir", "lap"].value is None
+    got = {r.participant_id: r for r in transforms.transform_results(df, Transform("rint", "sex")).collect()}
+    assert got["a"].lap_rint_bysex == 0 and got["b"].lap_rint_bysex is got["c"].lap_rint_bysex is got["a"].homa_ir_rint_bysex is None
 
 
 def test_transformed_values_do_not_stay_behind_their_matrix(spark, monkeypatch):
